@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import ogg
-from larkspur.llm.tables import table
+from larkspur.llm import langid, ogg, quality
+from larkspur.llm.tables import table, written
+
+#: Rows whose labels are held out.
+HELD_OUT = "crc32(cast(doc_id AS string)) % 3 = 1"
 
 
 def op3_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +20,28 @@ def op3_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op4_string_kernel_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from those not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(f"NOT ({HELD_OUT})"))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", "score")
+
+
+def op8_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every text, learned from labels not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    stats = written(quality.features(docs, ["doc_id"]), "stats")
+    model = quality.fit(stats.join(labels.where(f"NOT ({HELD_OUT})").select("doc_id", "quality"), "doc_id"))
+    return quality.score(stats, model).select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
-    return {"op3_ogg": op3_ogg}
+    return {
+        "op3_ogg": op3_ogg,
+        "op4_string_kernel_langid": op4_string_kernel_langid,
+        "op8_quadratic_discriminant": op8_quadratic_discriminant,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
