@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import langid, ogg, quality
+from larkspur.llm import decontam, langid, ogg, quality
 from larkspur.llm.tables import table, written
 
 #: Rows whose labels are held out.
@@ -36,13 +36,20 @@ def op8_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(stats, model).select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a window of a benchmark item."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontam.judge(docs.select("doc_id", "text"), items).drop("text")
+
+
 def queries() -> dict:
     return {
         "op3_ogg": op3_ogg,
         "op4_string_kernel_langid": op4_string_kernel_langid,
         "op8_quadratic_discriminant": op8_quadratic_discriminant,
+        "op9_winnowing": op9_winnowing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_winnowing": decontam.SQL}
