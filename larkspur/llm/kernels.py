@@ -149,9 +149,9 @@ def window_argmin(h: np.ndarray, w: int) -> np.ndarray:
     n = len(h) - w + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    low = U64((1 << 24) - 1)
-    if len(h) > 1 << 24:
-        raise ValueError("a chunk has at most 2**24 positions")
+    low, block = U64((1 << 24) - 1), 1 << 23
+    if n > block:  # one very long document: piece by piece
+        return np.concatenate([window_argmin(h[a : a + block + w - 1], w) + a for a in range(0, n, block)])
     key = (h & ~low) | np.arange(len(h), dtype=np.uint64)
     size = 1
     while size * 2 <= w:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import decontam, langid, ogg, quality
+from larkspur.llm import decontam, langid, ogg, quality, suffix_dedup
 from larkspur.llm.tables import table, written
 
 #: Rows whose labels are held out.
@@ -42,12 +42,18 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judge(docs.select("doc_id", "text"), items).drop("text")
 
 
+def op10_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-byte strings that also start in a document with a smaller id."""
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict:
     return {
         "op3_ogg": op3_ogg,
         "op4_string_kernel_langid": op4_string_kernel_langid,
         "op8_quadratic_discriminant": op8_quadratic_discriminant,
         "op9_winnowing": op9_winnowing,
+        "op10_prefix_doubling": op10_prefix_doubling,
     }
 
 
