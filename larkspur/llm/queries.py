@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import decontam, langid, ogg, quality, suffix_dedup
+from larkspur.llm import decontam, fm_dedup, langid, ogg, quality, suffix_dedup
 from larkspur.llm.tables import table, written
 
 #: Rows whose labels are held out.
@@ -28,6 +28,11 @@ def op4_string_kernel_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", "score")
 
 
+def op5_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 20-word windows that also start earlier."""
+    return fm_dedup.dedup(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op8_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every text, learned from labels not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -51,6 +56,7 @@ def queries() -> dict:
     return {
         "op3_ogg": op3_ogg,
         "op4_string_kernel_langid": op4_string_kernel_langid,
+        "op5_fm_index": op5_fm_index,
         "op8_quadratic_discriminant": op8_quadratic_discriminant,
         "op9_winnowing": op9_winnowing,
         "op10_prefix_doubling": op10_prefix_doubling,
@@ -58,4 +64,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_winnowing": decontam.SQL}
+    return {"op5_fm_index": fm_dedup.SQL, "op9_winnowing": decontam.SQL}
