@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import decontam, fm_dedup, langid, ogg, quality, suffix_dedup
+from larkspur.llm import decontam, fm_dedup, langid, minhash_dedup, ogg, quality, suffix_dedup
 from larkspur.llm.tables import table, written
 
 #: Rows whose labels are held out.
@@ -33,6 +33,12 @@ def op5_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_dedup.dedup(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op6_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets have a similarity of 0.8 or more."""
+    found = minhash_dedup.link(table(spark, sf_dir, "documents"), size=4)
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 def op8_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every text, learned from labels not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -57,6 +63,7 @@ def queries() -> dict:
         "op3_ogg": op3_ogg,
         "op4_string_kernel_langid": op4_string_kernel_langid,
         "op5_fm_index": op5_fm_index,
+        "op6_coordinate_join": op6_coordinate_join,
         "op8_quadratic_discriminant": op8_quadratic_discriminant,
         "op9_winnowing": op9_winnowing,
         "op10_prefix_doubling": op10_prefix_doubling,
