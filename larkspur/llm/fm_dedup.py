@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.kernels import SPACE, U64, flat, ranges, removal_mask, word_spans
-from larkspur.llm.segments import Spec, ambiguous, occurrences, removed_runs, repeated_anchors, stored
+from larkspur.llm.segments import Spec, ambiguous, firsts, of_document, removed_runs, repeated_anchors, stored
 from larkspur.llm.tables import written
 
 WINDOW, GRAM, HOT = 20, 8, 5_000
@@ -200,36 +200,36 @@ def by_index(segs: DataFrame) -> DataFrame:
         if held:
             yield from _solve(pa.Table.from_batches(held).combine_chunks())
 
-    dealt = segs.select("anchor", "key", F.col("first.doc").alias("doc"), F.col("first.start").alias("start"), "n", "content").repartition(shards, "anchor").sortWithinPartitions("anchor")
+    dealt = segs.select("anchor", "key", "doc", "start", "n", "content").repartition(shards, "anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(work, "anchor long, key long, gone array<int>")
 
 
 def by_windows(segs: DataFrame) -> DataFrame:
     """(anchor, key, gone) for anchors with many stretches: single windows, collapsed by Spark."""
     words = F.split(F.decode("content", "ISO-8859-1"), " ")
-    spread = segs.select("anchor", "key", "first", "n", words.alias("w")).select("anchor", "key", "first", "w", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("off"))
+    spread = segs.select("anchor", "key", "doc", "start", "n", words.alias("w")).select("anchor", "key", "doc", "start", "w", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("off"))
     window = F.sha2(F.array_join(F.slice("w", F.col("off") + 1, WINDOW), " ").cast("binary"), 256)
-    place = F.struct(F.col("first.doc").alias("doc"), (F.col("first.start") + F.col("off")).alias("start"))
+    place = F.struct("doc", (F.col("start") + F.col("off")).alias("start"))
     rows = spread.select("anchor", "key", "off", window.alias("window"), place.alias("place"))
     least = rows.groupBy("window").agg(F.min("place").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").select("window", "least")
     return rows.join(least, "window").where("least < place").groupBy("anchor", "key").agg(F.array_sort(F.collect_list("off")).alias("gone"))
 
 
-def duplicate_runs(docs: DataFrame, n: int, hot: int = HOT) -> DataFrame:
-    """(row, runs) of the words to remove, for ``stored`` documents."""
-    occ = occurrences(docs, repeated_anchors(docs, SPEC, n), SPEC)
-    first, several = ambiguous(occ)
-    crowd = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot).select("anchor")
-    masks = by_index(several.join(crowd, "anchor", "left_anti"))
-    if crowd.limit(1).count():
-        masks = masks.unionByName(by_windows(first.join(crowd, "anchor")))
-    return removed_runs(occ, first, written(masks, "masks"), SPEC, by_doc=False)
+def duplicates(docs: DataFrame, n: int, hot: int = HOT) -> DataFrame:
+    """(row, starts, counts, own, gone): see ``removed_runs``."""
+    hits = repeated_anchors(docs, SPEC, n)
+    first = firsts(docs, hits, SPEC)
+    few, many = ambiguous(docs, first, SPEC, hot)
+    masks = by_index(few)
+    if many.limit(1).count():
+        masks = masks.unionByName(by_windows(many))
+    return removed_runs(hits, first, written(masks, "masks"), SPEC)
 
 
 def dedup(corpus: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT, with_text: bool = False) -> DataFrame:
     """One row per document: id, words, removed words, digest and (``with_text``) the kept words joined by one space."""
     docs, n = stored(corpus, "fm", key, text)
-    joined = docs.select("row", "id", "text").join(duplicate_runs(docs, n, hot), "row", "left").select("id", "text", "runs.s", "runs.l")
+    joined = docs.select("row", "id", "text").join(duplicates(docs, n, hot), "row", "left").drop("row")
     kind = dict(docs.dtypes)["id"]
     schema = f"id {kind}, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
 
@@ -238,11 +238,11 @@ def dedup(corpus: DataFrame, key: str = "doc_id", text: str = "text", hot: int =
             if not batch.num_rows:
                 continue
             out = []
-            for text_, s, l in zip(batch.column("text"), batch.column("s"), batch.column("l"), strict=True):
-                words = text_.as_py().encode().split()  # the white space of bytes is exactly 0x20 and 0x09 to 0x0D
+            for row in batch.to_pylist():
+                words = row["text"].encode().split()  # the white space of bytes is exactly 0x20 and 0x09 to 0x0D
                 total = len(words)
-                if s.is_valid:
-                    mask = removal_mask(total, np.asarray(s.values, np.int64), np.asarray(l.values, np.int64))
+                if row["starts"] is not None:
+                    mask = removal_mask(total, *of_document(row, SPEC))
                     words = [words[i] for i in np.flatnonzero(~mask).tolist()]
                 out.append((total, total - len(words), b" ".join(words)))
             cols = [batch.column("id"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([hashlib.sha256(x[2]).hexdigest() for x in out], pa.string())]
@@ -257,7 +257,8 @@ def dedup(corpus: DataFrame, key: str = "doc_id", text: str = "text", hot: int =
 
 #: DuckDB SQL of the whole query over ``documents``.
 SQL = r"""
-WITH dw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+WITH dw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
 win AS (
   SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS h
   FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM dw WHERE len(w) >= 20)

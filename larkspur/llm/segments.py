@@ -16,8 +16,7 @@ equality of whole segments, which is by a 128-bit key (anchor and content hash).
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.kernels import GOLDEN, SPACE, U64, combine, flat, gram_hashes, mix, padded, ranges, span_hashes, text_chunks, window_argmin, word_spans, words64
-from larkspur.llm.tables import buckets_for, shared_dir, written
+from larkspur.llm.kernels import GOLDEN, SPACE, U64, flat, gram_hashes, mix, padded, ranges, span_hashes, text_chunks, window_argmin, word_spans, words64
+from larkspur.llm.tables import bucketed, buckets_for, written
 
 #: Text bytes per bucket of the stored corpus and of the anchor exchange.
 BUCKET_BYTES = 24 << 20
@@ -41,6 +40,14 @@ class Spec:
     gram: int
     words: bool  #: tokens are words; else bytes
 
+    def bounds(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
+        """(token offsets per text, bytes, word starts, word ends)."""
+        offsets, data = flat(column)
+        if not self.words:
+            return offsets, padded(data), None, None
+        s, e, w = word_spans(offsets, data, SPACE)
+        return w, padded(data), s, e
+
     def tokens(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
         """(k-gram hashes, token offsets per text, bytes, word starts, word ends)."""
         offsets, data = flat(column)
@@ -80,9 +87,7 @@ def stored(docs: DataFrame, name: str, key: str = "doc_id", text: str = "text")
     """
     n = buckets_for(docs, text, BUCKET_BYTES)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    spark, unique = docs.sparkSession, f"larkspur_{name}_{uuid.uuid4().hex}"
-    rows.repartition(n, "row").write.bucketBy(n, "row").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{unique}").saveAsTable(unique)
-    return spark.table(unique), n
+    return bucketed(rows, name, n, "row"), n
 
 
 def repeated_anchors(docs: DataFrame, spec: Spec, buckets: int) -> DataFrame:
@@ -122,19 +127,18 @@ def repeated_anchors(docs: DataFrame, spec: Spec, buckets: int) -> DataFrame:
                     lists[k].append(v)
             o = order[twice & ~head]
             if len(o):
-                for k, v in enumerate((-1, anchor[o].tobytes(), row[o].tobytes(), start[o].astype(np.int32).tobytes(), count[o].astype(np.uint8).tobytes(), b"")):
+                own = -1 - int(anchor[0] % U64(buckets))  # known already: any task will do
+                for k, v in enumerate((own, anchor[o].tobytes(), row[o].tobytes(), start[o].astype(np.int32).tobytes(), count[o].astype(np.uint8).tobytes(), b"\1" * len(o))):
                     lists[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(lists, (pa.int32(), *[pa.binary()] * 5), strict=True)], names=["bucket", "anchor", "row", "start", "n", "kind"])
 
     sent = docs.select("row", "text").mapInArrow(send, "bucket int, anchor binary, row binary, start binary, n binary, kind binary")
-    sent = written(sent, "anchors")
 
-    def split(table: pa.Table, keep: Callable | None) -> pa.Table:
+    def split(table: pa.Table) -> pa.Table:
         raw = {k: [x.as_py() for x in table.column(k)] for k in ("anchor", "row", "start", "n")}
         anchor, row, start, n = (np.frombuffer(b"".join(raw[k]), t) for k, t in (("anchor", np.uint64), ("row", np.int64), ("start", np.int32), ("n", np.uint8)))
-        if keep is not None:
-            sel = keep(anchor, np.frombuffer(b"".join(x.as_py() for x in table.column("kind")), np.uint8))
-            anchor, row, start, n = anchor[sel], row[sel], start[sel], n[sel]
+        sel = repeated(anchor, np.frombuffer(b"".join(x.as_py() for x in table.column("kind")), np.uint8))
+        anchor, row, start, n = anchor[sel], row[sel], start[sel], n[sel]
         order = np.argsort(row, kind="stable")
         anchor, row, start, n = anchor[order], row[order], start[order], n[order]
         head = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
@@ -152,35 +156,25 @@ def repeated_anchors(docs: DataFrame, spec: Spec, buckets: int) -> DataFrame:
         out[order] = same
         return out | (kind == 1)
 
-    schema = "row long, starts array<int>, counts array<int>, anchors array<long>"
-    met = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: split(t, repeated), schema)
-
-    def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield from split(pa.Table.from_batches([batch]), None).to_batches()
+    met = sent.groupBy("bucket").applyInArrow(split, "row long, starts array<int>, counts array<int>, anchors array<long>")
+    per = met.groupBy("row").agg(*(F.flatten(F.collect_list(k)).alias(k) for k in ("starts", "counts", "anchors")))
+    return bucketed(per, "hits", buckets, "row")
 
-    own = sent.where("bucket < 0").mapInArrow(direct, schema)
-    return met.unionByName(own)
 
+def _pieces(docs: DataFrame, lists: DataFrame, spec: Spec, with_content: bool) -> DataFrame:
+    """(anchor, key, row, doc, start, n and, if asked for, content) of the segments in ``lists`` (row, starts, counts, anchors).
 
-def occurrences(docs: DataFrame, hits: DataFrame, spec: Spec) -> DataFrame:
-    """(anchor, key, row, doc, start, n, content): every occurrence of a candidate segment, as a written table.
-
-    ``key`` is a second 64-bit hash, of the content; the content itself (bytes,
-    or words joined by a space) comes with the first occurrence in a chunk.
+    ``key`` is a second 64-bit hash, of the content; the content is bytes, or
+    words joined by a space.
     """
-    per = hits.groupBy("row").agg(*(F.flatten(F.collect_list(k)).alias(k) for k in ("starts", "counts", "anchors")))
-    joined = docs.select("row", "doc", "text").join(per, "row")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
-            grams, offsets, buf, ws, we = spec.tokens(batch.column("text"))
+            offsets, buf, ws, we = spec.bounds(batch.column("text"))
             sizes = np.diff(np.asarray(batch.column("starts").offsets))
             doc = np.repeat(np.arange(batch.num_rows), sizes)
             start = np.asarray(batch.column("starts").flatten()).astype(np.int64)
             n = np.asarray(batch.column("counts").flatten()).astype(np.int64)
-            anchor = np.asarray(batch.column("anchors").flatten())
             lo = offsets[doc] + start
             if ws is None:
                 a, b = lo, lo + n + spec.window - 1
@@ -188,16 +182,15 @@ def occurrences(docs: DataFrame, hits: DataFrame, spec: Spec) -> DataFrame:
             else:
                 a, b = ws[lo], we[lo + n + spec.window - 2]
                 key = window_keys(buf, ws, we, lo, n + spec.window - 1)
-            _, first = np.unique(combine(key, anchor.view(np.uint64)), return_index=True)
-            content: list = [None] * len(a)
-            raw = buf.tobytes()
-            for i in first.tolist():
-                piece = raw[a[i] : b[i]]
-                content[i] = piece if ws is None else b" ".join(piece.split())
-            cols = [pa.array(anchor), pa.array(key.view(np.int64)), pa.array(np.asarray(batch.column("row"))[doc]), pa.array(np.asarray(batch.column("doc"))[doc]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(content, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["anchor", "key", "row", "doc", "start", "n", "content"])
+            cols = [batch.column("anchors").flatten(), pa.array(key.view(np.int64)), pa.array(np.asarray(batch.column("row"))[doc]), pa.array(np.asarray(batch.column("doc"))[doc]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))]
+            if with_content:
+                raw = buf.tobytes()
+                cut = [raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                cols.append(pa.array(cut if ws is None else [b" ".join(x.split()) for x in cut], pa.binary()))
+            yield pa.RecordBatch.from_arrays(cols, names=["anchor", "key", "row", "doc", "start", "n", "content"][: len(cols)])
 
-    return written(joined.select("row", "doc", "text", "starts", "counts", "anchors").mapInArrow(cut_out, "anchor long, key long, row long, doc long, start int, n int, content binary"), "occurrences")
+    joined = docs.select("row", "doc", "text").join(lists, "row").select("row", "doc", "text", "starts", "counts", "anchors")
+    return joined.mapInArrow(cut_out, "anchor long, key long, row long, doc long, start int, n int" + ", content binary" * with_content)
 
 
 def window_keys(buf: np.ndarray, ws: np.ndarray, we: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -212,25 +205,60 @@ def window_keys(buf: np.ndarray, ws: np.ndarray, we: np.ndarray, lo: np.ndarray,
     return out
 
 
-def ambiguous(occ: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(distinct segments with their first occurrence, those of them whose anchor has other segments as well)."""
-    first = written(occ.groupBy("anchor", "key").agg(F.min(F.struct("doc", "start")).alias("first"), F.max("n").alias("n"), F.max("content").alias("content")), "segments")
-    several = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
-    return first, first.join(several, "anchor")
+def firsts(docs: DataFrame, hits: DataFrame, spec: Spec) -> DataFrame:
+    """(anchor, key, doc, start, row, n) of the first occurrence of each candidate segment, as a written table."""
+    place = F.struct("doc", "start", "row", "n")
+    first = _pieces(docs, hits, spec, False).groupBy("anchor", "key").agg(F.min(place).alias("f"))
+    return written(first.select("anchor", "key", "f.*"), "firsts")
+
+
+def ambiguous(docs: DataFrame, first: DataFrame, spec: Spec, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Segments, with content, whose anchor has other segments as well: those of up to ``hot`` and those of more."""
+    counted = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    several = first.join(counted, "anchor")
+    lists = several.groupBy("row").agg(F.collect_list(F.struct("start", "n", "anchor", "c")).alias("x"))
+    lists = lists.select("row", F.col("x.start").alias("starts"), F.col("x.n").alias("counts"), F.col("x.anchor").alias("anchors"))
+    found = written(_pieces(docs, lists, spec, True), "ambiguous")
+    crowd = counted.where(F.col("c") > hot).select("anchor")
+    return found.join(crowd, "anchor", "left_anti"), found.join(crowd, "anchor", "left_semi")
+
+
+def removed_runs(hits: DataFrame, first: DataFrame, masks: DataFrame, spec: Spec) -> DataFrame:
+    """(row, starts, counts, own, gone) for each document with candidate segments.
+
+    ``own`` are the starts of segments of which it has the first occurrence,
+    ``gone`` the windows of each that start even earlier elsewhere; all other
+    candidate segments in starts and counts have an earlier equal one (or, for
+    ``to_runs`` to tell, an equal one in the same document).
+    """
+    mine = first.join(masks, ["anchor", "key"], "left").select("row", F.struct("start", F.coalesce("gone", F.array().cast("array<int>")).alias("gone")).alias("x"))
+    per = mine.groupBy("row").agg(F.collect_list("x").alias("x")).select("row", F.col("x.start").alias("own"), F.col("x.gone").alias("gone"))
+    return hits.select("row", "starts", "counts").join(per, "row", "left")
 
 
-def removed_runs(occ: DataFrame, first: DataFrame, masks: DataFrame, spec: Spec, by_doc: bool) -> DataFrame:
-    """(row, runs) with runs an array of (start, length) in tokens.
+def to_runs(starts: np.ndarray, counts: np.ndarray, own: np.ndarray, gone: list, spec: Spec, text: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, lengths) in tokens of what goes from one document.
 
-    Windows of any occurrence but the first are removed as a whole; of the first
-    (for ``by_doc``: of all those in the first document) those in ``masks``
-    (anchor, key, gone: offsets of windows that start even earlier elsewhere).
+    With its ``text``, equal segments further down in the same document aren't
+    later than the first: they lose the same windows, not all.
     """
-    seg = first.select("anchor", "key", "first").join(masks, ["anchor", "key"], "left")
-    is_first = F.col("doc") == F.col("first.doc")
-    if not by_doc:
-        is_first &= F.col("start") == F.col("first.start")
-    whole = F.array(F.struct(F.col("start").alias("s"), (F.col("n") + spec.window - 1).alias("l")))
-    some = F.transform("gone", lambda g: F.struct((F.col("start") + g).alias("s"), F.lit(spec.window).alias("l")))
-    runs = F.when(is_first, some).otherwise(whole)
-    return occ.drop("content").join(seg, ["anchor", "key"]).select("row", runs.alias("runs")).where("size(runs) > 0").groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    whole = ~np.isin(starts, own)
+    single = [s + np.asarray(g, np.int64) for s, g in zip(own, gone, strict=True)]
+    if text is not None and len(own) and whole.any():
+        size = dict(zip(starts.tolist(), (counts + spec.window - 1).tolist(), strict=True))
+        known = {text[s : s + size[s]]: g for s, g in zip(own.tolist(), gone, strict=True)}
+        for i in np.flatnonzero(whole).tolist():
+            s = int(starts[i])
+            if (g := known.get(text[s : s + size[s]])) is not None:
+                whole[i] = False
+                single.append(s + np.asarray(g, np.int64))
+    one = np.concatenate(single) if single else np.zeros(0, np.int64)
+    s = np.concatenate([starts[whole], one]).astype(np.int64)
+    l = np.concatenate([counts[whole] + spec.window - 1, np.full(len(one), spec.window)]).astype(np.int64)
+    return s, l
+
+
+def of_document(row: dict, spec: Spec, text: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``to_runs`` of the columns that ``removed_runs`` gives."""
+    ints = lambda x: np.asarray(x if x is not None else [], np.int64)
+    return to_runs(ints(row["starts"]), ints(row["counts"]), ints(row["own"]), row["gone"] or [], spec, text)

@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.kernels import U64, flat, merge_runs, padded, ranges, words64
-from larkspur.llm.segments import Spec, ambiguous, occurrences, removed_runs, repeated_anchors, stored
+from larkspur.llm.segments import Spec, ambiguous, firsts, of_document, removed_runs, repeated_anchors, stored
 from larkspur.llm.tables import written
 
-WINDOW, GRAM, HOT = 50, 32, 5_000
+WINDOW, GRAM, HOT = 50, 24, 5_000
 SPEC = Spec(WINDOW, GRAM, words=False)
 DEPTHS = (8, 16, 32, WINDOW)
 #: Bytes of stretches in a shard.
@@ -121,7 +121,7 @@ def _local(segs: DataFrame) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(seg)), pa.int32()), pa.array(off.astype(np.int32)))
         return pa.table([rows.column("anchor"), rows.column("key"), lists], names=["anchor", "key", "gone"]).to_batches()
 
-    dealt = segs.select("anchor", "key", F.col("first.doc").alias("doc"), "n", "content").repartition(shards, "anchor").sortWithinPartitions("anchor")
+    dealt = segs.select("anchor", "key", "doc", "n", "content").repartition(shards, "anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(work, "anchor long, key long, gone array<int>")
 
 
@@ -153,7 +153,7 @@ def by_spark_sort(segs: DataFrame) -> DataFrame:
     """(anchor, key, gone) by prefix doubling over rows, sorted by Spark; any anchor may have any number of stretches."""
     eight = F.expr("conv(hex(substring(content, p + 1, 8)), 16, -10)").cast("long")
     rows = (
-        segs.select("anchor", "key", F.col("first.doc").alias("owner"), "n", "content", F.explode(F.sequence(F.lit(0), F.col("n") + WINDOW - 1 - 8)).alias("p"))
+        segs.select("anchor", "key", F.col("doc").alias("owner"), "n", "content", F.explode(F.sequence(F.lit(0), F.col("n") + WINDOW - 1 - 8)).alias("p"))
         .select("anchor", "key", "owner", "n", "p", eight.alias("r"))
     )
     within = Window.partitionBy("anchor", "key").orderBy("p")
@@ -166,15 +166,15 @@ def by_spark_sort(segs: DataFrame) -> DataFrame:
     return rows.join(least, "r").where("owner > least").groupBy("anchor", "key").agg(F.array_sort(F.collect_list("p")).alias("gone"))
 
 
-def duplicate_runs(docs: DataFrame, n: int, hot: int = HOT) -> DataFrame:
-    """(row, runs) of the bytes to remove, for ``stored`` documents."""
-    occ = occurrences(docs, repeated_anchors(docs, SPEC, n), SPEC)
-    first, several = ambiguous(occ)
-    crowd = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot).select("anchor")
-    masks = _local(several.join(crowd, "anchor", "left_anti"))
-    if crowd.limit(1).count():
-        masks = masks.unionByName(by_spark_sort(first.join(crowd, "anchor")))
-    return removed_runs(occ, first, written(masks, "masks"), SPEC, by_doc=True)
+def duplicates(docs: DataFrame, n: int, hot: int = HOT) -> DataFrame:
+    """(row, starts, counts, own, gone): see ``removed_runs``."""
+    hits = repeated_anchors(docs, SPEC, n)
+    first = firsts(docs, hits, SPEC)
+    few, many = ambiguous(docs, first, SPEC, hot)
+    masks = _local(few)
+    if many.limit(1).count():
+        masks = masks.unionByName(by_spark_sort(many))
+    return removed_runs(hits, first, written(masks, "masks"), SPEC)
 
 
 RESULT = "id {id}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -187,7 +187,7 @@ def dedup(corpus: DataFrame, key: str = "doc_id", text: str = "text", hot: int =
     broken pieces of such a character are left out.
     """
     docs, n = stored(corpus, "suffix", key, text)
-    joined = docs.select("row", "id", "text").join(duplicate_runs(docs, n, hot), "row", "left").select("id", "text", "runs.s", "runs.l")
+    joined = docs.select("row", "id", "text").join(duplicates(docs, n, hot), "row", "left").drop("row")
     kind = dict(docs.dtypes)["id"]
     schema = RESULT.format(id=kind) + (", kept string" if with_text else "")
 
@@ -195,15 +195,13 @@ def dedup(corpus: DataFrame, key: str = "doc_id", text: str = "text", hot: int =
         for batch in batches:
             if not batch.num_rows:
                 continue
-            offsets, data = flat(batch.column("text"))
-            raw = data.tobytes()
             out = []
-            for k, (s, l) in enumerate(zip(batch.column("s"), batch.column("l"), strict=True)):
-                whole = raw[offsets[k] : offsets[k + 1]]
-                if not s.is_valid:
+            for row in batch.to_pylist():
+                whole = row["text"].encode()
+                if row["starts"] is None:
                     out.append((len(whole), 0, 0, whole))
                     continue
-                a, b = merge_runs(np.asarray(s.values, np.int64), np.asarray(l.values, np.int64))
+                a, b = merge_runs(*of_document(row, SPEC, whole))
                 edges = [0, *np.column_stack([a, b]).ravel().tolist(), len(whole)]
                 kept = b"".join(whole[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
                 out.append((len(whole), len(whole) - len(kept), len(a), kept))

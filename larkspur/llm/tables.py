@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -26,9 +27,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder: survives lost executors, and cuts the lineage."""
     path = f"{shared_dir(df.sparkSession)}/larkspur-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, n: int, key: str) -> DataFrame:
+    """Like ``written``, with the rows in ``n`` buckets of the key: joins and groups by it then don't move them again."""
+    spark, unique = df.sparkSession, f"larkspur_{name}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).option("compression", "zstd").option("path", f"{shared_dir(spark)}/{unique}").saveAsTable(unique)
+    release(spark)
+    return spark.table(unique)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of finished jobs now: it acts when the driver has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def buckets_for(df: DataFrame, column: str, bytes_each: int, least: int = 12) -> int:
     """Number of shuffle buckets so that each gets about ``bytes_each`` bytes of ``column``: it grows with the input."""
     total = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
