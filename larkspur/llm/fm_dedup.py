@@ -257,8 +257,7 @@ def dedup(corpus: DataFrame, key: str = "doc_id", text: str = "text", hot: int =
 
 #: DuckDB SQL of the whole query over ``documents``.
 SQL = r"""
-WITH dw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+') AS w FROM documents),
+WITH dw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (
   SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS h
   FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM dw WHERE len(w) >= 20)
