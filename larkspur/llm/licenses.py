@@ -186,12 +186,12 @@ dw AS (SELECT doc_id, {cut} AS w FROM documents),
 dg AS (SELECT doc_id, i - 1 AS p, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - {SHINGLE - 2})) AS i FROM dw WHERE len(w) >= {SHINGLE})),
 hit AS (SELECT doc_id, p, s, name, k, step, win FROM dg JOIN tg USING (s) JOIN grid USING (name)),
 per AS (
-  SELECT doc_id, name, k, j * step AS at, count(DISTINCT s) AS n
+  SELECT doc_id, name, k, j * step AS spot, count(DISTINCT s) AS n
   FROM (SELECT *, unnest(range(CASE WHEN p < win THEN 0 ELSE (p - win) // step + 1 END, p // step + 1)) AS j FROM hit)
   GROUP BY doc_id, name, k, step, j
 ),
 found AS (SELECT * FROM per WHERE n * 100 >= {percent} * k),
-agg AS (SELECT doc_id, count(DISTINCT name) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names, max(n / k) AS best, min(at) AS at FROM found GROUP BY doc_id)
-SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_licenses, coalesce(names, '') AS licenses, best::DOUBLE AS containment, at::BIGINT AS first_window
+agg AS (SELECT doc_id, count(DISTINCT name) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names, max(n / k) AS best, min(spot) AS spot FROM found GROUP BY doc_id)
+SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_licenses, coalesce(names, '') AS licenses, best::DOUBLE AS containment, spot::BIGINT AS first_window
 FROM dw LEFT JOIN agg USING (doc_id)
 """

@@ -210,3 +210,12 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id",
     done = of.join(final, "node", "left")
     component = F.when(F.col("n") == 0, F.struct("doc", F.col("row").alias("node"))).otherwise(F.coalesce("least", F.struct(F.col("head.doc").alias("doc"), F.col("head.row").alias("node"))))
     return done.select("row", "id", "doc", "n", component.alias("c")).select("row", "id", "n", F.when(F.col("c.doc") < (1 << 63) - 1, F.col("c.doc")).alias("component"), (F.col("row") == F.col("c.node")).alias("first"))
+
+
+def keep_first(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents without near duplicates of others: of each component the row with the smallest id stays.
+
+    ``docs`` must give the same rows in the same partitions whenever it is read, as tables do.
+    """
+    stay = link(docs, size, percent, key, text).where("first").select(F.col("row").alias("_row"))
+    return docs.withColumn("_row", F.monotonically_increasing_id()).join(stay, "_row", "left_semi").drop("_row")

@@ -25,22 +25,24 @@ are encoded once (no piece goes on over the start of a word).
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.kernels import text_chunks
+from larkspur.llm.kernels import GOLDEN, U64, flat, mix, ranges, text_chunks
 
 #: Where the public tokenizers lie; a parameter of every function.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Distinct words that a worker remembers.
-REMEMBERED = 200_000
+#: Text bytes encoded at once by a task.
+CHUNK = 4 << 20
+#: Distinct words, and pairs of pieces, that a worker remembers.
+REMEMBERED, REMEMBERED_PAIRS = 300_000, 1_000_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -97,8 +99,9 @@ class Pieces:
             raise ValueError(f"model type {self.kind}")
         self.longest = max(map(len, self.ids), default=1)
         self.low = min((self.score[i] for i in self.ids.values()), default=0.0) - 10.0
-        self.pair = lru_cache(1 << 20)(self._pair)
-        self.alone = lru_cache(1 << 16)(lambda i: self.merged(self.text[i]) == [i])
+        self.pairs: dict[int, bool] = {}
+        self.ends = self._ends()
+        self.inside = {t[k : k + 2] for t in self.ids for k in range(len(t) - 1)}  #: neighbours that some piece holds
 
     def _piece(self, raw: bytes) -> None:
         one = dict(_fields(raw))
@@ -129,8 +132,27 @@ class Pieces:
                 return [self.ids.get(p, p) for p in part]
             part[at : at + 2] = [part[at] + part[at + 1]]
 
-    def _pair(self, a: int, b: int) -> bool:
-        return self.merged(self.text[a] + self.text[b]) == [a, b]
+    def _ends(self) -> dict:
+        """Pieces by their symbols from the last to the first, as nested dicts; "" holds the id.  Pieces that merges take apart are left out."""
+        root: dict = {}
+        for text, i in self.ids.items():
+            if self.kind == self.MERGES and self.merged(text) != [i]:
+                continue
+            node = root
+            for symbol in reversed(text):
+                node = node.setdefault(symbol, {})
+            node[""] = i
+        return root
+
+    def pair(self, a: int, b: int) -> bool:
+        """Whether two pieces in a row stay what they are when their joint text is merged."""
+        key = a << 32 | b
+        found = self.pairs.get(key)
+        if found is None:
+            if len(self.pairs) >= REMEMBERED_PAIRS:
+                self.pairs.clear()
+            found = self.pairs[key] = self.merged(self.text[a] + self.text[b]) == [a, b]
+        return found
 
     def fallback(self, symbol: str) -> list[int]:
         """Ids of a symbol without a piece."""
@@ -162,19 +184,21 @@ class Stream:
 
     def _extend(self) -> None:
         p, text, n = self.pieces, self.window, len(self.window)
+        ending, node = [], p.ends
+        for k in range(n - 1, max(-1, n - 1 - p.longest), -1):
+            node = node.get(text[k])
+            if node is None:
+                break
+            if (i := node.get("")) is not None:
+                ending.append((k, i))
         found, top = text[n - 1], self.total[n - 1] + p.low
-        known = text[n - 1] in p.ids
         if p.kind == p.UNIGRAM:
-            for size in range(1, min(n, p.longest) + 1):
-                i = p.ids.get(text[n - size :])
-                if i is not None and (size == 1 and found == text[n - 1] or self.total[n - size] + p.score[i] > top):
-                    found, top = i, self.total[n - size] + p.score[i]
-        elif known:
-            for size in range(min(n, p.longest), 0, -1):
-                i = p.ids.get(text[n - size :])
-                if i is None or not p.alone(i):
-                    continue
-                before = self.last[n - size] if n > size else self.before
+            for k, i in ending:
+                if k == n - 1 or self.total[k] + p.score[i] > top:
+                    found, top = i, self.total[k] + p.score[i]
+        else:
+            for k, i in reversed(ending):
+                before = self.last[k] if k else self.before
                 # A symbol without a piece merges with nothing.
                 if before is None or isinstance(before, str) or p.pair(before, i):
                     found = i
@@ -229,38 +253,177 @@ def decode(pieces: Pieces, ids: list[int]) -> str:
     return text[1:] if pieces.prefix and text.startswith(" ") else text
 
 
-#: Words for sharing work: no piece holds a U+2581 after another symbol, so a word starts at each that does.
-_WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
-
+class Lockstep:
+    """The forward pass of ``Stream`` for many short parts at once: all take their next symbol together (models of merges)."""
 
-class Encoder:
-    """Encodes texts word by word, and remembers a bounded number of words; falls back to the plain stream if pieces cross words."""
+    LONGEST, NONE = 24, -1
+    SLOTS = 1 << 20  #: of the cache of pairs, each with the last pair that fell on it
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.split = all(SPACE not in t.lstrip(SPACE) for t in pieces.ids)
-        self.known: dict[str, list[int]] = {}
+        whole = [(t, i) for t, i in pieces.ids.items() if pieces.merged(t) == [i]]
+        found = np.array([self._hash(t) for t, _ in whole], np.uint64)
+        order = np.argsort(found)
+        self.hashes, self.ids = found[order], np.array([i for _, i in whole], np.int64)[order]
+        self.sizes = np.array([len(t) for t in pieces.text], np.int64)
+        self.powers = np.full(pieces.longest + 1, GOLDEN, np.uint64)
+        self.powers[0] = 1
+        self.powers = np.cumprod(self.powers)
+        self.cached, self.value = np.full(self.SLOTS, -1, np.int64), np.zeros(self.SLOTS, bool)
+
+    @staticmethod
+    def _hash(text: str) -> int:
+        h = 0
+        for c in text:
+            h = (h * int(GOLDEN) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+        return h
+
+    def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a << 32 | b
+        slot = (mix(key.view(np.uint64)) & U64(self.SLOTS - 1)).astype(np.int64)
+        new = np.unique(key[self.cached[slot] != key])
+        if not len(new):
+            return self.value[slot]
+        right = np.array([self.pieces.pair(k >> 32, k & 0xFFFFFFFF) for k in new.tolist()])
+        at = (mix(new.view(np.uint64)) & U64(self.SLOTS - 1)).astype(np.int64)
+        spot = np.minimum(np.searchsorted(new, key), len(new) - 1)
+        out = np.where(new[spot] == key, right[spot], self.value[slot])
+        self.cached[at], self.value[at] = new, right
+        return out
 
-    def word(self, word: str) -> list[int]:
-        found = self.known.get(word)
-        if found is None:
-            stream = Stream(self.pieces)
-            found = stream.feed(word) + stream.finish()
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            if len(word) <= 64:
-                self.known[word] = found
+    def encode(self, parts: list[str]) -> list[list[int] | None]:
+        """Ids of each part; None for those that hold a symbol without a piece."""
+        size = np.array([len(p) for p in parts], np.int64)
+        order = np.argsort(-size, kind="stable")
+        size, n, longest = size[order], len(parts), int(size.max())
+        codes = np.zeros((longest + 1, n), np.uint64)
+        flat_codes = np.frombuffer("".join(parts[k] for k in order.tolist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+        row = np.repeat(np.arange(n), size)
+        codes[np.arange(len(flat_codes)) - np.repeat(np.cumsum(size) - size, size) + 1, row] = flat_codes.astype(np.uint64) + U64(1)
+        for j in range(1, longest + 1):  # hashes of prefixes
+            codes[j] += codes[j - 1] * GOLDEN
+        last = np.full((longest + 1, n), self.NONE, np.int64)
+        for j in range(1, longest + 1):
+            left = np.arange(int(np.searchsorted(-size, -j, "right")))  # sorted by length: those that have a j-th symbol
+            for s in range(min(j, self.pieces.longest), 0, -1):
+                h = codes[j, left] - codes[j - s, left] * self.powers[s]
+                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+                is_piece = self.hashes[at] == h
+                rows, piece = left[is_piece], self.ids[at[is_piece]]
+                if not len(rows):
+                    continue
+                if j > s:
+                    before = last[j - s, rows]
+                    ok = before == self.NONE
+                    ok[~ok] = self.pair(before[~ok], piece[~ok])
+                    rows, piece = rows[ok], piece[ok]
+                last[j, rows] = piece
+                left = left[last[j, left] == self.NONE]
+                if not len(left):
+                    break
+        out, end = np.full((longest, n), self.NONE, np.int64), size.copy()
+        lost = np.zeros(n, bool)
+        for step in range(longest - 1, -1, -1):  # back along the pointers, last piece first
+            live = np.flatnonzero(end > 0)
+            if not len(live):
+                break
+            piece = last[end[live], live]
+            lost[live[piece == self.NONE]] = True
+            out[step, live] = piece
+            end[live] -= np.where(piece == self.NONE, 1, self.sizes[piece])
+        found: list = [None] * n
+        for k, ids in zip(order.tolist(), out.T.tolist(), strict=True):
+            found[k] = [i for i in ids if i != self.NONE]
+        for k in order[lost].tolist():
+            found[k] = None
         return found
 
-    def ids(self, text: str) -> list[int]:
-        if not text or not self.split:
-            return encode(self.pieces, text)
-        symbols = (SPACE if self.pieces.prefix else "") + text.replace(" ", SPACE)
-        out: list[int] = []
-        for w in _WORDS.findall(symbols):
-            out += self.word(w)
+
+class Encoder:
+    """Encodes texts by their distinct words, and remembers a bounded number of words.
+
+    Between two symbols that no piece holds side by side all paths meet, so the
+    parts on either side are encoded on their own: words, if no piece goes on
+    over the start of one, and within a word the parts that such places cut it into.
+    """
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.split = all(not (SPACE == x[1] != x[0]) for x in pieces.inside)
+        self.lockstep = Lockstep(pieces) if pieces.kind == Pieces.MERGES else None
+        self.inside = np.sort(np.array([ord(x[0]) << 21 | ord(x[1]) for x in pieces.inside], np.uint64))
+        self.known: dict[bytes, list[int]] = {}
+        self.known_parts: dict[str, list[int]] = {}
+
+    def cut(self, words: list[str]) -> list[list[str]]:
+        """The parts of each word."""
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        pairs = codes[:-1] << U64(21) | codes[1:]
+        at = np.minimum(np.searchsorted(self.inside, pairs), max(0, len(self.inside) - 1))
+        apart = np.flatnonzero(self.inside[at] != pairs) + 1 if len(self.inside) else np.arange(1, len(codes))
+        ends = np.cumsum([len(w) for w in words])
+        first = np.searchsorted(apart, ends - [len(w) for w in words], "right").tolist()
+        last = np.searchsorted(apart, ends, "left").tolist()
+        cuts, out = apart.tolist(), []
+        for w, a, b, end in zip(words, first, last, ends.tolist(), strict=True):
+            if a == b:
+                out.append([w])
+            else:
+                edges = [0, *(c - end + len(w) for c in cuts[a:b]), len(w)]
+                out.append([w[x:y] for x, y in zip(edges[:-1], edges[1:], strict=True)])
         return out
 
+    def alone(self, part: str) -> list[int]:
+        stream = Stream(self.pieces)
+        return stream.feed(part) + stream.finish()
+
+    def learn(self, words: list[bytes]) -> dict[bytes, list[int]]:
+        """Ids of distinct words that aren't known yet."""
+        cut = self.cut([w.decode().replace(" ", SPACE) for w in words])
+        new = {p for parts in cut for p in parts if p not in self.known_parts}
+        short = [p for p in new if len(p) <= Lockstep.LONGEST] if self.lockstep else []
+        ids = dict(zip(short, self.lockstep.encode(short), strict=True)) if short else {}
+        for p in new:
+            if ids.get(p) is None:
+                ids[p] = self.alone(p)
+        out = {}
+        for w, parts in zip(words, cut, strict=True):
+            found = [ids[p] if p in ids else self.known_parts[p] for p in parts]
+            out[w] = found[0] if len(found) == 1 else list(chain.from_iterable(found))
+        for known, found in ((self.known_parts, ids), (self.known, out)):
+            if len(known) + len(found) > REMEMBERED:
+                known.clear()
+            known.update((w, i) for w, i in found.items() if len(w) <= 2 * Lockstep.LONGEST)
+        return out
+
+    def encode(self, column: pa.Array) -> pa.ListArray:
+        """Ids of each text; null is empty."""
+        column = pc.replace_substring(column, SPACE, " ")
+        if not self.split:
+            lists = [np.array(encode(self.pieces, t or ""), np.int32) for t in column.to_pylist()]
+            return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.array(np.concatenate(lists)))
+        offsets, data = flat(column)
+        some = np.flatnonzero(np.diff(offsets))
+        if self.pieces.prefix:  # a space before each text
+            data = np.insert(data, offsets[some], 32)
+            offsets = offsets + np.concatenate([[0], np.cumsum(np.diff(offsets) > 0)])
+        starts = data == 32
+        starts[1:] &= data[:-1] != 32
+        starts[offsets[some]] = True
+        begin = np.flatnonzero(starts)
+        words = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(data)).astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        known = {w: i for w in distinct if (i := self.known.get(w)) is not None}
+        if len(known) < len(distinct):
+            known |= self.learn([w for w in distinct if w not in known])
+        lists = [known[w] for w in distinct]
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        ids = np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum()))
+        which = np.asarray(words.indices).astype(np.int64)
+        out = ids[ranges((np.cumsum(size) - size)[which], size[which])]
+        total = np.concatenate([[0], np.cumsum(size[which])])
+        return pa.ListArray.from_arrays(pa.array(total[np.searchsorted(begin, offsets)], pa.int32()), pa.array(out))
+
 
 _LOADED: dict[bytes, Encoder] = {}
 
@@ -287,11 +450,8 @@ def encode_column(df: DataFrame, text: str = "text", out: str = "ids", model: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _loaded(shared.value)
-        for batch in text_chunks(batches, text):
-            lists = [np.array(encoder.ids(t or ""), np.int32) for t in batch.column(text).to_pylist()]
-            ends = np.cumsum([0, *map(len, lists)])
-            found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, out])
+        for batch in text_chunks(batches, text, CHUNK):
+            yield pa.RecordBatch.from_arrays([*batch.columns, encoder.encode(batch.column(text))], names=[*batch.schema.names, out])
 
     return df.mapInArrow(run, schema)
 

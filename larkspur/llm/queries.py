@@ -5,13 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import decontam, fm_dedup, langid, minhash_dedup, ogg, quality, suffix_dedup
+from larkspur.llm import decontam, fm_dedup, langid, licenses, minhash_dedup, ogg, pieces, quality, suffix_dedup, urlfilter
 from larkspur.llm.tables import table, written
 
 #: Rows whose labels are held out.
 HELD_OUT = "crc32(cast(doc_id AS string)) % 3 = 1"
 
 
+#: The rules of the URL filter.
+RULES = ("block com/en/", "allow example.com/en/7", "allow net/de/", "block example.net/de/8", "block org/es/")
+
+
+def op1_host_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every URL by the rules, else by the classifier over its host's words and path's tokens."""
+    pages = table(spark, sf_dir, "pages")
+    words = urlfilter.lexicon(pages.select(urlfilter.visible_text(F.col("html")).alias("text")), "text")
+    model = urlfilter.fit(pages, words)
+    found = urlfilter.judge(pages.select("page_id", "url"), model, urlfilter.rules(*RULES))
+    return found.select("page_id", "host", "path", "rule", "verdict", "score", "host_words")
+
+
+def op2_license_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every text."""
+    return licenses.find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op3_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as an Ogg stream and back: digests of what was read, and features."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -39,6 +57,14 @@ def op6_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
+def op7_streaming_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and whether they decode to it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = pieces.decode_column(pieces.encode_column(docs))
+    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), pieces.SPACE, " ")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"), same.alias("round_trip"), "ids")
+
+
 def op8_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every text, learned from labels not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -60,10 +86,13 @@ def op10_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_host_words": op1_host_words,
+        "op2_license_bands": op2_license_bands,
         "op3_ogg": op3_ogg,
         "op4_string_kernel_langid": op4_string_kernel_langid,
         "op5_fm_index": op5_fm_index,
         "op6_coordinate_join": op6_coordinate_join,
+        "op7_streaming_pieces": op7_streaming_pieces,
         "op8_quadratic_discriminant": op8_quadratic_discriminant,
         "op9_winnowing": op9_winnowing,
         "op10_prefix_doubling": op10_prefix_doubling,
@@ -71,4 +100,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_fm_index": fm_dedup.SQL, "op9_winnowing": decontam.SQL}
+    return {"op2_license_bands": licenses.sql(), "op5_fm_index": fm_dedup.SQL, "op9_winnowing": decontam.SQL}

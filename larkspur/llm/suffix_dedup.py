@@ -213,3 +213,28 @@ def dedup(corpus: DataFrame, key: str = "doc_id", text: str = "text", hot: int =
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return joined.mapInArrow(cut, schema)
+
+
+def cut_column(corpus: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
+    """The frame with the repeated strings cut out of its text; all other columns stay, null texts stay null.
+
+    Pieces of a character that a cut has left are left out.
+    """
+    docs, n = stored(corpus, "suffix", key, text, rest=True)
+    joined = docs.select("row", "rest", "text").join(duplicates(docs, n, hot), "row", "left").drop("row")
+    schema = docs.select("rest", "text").schema
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for row in batch.select(["text", "starts", "counts", "own", "gone"]).to_pylist():
+                whole = row["text"].encode()
+                if row["starts"] is not None:
+                    a, b = merge_runs(*of_document(row, SPEC, whole))
+                    edges = [0, *np.column_stack([a, b]).ravel().tolist(), len(whole)]
+                    whole = b"".join(whole[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
+                kept.append(whole.decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(kept, pa.string())], names=["rest", "text"])
+
+    done = joined.mapInArrow(cut, schema).withColumn(text, F.when(~F.col("rest._no_text"), F.col("text")))
+    return done.select(*(F.col(text) if c == text else F.col("rest").getField(c).alias(c) for c in corpus.columns))
