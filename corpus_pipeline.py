@@ -1,12 +1,69 @@
-"""The corpus pipeline: five operators in a row, each stage written as Parquet and read again."""
+"""The corpus pipeline: five operators in a row, each stage written as Parquet and read again.
+
+Every stage takes the documents that the one before has kept, and all but the
+last return the columns of ``documents``; extra columns of the input pass through.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from larkspur.llm import decontam, langid, minhash_dedup, pieces, suffix_dedup
 from larkspur.llm.tables import table, written
 
-STAGES: list = []
+#: Least score of a language for a document to stay.
+LEAST_SCORE = 0.2
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or in none of the languages that the corpus names, go."""
+    names = ("lang_pred", "score")
+    model = langid.fit(docs)
+    found = langid.predict(docs.drop(*names), model, out=names)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*_own(docs, names))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near duplicates stays (five words, similarity 0.8)."""
+    stays = minhash_dedup.keep_first(docs)
+    return stays.select(*docs.columns)
+
+
+def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 50 bytes that a document with a smaller id has too are cut out; documents of which nothing but white space is left go."""
+    cut = suffix_dedup.cut_column(docs)
+    left = cut.where(F.col("text").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.select(*docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten words in a row of a benchmark item go."""
+    names = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    found = decontam.judge(docs.drop(*names), table(spark, sf_dir, "benchmark"))
+    return found.where(~F.col("contaminated")).select(*_own(docs, names))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each text, and the digest of what they decode to."""
+    found = pieces.decode_column(pieces.encode_column(docs.select("doc_id", "lang", "source", "text")))
+    return found.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"), "ids")
+
+
+def _own(docs: DataFrame, replaced: tuple[str, ...]) -> list[str]:
+    """Columns of the documents, without extra ones whose names an operator uses for its results."""
+    return [c for c in docs.columns if c not in replaced]
+
+
+STAGES = [
+    ("language ID", language),
+    ("MinHash near-dedup", near_duplicates),
+    ("suffix-array dedup", repeated_bytes),
+    ("benchmark decontamination", decontaminated),
+    ("SentencePiece encoding", encoded),
+]
 
 #: The stages use learned models and byte-level search, which SQL can't express.
 ORACLE_SQL = None
@@ -17,5 +74,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs, name)
+            docs = written(docs, name.replace(" ", "-"))
     return docs
