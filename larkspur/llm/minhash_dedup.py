@@ -15,7 +15,7 @@ signatures settle the match, and the full shingle sets confirm each link.
 
 Equal sets are one node from the start.  No list is expanded into all of its
 pairs: ``ROUNDS`` times each member is first compared with one pivot of its
-lists, links join components, and what is left are pairs of different
+lists (at first the most central), links join components, and what is left are pairs of different
 components, of which a list gives those outside its largest component against
 the whole list.  Pairs inside a component need no comparison, so none is lost.
 
@@ -102,7 +102,10 @@ def signed(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
 
 
 def postings(nodes: DataFrame, matches: int) -> DataFrame:
-    """(token, node, n): each node under the rarest of its shared tokens, rarest first."""
+    """(token, node, n, weight): each node under the rarest of its shared tokens, rarest first.
+
+    The weight is the number of documents that share its tokens: the greatest in a group has what most of the group have.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = (np.arange(COORDINATES, dtype=np.uint64) << U64(32))[None, :]
@@ -116,8 +119,8 @@ def postings(nodes: DataFrame, matches: int) -> DataFrame:
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     joined = tokens.join(shared, "token")
     of = Window.partitionBy("node")
-    ranked = joined.withColumn("own", F.count(F.lit(1)).over(of)).where(F.col("own") >= matches).withColumn("k", F.row_number().over(of.orderBy("df", "token")))
-    prefix = ranked.where(F.col("k") <= F.col("own") - matches + 1).select("token", "node")
+    ranked = joined.withColumn("own", F.count(F.lit(1)).over(of)).withColumn("weight", F.sum("df").over(of)).where(F.col("own") >= matches).withColumn("k", F.row_number().over(of.orderBy("df", "token")))
+    prefix = ranked.where(F.col("k") <= F.col("own") - matches + 1).select("token", "node", "weight")
     return written(prefix.join(nodes.select("node", "n"), "node"), "postings")
 
 
@@ -188,7 +191,8 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id",
             lists = lists.withColumn("comp", F.col("node"))
         fits = lambda x, y: (F.col(f"{x}.n") * 100 >= F.col(f"{y}.n") * percent) & (F.col(f"{y}.n") * 100 >= F.col(f"{x}.n") * percent)
         if turn < ROUNDS:
-            order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h") if turn else F.col("node").alias("h"), "node", "n", "comp")
+            # First the node that has most in common with all others, then one by chance.
+            order = F.struct((F.xxhash64("node", F.lit(turn)) if turn else -F.col("weight")).alias("h"), "node", "n", "comp")
             pivot = lists.groupBy("token").agg(F.min(order).alias("p")).select("token", "p.node", "p.n", "p.comp")
             met = lists.alias("x").join(pivot.alias("y"), "token").where((F.col("x.comp") != F.col("y.comp")) & fits("x", "y")).groupBy(F.col("x.node").alias("x"), F.col("y.node").alias("y")).agg(F.count(F.lit(1)).alias("c"))
             best = met.groupBy("x").agg(F.max(F.struct("c", (-F.col("y")).alias("y"))).alias("b")).select("x", (-F.col("b.y")).alias("y"))

@@ -34,8 +34,8 @@ from larkspur.llm.tables import written
 WINDOW, GRAM, HOT = 50, 24, 5_000
 SPEC = Spec(WINDOW, GRAM, words=False)
 DEPTHS = (8, 16, 32, WINDOW)
-#: Bytes of stretches in a shard.
-SHARD_BYTES = 8 << 20
+#: Bytes of stretches in a shard: a task's arrays take about 60 times as much.
+SHARD_BYTES = 2 << 20
 
 
 def ranks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +65,10 @@ def doubled(offsets: np.ndarray, data: np.ndarray, counts: np.ndarray, owner: np
     for deeper in DEPTHS:
         # Ranks are needed where a window's strings of this depth start: everywhere in it, or at both its ends once two cover it.
         inner = range(WINDOW - deeper + 1) if 2 * deeper < WINDOW else (0, WINDOW - deeper)
-        spots = np.unique(np.concatenate([at + k for k in inner])) if depth else np.arange(n)
+        needed = np.zeros(n, bool)
+        for k in inner if depth else ():
+            needed[at + k] = True
+        spots = np.flatnonzero(needed) if depth else np.arange(n)
         new, alone = ranks((rank[spots] << U64(32)) | rank[spots + deeper - depth]) if depth else ranks(rank)
         rank, single = np.zeros(n, np.uint64), np.zeros(n, bool)
         rank[spots], single[spots] = new, alone
