@@ -157,6 +157,7 @@ def repeated_anchors(docs: DataFrame, spec: Spec, buckets: int) -> DataFrame:
         return out | (kind == 1)
 
     met = sent.groupBy("bucket").applyInArrow(split, "row long, starts array<int>, counts array<int>, anchors array<long>")
+    met = written(met, "met")  # the first exchange's files can go before the second's come
     per = met.groupBy("row").agg(*(F.flatten(F.collect_list(k)).alias(k) for k in ("starts", "counts", "anchors")))
     return bucketed(per, "hits", buckets, "row")
 
