@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -100,8 +101,6 @@ class Pieces:
         self.longest = max(map(len, self.ids), default=1)
         self.low = min((self.score[i] for i in self.ids.values()), default=0.0) - 10.0
         self.pairs: dict[int, bool] = {}
-        self.ends = self._ends()
-        self.inside = {t[k : k + 2] for t in self.ids for k in range(len(t) - 1)}  #: neighbours that some piece holds
 
     def _piece(self, raw: bytes) -> None:
         one = dict(_fields(raw))
@@ -132,7 +131,13 @@ class Pieces:
                 return [self.ids.get(p, p) for p in part]
             part[at : at + 2] = [part[at] + part[at + 1]]
 
-    def _ends(self) -> dict:
+    @cached_property
+    def inside(self) -> set[str]:
+        """Neighbours that some piece holds."""
+        return {t[k : k + 2] for t in self.ids for k in range(len(t) - 1)}
+
+    @cached_property
+    def ends(self) -> dict:
         """Pieces by their symbols from the last to the first, as nested dicts; "" holds the id.  Pieces that merges take apart are left out."""
         root: dict = {}
         for text, i in self.ids.items():
@@ -444,15 +449,15 @@ class Encoder:
         return pa.ListArray.from_arrays(pa.array(total[np.searchsorted(begin, offsets)], pa.int32()), pa.array(out))
 
 
-_LOADED: dict[bytes, Encoder] = {}
+_LOADED: dict = {}
 
 
-def _loaded(raw: bytes) -> Encoder:
-    """One encoder for each worker and model."""
-    key = hashlib.sha256(raw).digest()
+def _loaded(kind: type, raw: bytes):
+    """One encoder or decoder for each worker and model."""
+    key = kind.__name__, hashlib.sha256(raw).digest()
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = Encoder(Pieces(raw))
+        _LOADED[key] = kind(Pieces(raw))
     return _LOADED[key]
 
 
@@ -468,7 +473,7 @@ def encode_column(df: DataFrame, text: str = "text", out: str = "ids", model: st
     schema = df.select("*", F.lit(None).cast("array<int>").alias(out)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _loaded(shared.value)
+        encoder = _loaded(Encoder, shared.value)
         for batch in text_chunks(batches, text, CHUNK):
             yield pa.RecordBatch.from_arrays([*batch.columns, encoder.encode(batch.column(text))], names=[*batch.schema.names, out])
 
@@ -482,7 +487,7 @@ def decode_column(df: DataFrame, ids: str = "ids", out: str = "decoded", model:
     schema = df.select("*", F.lit(None).cast("string").alias(out)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(_loaded(shared.value).pieces)
+        decoder = _loaded(Decoder, shared.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
