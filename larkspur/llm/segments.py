@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.kernels import GOLDEN, SPACE, U64, flat, gram_hashes, mix, padded, ranges, span_hashes, text_chunks, window_argmin, word_spans, words64
-from larkspur.llm.tables import bucketed, buckets_for, written
+from larkspur.llm.tables import bucketed, buckets_for, drop, written
 
 #: Text bytes per bucket of the stored corpus and of the anchor exchange.
 BUCKET_BYTES = 24 << 20
@@ -159,7 +159,9 @@ def repeated_anchors(docs: DataFrame, spec: Spec, buckets: int) -> DataFrame:
     met = sent.groupBy("bucket").applyInArrow(split, "row long, starts array<int>, counts array<int>, anchors array<long>")
     met = written(met, "met")  # the first exchange's files can go before the second's come
     per = met.groupBy("row").agg(*(F.flatten(F.collect_list(k)).alias(k) for k in ("starts", "counts", "anchors")))
-    return bucketed(per, "hits", buckets, "row")
+    hits = bucketed(per, "hits", buckets, "row")
+    drop(met)
+    return hits
 
 
 def _pieces(docs: DataFrame, lists: DataFrame, spec: Spec, with_content: bool) -> DataFrame:

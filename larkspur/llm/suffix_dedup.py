@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.kernels import U64, flat, merge_runs, padded, ranges, words64
 from larkspur.llm.segments import Spec, ambiguous, firsts, of_document, removed_runs, repeated_anchors, stored
-from larkspur.llm.tables import written
+from larkspur.llm.tables import drop, written
 
 WINDOW, GRAM, HOT = 50, 24, 5_000
 SPEC = Spec(WINDOW, GRAM, words=False)
@@ -164,7 +164,10 @@ def by_spark_sort(segs: DataFrame) -> DataFrame:
         step = deeper - depth
         pairs = rows.withColumn("r2", F.lead("r", step).over(within)).where(F.col("p") + deeper <= F.col("n") + WINDOW - 1)
         rows = spark_ranks(pairs, ["r", "r2"], "rank").select("anchor", "key", "owner", "n", "p", F.col("rank").alias("r"))
-        rows = written(rows, f"depth{deeper}")  # the next depth reads it by stretch again
+        deep = written(rows, f"depth{deeper}")  # the next depth reads it by stretch again
+        if depth > DEPTHS[0]:
+            drop(last)
+        rows = last = deep
     least = rows.groupBy("r").agg(F.min("owner").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").select("r", "least")
     return rows.join(least, "r").where("owner > least").groupBy("anchor", "key").agg(F.array_sort(F.collect_list("p")).alias("gone"))
 

@@ -31,6 +31,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Deletes a ``written`` table that nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        spark = df.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def bucketed(df: DataFrame, name: str, n: int, key: str) -> DataFrame:
     """Like ``written``, with the rows in ``n`` buckets of the key: joins and groups by it then don't move them again."""
     spark, unique = df.sparkSession, f"larkspur_{name}_{uuid.uuid4().hex}"
