@@ -18,8 +18,8 @@ Texts are stored with a space before them and spaces as U+2581, as the model's
 normaliser (identity) does; symbols without a piece become their UTF-8 bytes.
 Decoding restores the text exactly, but for a U+2581 of the text itself, which
 the format can't tell from a space.  Null and empty texts have no ids.  Texts
-may be of any length: a task holds one chunk of texts, and equal words of it
-are encoded once (no piece goes on over the start of a word).
+may be of any length: a task holds one chunk of texts, and its equal parts,
+between symbols that no piece holds side by side, are encoded once.
 """
 
 from __future__ import annotations
@@ -42,8 +42,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Text bytes encoded at once by a task.
 CHUNK = 2 << 20
-#: Distinct words, and pairs of pieces, that a worker remembers.
+#: Distinct parts of texts, and pairs of pieces, that a worker remembers.
 REMEMBERED, REMEMBERED_PAIRS = 100_000, 300_000
+#: Bytes of a part that is remembered.
+LONGEST_REMEMBERED = 64
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -282,6 +284,7 @@ class Lockstep:
 
     LONGEST, NONE = 24, -1
     SLOTS = 1 << 20  #: of the cache of pairs, each with the last pair that fell on it
+    BITS = 20
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
@@ -294,6 +297,8 @@ class Lockstep:
         self.powers[0] = 1
         self.powers = np.cumprod(self.powers)
         self.cached, self.value = np.full(self.SLOTS, -1, np.int64), np.zeros(self.SLOTS, bool)
+        self.maybe = np.zeros(1 << self.BITS, bool)  # by the first bits of a hash, whether some piece has them
+        self.maybe[self.hashes >> U64(64 - self.BITS)] = True
 
     @staticmethod
     def _hash(text: str) -> int:
@@ -315,15 +320,14 @@ class Lockstep:
         self.cached[at], self.value[at] = new, right
         return out
 
-    def encode(self, parts: list[str]) -> list[list[int] | None]:
-        """Ids of each part; None for those that hold a symbol without a piece."""
-        size = np.array([len(p) for p in parts], np.int64)
+    def encode(self, symbols: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the parts, one after the other, how many each has, and which parts hold a symbol without a piece (their ids are not to be used)."""
         order = np.argsort(-size, kind="stable")
-        size, n, longest = size[order], len(parts), int(size.max())
+        starts = (np.cumsum(size) - size)[order]
+        size, n, longest = size[order], len(size), int(size.max())
         codes = np.zeros((longest + 1, n), np.uint64)
-        flat_codes = np.frombuffer("".join(parts[k] for k in order.tolist()).encode("utf-32-le", "surrogatepass"), np.uint32)
         row = np.repeat(np.arange(n), size)
-        codes[np.arange(len(flat_codes)) - np.repeat(np.cumsum(size) - size, size) + 1, row] = flat_codes.astype(np.uint64) + U64(1)
+        codes[np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + 1, row] = symbols[ranges(starts, size)].astype(np.uint64) + U64(1)
         for j in range(1, longest + 1):  # hashes of prefixes
             codes[j] += codes[j - 1] * GOLDEN
         last = np.full((longest + 1, n), self.NONE, np.int64)
@@ -331,9 +335,11 @@ class Lockstep:
             left = np.arange(int(np.searchsorted(-size, -j, "right")))  # sorted by length: those that have a j-th symbol
             for s in range(min(j, self.pieces.longest), 0, -1):
                 h = codes[j, left] - codes[j - s, left] * self.powers[s]
+                likely = np.flatnonzero(self.maybe[h >> U64(64 - self.BITS)])
+                h = h[likely]
                 at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
                 is_piece = self.hashes[at] == h
-                rows, piece = left[is_piece], self.ids[at[is_piece]]
+                rows, piece = left[likely[is_piece]], self.ids[at[is_piece]]
                 if not len(rows):
                     continue
                 if j > s:
@@ -355,100 +361,110 @@ class Lockstep:
             lost[live[piece == self.NONE]] = True
             out[step, live] = piece
             end[live] -= np.where(piece == self.NONE, 1, self.sizes[piece])
-        found: list = [None] * n
-        for k, ids in zip(order.tolist(), out.T.tolist(), strict=True):
-            found[k] = [i for i in ids if i != self.NONE]
-        for k in order[lost].tolist():
-            found[k] = None
-        return found
+        back = np.argsort(order)
+        out = out.T[back]
+        there = out != self.NONE
+        return out[there], there.sum(1), lost[back]
 
 
 class Encoder:
-    """Encodes texts by their distinct words, and remembers a bounded number of words.
+    """Encodes texts by their distinct parts, and remembers a bounded number of them.
 
     Between two symbols that no piece holds side by side all paths meet, so the
-    parts on either side are encoded on their own: words, if no piece goes on
-    over the start of one, and within a word the parts that such places cut it into.
+    parts on either side are encoded on their own.
     """
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.split = all(not (SPACE == x[1] != x[0]) for x in pieces.inside)
         self.lockstep = Lockstep(pieces) if pieces.kind == Pieces.MERGES else None
-        self.inside = np.sort(np.array([ord(x[0]) << 21 | ord(x[1]) for x in pieces.inside], np.uint64))
-        self.known: dict[bytes, list[int]] = {}
-        self.known_parts: dict[str, list[int]] = {}
-
-    def cut(self, words: list[str]) -> list[list[str]]:
-        """The parts of each word."""
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        pairs = codes[:-1] << U64(21) | codes[1:]
-        at = np.minimum(np.searchsorted(self.inside, pairs), max(0, len(self.inside) - 1))
-        apart = np.flatnonzero(self.inside[at] != pairs) + 1 if len(self.inside) else np.arange(1, len(codes))
-        ends = np.cumsum([len(w) for w in words])
-        first = np.searchsorted(apart, ends - [len(w) for w in words], "right").tolist()
-        last = np.searchsorted(apart, ends, "left").tolist()
-        cuts, out = apart.tolist(), []
-        for w, a, b, end in zip(words, first, last, ends.tolist(), strict=True):
-            if a == b:
-                out.append([w])
-            else:
-                edges = [0, *(c - end + len(w) for c in cuts[a:b]), len(w)]
-                out.append([w[x:y] for x, y in zip(edges[:-1], edges[1:], strict=True)])
-        return out
+        symbols = sorted({c for x in pieces.inside for c in x})
+        number = {c: k for k, c in enumerate(symbols, 1)}
+        self.number = np.zeros(0x110000, np.int64)  # of the symbols that pieces hold; 0 for all others
+        self.number[[ord(c) for c in symbols]] = np.arange(1, len(symbols) + 1)
+        self.inside = np.zeros((len(symbols) + 1, len(symbols) + 1), bool)
+        for x in pieces.inside:
+            self.inside[number[x[0]], number[x[1]]] = True
+        self.known = pa.array([], pa.large_binary())
+        self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def alone(self, part: str) -> list[int]:
         stream = Stream(self.pieces)
         return stream.feed(part) + stream.finish()
 
-    def learn(self, words: list[bytes]) -> dict[bytes, list[int]]:
-        """Ids of distinct words that aren't known yet."""
-        cut = self.cut([w.decode().replace(" ", SPACE) for w in words])
-        new = {p for parts in cut for p in parts if p not in self.known_parts}
-        short = [p for p in new if len(p) <= Lockstep.LONGEST] if self.lockstep else []
-        ids = dict(zip(short, self.lockstep.encode(short), strict=True)) if short else {}
-        for p in new:
-            if ids.get(p) is None:
-                ids[p] = self.alone(p)
-        out = {}
-        for w, parts in zip(words, cut, strict=True):
-            found = [ids[p] if p in ids else self.known_parts[p] for p in parts]
-            out[w] = found[0] if len(found) == 1 else list(chain.from_iterable(found))
-        for known, found in ((self.known_parts, ids), (self.known, out)):
-            if len(known) + len(found) > REMEMBERED:
-                known.clear()
-            known.update((w, i) for w, i in found.items() if len(w) <= 2 * Lockstep.LONGEST)
-        return out
+    def learn(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of the parts has, and the ids of all."""
+        offsets, data = flat(parts)
+        codes = _codes(data)
+        length = np.diff(np.concatenate([[0], np.cumsum(data & 0xC0 != 0x80)])[offsets])
+        count, alone = np.zeros(len(parts), np.int64), np.ones(len(parts), bool)
+        found = np.zeros(0, np.int64)
+        if self.lockstep:
+            short = np.flatnonzero(length <= Lockstep.LONGEST)
+            if len(short):
+                starts = (np.cumsum(length) - length)[short]
+                found, count[short], lost = self.lockstep.encode(codes[ranges(starts, length[short])], length[short])
+                alone[short] = lost
+        if not alone.any():
+            return count, found.astype(np.int32)
+        at = np.cumsum(count) - count
+        those = np.flatnonzero(alone).tolist()
+        others = [self.alone(parts[k].as_py().decode().replace(" ", SPACE)) for k in those]
+        at[alone] = len(found) + np.cumsum([0, *map(len, others)])[:-1]
+        count[alone] = [len(x) for x in others]
+        every = np.concatenate([found, np.fromiter(chain.from_iterable(others), np.int64)])
+        return count, every[ranges(at, count)].astype(np.int32)
+
+    def lookup(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``learn`` for distinct parts of which some are remembered."""
+        spot = np.asarray(pc.fill_null(pc.index_in(parts, value_set=self.known), -1)).astype(np.int64)
+        new = np.flatnonzero(spot < 0)
+        if len(new):
+            count, ids = self.learn(parts.take(pa.array(new)))
+            spot[new] = len(self.size) + np.arange(len(new))
+        else:
+            count, ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        count, ids = np.concatenate([self.size, count]), np.concatenate([self.ids, ids])
+        start, size = (np.cumsum(count) - count)[spot], count[spot]
+        found = ids[ranges(start, size)]
+        full = len(count) > REMEMBERED  # then only the parts of these texts stay
+        stay = np.flatnonzero((np.asarray(pc.binary_length(parts)) <= LONGEST_REMEMBERED) & (full | (spot >= len(self.size))))
+        kept = parts.take(pa.array(stay)), size[stay], ids[ranges(start[stay], size[stay])]
+        if full:
+            self.known, self.size, self.ids = kept
+        elif len(stay):
+            self.known = pa.concat_arrays([self.known, kept[0]])
+            self.size, self.ids = np.concatenate([self.size, kept[1]]), np.concatenate([self.ids, kept[2]])
+        return size, found
 
     def encode(self, column: pa.Array) -> pa.ListArray:
         """Ids of each text; null is empty."""
         column = pc.replace_substring(column, SPACE, " ")
-        if not self.split:
-            lists = [np.array(encode(self.pieces, t or ""), np.int32) for t in column.to_pylist()]
-            return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.array(np.concatenate(lists)))
         offsets, data = flat(column)
         some = np.flatnonzero(np.diff(offsets))
+        if not len(some):
+            return pa.ListArray.from_arrays(pa.array(np.zeros(len(column) + 1), pa.int32()), pa.array([], pa.int32()))
         if self.pieces.prefix:  # a space before each text
             data = np.insert(data, offsets[some], 32)
             offsets = offsets + np.concatenate([[0], np.cumsum(np.diff(offsets) > 0)])
-        starts = data == 32
-        starts[1:] &= data[:-1] != 32
-        starts[offsets[some]] = True
-        begin = np.flatnonzero(starts)
+        number = self.number[_codes(data)]
+        starts = np.ones(len(number), bool)
+        starts[1:] = ~self.inside[number[:-1], number[1:]]
+        begin = np.flatnonzero(data & 0xC0 != 0x80)[starts]
+        begin = np.union1d(begin, offsets[some])
         words = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(data)).astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        known = {w: i for w in distinct if (i := self.known.get(w)) is not None}
-        if len(known) < len(distinct):
-            known |= self.learn([w for w in distinct if w not in known])
-        lists = [known[w] for w in distinct]
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        ids = np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum()))
+        size, ids = self.lookup(words.dictionary)
         which = np.asarray(words.indices).astype(np.int64)
         out = ids[ranges((np.cumsum(size) - size)[which], size[which])]
         total = np.concatenate([[0], np.cumsum(size[which])])
         return pa.ListArray.from_arrays(pa.array(total[np.searchsorted(begin, offsets)], pa.int32()), pa.array(out))
 
 
+def _codes(data: np.ndarray) -> np.ndarray:
+    """Code points of UTF-8 bytes, spaces as U+2581."""
+    found = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    return np.where(found == 32, np.uint32(ord(SPACE)), found)
+
+
 _LOADED: dict = {}
 
 

@@ -149,6 +149,18 @@ def test_pieces(spark, texts):
         assert got[i]["decoded"] == (t or "").replace("▁", " ") == pieces.decode(raw, want)
 
 
+@pytest.mark.parametrize("kind", [pieces.Pieces.MERGES, pieces.Pieces.UNIGRAM])
+def test_parts_are_encoded_like_whole_texts(kind, monkeypatch):
+    """With few remembered parts too; both model types, symbols without a piece, long parts, runs of spaces."""
+    monkeypatch.setattr(pieces, "REMEMBERED", 4)
+    model = pieces.Pieces(pieces.load())
+    model.kind = kind
+    made = pieces.Encoder(model)
+    texts = ["", None, " ", "a  b", "   x", "one two  one", "\u65e5\u672c " * 9, "x" * 90 + "\u00e9\U0001f600\n\t", "\U0001f600\U0001f600 a\u0300", "ab" * 200, "\x00\x01", "one three"]
+    for part in (texts, texts[::-1], texts[:2]):
+        assert made.encode(pa.array(part, pa.string())).to_pylist() == [pieces.encode(model, t or "") for t in part]
+
+
 def test_licenses(spark):
     pad = " ".join(f"w{i}" for i in range(50))
     texts = [None, "", "MIT License", f"{pad} Released under the MIT License. {pad}", f"{pad} this work is licensed under the gnu general public license version 3", pad]
