@@ -12,16 +12,13 @@ from pyspark.sql import functions as F
 from larkspur.llm import decontam, langid, minhash_dedup, pieces, suffix_dedup
 from larkspur.llm.tables import table, written
 
-#: Least score of a language for a document to stay.
-LEAST_SCORE = 0.2
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or in none of the languages that the corpus names, go."""
-    names = ("lang_pred", "score")
+    names = ("lang_pred", "score", "lang_known")
     model = langid.fit(docs)
     found = langid.predict(docs.drop(*names), model, out=names)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*_own(docs, names))
+    return found.where("lang_known").select(*_own(docs, names))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

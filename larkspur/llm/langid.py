@@ -11,6 +11,13 @@ A batch of texts is scored by one matrix product.  With presence flags P,
 landmark flags L and dual coefficients A the outputs are P Lᵀ A / |P|; Lᵀ A
 doesn't depend on the batch and is multiplied out once.
 
+The outputs of all languages sum to 1 for every text, so they can't tell that a
+text is in none of them.  Its share of n-grams that the sample of the predicted
+language has too can: ``fit`` sets the least share of each language from the
+labelled sample, half way between what its own texts share with one another
+(all but the lowest ``ODD``) and what the texts of other languages share with
+them.  ``predict`` can add whether a text reaches it.
+
 Null, empty and letterless texts are ``und`` with score 0.  Ties go to the
 language that sorts first.  Texts may be of any length: flags are of fixed size.
 """
@@ -30,6 +37,8 @@ from larkspur.llm.kernels import text_chunks
 
 ORDER, BUCKETS = 3, 1 << 15
 PER_CLASS, LANDMARKS, RIDGE = 600, 256, 1e-3
+#: Share of labelled texts that may be odd ones (mislabelled, junk) when the least share is set.
+ODD = 0.01
 UNKNOWN = "und"
 ROWS = 64  #: texts in one matrix product
 
@@ -76,6 +85,8 @@ class Model:
     languages: list[str]
     weights: np.ndarray  #: BUCKETS x languages: landmark flags times dual coefficients
     bias: np.ndarray
+    known: np.ndarray  #: BUCKETS x languages: whether the sample of the language has the flag
+    least: np.ndarray  #: least share of known flags of a text in the language
 
     def outputs(self, flags: np.ndarray) -> np.ndarray:
         """Ridge outputs, about 1 for the language and 0 for the rest."""
@@ -83,30 +94,58 @@ class Model:
         norm = np.sqrt(p.sum(axis=1, keepdims=True))
         return p @ self.weights / np.maximum(norm, 1) + self.bias
 
+    def shares(self, flags: np.ndarray) -> np.ndarray:
+        """The share of each text's flags that each language knows."""
+        return shares(flags, self.known)
+
+
+def shares(flags: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The share of each row's flags that each column of ``known`` has, some rows at a time."""
+    parts = [flags[lo : lo + ROWS] for lo in range(0, len(flags), ROWS)]
+    counts = [(p.astype(np.float32) @ known) / np.maximum(p.sum(axis=1, keepdims=True, dtype=np.int64), 1) for p in parts]
+    return np.concatenate(counts) if counts else np.zeros((0, known.shape[1]))
+
+
+def least_shares(flags: np.ndarray, own: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """The least share of each language, from labelled texts; ``own`` are their languages' numbers, ``df`` the number of texts of each language with a flag."""
+    n = df.shape[1]
+    found = shares(flags, np.concatenate([df > 0, df > 1], axis=1).astype(np.float32))  # a flag that another text has too occurs twice
+    out = np.zeros(n)
+    for c in range(n):
+        low = np.quantile(found[own == c, n + c], ODD)
+        others = found[own != c, c]
+        out[c] = min(low, (low + (np.median(others) if len(others) else 0)) / 2)
+    return out
+
 
 def solve(flags: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """Nyström features of the sample, then ridge regression on them."""
     languages = sorted(set(labels))
     if not languages:
-        return Model([UNKNOWN], np.zeros((BUCKETS, 1), np.float32), np.zeros(1, np.float32))
-    x = flags.astype(np.float32)
-    x /= np.maximum(np.sqrt(x.sum(axis=1, keepdims=True)), 1)
+        return Model([UNKNOWN], np.zeros((BUCKETS, 1), np.float32), np.zeros(1, np.float32), np.zeros((BUCKETS, 1), np.float32), np.zeros(1))
+
+    def unit(part: np.ndarray) -> np.ndarray:
+        x = part.astype(np.float32)
+        return x / np.maximum(np.sqrt(x.sum(axis=1, keepdims=True)), 1)
+
     y = np.array([[lab == c for c in languages] for lab in labels], np.float64)
     turn: dict[str, int] = {}
     rank = []
     for lab in labels:  # landmarks are spread evenly over the languages
         turn[lab] = turn.get(lab, 0) + 1
         rank.append(turn[lab])
-    marks = x[np.argsort(rank, kind="stable")[:landmarks]]
+    marks = unit(flags[np.argsort(rank, kind="stable")[:landmarks]])
     value, vector = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     ok = value > 1e-6 * value.max()
     root = vector[:, ok] / np.sqrt(value[ok])
-    z = (x @ marks.T) @ root
+    z = np.concatenate([unit(flags[lo : lo + ROWS]) @ marks.T for lo in range(0, len(flags), ROWS)]) @ root  # the sample as floats would be four times as large
     mean, target = z.mean(axis=0), y.mean(axis=0)
     z0 = z - mean
     beta = np.linalg.solve(z0.T @ z0 + ridge * len(z) * np.eye(z.shape[1]), z0.T @ (y - target))
     dual = root @ beta
-    return Model(languages, (marks.T.astype(np.float64) @ dual).astype(np.float32), (target - mean @ beta).astype(np.float32))
+    own = y.argmax(axis=1)
+    df = np.stack([flags[own == c].sum(axis=0, dtype=np.int32) for c in range(len(languages))], axis=1)
+    return Model(languages, (marks.T.astype(np.float64) @ dual).astype(np.float32), (target - mean @ beta).astype(np.float32), (df > 0).astype(np.float32), least_shares(flags, own, df))
 
 
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", per_class: int = PER_CLASS, landmarks: int = LANDMARKS) -> Model:
@@ -136,16 +175,17 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", per_class: int
     return solve(flags, [r["lang"] for r in sample], landmarks)
 
 
-def predict(df: DataFrame, model: Model, text: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """Adds the predicted language and its output clipped to 0..1; columns of these names are replaced."""
+def predict(df: DataFrame, model: Model, text: str = "text", out: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the predicted language, its output clipped to 0..1 and, if ``out`` has a third name, whether the
+    text is in that language at all (see ``Model.least``); columns of these names are replaced."""
     df = df.drop(*out)
-    schema = df.select("*", F.lit("").alias(out[0]), F.lit(0.0).alias(out[1])).schema
+    schema = df.select("*", *(F.lit(v).alias(k) for k, v in zip(out, ("", 0.0, True), strict=False))).schema
     shared = df.sparkSession.sparkContext.broadcast(model)  # of fixed size: BUCKETS x languages
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in text_chunks(batches, text):
-            names, scores = [], []
+            names, scores, inside = [], [], []
             raw = [t or "" for t in batch.column(text).to_pylist()]
             for lo in range(0, len(raw), ROWS):
                 flags = presence(raw[lo : lo + ROWS])
@@ -153,6 +193,9 @@ def predict(df: DataFrame, model: Model, text: str = "text", out: tuple[str, str
                 known = flags.any(axis=1)
                 names += [m.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
                 scores.append(np.where(known, np.clip(f[np.arange(len(f)), best], 0, 1), 0).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(np.concatenate(scores))], names=[*batch.schema.names, *out])
+                if len(out) > 2:
+                    inside.append(known & (m.shares(flags)[np.arange(len(f)), best] >= m.least[best]))
+            found = [pa.array(names, pa.string()), pa.array(np.concatenate(scores)), *([pa.array(np.concatenate(inside))] if inside else [])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=[*batch.schema.names, *out])
 
     return df.mapInArrow(score, schema)

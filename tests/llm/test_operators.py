@@ -224,3 +224,16 @@ def test_pipeline(spark):
     assert ids == [[0, 1, 2, 3, 6, 7], [0, 1, 2, 3, 7], [0, 1, 2, 3, 7], [0, 1, 2, 7], [0, 1, 2, 7]]
     third = kept["suffix-array dedup"]
     assert third[1]["text"] == texts[1] and "Passage15" not in third[2]["text"]
+
+
+def test_language_stage_rejects_unlearned_languages(spark):
+    """Beside the labelled rows of the tables, which nearly all stay, with any label."""
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    odd = ["\u0421\u044a\u0435\u0448\u044c \u0435\u0449\u0451 \u044d\u0442\u0438\u0445 \u043c\u044f\u0433\u043a\u0438\u0445 \u0444\u0440\u0430\u043d\u0446\u0443\u0437\u0441\u043a\u0438\u0445 \u0431\u0443\u043b\u043e\u043a", "Hyv\u00e4\u00e4 huomenta kaikille yst\u00e4ville ja tervetuloa meid\u00e4n kotiin t\u00e4n\u00e4\u00e4n", "xkqzv wqxj zzkpq vbnmq jjxw qqzx hjkl bvcx", "### 12 $$ q \u00df\u00df %% zq"]
+    more = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(odd)], docs.schema)
+    stays = {r["doc_id"] for r in P.language(spark, docs.unionByName(more), "").select("doc_id").collect()}
+    assert not any(i in stays for i in range(-len(odd), 0))
+    clean = {r["doc_id"] for r in docs.where("text rlike '\\\\p{L}'").collect()}
+    assert len(clean - stays) <= 0.002 * len(clean)
