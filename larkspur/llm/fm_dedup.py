@@ -223,7 +223,7 @@ def duplicates(docs: DataFrame, n: int, hot: int = HOT) -> DataFrame:
     masks = by_index(few)
     if many.limit(1).count():
         masks = masks.unionByName(by_windows(many))
-    return removed_runs(hits, first, written(masks, "masks"), SPEC)
+    return removed_runs(docs, hits, first, written(masks, "masks"), SPEC, by_start=True)
 
 
 def dedup(corpus: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT, with_text: bool = False) -> DataFrame:

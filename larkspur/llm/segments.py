@@ -226,15 +226,27 @@ def ambiguous(docs: DataFrame, first: DataFrame, spec: Spec, hot: int) -> tuple[
     return found.join(crowd, "anchor", "left_anti"), found.join(crowd, "anchor", "left_semi")
 
 
-def removed_runs(hits: DataFrame, first: DataFrame, masks: DataFrame, spec: Spec) -> DataFrame:
+def removed_runs(docs: DataFrame, hits: DataFrame, first: DataFrame, masks: DataFrame, spec: Spec, by_start: bool) -> DataFrame:
     """(row, starts, counts, own, gone) for each document with candidate segments.
 
     ``own`` are the starts of segments of which it has the first occurrence,
     ``gone`` the windows of each that start even earlier elsewhere; all other
     candidate segments in starts and counts have an earlier equal one (or, for
-    ``to_runs`` to tell, an equal one in the same document).
+    ``to_runs`` to tell, an equal one in the same row).  A segment whose first
+    occurrence is in another row of the same document (repeated or no ids) isn't
+    later than it, or ``by_start`` only from a greater start: if not, it is in ``own`` too.
     """
-    mine = first.join(masks, ["anchor", "key"], "left").select("row", F.struct("start", F.coalesce("gone", F.array().cast("array<int>")).alias("gone")).alias("x"))
+    windows = F.coalesce("gone", F.array().cast("array<int>")).alias("gone")
+    solved = first.join(masks, ["anchor", "key"], "left")
+    mine = solved.select("row", F.struct("start", windows).alias("x"))
+    again = docs.groupBy("doc").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc")
+    if again.limit(1).count():
+        shared = docs.select("row", "doc", "text").join(again, "doc", "left_semi")
+        there = solved.select("anchor", "key", F.col("doc").alias("_doc"), F.col("start").alias("_start"), F.col("row").alias("_row"), windows)
+        same = _pieces(shared, hits, spec, False).join(there, ["anchor", "key"]).where((F.col("doc") == F.col("_doc")) & (F.col("row") != F.col("_row")))
+        if by_start:
+            same = same.where(F.col("start") == F.col("_start"))
+        mine = mine.unionByName(same.select("row", F.struct("start", "gone").alias("x")))
     per = mine.groupBy("row").agg(F.collect_list("x").alias("x")).select("row", F.col("x.start").alias("own"), F.col("x.gone").alias("gone"))
     return hits.select("row", "starts", "counts").join(per, "row", "left")
 

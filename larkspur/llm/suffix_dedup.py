@@ -180,7 +180,7 @@ def duplicates(docs: DataFrame, n: int, hot: int = HOT) -> DataFrame:
     masks = _local(few)
     if many.limit(1).count():
         masks = masks.unionByName(by_spark_sort(many))
-    return removed_runs(hits, first, written(masks, "masks"), SPEC)
+    return removed_runs(docs, hits, first, written(masks, "masks"), SPEC, by_start=False)
 
 
 RESULT = "id {id}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

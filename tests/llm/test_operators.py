@@ -237,3 +237,36 @@ def test_language_stage_rejects_unlearned_languages(spark):
     assert not any(i in stays for i in range(-len(odd), 0))
     clean = {r["doc_id"] for r in docs.where("text rlike '\\\\p{L}'").collect()}
     assert len(clean - stays) <= 0.002 * len(clean)
+
+
+@pytest.mark.parametrize("hot", [5000, 1])
+def test_repeated_and_missing_ids(spark, hot):
+    """Rows of the same id, and rows without one, against brute force."""
+    words = lambda seed, n: [f"{seed}{i * 7 % 61}x{i}" for i in range(n)]
+    a, b, c = words("a", 60), words("b", 50), words("c", 40)
+    lists = [(3, a), (3, a), (3, b[:5] + a), (None, b), (None, b), (None, c + b), (5, a[:30] + c), (5, a[:30] + c[::-1] + a[:30]), (7, c), (1, c[:25]), (None, a[20:50] + a[20:50]), (3, a[:45] + ["y"] + a[10:])]
+    rows = [(i, " ".join(w)) for i, w in lists]
+    place = [1 << 62 if i is None else i for i, _ in rows]
+    raw = [t.encode() for _, t in rows]
+    seen = {}
+    for d, t in zip(place, raw):
+        for k in range(len(t) - 49):
+            seen[t[k : k + 50]] = min(d, seen.get(t[k : k + 50], d))
+    want = []
+    for (i, _), d, t in zip(rows, place, raw):
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - 49):
+            if seen[t[k : k + 50]] < d:
+                gone[k : k + 50] = True
+        want.append((str(i), int(gone.sum()), hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~gone])).hexdigest()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((str(r["id"]), r["n_removed"], r["kept_sha256"]) for r in suffix_dedup.dedup(docs, hot=hot).collect()) == sorted(want)
+    seen, want = {}, []
+    for d, (_, w) in zip(place, lists):
+        for k in range(len(w) - 19):
+            x = tuple(w[k : k + 20])
+            seen[x] = min((d, k), seen.get(x, (d, k)))
+    for d, (i, w) in zip(place, lists):
+        gone = {p for k in range(len(w) - 19) if seen[tuple(w[k : k + 20])] < (d, k) for p in range(k, k + 20)}
+        want.append((str(i), len(gone), hashlib.sha256(" ".join(x for p, x in enumerate(w) if p not in gone).encode()).hexdigest()))
+    assert sorted((str(r["id"]), r["n_removed"], r["kept_sha256"]) for r in fm_dedup.dedup(docs, hot=hot).collect()) == sorted(want)
