@@ -78,9 +78,20 @@ def signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def signed(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """(row, doc, id, n, s1, s2, sig) of every row, as a written table; (s1, s2, n) stands for the set."""
-    src = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.col(key).alias("id"), F.col(text).alias("text"))
+def numbered(docs: DataFrame, key: str, text: str, rest: bool = False) -> DataFrame:
+    """(row, doc, id, text and, if asked for, a struct of the other columns) as a written table.
+
+    The number of a row depends on how a read is split, which can differ from
+    read to read; all that is joined by it must be read from this table.
+    """
+    doc = F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("doc")
+    others = [F.struct(*(c for c in docs.columns if c != text)).alias("rest")] if rest else []
+    return written(docs.select(F.monotonically_increasing_id().alias("row"), doc, F.col(key).alias("id"), F.col(text).alias("text"), *others), "numbered")
+
+
+def signed(docs: DataFrame, size: int) -> DataFrame:
+    """(row, doc, id, n, s1, s2, sig) of every ``numbered`` row, as a written table; (s1, s2, n) stands for the set."""
+    src = docs.select("row", "doc", "id", "text")
     kind = dict(src.dtypes)["id"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,12 +178,17 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", matches: int = MATCHES) -> DataFrame:
     """(row, id, n, component, first): the smallest id of each row's component, and whether the row is the component's first."""
-    rows = signed(docs, size, key, text)
+    return linked(numbered(docs, key, text), size, percent, matches)
+
+
+def linked(docs: DataFrame, size: int, percent: int, matches: int = MATCHES) -> DataFrame:
+    """``link`` of ``numbered`` rows."""
+    rows = signed(docs, size)
     heads = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc", "row")).alias("head"))
     nodes = written(rows.join(heads.select("head.row", F.col("head.doc").alias("_d")), "row").select(F.col("row").alias("node"), "doc", "n", "sig"), "nodes")
     posted = postings(nodes, matches)
     members = posted.select("node").distinct()
-    texts = docs.select(F.monotonically_increasing_id().alias("node"), F.col(text).alias("text")).join(members, "node", "left_semi")
+    texts = docs.select(F.col("row").alias("node"), "text").join(members, "node", "left_semi")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
@@ -217,9 +233,7 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id",
 
 
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without near duplicates of others: of each component the row with the smallest id stays.
-
-    ``docs`` must give the same rows in the same partitions whenever it is read, as tables do.
-    """
-    stay = link(docs, size, percent, key, text).where("first").select(F.col("row").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(stay, "_row", "left_semi").drop("_row")
+    """The documents without near duplicates of others: of each component the row with the smallest id stays."""
+    rows = numbered(docs, key, text, rest=True)
+    stay = linked(rows, size, percent).where("first").select("row")
+    return rows.join(stay, "row", "left_semi").select(*(F.col("text").alias(c) if c == text else F.col("rest").getField(c).alias(c) for c in docs.columns))

@@ -270,3 +270,28 @@ def test_repeated_and_missing_ids(spark, hot):
         gone = {p for k in range(len(w) - 19) if seen[tuple(w[k : k + 20])] < (d, k) for p in range(k, k + 20)}
         want.append((str(i), len(gone), hashlib.sha256(" ".join(x for p, x in enumerate(w) if p not in gone).encode()).hexdigest()))
     assert sorted((str(r["id"]), r["n_removed"], r["kept_sha256"]) for r in fm_dedup.dedup(docs, hot=hot).collect()) == sorted(want)
+
+
+def test_minhash_reads_of_different_splits(spark, tmp_path, monkeypatch):
+    """The size of splits changes after every table that the operator writes."""
+    texts = [" ".join(f"w{i % 8}x{k}" for k in range(40)) + " end" * (i >= 8) for i in range(16)]
+    frame(spark, texts).repartition(8).write.parquet(str(tmp_path / "docs"))
+    docs, put, sizes = spark.read.parquet(str(tmp_path / "docs")), minhash_dedup.written, ["1m", "128m"]
+
+    def flipping(df, name):
+        done = put(df, name)
+        sizes.reverse()
+        spark.conf.set("spark.sql.files.maxPartitionBytes", sizes[0])
+        return done
+
+    monkeypatch.setattr(minhash_dedup, "written", flipping)
+    try:
+        found = {r["id"]: r["component"] for r in minhash_dedup.link(docs.drop("id", "row"), size=4).collect()}
+        kept = minhash_dedup.keep_first(docs)
+        sizes.reverse()
+        spark.conf.set("spark.sql.files.maxPartitionBytes", sizes[0])
+        rows = kept.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == {i: i % 8 for i in range(16)}
+    assert kept.columns == docs.columns and sorted((r["doc_id"], r["text"]) for r in rows) == list(enumerate(texts[:8]))
