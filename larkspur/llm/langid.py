@@ -156,7 +156,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", per_class: int
     """
     rows = train.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text rlike '\\\\p{L}'")
     rows = rows.withColumn("h", F.xxhash64("text").bitwiseAND((1 << 62) - 1))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in rows.select("lang", "h").distinct().groupBy("lang").count().collect()}  # copies don't count
     if not counts:
         return solve(np.zeros((0, BUCKETS), np.uint8), [])
     below = F.create_map(*(F.lit(v) for k, n in counts.items() for v in (k, int(min(1.0, 6 * per_class / n) * (1 << 62)))))

@@ -295,3 +295,12 @@ def test_minhash_reads_of_different_splits(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert found == {i: i % 8 for i in range(16)}
     assert kept.columns == docs.columns and sorted((r["doc_id"], r["text"]) for r in rows) == list(enumerate(texts[:8]))
+
+
+def test_language_sample_beside_many_copies(spark, monkeypatch):
+    """All distinct texts are in the sample as long as they are no more than it holds."""
+    sizes = []
+    monkeypatch.setattr(langid, "solve", lambda flags, labels, *_: sizes.append(len(labels)))
+    rows = [(f"text {chr(97 + i % 26)}{chr(97 + i // 26)}", "en") for i in range(100)] + [("copy", "en")] * 20_000
+    langid.fit(spark.createDataFrame(rows, "text string, lang string"), per_class=101)
+    assert sizes == [101]
