@@ -1,8 +1,11 @@
 """URL filters: host word segmentation by unigram Viterbi, then multinomial naive Bayes over host and path tokens.
 
-``lexicon`` counts the words of a text column and keeps those with at least
-``MIN_SHARE`` of all occurrences, of which there can't be more than
-1 / MIN_SHARE: what the tasks hold is bounded whatever the input.  A host is cut
+``lexicon`` counts the words of a text column, ``fit`` the tokens of URLs.  Of
+both the tasks hold those with at least ``MIN_SHARE`` of all occurrences, of
+which there can't be more than 1 / MIN_SHARE, whatever the input.  The rarer
+ones are in written tables and come in by joins: words with the substrings of
+the distinct runs of letters in hosts, tokens with the rare tokens of each URL.
+They count like the frequent ones.  A host is cut
 at other characters than letters and digits and each run of letters is split by
 Viterbi into the words of greatest joint probability (unknown words: a tenth
 for each letter, so that a name of unknown parts stays whole).
@@ -31,8 +34,11 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType
 
-#: Least share of a word or token in all occurrences: bounds the model at 1 / MIN_SHARE entries.
+from larkspur.llm.tables import written
+
+#: Least share of a word or token in all occurrences for the tasks to hold it: at most 1 / MIN_SHARE entries; rarer ones are joined.
 MIN_SHARE = 1e-5
 #: Longest word of the lexicon.
 LONGEST = 24
@@ -89,40 +95,56 @@ def visible_text(html: Column) -> Column:
     return F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<script\b.*?</script>|<style\b.*?</style>|<[^>]*>", " ")
 
 
-def lexicon(text: DataFrame, column: str, least: float = MIN_SHARE) -> dict[str, int]:
-    """Counts of the words that make up at least this share of all words (letters only, lower case)."""
+@dataclass
+class Lexicon:
+    """Counts of words: the frequent ones here, the rare ones as a table (w, c), or None if there are none."""
+
+    frequent: dict[str, int]
+    total: int
+    longest: int  #: length of the longest word, rare or not
+    rare: DataFrame | None = None
+
+
+def lexicon(text: DataFrame, column: str, least: float = MIN_SHARE) -> Lexicon:
+    """Counts of all words (letters only, lower case)."""
     words = text.select(F.explode(F.split(F.lower(F.col(column)), r"[^\p{L}]+")).alias("w"))
     counts = words.where(f"length(w) between 1 and {LONGEST}").groupBy("w").agg(F.count(F.lit(1)).alias("c"))
-    return _frequent(counts, "w", ["c"], least)[0] or {}
+    found, totals, rare, _ = _frequent(counts, "w", ["c"], least)
+    longest = rare.agg(F.max(F.length("w"))).first()[0] if rare is not None else 1
+    return Lexicon(found, totals[0], max([longest, *map(len, found)]), rare)
 
 
-def _frequent(counts: DataFrame, key: str, columns: list[str], least: float) -> tuple[dict, list[int]]:
-    """The rows with enough of the total of all columns, and the totals of each column."""
+def _frequent(counts: DataFrame, key: str, columns: list[str], least: float) -> tuple[dict, list[int], DataFrame | None, int]:
+    """The rows with enough of the total of all columns, the totals of each column, a table of the other rows and the number of all."""
+    counts = written(counts, key)
     each = sum((F.col(c) for c in columns[1:]), F.col(columns[0]))
-    totals = [int(x or 0) for x in counts.agg(*(F.sum(c) for c in columns)).first()]
-    kept = counts.where(each >= least * max(1, sum(totals))).collect()
+    *totals, rows = (int(x or 0) for x in counts.agg(*(F.sum(c) for c in columns), F.count(F.lit(1))).first())
+    enough = (each >= least * max(1, sum(totals))) | (F.col(key) == "")  # the number of URLs stays
+    kept = counts.where(enough).collect()
     found = {r[key]: (r[columns[0]] if len(columns) == 1 else tuple(r[c] for c in columns)) for r in kept}
-    return found, totals
+    return found, totals, counts.where(~enough) if len(found) < rows else None, rows
 
 
 class Segmenter:
     """Unigram Viterbi over the words of a lexicon."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = max(1, sum(counts.values()))
+    def __init__(self, counts: dict[str, int], total: int | None = None, longest: int | None = None):
+        total = max(1, sum(counts.values()) if total is None else total)
+        self.total = total
         self.cost = {w: math.log(total) - math.log(c) for w, c in counts.items() if len(w) > 1}
         self.unknown = math.log(total) - math.log(10)
-        self.longest = max(map(len, self.cost), default=1)
+        self.longest = longest or max(map(len, self.cost), default=1)
         self.known: dict[str, list[str]] = {}
 
-    def split(self, name: str) -> list[str]:
-        """Words of least total cost; of equal ones the one with the longer last word."""
+    def split(self, name: str, rare: dict[str, int] | None = None) -> list[str]:
+        """Words of least total cost, with ``rare`` ones beside the lexicon's; of equal ones the one with the longer last word."""
+        more = {w: math.log(self.total) - math.log(c) for w, c in (rare or {}).items()}
         n, best, back = len(name), [0.0], [0]
         for i in range(1, n + 1):
             # One unknown word may end here, wherever it starts: its cost grows with each letter.
             low, at = math.inf, 0
             for j in range(max(0, i - self.longest), i):
-                word = self.cost.get(name[j:i])
+                word = self.cost.get(name[j:i], more.get(name[j:i]))
                 if word is None:
                     word = self.unknown + (i - j) * math.log(10)
                 if best[j] + word < low:
@@ -135,11 +157,11 @@ class Segmenter:
             i = back[i]
         return out[::-1]
 
-    def words(self, host: str) -> list[str]:
-        """Words of a whole host, in order; runs of digits are one word ``0``."""
+    def words(self, host: str, runs: dict[str, list[str]] | None = None) -> list[str]:
+        """Words of a whole host, in order; runs of digits are one word ``0``; ``runs`` are those that rare words split otherwise."""
         found = self.known.get(host)
         if found is None:
-            found = [w for run in _RUNS.findall(host) for w in (["0"] if run[0].isdigit() else self.split(run))]
+            found = [w for run in _RUNS.findall(host) for w in (["0"] if run[0].isdigit() else runs[run] if runs and run in runs else self.split(run))]
             if len(self.known) >= 50_000:
                 self.known.clear()
             if len(host) <= 256:
@@ -155,22 +177,34 @@ def tokens(host_words: list[str], path: str) -> list[str]:
 
 @dataclass
 class Model:
-    """Lexicon and log probabilities of the tokens in both classes."""
+    """Lexicon and counts of the tokens in both classes."""
 
     words: dict[str, int]
     tokens: dict[str, tuple[int, int]] = field(default_factory=dict)
     totals: tuple[int, int] = (0, 0)
     documents: tuple[int, int] = (0, 0)
     smoothing: float = 1.0
+    size: int = 0  #: number of tokens, rare ones with them
+    total: int | None = None  #: occurrences of all words
+    longest: int | None = None  #: length of the longest word
 
     def scorer(self) -> Scorer:
         return Scorer(self)
 
 
+@dataclass
+class Fitted:
+    """What tasks hold, and the tables of what they don't: splits (host, runs) that rare words change, rare tokens (token, allow, block); None if empty."""
+
+    model: Model
+    splits: DataFrame | None = None
+    rare: DataFrame | None = None
+
+
 class Scorer:
     def __init__(self, model: Model):
-        self.segmenter = Segmenter(model.words)
-        size = len(model.tokens) + 1
+        self.segmenter = Segmenter(model.words, model.total, model.longest)
+        size = model.size + 1
         a = model.smoothing
         base = [math.log(t + a * size) for t in model.totals]
         self.unseen = base[ALLOW] - base[BLOCK]
@@ -178,22 +212,75 @@ class Scorer:
         n = model.documents
         self.prior = math.log(n[BLOCK] + a) - math.log(n[ALLOW] + a)
 
-    def score(self, found: list[str]) -> float:
-        """Probability of the blocked class; tokens that the model doesn't hold say nothing."""
-        odds = self.prior + sum(self.weight.get(t, 0.0) for t in found)
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
+    def odds(self, found: list[str]) -> float:
+        """Log odds of the blocked class by the tokens held here; others add theirs later, and those of no URL in training say nothing."""
+        return self.prior + sum(self.weight.get(t, 0.0) for t in found)
+
+
+def probability(odds: float) -> float:
+    return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
 
 
 def _urls(df: DataFrame, url: str) -> DataFrame:
     return df.select(host_column(F.col(url)).alias("host"), path_column(F.col(url)).alias("path"))
 
 
-def fit(pages: DataFrame, words: dict[str, int], url: str = "url", seeds: tuple[str, ...] = SEEDS, least: float = MIN_SHARE) -> Model:
+def _splits(urls: DataFrame, words: Lexicon) -> DataFrame | None:
+    """(host, runs) of the hosts with runs of letters that rare words split otherwise than the frequent ones alone."""
+    if words.rare is None:
+        return None
+    shared = urls.sparkSession.sparkContext.broadcast((words.frequent, words.total, words.longest))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(h, r) for h in batch.column("host").to_pylist() for r in sorted(set(_RUNS.findall(h))) if not r[0].isdigit()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.string()) for k in (0, 1)], names=["host", "run"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, *_ = shared.value
+        for batch in batches:
+            for run in batch.column("run").to_pylist():
+                subs = sorted({s for i in range(len(run)) for j in range(i + 2, min(len(run), i + LONGEST) + 1) if (s := run[i:j]) not in frequent})
+                yield pa.RecordBatch.from_arrays([pa.array([run] * len(subs), pa.string()), pa.array(subs, pa.string())], names=["run", "w"])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segmenter = Segmenter(*shared.value)
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                best = segmenter.split(row["run"], {x["w"]: x["c"] for x in row["x"]})
+                if best != segmenter.split(row["run"]):
+                    out.append((row["run"], best))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.list_(pa.string()))], names=["run", "words"])
+
+    pairs = written(urls.select("host").distinct().mapInArrow(cut, "host string, run string"), "runs")
+    near = pairs.select("run").distinct().mapInArrow(spread, "run string, w string").join(words.rare, "w")
+    split = near.groupBy("run").agg(F.collect_list(F.struct("w", "c")).alias("x")).mapInArrow(solve, "run string, words array<string>")
+    return written(pairs.join(split, "run").groupBy("host").agg(F.collect_list(F.struct("run", "words")).alias("runs")), "splits")
+
+
+def _with_runs(rows: DataFrame, splits: DataFrame | None) -> DataFrame:
+    """Adds the runs of ``splits``; null for hosts without any."""
+    return rows if splits is None else rows.join(splits.withColumnRenamed("runs", "_runs"), "host", "left")
+
+
+def _hosts(batch: pa.RecordBatch) -> Iterator[tuple[str, str, dict[str, list[str]]]]:
+    """(host, path, runs) of each row."""
+    runs = batch.column("_runs").to_pylist() if "_runs" in batch.schema.names else [None] * batch.num_rows
+    for host, path, found in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), runs, strict=True):
+        yield host, path, {x["run"]: x["words"] for x in found or ()}
+
+
+def fit(pages: DataFrame, words: Lexicon | dict[str, int], url: str = "url", seeds: tuple[str, ...] = SEEDS, least: float = MIN_SHARE) -> Fitted:
     """Token counts over all URLs; each task sums its own before anything is shuffled."""
-    shared = pages.sparkSession.sparkContext.broadcast(words)  # at most 1 / MIN_SHARE words
+    if isinstance(words, dict):
+        words = Lexicon(words, sum(words.values()), max(map(len, words), default=1))
+    urls = _urls(pages, url)
+    splits = _splits(urls, words)
+    shared = pages.sparkSession.sparkContext.broadcast((words.frequent, words.total, words.longest))  # at most 1 / MIN_SHARE words
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter, held, marked = Segmenter(shared.value), Counter(), set(seeds)
+        segmenter, held, marked = Segmenter(*shared.value), Counter(), set(seeds)
 
         def sent() -> pa.RecordBatch:
             rows = list(held.items())
@@ -201,29 +288,36 @@ def fit(pages: DataFrame, words: dict[str, int], url: str = "url", seeds: tuple[
             return pa.RecordBatch.from_arrays([pa.array([t for (t, _), _ in rows], pa.string()), *(pa.array([n if c == k else 0 for (_, c), n in rows], pa.int64()) for k in (ALLOW, BLOCK))], names=["token", "allow", "block"])
 
         for batch in batches:
-            for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
+            for host, path, runs in _hosts(batch):
                 k = BLOCK if marked.intersection(_RUNS.findall(host)) else ALLOW
                 held["", k] += 1
-                for t in tokens(segmenter.words(host), path):
+                for t in tokens(segmenter.words(host, runs), path):
                     held[t, k] += 1
                 if len(held) > 100_000:
                     yield sent()
         if held:
             yield sent()
 
-    counts = _urls(pages, url).mapInArrow(count, "token string, allow long, block long").groupBy("token").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
-    found, totals = _frequent(counts, "token", ["allow", "block"], least)
+    counts = _with_runs(urls, splits).mapInArrow(count, "token string, allow long, block long").groupBy("token").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
+    found, totals, rare, size = _frequent(counts, "token", ["allow", "block"], least)
     n = found.pop("", (0, 0))  # the number of URLs
-    return Model(words, found, (totals[0] - n[0], totals[1] - n[1]), n)
+    model = Model(words.frequent, found, (totals[0] - n[0], totals[1] - n[1]), n, size=size - (n != (0, 0)), total=words.total, longest=words.longest)
+    return Fitted(model, splits, rare)
 
 
-def judge(pages: DataFrame, model: Model, order: list[Rule], url: str = "url") -> DataFrame:
+def judge(pages: DataFrame, fitted: Fitted, order: list[Rule], url: str = "url") -> DataFrame:
     """Adds RESULT to every row: host, path, rule (or null), verdict, score of the classifier, words of the host."""
     pages = pages.drop(*RESULT)
     rows = pages.withColumns({"host": host_column(F.col(url)), "path": path_column(F.col(url))})
     schema = rows.select("*", F.lit("").cast("string").alias("rule"), F.lit("").alias("verdict"), F.lit(0.0).alias("score"), F.lit("").alias("host_words")).schema
     schema["rule"].nullable = True
-    shared = pages.sparkSession.sparkContext.broadcast(model)  # bounded: see MIN_SHARE
+    rare = fitted.rare
+    if rare is not None:
+        schema = schema.add("_rare", ArrayType(StringType())).add("_row", LongType())
+        rows = rows.withColumn("_row", F.monotonically_increasing_id())  # written below with all that is joined by it
+    own, partial = rows.columns, rare is not None
+    rows = _with_runs(rows, fitted.splits).select(*own, *(["_runs"] if fitted.splits is not None else []))
+    shared = pages.sparkSession.sparkContext.broadcast(fitted.model)  # bounded: see MIN_SHARE
     by: dict[str, list[Rule]] = {}
     for r in sorted(order, key=lambda r: (-len(r.text), r.text)):
         by.setdefault(r.host, []).append(r)
@@ -243,14 +337,32 @@ def judge(pages: DataFrame, model: Model, order: list[Rule], url: str = "url") -
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value.scorer()
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                words = scorer.segmenter.words(host)
-                score = scorer.score(tokens(words, path))
+            out: list[list] = [[], [], [], [], []]
+            for host, path, runs in _hosts(batch):
+                words = scorer.segmenter.words(host, runs)
+                found = tokens(words, path)
+                odds = scorer.odds(found)
+                score = probability(odds)
                 rule = rule_of(host, path)
-                for k, v in enumerate((rule and rule.text, rule.verdict if rule else VERDICTS[score >= 0.5], score, " ".join(words))):
+                left = [t for t in found if t not in scorer.weight] if partial else None
+                for k, v in enumerate((rule and rule.text, rule.verdict if rule else VERDICTS[score >= 0.5], odds if partial else score, " ".join(words), left)):
                     out[k].append(v)
-            kinds = (pa.string(), pa.string(), pa.float64(), pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, t) for v, t in zip(out, kinds, strict=True))], names=[*batch.schema.names, "rule", "verdict", "score", "host_words"])
-
-    return rows.mapInArrow(read, schema)
+            kinds = (pa.string(), pa.string(), pa.float64(), pa.string(), pa.list_(pa.string()))
+            made = dict(zip(("rule", "verdict", "score", "host_words", "_rare"), (pa.array(v, t) for v, t in zip(out, kinds, strict=True)), strict=True))
+            yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in schema.names], names=schema.names)
+
+    done = rows.mapInArrow(read, schema)
+    if rare is None:
+        return done
+    scorer = fitted.model.scorer()
+    done = written(done, "judged")
+    a = fitted.model.smoothing
+    weights = rare.select("token", (F.log(F.col("block") + a) - F.log(F.col("allow") + a) + F.lit(scorer.unseen)).alias("w"))
+    hits = done.select("_row", F.explode("_rare").alias("token")).join(weights, "token")
+    # Sorted, so that the last digit doesn't depend on the order of rows.
+    sums = hits.groupBy("_row").agg(F.aggregate(F.array_sort(F.collect_list("w")), F.lit(0.0), lambda x, y: x + y).alias("_more"))
+    odds = F.greatest(F.lit(-500.0), F.least(F.lit(500.0), F.col("score") + F.coalesce("_more", F.lit(0.0))))
+    whole = done.join(sums, "_row", "left").withColumn("score", 1 / (1 + F.exp(-odds)))
+    by_score = F.when(F.col("score") >= 0.5, VERDICTS[BLOCK]).otherwise(VERDICTS[ALLOW])
+    whole = whole.withColumn("verdict", F.when(F.col("rule").isNull(), by_score).otherwise(F.col("verdict")))
+    return whole.select(*(c for c in schema.names if c not in ("_rare", "_row")))

@@ -304,3 +304,19 @@ def test_language_sample_beside_many_copies(spark, monkeypatch):
     rows = [(f"text {chr(97 + i % 26)}{chr(97 + i // 26)}", "en") for i in range(100)] + [("copy", "en")] * 20_000
     langid.fit(spark.createDataFrame(rows, "text string, lang string"), per_class=101)
     assert sizes == [101]
+
+
+def test_rare_words_and_tokens_of_urls_count(spark):
+    """Results don't depend on which words and tokens the tasks hold."""
+    hosts = ["free-warez", "garden", "houseflower", "flowershop", "rarewarez", "x--1"]
+    pages = spark.createDataFrame([(i, f"http://{hosts[i % 6]}.example.io/{'get' if i % 6 in (0, 4) else 'read'}/a{i}") for i in range(60)] + [(0, None)], "page_id long, url string")
+    text = spark.createDataFrame([("house " * 50 + "flower " * 20 + "shop rare warez example " * 3,)], "text string")
+    found = []
+    for least in (0.0, 0.05, 0.3):
+        words = urlfilter.lexicon(text, "text", least)
+        fitted = urlfilter.fit(pages, words, least=least)
+        assert (fitted.rare is None) == (words.rare is None) == (least == 0)
+        got = urlfilter.judge(pages, fitted, urlfilter.rules("allow garden.example.io/"))
+        found.append(sorted((r["page_id"], str(r["host"]), str(r["rule"]), r["verdict"], round(r["score"], 9), r["host_words"]) for r in got.collect()))
+    assert found[0] == found[1] == found[2]
+    assert {x[3] for x in found[0] if "free-warez" in x[1]} == {"block"} and any("flower shop" in x[5] for x in found[0])
