@@ -10,6 +10,9 @@ this similarity shares a band with a probability of at least 1 - ``MISS``.
 Minima are taken once for each step and shared by the windows that hold it.
 Every window that a band retrieves is verified on the whole sets.
 
+A text that has fewer of the shingles of a size's templates, counted anywhere in
+it, than a window needs can't hold one and isn't sketched for that size.
+
 Templates are a parameter, a list that the caller holds, sent to every task.
 Null texts and texts of fewer words than a shingle have no windows and no
 licenses; texts may be of any length; repeated rows each get their result.
@@ -20,6 +23,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.decontam import word_hashes
-from larkspur.llm.kernels import U64, gram_hashes, mix, text_chunks
+from larkspur.llm.kernels import U64, gram_hashes, mix, ranges, text_chunks
 
 SHINGLE, PERCENT, MISS = 5, 80, 1e-6
 
@@ -40,6 +44,8 @@ TEMPLATES = {
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
 }
+#: Whole texts (-text) and the headers of source files (-notice) as their authors publish them.
+TEMPLATES |= {f.stem: f.read_text("utf-8") for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
 
 
 def bands(similarity: float, miss: float = MISS) -> tuple[int, int]:
@@ -125,24 +131,41 @@ def scan(h: np.ndarray, words: np.ndarray, kinds: list[Class]) -> Iterator[tuple
     base = np.cumsum(count) - count
     own = np.repeat(words[:-1] - base, count) + np.arange(int(count.sum()))
     own = grams[own]
+    # Shingles that may be a template's: looked up by their first bits, then exactly for each class.
+    first = np.zeros(1 << 20, bool)
+    for c in kinds:
+        for full in c.sets:
+            first[full >> U64(44)] = True
+    near = np.flatnonzero(first[own >> U64(44)])
+    text = np.searchsorted(base + count, near, "right")
     for c in kinds:
-        steps = -(-count // c.step)
-        first = np.cumsum(steps) - steps
-        text = np.repeat(np.arange(len(count)), steps)
-        at = base[text] + (np.arange(len(text)) - first[text]) * c.step
-        hit = np.zeros(len(text), bool)
-        for b, table in enumerate(c.tables):
-            v = band(own, at, b, c.rows, text, c.steps)
-            spot = np.searchsorted(table, v)
-            spot[spot == len(table)] = 0
-            hit |= table[spot] == v
-        for w in np.flatnonzero(hit).tolist():
-            d = int(text[w])
-            window = own[at[w] : min(at[w] + c.window, base[d] + count[d])]
-            for name, full, least in zip(c.names, c.sets, c.least, strict=True):
-                inside = np.isin(full, window)
-                if (n := int(inside.sum())) >= least:
-                    yield d, name, n, len(full), int(at[w] - base[d])
+        hits = np.isin(own[near], np.concatenate(c.sets))
+        some = np.flatnonzero(np.bincount(text[hits], minlength=len(count)) >= min(c.least))  # others can't hold enough
+        if not len(some):
+            continue
+        yield from _in_class(c, own[ranges(base[some], count[some])] if len(some) < len(count) else own, count[some], some)
+
+
+def _in_class(c: Class, own: np.ndarray, count: np.ndarray, number: np.ndarray) -> Iterator[tuple[int, str, int, int, int]]:
+    """``scan`` for one class over texts of ``count`` shingles, ``own`` one after the other; ``number`` are the texts' own numbers."""
+    base = np.cumsum(count) - count
+    steps = -(-count // c.step)
+    first = np.cumsum(steps) - steps
+    text = np.repeat(np.arange(len(count)), steps)
+    at = base[text] + (np.arange(len(text)) - first[text]) * c.step
+    hit = np.zeros(len(text), bool)
+    for b, table in enumerate(c.tables):
+        v = band(own, at, b, c.rows, text, c.steps)
+        spot = np.searchsorted(table, v)
+        spot[spot == len(table)] = 0
+        hit |= table[spot] == v
+    for w in np.flatnonzero(hit).tolist():
+        d = int(text[w])
+        window = own[at[w] : min(at[w] + c.window, base[d] + count[d])]
+        for name, full, least in zip(c.names, c.sets, c.least, strict=True):
+            inside = np.isin(full, window)
+            if (n := int(inside.sum())) >= least:
+                yield int(number[d]), name, n, len(full), int(at[w] - base[d])
 
 
 RESULT = "n_words long, n_licenses long, licenses string, containment double, first_window long"

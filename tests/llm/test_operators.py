@@ -320,3 +320,26 @@ def test_rare_words_and_tokens_of_urls_count(spark):
         found.append(sorted((r["page_id"], str(r["host"]), str(r["rule"]), r["verdict"], round(r["score"], 9), r["host_words"]) for r in got.collect()))
     assert found[0] == found[1] == found[2]
     assert {x[3] for x in found[0] if "free-warez" in x[1]} == {"block"} and any("flower shop" in x[5] for x in found[0])
+
+
+def test_altered_license_texts_by_brute_force(spark):
+    """Whole texts and headers with words changed, beside the containment in every window."""
+    cut = lambda t: "".join(c if c in "0123456789abcdefghijklmnopqrstuvwxyz" or ord(c) > 127 else " " for c in t.lower()).split()
+    shingles = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    sets = {k: shingles(cut(t)) for k, t in licenses.TEMPLATES.items()}
+    assert {"MPL-2.0-text", "LGPL-2.1-text", "ISC-text", "GPL-notice", "Apache-2.0-text"} <= set(sets)
+    rng, texts, pad = random.Random(3), [], [f"pad{i}" for i in range(300)]
+    for name in sets:
+        for share in (0.015, 0.12):
+            words = [f"new{i}" if rng.random() < share else w for i, w in enumerate(cut(licenses.TEMPLATES[name]))]
+            texts.append(" ".join(pad[: rng.randrange(300)] + words + pad))
+
+    def held(words, name):
+        m = len(cut(licenses.TEMPLATES[name])) - 4
+        step = -(-m // 4)
+        window = step * -(-(m + step - 1) // step)
+        return any(100 * len(sets[name] & shingles(words[k : k + window + 4])) >= 80 * len(sets[name]) for k in range(0, len(words) - 4, step))
+
+    want = {i: ",".join(sorted(k for k, s in sets.items() if 100 * len(s & shingles(w)) >= 80 * len(s) and held(w, k))) for i, w in enumerate(map(cut, texts))}
+    assert sum("-text" in v for v in want.values()) >= 15 and "" in want.values()
+    assert {r["doc_id"]: r["licenses"] for r in licenses.find(frame(spark, texts)).collect()} == want
