@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.kernels import SPACE, U64, flat, ranges, removal_mask, word_spans
 from larkspur.llm.segments import Spec, ambiguous, firsts, of_document, removed_runs, repeated_anchors, stored
-from larkspur.llm.tables import written
+from larkspur.llm.tables import drop, written
 
 WINDOW, GRAM, HOT = 20, 8, 5_000
 SPEC = Spec(WINDOW, GRAM, words=True)
@@ -219,11 +219,15 @@ def duplicates(docs: DataFrame, n: int, hot: int = HOT) -> DataFrame:
     """(row, starts, counts, own, gone): see ``removed_runs``."""
     hits = repeated_anchors(docs, SPEC, n)
     first = firsts(docs, hits, SPEC)
-    few, many = ambiguous(docs, first, SPEC, hot)
+    found, few, many = ambiguous(docs, first, SPEC, hot)
     masks = by_index(few)
     if many.limit(1).count():
         masks = masks.unionByName(by_windows(many))
-    return removed_runs(docs, hits, first, written(masks, "masks"), SPEC, by_start=True)
+    masks = written(masks, "masks")
+    drop(found)
+    runs = written(removed_runs(docs, hits, first, masks, SPEC, by_start=True), "runs")
+    drop(hits, first, masks)
+    return runs
 
 
 def dedup(corpus: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT, with_text: bool = False) -> DataFrame:

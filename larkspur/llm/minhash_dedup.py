@@ -13,7 +13,10 @@ the COORDINATES - MATCHES + 1 rarest of either, so only this prefix is posted
 (rarest first, the same order for all).  Merging the lists counts collisions,
 signatures settle the match, and the full shingle sets confirm each link.
 
-Equal sets are one node from the start.  No list is expanded into all of its
+Equal sets are one node from the start.  Of each listed node the shingles that no
+other listed node has are counted: they are in no intersection, so a node with
+more than 20 per cent of them (at a threshold of 80) is alone, and the rest bounds the intersection of
+every pair before it is made.  No list is expanded into all of its
 pairs: ``ROUNDS`` times each member is first compared with one pivot of its
 lists (at first the most central), links join components, and what is left are pairs of different
 components, of which a list gives those outside its largest component against
@@ -26,6 +29,7 @@ come last.  Texts may be of any length.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +37,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.kernels import LOWER, SPACE, U64, flat, gram_hashes, mix, padded, span_hashes, text_chunks, word_spans
-from larkspur.llm.tables import written
+from larkspur.llm.tables import drop, written
 
-COORDINATES, MATCHES, ROUNDS = 64, 34, 2
+COORDINATES, MATCHES, ROUNDS = 64, 34, 3
 _RANDOM = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
 _XOR, _TIMES = _RANDOM[:COORDINATES], _RANDOM[COORDINATES:] | U64(1)
 
@@ -78,15 +82,20 @@ def signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def numbered(docs: DataFrame, key: str, text: str, rest: bool = False) -> DataFrame:
-    """(row, doc, id, text and, if asked for, a struct of the other columns) as a written table.
+def numbered(docs: DataFrame, key: str, text: str, rest: bool = False) -> tuple[DataFrame, bool]:
+    """(row, doc, id, text and, if asked for, a struct of the other columns), and whether that is a table written for it.
 
-    The number of a row depends on how a read is split, which can differ from
-    read to read; all that is joined by it must be read from this table.
+    Ids that are all there and all different are the numbers of their rows.
+    Else rows are numbered as they are read; that can differ from read to read,
+    so they are written with their numbers, and all that is joined by those
+    must be read from this table.
     """
-    doc = F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("doc")
+    id = F.col(key).cast("long")  # noqa: A001
+    odd = docs.groupBy(id.alias("id")).agg(F.count(F.lit(1)).alias("c")).where("id IS NULL OR c > 1").limit(1).count()
+    row = F.monotonically_increasing_id() if odd else id
     others = [F.struct(*(c for c in docs.columns if c != text)).alias("rest")] if rest else []
-    return written(docs.select(F.monotonically_increasing_id().alias("row"), doc, F.col(key).alias("id"), F.col(text).alias("text"), *others), "numbered")
+    rows = docs.select(row.alias("row"), F.coalesce(id, F.lit((1 << 63) - 1)).alias("doc"), F.col(key).alias("id"), F.col(text).alias("text"), *others)
+    return (written(rows, "numbered"), True) if odd else (rows, False)
 
 
 def signed(docs: DataFrame, size: int) -> DataFrame:
@@ -132,7 +141,22 @@ def postings(nodes: DataFrame, matches: int) -> DataFrame:
     of = Window.partitionBy("node")
     ranked = joined.withColumn("own", F.count(F.lit(1)).over(of)).withColumn("weight", F.sum("df").over(of)).where(F.col("own") >= matches).withColumn("k", F.row_number().over(of.orderBy("df", "token")))
     prefix = ranked.where(F.col("k") <= F.col("own") - matches + 1).select("token", "node", "weight")
-    return written(prefix.join(nodes.select("node", "n"), "node"), "postings")
+    found = written(prefix.join(nodes.select("node", "n"), "node"), "postings")
+    drop(tokens)
+    return found
+
+
+def shared_shingles(sets: DataFrame) -> DataFrame:
+    """(node, alone): how many shingles of a node no other node has; nodes without any are left out."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.array([len(x) >> 3 for x in batch.column("set").to_pylist()], np.int64)
+            values = np.frombuffer(b"".join(batch.column("set").to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column("node")), size)), pa.array(values)], names=["node", "shingle"])
+
+    each = sets.select("node", "set").mapInArrow(spread, "node long, shingle long")
+    return each.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
@@ -162,7 +186,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, matches: int,
     return written(both.select("a", "b", "set_a", "set_b").mapInArrow(similar, "a long, b long"), "links")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, comp) with the smallest reachable node, by label propagation with pointer jumping; nodes in no link are left out."""
     both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
     labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "labels")
@@ -171,23 +195,29 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         near = labels.join(seen.withColumnRenamed("a", "node"), "node", "left").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
         far = labels.select(F.col("node").alias("comp"), F.col("comp").alias("jump"))
         new = written(near.join(far, "comp", "left").select("node", "old", F.least("comp", "jump").alias("comp")), "labels")
+        drop(labels)
         labels = new.select("node", "comp")
         if not new.where("old <> comp").limit(1).count():
+            drop(both)
             return labels
 
 
 def link(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", matches: int = MATCHES) -> DataFrame:
     """(row, id, n, component, first): the smallest id of each row's component, and whether the row is the component's first."""
-    return linked(numbered(docs, key, text), size, percent, matches)
+    rows, own = numbered(docs, key, text)
+    found = linked(rows, size, percent, matches)
+    if own:
+        drop(rows)
+    return found
 
 
 def linked(docs: DataFrame, size: int, percent: int, matches: int = MATCHES) -> DataFrame:
-    """``link`` of ``numbered`` rows."""
+    """``link`` of ``numbered`` rows, as a written table; all tables on the way are deleted."""
     rows = signed(docs, size)
     heads = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc", "row")).alias("head"))
     nodes = written(rows.join(heads.select("head.row", F.col("head.doc").alias("_d")), "row").select(F.col("row").alias("node"), "doc", "n", "sig"), "nodes")
-    posted = postings(nodes, matches)
-    members = posted.select("node").distinct()
+    listed = postings(nodes, matches)
+    members = listed.select("node").distinct()
     texts = docs.select(F.col("row").alias("node"), "text").join(members, "node", "left_semi")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,19 +227,25 @@ def linked(docs: DataFrame, size: int, percent: int, matches: int = MATCHES) ->
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "set"])
 
     sets = written(texts.mapInArrow(read, "node long, set binary"), "sets")
-    links, comps = None, None
+    both = F.col("n") - F.coalesce("alone", F.lit(0))
+    counted = listed.join(shared_shingles(sets), "node", "left").withColumn("both", both)
+    # A link needs ``percent`` of a node's shingles in another node.
+    posted = written(counted.where(F.col("both") * 100 >= F.col("n") * percent).select("token", "node", "n", "weight", "both"), "posted")
+    drop(listed)
+    links, comps = [], None
     for turn in range(ROUNDS + 1):
-        lists = posted
-        if comps is not None:
-            lists = posted.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            lists = written(lists, "lists")
+        if comps is None:
+            lists = posted.withColumn("comp", F.col("node"))
         else:
-            lists = lists.withColumn("comp", F.col("node"))
-        fits = lambda x, y: (F.col(f"{x}.n") * 100 >= F.col(f"{y}.n") * percent) & (F.col(f"{y}.n") * 100 >= F.col(f"{x}.n") * percent)
+            lists = written(posted.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "lists")
+            drop(comps)
+        # Two sets share at most what the smaller ``both`` has.
+        fits = lambda x, y: F.least(F.col(f"{x}.both"), F.col(f"{y}.both")) * (100 + percent) >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * percent
         if turn < ROUNDS:
-            # First the node that has most in common with all others, then one by chance.
-            order = F.struct((F.xxhash64("node", F.lit(turn)) if turn else -F.col("weight")).alias("h"), "node", "n", "comp")
-            pivot = lists.groupBy("token").agg(F.min(order).alias("p")).select("token", "p.node", "p.n", "p.comp")
+            # First the node that has most in common with all others, then the one with the least of its own, then one by chance.
+            first = [-F.col("weight"), -F.col("both") / F.col("n"), F.xxhash64("node", F.lit(turn))][min(turn, 2)]
+            order = F.struct(first.alias("h"), (-F.col("weight")).alias("w"), "node", "n", "both", "comp")
+            pivot = lists.groupBy("token").agg(F.min(order).alias("p")).select("token", "p.node", "p.n", "p.both", "p.comp")
             met = lists.alias("x").join(pivot.alias("y"), "token").where((F.col("x.comp") != F.col("y.comp")) & fits("x", "y")).groupBy(F.col("x.node").alias("x"), F.col("y.node").alias("y")).agg(F.count(F.lit(1)).alias("c"))
             best = met.groupBy("x").agg(F.max(F.struct("c", (-F.col("y")).alias("y"))).alias("b")).select("x", (-F.col("b.y")).alias("y"))
             pairs = best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
@@ -220,20 +256,24 @@ def linked(docs: DataFrame, size: int, percent: int, matches: int = MATCHES) ->
             outside = several.where("comp <> top")
             met = outside.alias("x").join(several.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & fits("x", "y") & ((F.col("y.comp") == F.col("y.top")) | (F.col("x.node") < F.col("y.node"))))
             pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        found = confirmed(pairs.distinct(), nodes, sets, matches, percent)
-        links = found if links is None else links.unionByName(found)
-        comps = components(nodes, links)
+        links.append(confirmed(pairs.distinct(), nodes, sets, matches, percent))
+        if comps is not None:
+            drop(lists)
+        comps = components(reduce(DataFrame.unionByName, links))
     names = nodes.select("node", "doc")
     least = comps.join(names, "node").groupBy("comp").agg(F.min(F.struct("doc", "node")).alias("least"))
     final = comps.join(least, "comp").select("node", "least")
     of = rows.join(heads.select("s1", "s2", "n", "head"), ["s1", "s2", "n"], "left").withColumn("node", F.col("head.row"))
     done = of.join(final, "node", "left")
     component = F.when(F.col("n") == 0, F.struct("doc", F.col("row").alias("node"))).otherwise(F.coalesce("least", F.struct(F.col("head.doc").alias("doc"), F.col("head.row").alias("node"))))
-    return done.select("row", "id", "doc", "n", component.alias("c")).select("row", "id", "n", F.when(F.col("c.doc") < (1 << 63) - 1, F.col("c.doc")).alias("component"), (F.col("row") == F.col("c.node")).alias("first"))
+    told = done.select("row", "id", "doc", "n", component.alias("c")).select("row", "id", "n", F.when(F.col("c.doc") < (1 << 63) - 1, F.col("c.doc")).alias("component"), (F.col("row") == F.col("c.node")).alias("first"))
+    told = written(told, "components")
+    drop(rows, nodes, posted, sets, comps, *links)
+    return told
 
 
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without near duplicates of others: of each component the row with the smallest id stays."""
-    rows = numbered(docs, key, text, rest=True)
+    rows, _ = numbered(docs, key, text, rest=True)
     stay = linked(rows, size, percent).where("first").select("row")
     return rows.join(stay, "row", "left_semi").select(*(F.col("text").alias(c) if c == text else F.col("rest").getField(c).alias(c) for c in docs.columns))

@@ -215,15 +215,15 @@ def firsts(docs: DataFrame, hits: DataFrame, spec: Spec) -> DataFrame:
     return written(first.select("anchor", "key", "f.*"), "firsts")
 
 
-def ambiguous(docs: DataFrame, first: DataFrame, spec: Spec, hot: int) -> tuple[DataFrame, DataFrame]:
-    """Segments, with content, whose anchor has other segments as well: those of up to ``hot`` and those of more."""
+def ambiguous(docs: DataFrame, first: DataFrame, spec: Spec, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Segments, with content, whose anchor has other segments as well, as a written table; of these those of up to ``hot`` and those of more."""
     counted = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     several = first.join(counted, "anchor")
     lists = several.groupBy("row").agg(F.collect_list(F.struct("start", "n", "anchor", "c")).alias("x"))
     lists = lists.select("row", F.col("x.start").alias("starts"), F.col("x.n").alias("counts"), F.col("x.anchor").alias("anchors"))
     found = written(_pieces(docs, lists, spec, True), "ambiguous")
     crowd = counted.where(F.col("c") > hot).select("anchor")
-    return found.join(crowd, "anchor", "left_anti"), found.join(crowd, "anchor", "left_semi")
+    return found, found.join(crowd, "anchor", "left_anti"), found.join(crowd, "anchor", "left_semi")
 
 
 def removed_runs(docs: DataFrame, hits: DataFrame, first: DataFrame, masks: DataFrame, spec: Spec, by_start: bool) -> DataFrame:

@@ -176,11 +176,15 @@ def duplicates(docs: DataFrame, n: int, hot: int = HOT) -> DataFrame:
     """(row, starts, counts, own, gone): see ``removed_runs``."""
     hits = repeated_anchors(docs, SPEC, n)
     first = firsts(docs, hits, SPEC)
-    few, many = ambiguous(docs, first, SPEC, hot)
+    found, few, many = ambiguous(docs, first, SPEC, hot)
     masks = _local(few)
     if many.limit(1).count():
         masks = masks.unionByName(by_spark_sort(many))
-    return removed_runs(docs, hits, first, written(masks, "masks"), SPEC, by_start=False)
+    masks = written(masks, "masks")
+    drop(found)
+    runs = written(removed_runs(docs, hits, first, masks, SPEC, by_start=False), "runs")
+    drop(hits, first, masks)
+    return runs
 
 
 RESULT = "id {id}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

@@ -15,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset."""
+    """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset and all tasks run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-larkspur-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -31,13 +33,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Deletes a ``written`` table that nothing reads any more."""
-    files = df.inputFiles()
-    if files:
-        spark = df.sparkSession
-        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+def drop(*frames: DataFrame) -> None:
+    """Deletes ``written`` or ``bucketed`` tables that nothing reads any more, with their catalog entries."""
+    for df in frames:
+        files = df.inputFiles()
+        if files:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            if not folder.getName().startswith("larkspur"):
+                raise ValueError(f"{folder.toString()} is not a table of ours")
+            spark.sql(f"DROP TABLE IF EXISTS `{folder.getName()}`")
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def bucketed(df: DataFrame, name: str, n: int, key: str) -> DataFrame:
@@ -54,7 +60,10 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def buckets_for(df: DataFrame, column: str, bytes_each: int, least: int = 12) -> int:
-    """Number of shuffle buckets so that each gets about ``bytes_each`` bytes of ``column``: it grows with the input."""
+def buckets_for(df: DataFrame, column: str, bytes_each: int) -> int:
+    """Number of shuffle buckets so that each gets about ``bytes_each`` bytes of ``column``: it grows with the input.
+
+    There are at least as many as shuffle partitions: Spark shuffles a table of fewer buckets again for a join.
+    """
     total = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
-    return max(least, -(-int(total) // bytes_each))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // bytes_each))
