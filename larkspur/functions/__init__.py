@@ -12,9 +12,23 @@ def dec(x: Column, scale: int = 4) -> Column:
     return x.cast(f"decimal(18,{scale})")
 
 
+def years(days: Column) -> Column:
+    return days / F.lit(365.25)
+
+
 def cagr(start: Column, end: Column, days: Column) -> Column:
-    """Yearly growth; null unless both ends are positive and time has passed."""
-    return F.when((start > 0) & (end > 0) & (days > 0), F.pow(end / start, F.lit(365.25) / days) - 1)
+    """Yearly growth in per cent; null unless both ends are positive and a year has passed."""
+    return F.when((start > 0) & (end > 0) & (years(days) >= 1), (F.pow(end / start, F.lit(1.0) / years(days)) - 1) * 100)
+
+
+def peg(price: Column, start: Column, end: Column, days: Column) -> Column:
+    """The price to earnings ratio over the yearly growth; null unless earnings have grown."""
+    return F.when((start > 0) & (end > start), F.try_divide(price / end, cagr(start, end, days)))
+
+
+def fair_value(earnings: Column, assets: Column) -> Column:
+    """The square root of 22.5 times earnings and net assets of a share; null unless both are positive."""
+    return F.when((earnings > 0) & (assets > 0), F.sqrt(F.lit(22.5) * earnings * assets))
 
 
 def reward_risk(target: Column, entry: Column, stop: Column, is_long: Column) -> Column:
@@ -57,3 +71,32 @@ def slug(text: Column) -> Column:
 
 def first_line(text: Column) -> Column:
     return F.substring_index(F.regexp_replace(text, r"^[ \n\r\t]+|[ \n\r\t]+$", ""), "\n", 1)
+
+
+def ingest_window(last: Column, as_of: Column) -> list[Column]:
+    """(kind, first_day, end_day): everything without a last day, the last two days, or from the day after the last one."""
+    gap = F.datediff(as_of, last)
+    kind = F.when(last.isNull(), "all").when(gap <= 2, "short").otherwise("range")
+    return [kind.alias("kind"), F.when(gap > 2, F.date_add(last, 1)).alias("first_day"), F.when(gap > 2, F.date_add(as_of, 1)).alias("end_day")]
+
+
+def at_work(now: Column) -> Column:
+    """Whether a time is on a weekday between 7:00 and 22:30."""
+    minutes = F.hour(now) * 60 + F.minute(now)
+    return (F.weekday(now) < 5) & minutes.between(7 * 60, 22 * 60 + 30)
+
+
+def poll_seconds(now: Column) -> Column:
+    """How long to wait for the next round."""
+    return F.when(at_work(now), 900).otherwise(600)
+
+
+def is_long(entry: Column, target: Column, strict: bool = False) -> Column:
+    """The direction that the levels imply: equal ones are long unless ``strict``."""
+    return (target > entry) if strict else (target >= entry)
+
+
+def bte(price: Column, entry: Column, is_long: Column) -> Column:
+    """By how many per cent a price is better than the entry; 0 with an entry of 0."""
+    better = F.when(F.coalesce(is_long, F.lit(True)), entry - price).otherwise(price - entry)
+    return F.when(entry == 0, 0.0).otherwise(better * F.lit(100.0) / entry)

@@ -24,6 +24,12 @@ def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return low.select(*keys, *(F.col("_r").getField(c).alias(c) for c in rest)).select(*df.columns)
 
 
+def ordered_array(column: str, order: list[str]) -> Column:
+    """An aggregate: the column's values as an array, the greatest ``order`` first, nulls in their places; null for a group without rows."""
+    rows = F.sort_array(F.collect_list(F.struct(*order, F.struct(F.col(column).alias("v")).alias("v"))), asc=False)
+    return F.when(F.count(F.lit(1)) > 0, F.transform(rows, lambda r: r["v"]["v"]))
+
+
 def or_join(left: DataFrame, right: DataFrame, left_id: str, candidates: Column, right_key: str, right_id: str) -> DataFrame:
     """Left join on any of several keys of the left row, as an equi-join of exploded candidates."""
     pairs = left.select(left_id, F.explode(F.array_distinct(candidates)).alias("_k")).join(right, F.col("_k") == F.col(right_key)).drop("_k").dropDuplicates([left_id, right_id])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "ticker string, kind string, low double, high double, mid double, touches int, tests int, rejections int, last_touch int, score double"
@@ -29,46 +29,103 @@ def peaks(x: np.ndarray, distance: int) -> np.ndarray:
 
 def clusters(values: np.ndarray, tolerance: float) -> list[np.ndarray]:
     """Sorted values in groups: the next one joins while it is within the tolerance of the running mean."""
-    out: list[list[float]] = []
-    for v in np.sort(values):
-        if out and v - np.mean(out[-1]) <= tolerance:
-            out[-1].append(v)
-        else:
-            out.append([v])
-    return [np.array(c) for c in out]
+    v, at, total = np.sort(values), [0], 0.0
+    for i, x in enumerate(v.tolist()):
+        if i > at[-1] and x - total / (i - at[-1]) > tolerance:
+            at.append(i)
+            total = 0.0
+        total += x
+    return np.split(v, at[1:]) if len(v) else []
 
 
-def of_key(g: pd.DataFrame, most: int, distance: int, least: int, multiple: float) -> pd.DataFrame:
+def prominences(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How far each peak stands above the higher of the two lowest points between it and higher ground."""
+    out = np.empty(len(at))
+    for i, p in enumerate(at):
+        above = np.flatnonzero(x > x[p])
+        left, right = above[above < p], above[above > p]
+        lo, hi = (left[-1] + 1 if len(left) else 0), (right[0] if len(right) else len(x))
+        out[i] = x[p] - max(x[lo : p + 1].min(), x[p:hi].min())
+    return out
+
+
+def of_key(g: pd.DataFrame, most: int, distance: int, least: int, multiple: float, prominence: float | None, period: int, tested: int, recency: float, rejection: float) -> pd.DataFrame:
     g = g.sort_values("d")
     high, low, close = (g[c].to_numpy(float) for c in ("high_c", "low_c", "close_c"))
-    atr = g["atr"].astype(float).bfill().ffill().to_numpy() * multiple
+    before = np.append(np.nan, close[:-1])
+    tr = np.fmax(high - low, np.fmax(np.abs(high - before), np.abs(low - before)))  # the first bar has no close before it
+    atr = (pd.Series(tr).rolling(period).mean() * multiple).bfill().ffill().to_numpy()
     tol = float(np.median(atr)) if len(atr) else np.nan
     if not np.isfinite(tol) or tol <= 0:
         tol = 0.005 * float(np.median(close))
-    rows, n = [], len(g)
+    rows, n, last_bars = [], len(g), slice(max(0, len(g) - tested), None)
     for kind, line, sign in (("resistance", high, 1), ("support", low, -1)):
         at = peaks(sign * line, distance)
+        if prominence is not None:
+            at = at[prominences(sign * line, at) >= prominence]
         for c in clusters(line[at], tol):
             if len(c) < least:
                 continue
             lo, hi = c.min(), c.max()
             last = int(at[(line[at] >= lo - 1e-12) & (line[at] <= hi + 1e-12)].max())
-            recency = min(1.0, max(0.0, 1 - (n - 1 - last) / max(1, n - 1)))
-            over = (low <= hi) & (high >= lo)
-            rejected = over & ((close < lo) if sign > 0 else (close > hi))
-            score = len(c) * (1 + 0.35 * recency) + 0.75 * int(rejected.sum())
+            fresh = min(1.0, max(0.0, 1 - (n - 1 - last) / max(1, n - 1)))
+            over = ((low <= hi) & (high >= lo))[last_bars]
+            rejected = over & ((close < lo) if sign > 0 else (close > hi))[last_bars]
+            score = len(c) * (1 + recency * fresh) + rejection * int(rejected.sum())
             rows.append((g["ticker"].iloc[0], kind, lo, hi, float(c.mean()), len(c), int(over.sum()), int(rejected.sum()), last, score))
     found = pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
     return found.sort_values(["score", "mid"], ascending=[False, True]).groupby("kind", sort=True).head(most).sort_values(["kind", "score"], ascending=[True, False])
 
 
-def detect(bars: DataFrame, lookback: int = 100, most: int = 2, distance: int = 4, least: int = 2, multiple: float = 0.8) -> DataFrame:
-    """Zones of each ticker; only its last ``lookback`` bars reach the Python worker."""
-    from larkspur.operators import full, rolling, true_range
-
-    w = rolling("ticker", "d", 14)
-    ranged = bars.withColumn("tr", true_range("ticker", "d"))
+def detect(bars: DataFrame, lookback: int = 100, most: int = 2, distance: int = 4, least: int = 2, multiple: float = 0.8, prominence: float | None = None, period: int = 14, tested: int = 120, recency: float = 0.35, rejection: float = 0.75) -> DataFrame:
+    """Zones of each ticker from its last ``lookback`` bars, which are cut off first: only they reach the Python worker."""
     last = Window.partitionBy("ticker").orderBy(F.desc("d"))
-    tail = ranged.withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= lookback)
-    tail = tail.withColumn("atr", full(F.avg("tr").over(w), "tr", w, 14)).select("ticker", "d", "high_c", "low_c", "close_c", "atr")
-    return tail.groupBy("ticker").applyInPandas(lambda g: of_key(g, most, distance, least, multiple), SCHEMA)
+    tail = bars.withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= lookback).select("ticker", "d", "high_c", "low_c", "close_c")
+    return tail.groupBy("ticker").applyInPandas(lambda g: of_key(g, most, distance, least, multiple, prominence, period, tested, recency, rejection), SCHEMA)
+
+
+def _in(mid: Column, a: Column, b: Column) -> Column:
+    return mid.between(F.least(a, b), F.greatest(a, b))
+
+
+def pick(trades: DataFrame, zones: DataFrame) -> DataFrame:
+    """Adds the middles of the best support and resistance for each trade (ticker, is_long, entry, stop, target).
+
+    Of a long trade the support lies between stop and entry and the resistance
+    between entry and target, of a short one the other way round; without the
+    outer level, on the right side of the entry; without an entry, anywhere.
+    """
+    t = trades.join(_lists(zones), "ticker", "left")
+    low = F.when(F.col("is_long"), F.col("stop")).otherwise(F.col("target"))
+    high = F.when(F.col("is_long"), F.col("target")).otherwise(F.col("stop"))
+    entry = F.col("entry")
+
+    def best(kind: str, bound: Column, side) -> Column:  # noqa: ANN001
+        fits = lambda z: F.when(entry.isNull(), F.lit(True)).when(bound.isNull(), side(z["mid"])).otherwise(_in(z["mid"], bound, entry))
+        return F.try_element_at(F.filter(F.col(kind), fits), F.lit(1))["mid"]
+
+    return t.withColumns({"pick_support": best("supports", low, lambda m: m < entry), "pick_resistance": best("resistances", high, lambda m: m > entry)}).drop("supports", "resistances").withColumnsRenamed({"pick_support": "support", "pick_resistance": "resistance"})
+
+
+def _lists(zones: DataFrame) -> DataFrame:
+    """(ticker, supports, resistances): the zones of each side as a list by falling score, then rising middle."""
+    ranked = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct((-F.col("score")).alias("s"), "mid")))), lambda z: F.struct(z["mid"].alias("mid")))
+    return zones.groupBy("ticker").agg(ranked("support").alias("supports"), ranked("resistance").alias("resistances"))
+
+
+def levels(trades: DataFrame, zones: DataFrame) -> DataFrame:
+    """``pick``, then the nearest zone on the right side of the entry, or else of the target; for trades
+    without an entry all zones, only those between stop and target if there are any: (..., supports, resistances), lists of middles."""
+    t = pick(trades, zones).join(_lists(zones), "ticker", "left")
+    entry, target = F.col("entry"), F.col("target")
+    mids = lambda c: F.coalesce(F.transform(F.col(c), lambda z: z["mid"]), F.array().cast("array<double>"))
+    under, over = (lambda x: F.array_max(F.filter(mids("supports"), lambda m: m < x))), (lambda x: F.array_min(F.filter(mids("resistances"), lambda m: m > x)))
+    support = F.coalesce(F.col("support"), under(entry), under(target))
+    resistance = F.coalesce(F.col("resistance"), over(entry), over(target))
+    band = F.col("stop").isNotNull() & target.isNotNull()
+    inside = lambda c: F.filter(mids(c), lambda m: _in(m, F.col("stop"), target))
+    some = band & ((F.size(inside("supports")) > 0) | (F.size(inside("resistances")) > 0))
+    one = lambda x: F.when(x.isNull(), F.array().cast("array<double>")).otherwise(F.array(x))
+    free = lambda c: F.when(some, inside(c)).otherwise(mids(c))
+    of = lambda x, c: F.when(entry.isNotNull(), one(x)).otherwise(free(c))
+    return t.select(*trades.columns, of(support, "supports").alias("supports"), of(resistance, "resistances").alias("resistances"))

@@ -2,47 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur import functions as X
 from larkspur import operators as O
+from larkspur.functions import text as T
 from larkspur.operators import zones
-from larkspur.sources import SQL, bars, fundamentals, table, watchlist
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-#: The day that stands for today.
-AS_OF = "2024-01-31"
-
+from larkspur.plans.registry import AS_OF, ORACLES, QUERIES, query
+from larkspur.sources import bars, fundamentals, recent_bars, table, watchlist
 
-def query(sql: str | None = None):
-    """Registers a query and, after ``WITH`` of the domain relations, its SQL."""
+__all__ = ["AS_OF", "ORACLES", "QUERIES", "query"]
 
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = f"WITH {SQL}\n{sql}"
-        return f
 
-    return add
-
-
-@query("""SELECT w.key, w.name, price_c, period_end, n_results, (price_c / nullif(last_c, 0))::DECIMAL(18,4) AS pe,
-  CASE WHEN first_c > 0 AND last_c > 0 AND days > 0 THEN (pow(last_c / first_c, 365.25 / days) - 1)::DECIMAL(18,4) END AS cagr,
-  CASE WHEN last_c > 0 AND price_c > 0 THEN sqrt(22.5 * last_c * price_c)::DECIMAL(18,4) END AS graham
-FROM watchlist w JOIN (
-  SELECT key, count(*) AS n_results, max(period_end) AS period_end, arg_min(heps_c, (period_end, id)) AS first_c, arg_max(heps_c, (period_end, id)) AS last_c, max(period_end) - min(period_end) AS days
-  FROM fundamentals GROUP BY key) f ON w.key = f.key""")
+@query("""SELECT key, name, price_c, period_end, n_results, (price_c / nullif(e, 0))::DECIMAL(18,4) AS pe, (dividend_c / nullif(price_c, 0) * 100)::DECIMAL(18,4) AS yield_pct, growth::DECIMAL(18,4) AS cagr,
+  CASE WHEN s > 0 AND e > s THEN (price_c / e / nullif(growth, 0))::DECIMAL(18,4) END AS peg, fair::DECIMAL(18,0) AS graham, ((price_c - fair) / fair * 100)::DECIMAL(18,4) AS premium_pct, years::DECIMAL(18,1) AS years
+FROM (SELECT *, CASE WHEN s > 0 AND e > 0 AND years >= 1 THEN (pow(e / s, 1.0::DOUBLE / years) - 1) * 100 END AS growth, CASE WHEN e > 0 AND nav_c > 0 THEN sqrt(22.5::DOUBLE * e * nav_c) END AS fair
+FROM (SELECT w.key, w.name, price_c, f.*, days / 365.25::DOUBLE AS years FROM watchlist w JOIN (
+  SELECT key AS k, count(*) AS n_results, max(period_end) AS period_end, arg_min(earn_c, (period_end, id)) AS s, arg_max(earn_c, (period_end, id)) AS e, arg_max(nav_c, (period_end, id)) AS nav_c,
+    max(CASE WHEN last THEN dividend_c END) AS dividend_c, max(period_end) - min(period_end) AS days
+  FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY period_end DESC, id DESC) = 1 AS last FROM fundamentals) GROUP BY key) f ON w.key = f.k))""")
 def valuation_view(spark: SparkSession, sf: str) -> DataFrame:
     """Ratios of the price to the first and last results of each key (one pass over the results)."""
     order = F.struct("period_end", "id")
-    f = fundamentals(spark, sf).groupBy("key").agg(F.count(F.lit(1)).alias("n_results"), F.max("period_end").alias("last_end"), F.min("period_end").alias("first_end"), F.min_by("heps_c", order).alias("first_c"), F.max_by("heps_c", order).alias("last_c"))
-    days = F.datediff("last_end", "first_end")
-    graham = F.when((F.col("last_c") > 0) & (F.col("price_c") > 0), F.sqrt(F.lit(22.5) * F.col("last_c") * F.col("price_c")))
-    return watchlist(spark, sf).join(f, "key").select("key", "name", "price_c", F.col("last_end").alias("period_end"), "n_results", X.dec(F.try_divide("price_c", "last_c")).alias("pe"), X.dec(X.cagr(F.col("first_c"), F.col("last_c"), days)).alias("cagr"), X.dec(graham).alias("graham"))
+    last = F.max_by(F.struct("earn_c", "nav_c", "dividend_c"), order)
+    f = fundamentals(spark, sf).groupBy("key").agg(F.count(F.lit(1)).alias("n_results"), F.max("period_end").alias("period_end"), F.min("period_end").alias("first_end"), F.min_by("earn_c", order).alias("s"), last.alias("z"))
+    f = f.select("*", "z.*", F.datediff("period_end", "first_end").alias("days"))
+    price, s, e, days = F.col("price_c"), F.col("s"), F.col("earn_c"), F.col("days")
+    fair = X.fair_value(e, F.col("nav_c"))
+    return watchlist(spark, sf).join(f, "key").select(
+        "key", "name", "price_c", "period_end", "n_results", X.dec(F.try_divide(price, e)).alias("pe"), X.dec(F.try_divide(F.col("dividend_c"), price) * 100).alias("yield_pct"), X.dec(X.cagr(s, e, days)).alias("cagr"),
+        X.dec(X.peg(price, s, e, days)).alias("peg"), X.dec(fair, 0).alias("graham"), X.dec((price - fair) / fair * 100).alias("premium_pct"), X.dec(X.years(days), 1).alias("years"),
+    )
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
@@ -89,10 +80,12 @@ def or_join_keys(spark: SparkSession, sf: str) -> DataFrame:
     return O.or_join(p, s, "id", F.array("id", F.col("p_size").cast("long")), "match_id", "match_id").select("id", "match_id")
 
 
-@query("SELECT key, string_agg(id::VARCHAR, ',' ORDER BY period_end DESC, id DESC) AS ids FROM fundamentals GROUP BY key")
+@query("SELECT w.key, array_to_string(list_transform(f.x, lambda v: coalesce(v::VARCHAR, 'none')), ',') AS dividends, len(f.x) AS n FROM watchlist w LEFT JOIN (SELECT key, array_agg(dividend_c ORDER BY period_end DESC, id DESC) AS x FROM fundamentals GROUP BY key) f ON w.key = f.key")
 def ordered_array_agg(spark: SparkSession, sf: str) -> DataFrame:
-    rows = F.sort_array(F.collect_list(F.struct("period_end", "id")), asc=False)
-    return fundamentals(spark, sf).groupBy("key").agg(F.concat_ws(",", F.transform(rows, lambda r: r.id.cast("string"))).alias("ids"))
+    """Dividends of each key, the newest first; missing ones have a place, and a key without results has no list."""
+    f = fundamentals(spark, sf).groupBy("key").agg(O.ordered_array("dividend_c", ["period_end", "id"]).alias("x"))
+    told = F.array_join(F.transform("x", lambda v: F.coalesce(v.cast("string"), F.lit("none"))), ",")
+    return watchlist(spark, sf).select("key").join(f, "key", "left").select("key", told.alias("dividends"), F.size("x").cast("long").alias("n")).withColumn("n", F.when(F.col("dividends").isNotNull(), F.col("n")))
 
 
 @query("SELECT event_type, count(*) AS n, (sum(floor(value * 100)::BIGINT) / count(*))::DECIMAL(18,4) AS mean_c FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY event_type")
@@ -101,36 +94,49 @@ def avg_count_since(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), X.dec(F.sum(F.floor(F.col("value") * 100).cast("long")) / F.count(F.lit(1))).alias("mean_c"))
 
 
-@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_type = 'view' DESC, ts DESC, event_id) AS k FROM events) WHERE k <= 5")
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_type = 'view' DESC, ts DESC, event_id) AS k FROM events) WHERE k <= 50")
 def feed_topk(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy((F.col("event_type") == "view").desc(), F.desc("ts"), "event_id")
-    return table(spark, sf, "events").withColumn("k", F.row_number().over(w)).where("k <= 5").select("user_id", "event_id")
+    return table(spark, sf, "events").withColumn("k", F.row_number().over(w)).where("k <= 50").select("user_id", "event_id")
 
 
-@query("SELECT event_id, event_type FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 100) WHERE lower(event_type) <> 'click'")
+@query("SELECT event_id, kind FROM (SELECT *, CASE WHEN event_id % 5 <> 0 THEN upper(event_type) END AS kind FROM events ORDER BY ts DESC, event_id DESC LIMIT 100) WHERE coalesce(lower(kind), '') <> 'click' AND value < 90")
 def feed_global_filtered(spark: SparkSession, sf: str) -> DataFrame:
-    """The newest hundred, then the filter."""
-    return table(spark, sf, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(100).where(F.lower("event_type") != "click").select("event_id", "event_type")
+    """The newest hundred, then the filters; what has no kind stays."""
+    newest = table(spark, sf, "events").withColumn("kind", F.when(F.col("event_id") % 5 != 0, F.upper("event_type"))).orderBy(F.desc("ts"), F.desc("event_id")).limit(100)
+    return newest.where((F.coalesce(F.lower("kind"), F.lit("")) != "click") & (F.col("value") < 90)).select("event_id", "kind")
 
 
-_PNL = """SELECT l_orderkey, l_partkey, sum(q)::BIGINT AS qty, sum(q * c)::BIGINT AS cost_c, sum(q * p)::BIGINT AS value_c, sum(q * p - q * c)::BIGINT AS pnl_c
-FROM (SELECT l_orderkey, l_partkey, l_quantity::BIGINT AS q, floor(l_extendedprice / l_quantity * 100)::BIGINT AS c, floor(p_retailprice * 100)::BIGINT AS p FROM lineitem JOIN part ON p_partkey = l_partkey) GROUP BY l_orderkey, l_partkey"""
+_PNL = """SELECT l_orderkey, l_partkey, sum(q)::BIGINT AS qty, sum(q * c)::BIGINT AS cost_c, sum(q * coalesce(p, c))::BIGINT AS value_c, sum(q * p - q * c)::BIGINT AS pnl_c
+FROM (SELECT l_orderkey, l_partkey, l_quantity::BIGINT AS q, floor(l_extendedprice / l_quantity * 100)::BIGINT AS c, floor(p_retailprice * 100)::BIGINT AS p FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 10 <> 0) ON p_partkey = l_partkey WHERE l_linenumber <> 7) GROUP BY l_orderkey, l_partkey"""
 
 
-@query(_PNL)
+@query(f"SELECT *, CASE WHEN cost_c = 0 THEN 0 ELSE pnl_c * 100.0::DOUBLE / cost_c END::DECIMAL(18,4) AS pct FROM ({_PNL})")
 def portfolio_holdings_pnl(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.floor(F.col("p_retailprice") * 100).cast("long").alias("p"))
-    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", F.col("l_quantity").cast("long").alias("q"), F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100).cast("long").alias("c")).join(p, "l_partkey")
-    return rows.groupBy("l_orderkey", "l_partkey").agg(F.sum("q").alias("qty"), F.sum(F.expr("q * c")).alias("cost_c"), F.sum(F.expr("q * p")).alias("value_c"), F.sum(F.expr("q * p - q * c")).alias("pnl_c"))
+    """Cost, value, profit and its percentage of each holding; without a price it is worth its cost and has no profit."""
+    return _holdings(spark, sf).withColumn("pct", X.dec(F.when(F.col("cost_c") == 0, 0.0).otherwise(F.col("pnl_c") * F.lit(100.0) / F.col("cost_c"))))
 
 
-@query(f"SELECT o_custkey AS portfolio, sum(cost_c)::BIGINT AS cost_c, sum(value_c)::BIGINT AS value_c, sum(pnl_c)::BIGINT AS pnl_c, CASE WHEN sum(cost_c) = 0 THEN 0 ELSE sum(pnl_c)::BIGINT * 100.0::DOUBLE / sum(cost_c)::BIGINT END::DECIMAL(18,4) AS pct FROM ({_PNL}) JOIN orders ON o_orderkey = l_orderkey GROUP BY o_custkey")
+def _holdings(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part").where("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("l_partkey"), F.floor(F.col("p_retailprice") * 100).cast("long").alias("p"))
+    held = table(spark, sf, "lineitem").where("l_linenumber <> 7").na.drop(subset=["l_quantity", "l_extendedprice"])
+    rows = held.select("l_orderkey", "l_partkey", F.col("l_quantity").cast("long").alias("q"), F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100).cast("long").alias("c")).join(p, "l_partkey", "left")
+    return rows.groupBy("l_orderkey", "l_partkey").agg(F.sum("q").alias("qty"), F.sum(F.expr("q * c")).alias("cost_c"), F.sum(F.expr("q * coalesce(p, c)")).alias("value_c"), F.sum(F.expr("q * p - q * c")).alias("pnl_c"))
+
+
+@query(f"SELECT o_custkey AS portfolio, sum(cost_c)::BIGINT AS cost_c, sum(value_c)::BIGINT AS value_c, sum(value_c - cost_c)::BIGINT AS pnl_c, CASE WHEN sum(cost_c) = 0 THEN 0 ELSE sum(value_c - cost_c)::BIGINT * 100.0::DOUBLE / sum(cost_c)::BIGINT END::DECIMAL(18,4) AS pct FROM ({_PNL}) JOIN orders ON o_orderkey = l_orderkey GROUP BY o_custkey")
 def portfolio_totals(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("portfolio"))
-    total = portfolio_holdings_pnl(spark, sf).join(o, "l_orderkey").groupBy("portfolio").agg(*(F.sum(c).alias(c) for c in ("cost_c", "value_c", "pnl_c")))
+    total = _holdings(spark, sf).join(o, "l_orderkey").groupBy("portfolio").agg(F.sum("cost_c").alias("cost_c"), F.sum("value_c").alias("value_c"), F.sum(F.col("value_c") - F.col("cost_c")).alias("pnl_c"))
     return total.withColumn("pct", X.dec(F.when(F.col("cost_c") == 0, 0.0).otherwise(F.col("pnl_c") * F.lit(100.0) / F.col("cost_c"))))
 
 
+@query("SELECT c_custkey AS key, trunc(c_acctbal * 100)::BIGINT AS cents, trunc(c_acctbal)::BIGINT AS units FROM customer")
+def truncated_cents(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole numbers toward zero, for negative amounts too."""
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), T.whole(F.col("c_acctbal") * 100).alias("cents"), T.whole(F.col("c_acctbal")).alias("units"))
+
+
 @query("""SELECT key, CASE WHEN risk > 0 THEN round((reward::DECIMAL(18,0) * 1000000 // risk)::DECIMAL(38,0) / 1000000, 2)::DECIMAL(12,2) END AS ratio
 FROM (SELECT key, CASE WHEN is_long THEN target_c - entry_c ELSE entry_c - target_c END AS reward, CASE WHEN is_long THEN entry_c - stop_c ELSE stop_c - entry_c END AS risk FROM watchlist)""")
 def reward_risk(spark: SparkSession, sf: str) -> DataFrame:
@@ -173,8 +179,7 @@ FROM (SELECT *, max(d) OVER (PARTITION BY ticker) AS m FROM bars) WHERE d >= m -
 WINDOW a AS (PARTITION BY ticker ORDER BY d ROWS 49 PRECEDING), b AS (PARTITION BY ticker ORDER BY d ROWS 199 PRECEDING)""")
 def sma_50_200(spark: SparkSession, sf: str) -> DataFrame:
     """Moving averages over the last 300 calendar days of each ticker."""
-    recent = bars(spark, sf).withColumn("m", F.max("d").over(Window.partitionBy("ticker"))).where(F.col("d") >= F.date_sub("m", 300))
-    return recent.select("ticker", "d", *(X.dec(F.avg("close_c").over(O.rolling("ticker", "d", n))).alias(f"sma{n}") for n in (50, 200)))
+    return recent_bars(spark, sf, 300).select("ticker", "d", *(X.dec(F.avg("close_c").over(O.rolling("ticker", "d", n))).alias(f"sma{n}") for n in (50, 200)))
 
 
 @query("""SELECT ticker, d, tr, CASE WHEN count(tr) OVER w = 14 THEN (sum(tr) OVER w / 14)::DECIMAL(18,4) END AS atr FROM (
@@ -270,3 +275,6 @@ def tail_n(spark: SparkSession, sf: str) -> DataFrame:
 def support_resistance(spark: SparkSession, sf: str) -> DataFrame:
     """Zones of each ticker; tested against brute force."""
     return zones.detect(bars(spark, sf))
+
+
+from larkspur.plans import changes, lists, series, texts  # noqa: E402, F401  they register their queries

@@ -1,11 +1,18 @@
-"""Change feeds: deduplicated appends and the latest row of each key."""
+"""Change feeds: published changes, deduplicated appends, latest rows, crossed levels, jobs at set times."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import logging
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+log = logging.getLogger(__name__)
 
 
 def read(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
@@ -13,8 +20,18 @@ def read(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
     return spark.readStream.schema(like.schema).parquet(folder)
 
 
+def changes(stream: DataFrame, channel: str, columns: list[str]) -> DataFrame:
+    """(channel, payload): every appended row, or new state of a row, as a JSON message; null values are in it too."""
+    payload = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    return stream.select(F.lit(channel).alias("channel"), payload.alias("payload"))
+
+
 def deduplicated(stream: DataFrame, keys: list[str], ts: str, late: str) -> DataFrame:
-    """Each key once; state is bounded by the watermark, and rows that come later than it are dropped."""
+    """Each key once; state is bounded by the watermark, and rows that come later than it are dropped.
+
+    Where any unseen key must be taken however late it is, write batches with
+    ``insert_if_absent`` instead: exact, without state, at the cost of reading the keys that are there.
+    """
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
@@ -24,11 +41,109 @@ def latest(stream: DataFrame, key: str, ts: str) -> DataFrame:
     return stream.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(ts)).alias("row"))
 
 
-def dispatch(stream: DataFrame, callbacks: list[Callable[[DataFrame, int], None]], checkpoint: str, mode: str = "append"):
+def after(stream: DataFrame, ts: str, cutoff: str) -> DataFrame:
+    """Rows later than a cutoff, not those at it."""
+    return stream.where(F.col(ts) > F.lit(cutoff).cast(stream.schema[ts].dataType))
+
+
+def crosses(stream: DataFrame, levels: DataFrame, late: str = "1 day") -> DataFrame:
+    """(ticker, level, ts, up): prices (ticker, ts, price) that pass a level (ticker, level) since the ticker's last price.
+
+    State is the last price of each ticker, one row. Prices older than it are ignored.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last_ts, last = state.get if state.exists else (None, None)
+        out = []
+        for row in pd.concat(list(frames)).sort_values(["ts", "level"]).groupby("ts", sort=True):
+            ts, group = row
+            if last_ts is not None and ts <= last_ts:
+                continue
+            price = float(group["price"].iloc[0])
+            if last is not None:
+                out += [(key[0], float(v), ts, price > v) for v in group["level"] if (last <= v < price) or (last >= v > price)]
+            last_ts, last = ts, price
+        if last_ts is not None:
+            state.update((last_ts.to_pydatetime(), last))
+        yield pd.DataFrame(out, columns=["ticker", "level", "ts", "up"])
+
+    both = stream.withWatermark("ts", late).join(levels, "ticker")
+    return both.select("ticker", "ts", "price", "level").groupBy("ticker").applyInPandasWithState(step, "ticker string, level double, ts timestamp, up boolean", "ts timestamp, price double", "append", GroupStateTimeout.NoTimeout)
+
+
+class Feed:
+    """Callbacks by channel. One that fails is logged and doesn't keep the others, or later batches, from running."""
+
+    def __init__(self) -> None:
+        self.callbacks: dict[str, list[Callable[[DataFrame, int], None]]] = {}
+        self.queries: list[StreamingQuery] = []
+
+    def subscribe(self, channel: str, callback: Callable[[DataFrame, int], None]) -> None:
+        self.callbacks.setdefault(channel, []).append(callback)
+
+    def unsubscribe(self, channel: str, callback: Callable[[DataFrame, int], None] | None = None) -> None:
+        """Without a callback, all of the channel."""
+        left = [f for f in self.callbacks.get(channel, []) if callback is not None and f is not callback]
+        self.callbacks[channel] = left
+
+    def start(self, stream: DataFrame, checkpoint: str, channel: str | None = None, mode: str = "append", every: str | None = None) -> StreamingQuery:
+        """Hands every batch to the callbacks of a channel, or of the channel that a row names; without ``every`` it stops at the end of the available input."""
+
+        def each(batch: DataFrame, number: int) -> None:
+            batch.persist()
+            try:
+                names = [channel] if channel is not None else [r["channel"] for r in batch.select("channel").distinct().collect()]
+                for name in names:
+                    rows = batch if channel is not None else batch.where(F.col("channel") == name)
+                    for f in list(self.callbacks.get(name, [])):
+                        try:
+                            f(rows, number)
+                        except Exception:
+                            log.exception("a callback of %s failed for batch %s", name, number)
+            finally:
+                batch.unpersist()
+
+        trigger = {"availableNow": True} if every is None else {"processingTime": every}
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(**trigger).foreachBatch(each).start()
+        self.queries.append(query)
+        return query
+
+    def stop(self) -> None:
+        for query in self.queries:
+            query.stop()
+        self.queries.clear()
+        self.callbacks.clear()
+
+
+def dispatch(stream: DataFrame, callbacks: list[Callable[[DataFrame, int], None]], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Starts a query that hands every batch to each callback and stops once the available input is read."""
+    feed = Feed()
+    for f in callbacks:
+        feed.subscribe("", f)
+    return feed.start(stream, checkpoint, "", mode)
+
+
+class Daily:
+    """Jobs that run once a day at most, from a set minute on; the days on which they ran are kept in a small file of the shared folder."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _file(self, job: str):  # noqa: ANN202
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{job}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def each(batch: DataFrame, number: int) -> None:
-        for f in callbacks:
-            f(batch, number)
+    def ran(self, job: str, day: str) -> bool:
+        fs, path = self._file(job)
+        return fs.exists(path) and json.loads(self.spark.read.text(f"{self.folder}/{job}", wholetext=True).first()[0])["day"] >= day
 
-    return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
+    def run(self, job: str, day: str, minute: int, from_minute: int, work: Callable[[], None]) -> bool:
+        """Whether the work was done now; a failure isn't noted, so the next round tries again."""
+        if minute < from_minute or self.ran(job, day):
+            return False
+        work()
+        fs, path = self._file(job)
+        out = fs.create(path, True)
+        out.writeBytes(json.dumps({"day": day}))
+        out.close()
+        return True
