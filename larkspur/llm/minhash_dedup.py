@@ -16,7 +16,8 @@ signatures settle the match, and the full shingle sets confirm each link.
 Equal sets are one node from the start.  Of each listed node the shingles that no
 other listed node has are counted: they are in no intersection, so a node with
 more than 20 per cent of them (at a threshold of 80) is alone, and the rest bounds the intersection of
-every pair before it is made.  No list is expanded into all of its
+every pair before it is made.  In the last turn a pair is bounded by the shingles that more than ``RARE``
+nodes have, and pairs that share a rarer one are found by lists of these, of ``RARE`` nodes at most.  No list is expanded into all of its
 pairs: ``ROUNDS`` times each member is first compared with one pivot of its
 lists (at first the most central), links join components, and what is left are pairs of different
 components, of which a list gives those outside its largest component against
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.kernels import LOWER, SPACE, U64, flat, gram_hashes, mix, padded, span_hashes, text_chunks, word_spans
 from larkspur.llm.tables import drop, written
 
-COORDINATES, MATCHES, ROUNDS = 64, 34, 3
+COORDINATES, MATCHES, ROUNDS, RARE = 64, 34, 3, 64
 _RANDOM = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
 _XOR, _TIMES = _RANDOM[:COORDINATES], _RANDOM[COORDINATES:] | U64(1)
 
@@ -146,8 +147,9 @@ def postings(nodes: DataFrame, matches: int) -> DataFrame:
     return found
 
 
-def shared_shingles(sets: DataFrame) -> DataFrame:
-    """(node, alone): how many shingles of a node no other node has; nodes without any are left out."""
+def spread_shingles(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, alone, rare): how many shingles of a node no other node has, and how many ``RARE`` nodes at most;
+    and, as a written table, (shingle, node) of those that at least two and at most ``RARE`` nodes have."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +158,10 @@ def shared_shingles(sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column("node")), size)), pa.array(values)], names=["node", "shingle"])
 
     each = sets.select("node", "set").mapInArrow(spread, "node long, shingle long")
-    return each.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    few = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") <= RARE)
+    listed = written(each.join(few, "shingle").select("shingle", "node", (F.col("c") == 1).alias("alone")), "shingles")
+    counts = listed.groupBy("node").agg(F.count_if("alone").alias("alone"), F.count(F.lit(1)).alias("rare"))
+    return counts, listed
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
@@ -227,12 +232,13 @@ def linked(docs: DataFrame, size: int, percent: int, matches: int = MATCHES) ->
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "set"])
 
     sets = written(texts.mapInArrow(read, "node long, set binary"), "sets")
-    both = F.col("n") - F.coalesce("alone", F.lit(0))
-    counted = listed.join(shared_shingles(sets), "node", "left").withColumn("both", both)
+    counts, shingles = spread_shingles(sets)
+    counted = listed.join(counts, "node", "left").withColumns({"both": F.col("n") - F.coalesce("alone", F.lit(0)), "often": F.col("n") - F.coalesce("rare", F.lit(0))})
     # A link needs ``percent`` of a node's shingles in another node.
-    posted = written(counted.where(F.col("both") * 100 >= F.col("n") * percent).select("token", "node", "n", "weight", "both"), "posted")
+    posted = written(counted.where(F.col("both") * 100 >= F.col("n") * percent).select("token", "node", "n", "weight", "both", "often"), "posted")
     drop(listed)
     links, comps = [], None
+    ordered = lambda met: met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
     for turn in range(ROUNDS + 1):
         if comps is None:
             lists = posted.withColumn("comp", F.col("node"))
@@ -240,7 +246,7 @@ def linked(docs: DataFrame, size: int, percent: int, matches: int = MATCHES) ->
             lists = written(posted.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "lists")
             drop(comps)
         # Two sets share at most what the smaller ``both`` has.
-        fits = lambda x, y: F.least(F.col(f"{x}.both"), F.col(f"{y}.both")) * (100 + percent) >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * percent
+        fits = lambda x, y, of="both": F.least(F.col(f"{x}.{of}"), F.col(f"{y}.{of}")) * (100 + percent) >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * percent
         if turn < ROUNDS:
             # First the node that has most in common with all others, then the one with the least of its own, then one by chance.
             first = [-F.col("weight"), -F.col("both") / F.col("n"), F.xxhash64("node", F.lit(turn))][min(turn, 2)]
@@ -254,8 +260,15 @@ def linked(docs: DataFrame, size: int, percent: int, matches: int = MATCHES) ->
             largest = share.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", F.col("top.comp").alias("top"))
             several = lists.join(largest, "token")
             outside = several.where("comp <> top")
-            met = outside.alias("x").join(several.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & fits("x", "y") & ((F.col("y.comp") == F.col("y.top")) | (F.col("x.node") < F.col("y.node"))))
-            pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+            apart = F.col("x.comp") != F.col("y.comp")
+            # Pairs without a rare shingle in common share at most what the smaller ``often`` has; the others meet at a rare shingle.
+            met = outside.alias("x").join(several.alias("y"), (F.col("x.token") == F.col("y.token")) & apart & fits("x", "y", "often") & ((F.col("y.comp") == F.col("y.top")) | (F.col("x.node") < F.col("y.node"))))
+            about = lists.select("node", "n", "both", "comp").distinct()
+            rare = shingles.where("NOT alone").select("shingle", "node")
+            left = rare.join(outside.select("node", "n", "both", "comp").distinct(), "node")
+            right = rare.join(left.select("shingle").distinct(), "shingle", "left_semi").join(about, "node")
+            meeting = left.alias("x").join(right.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & apart & fits("x", "y"))
+            pairs = ordered(met).union(ordered(meeting))
         links.append(confirmed(pairs.distinct(), nodes, sets, matches, percent))
         if comps is not None:
             drop(lists)
@@ -268,7 +281,7 @@ def linked(docs: DataFrame, size: int, percent: int, matches: int = MATCHES) ->
     component = F.when(F.col("n") == 0, F.struct("doc", F.col("row").alias("node"))).otherwise(F.coalesce("least", F.struct(F.col("head.doc").alias("doc"), F.col("head.row").alias("node"))))
     told = done.select("row", "id", "doc", "n", component.alias("c")).select("row", "id", "n", F.when(F.col("c.doc") < (1 << 63) - 1, F.col("c.doc")).alias("component"), (F.col("row") == F.col("c.node")).alias("first"))
     told = written(told, "components")
-    drop(rows, nodes, posted, sets, comps, *links)
+    drop(rows, nodes, posted, sets, shingles, comps, *links)
     return told
 
 
