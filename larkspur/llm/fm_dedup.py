@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.kernels import SPACE, U64, flat, ranges, removal_mask, word_spans
-from larkspur.llm.segments import Spec, ambiguous, firsts, of_document, removed_runs, repeated_anchors, stored
+from larkspur.llm.kernels import SPACE, U64, flat, padded, ranges, removal_mask, text_chunks, word_spans
+from larkspur.llm.segments import Spec, ambiguous, firsts, removed_runs, repeated_anchors, runs_of, stored
 from larkspur.llm.tables import drop, written
 
 WINDOW, GRAM, HOT = 20, 8, 5_000
@@ -230,6 +230,20 @@ def duplicates(docs: DataFrame, n: int, hot: int = HOT) -> DataFrame:
     return runs
 
 
+def kept_words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(words, removed words, the others joined by one space) of each text."""
+    offsets, data = flat(batch.column("text"))
+    s, e, w = word_spans(offsets, data, SPACE)
+    gone = removal_mask(len(s), *runs_of(batch, w, SPEC))
+    before = np.concatenate([[0], np.cumsum(gone)])
+    size = (e - s)[~gone] + 1
+    out = padded(data)[ranges(s[~gone], size)]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    out[ends[1:] - 1] = 32
+    left, at = out.tobytes(), ends[w - before[w]].tolist()
+    return np.diff(w), np.diff(before[w]), [left[a : max(a, b - 1)] for a, b in zip(at, at[1:], strict=False)]
+
+
 def dedup(corpus: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT, with_text: bool = False) -> DataFrame:
     """One row per document: id, words, removed words, digest and (``with_text``) the kept words joined by one space."""
     docs, n = stored(corpus, "fm", key, text)
@@ -238,21 +252,12 @@ def dedup(corpus: DataFrame, key: str = "doc_id", text: str = "text", hot: int =
     schema = f"id {kind}, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            out = []
-            for row in batch.to_pylist():
-                words = row["text"].encode().split()  # the white space of bytes is exactly 0x20 and 0x09 to 0x0D
-                total = len(words)
-                if row["starts"] is not None:
-                    mask = removal_mask(total, *of_document(row, SPEC))
-                    words = [words[i] for i in np.flatnonzero(~mask).tolist()]
-                out.append((total, total - len(words), b" ".join(words)))
-            cols = [batch.column("id"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([hashlib.sha256(x[2]).hexdigest() for x in out], pa.string())]
+        for batch in text_chunks(batches):
+            words, gone, kept = kept_words(batch)
+            cols = [batch.column("id"), pa.array(words.astype(np.int64)), pa.array(gone.astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
             names = ["id", "n_words", "n_removed", "kept_sha256"]
             if with_text:
-                cols.append(pa.array([x[2].decode() for x in out], pa.string()))
+                cols.append(pa.array([x.decode() for x in kept], pa.string()))
                 names.append("kept")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 

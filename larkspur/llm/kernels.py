@@ -171,18 +171,6 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - base, lengths)
 
 
-def merge_runs(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Union of intervals as sorted disjoint, non-adjacent (starts, ends)."""
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = np.argsort(starts, kind="stable")
-    s, e = starts[order], np.maximum.accumulate((starts + lengths)[order])
-    new = np.ones(len(s), bool)
-    new[1:] = s[1:] > e[:-1]
-    at = np.flatnonzero(new)
-    return s[at], np.maximum.reduceat(e, at)
-
-
 def removal_mask(size: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Boolean mask of the positions covered by the intervals."""
     step = np.zeros(size + 1, np.int64)

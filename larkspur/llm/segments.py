@@ -93,13 +93,16 @@ def stored(docs: DataFrame, name: str, key: str = "doc_id", text: str = "text",
 def repeated_anchors(docs: DataFrame, spec: Spec, buckets: int) -> DataFrame:
     """(row, starts, windows, anchors) of the segments whose anchor occurs more than once.
 
-    Tasks deal the anchors of a chunk to buckets as packed arrays.  Of an anchor
+    Tasks deal the anchors of a chunk of texts to buckets as packed arrays, and get back those that are left as packed arrays again.  Of an anchor
     that a chunk already has twice only one goes there (its segments are known
     to be candidates): a very common anchor costs one entry a chunk.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, budget=PIECE):
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId() << 32
+        for chunk, batch in enumerate(text_chunks(batches, budget=PIECE), task):
             grams, offsets, *_ = spec.tokens(batch.column("text"))
             start, count, anchor = cut(grams, offsets, spec)
             if not len(start):
@@ -130,16 +133,26 @@ def repeated_anchors(docs: DataFrame, spec: Spec, buckets: int) -> DataFrame:
                 own = -1 - int(anchor[0] % U64(buckets))  # known already: any task will do
                 for k, v in enumerate((own, anchor[o].tobytes(), row[o].tobytes(), start[o].astype(np.int32).tobytes(), count[o].astype(np.uint8).tobytes(), b"\1" * len(o))):
                     lists[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(lists, (pa.int32(), *[pa.binary()] * 5), strict=True)], names=["bucket", "anchor", "row", "start", "n", "kind"])
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(lists[0]), pa.int64()), *(pa.array(v, t) for v, t in zip(lists, (pa.int32(), *[pa.binary()] * 5), strict=True))], names=["chunk", "bucket", "anchor", "row", "start", "n", "kind"])
+
+    sent = docs.select("row", "text").mapInArrow(send, "chunk long, bucket int, anchor binary, row binary, start binary, n binary, kind binary")
 
-    sent = docs.select("row", "text").mapInArrow(send, "bucket int, anchor binary, row binary, start binary, n binary, kind binary")
+    def unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
+        return tuple(np.frombuffer(b"".join(x.as_py() for x in table.column(k)), t) for k, t in (("anchor", np.uint64), ("row", np.int64), ("start", np.int32), ("n", np.uint8)))
 
     def split(table: pa.Table) -> pa.Table:
-        raw = {k: [x.as_py() for x in table.column(k)] for k in ("anchor", "row", "start", "n")}
-        anchor, row, start, n = (np.frombuffer(b"".join(raw[k]), t) for k, t in (("anchor", np.uint64), ("row", np.int64), ("start", np.int32), ("n", np.uint8)))
+        anchor, row, start, n = unpacked(table)
         sel = repeated(anchor, np.frombuffer(b"".join(x.as_py() for x in table.column("kind")), np.uint8))
-        anchor, row, start, n = anchor[sel], row[sel], start[sel], n[sel]
-        order = np.argsort(row, kind="stable")
+        sizes = np.array([len(x.as_py()) >> 3 for x in table.column("anchor")], np.int64)
+        kept = np.add.reduceat(sel.astype(np.int64), np.cumsum(sizes) - sizes)  # every packed array has an entry
+        parts = [np.split(v[sel], np.cumsum(kept)[:-1]) for v in (anchor, row, start, n)]
+        some = np.flatnonzero(kept)
+        return pa.table([table.column("chunk").combine_chunks().take(pa.array(some)), *(pa.array([p[i].tobytes() for i in some], pa.binary()) for p in parts)], names=["chunk", "anchor", "row", "start", "n"])
+
+    def gather(table: pa.Table) -> pa.Table:
+        """The rows of one chunk: each has all of its segments here."""
+        anchor, row, start, n = unpacked(table)
+        order = np.lexsort((start, row))
         anchor, row, start, n = anchor[order], row[order], start[order], n[order]
         head = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
         ends = pa.array(np.append(head, len(row)), pa.int32())
@@ -156,9 +169,9 @@ def repeated_anchors(docs: DataFrame, spec: Spec, buckets: int) -> DataFrame:
         out[order] = same
         return out | (kind == 1)
 
-    met = sent.groupBy("bucket").applyInArrow(split, "row long, starts array<int>, counts array<int>, anchors array<long>")
+    met = sent.groupBy("bucket").applyInArrow(split, "chunk long, anchor binary, row binary, start binary, n binary")
     met = written(met, "met")  # the first exchange's files can go before the second's come
-    per = met.groupBy("row").agg(*(F.flatten(F.collect_list(k)).alias(k) for k in ("starts", "counts", "anchors")))
+    per = met.groupBy("chunk").applyInArrow(gather, "row long, starts array<int>, counts array<int>, anchors array<long>")
     hits = bucketed(per, "hits", buckets, "row")
     drop(met)
     return hits
@@ -232,7 +245,7 @@ def removed_runs(docs: DataFrame, hits: DataFrame, first: DataFrame, masks: Data
     ``own`` are the starts of segments of which it has the first occurrence,
     ``gone`` the windows of each that start even earlier elsewhere; all other
     candidate segments in starts and counts have an earlier equal one (or, for
-    ``to_runs`` to tell, an equal one in the same row).  A segment whose first
+    ``runs_of`` to tell, an equal one in the same row).  A segment whose first
     occurrence is in another row of the same document (repeated or no ids) isn't
     later than it, or ``by_start`` only from a greater start: if not, it is in ``own`` too.
     """
@@ -251,29 +264,37 @@ def removed_runs(docs: DataFrame, hits: DataFrame, first: DataFrame, masks: Data
     return hits.select("row", "starts", "counts").join(per, "row", "left")
 
 
-def to_runs(starts: np.ndarray, counts: np.ndarray, own: np.ndarray, gone: list, spec: Spec, text: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, lengths) in tokens of what goes from one document.
+def runs_of(batch: pa.RecordBatch, offsets: np.ndarray, spec: Spec, buf: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, lengths), in tokens of the whole batch, of what goes from its documents; columns as ``removed_runs`` gives them.
 
-    With its ``text``, equal segments further down in the same document aren't
-    later than the first: they lose the same windows, not all.
+    With the bytes of the texts, equal segments further down in the same
+    document aren't later than the first: they lose the same windows, not all.
     """
-    whole = ~np.isin(starts, own)
-    single = [s + np.asarray(g, np.int64) for s, g in zip(own, gone, strict=True)]
-    if text is not None and len(own) and whole.any():
-        size = dict(zip(starts.tolist(), (counts + spec.window - 1).tolist(), strict=True))
-        known = {text[s : s + size[s]]: g for s, g in zip(own.tolist(), gone, strict=True)}
-        for i in np.flatnonzero(whole).tolist():
-            s = int(starts[i])
-            if (g := known.get(text[s : s + size[s]])) is not None:
-                whole[i] = False
-                single.append(s + np.asarray(g, np.int64))
-    one = np.concatenate(single) if single else np.zeros(0, np.int64)
-    s = np.concatenate([starts[whole], one]).astype(np.int64)
-    l = np.concatenate([counts[whole] + spec.window - 1, np.full(len(one), spec.window)]).astype(np.int64)
-    return s, l
-
-
-def of_document(row: dict, spec: Spec, text: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """``to_runs`` of the columns that ``removed_runs`` gives."""
-    ints = lambda x: np.asarray(x if x is not None else [], np.int64)
-    return to_runs(ints(row["starts"]), ints(row["counts"]), ints(row["own"]), row["gone"] or [], spec, text)
+
+    def lists(name: str) -> tuple[np.ndarray, pa.Array]:
+        column = batch.column(name)
+        sizes = np.asarray(column.value_lengths().fill_null(0)).astype(np.int64)
+        return np.repeat(np.arange(batch.num_rows, dtype=np.int64), sizes), column.flatten()
+
+    ints = lambda x: np.asarray(x).astype(np.int64)
+    row, starts = lists("starts")
+    starts, counts = ints(starts), ints(lists("counts")[1])
+    mine, own = lists("own")
+    own, windows = ints(own), lists("gone")[1]
+    sizes = ints(windows.value_lengths()) if len(windows) else np.zeros(0, np.int64)
+    lost, at = ints(windows.flatten()) if len(windows) else np.zeros(0, np.int64), np.cumsum(sizes) - sizes
+    place, known = row << 32 | starts, mine << 32 | own
+    whole = ~np.isin(place, known)
+    goes = [(np.repeat(offsets[mine] + own, sizes) + lost, np.full(len(lost), spec.window, np.int64))]
+    if buf is not None and len(own) and whole.any():
+        content = span_hashes(buf, offsets[row] + starts, counts + spec.window - 1) ^ mix(row.astype(np.uint64))
+        sort = np.argsort(place)
+        of_own = content[sort[np.searchsorted(place, known, sorter=sort)]]
+        sort = np.argsort(of_own, kind="stable")
+        hit = np.minimum(np.searchsorted(of_own, content, sorter=sort), len(own) - 1)
+        same = whole & (of_own[sort[hit]] == content)
+        j, i = sort[hit[same]], np.flatnonzero(same)
+        goes.append((np.repeat(offsets[row[i]] + starts[i], sizes[j]) + lost[ranges(at[j], sizes[j])], np.full(int(sizes[j].sum()), spec.window, np.int64)))
+        whole &= ~same
+    goes.append(((offsets[row] + starts)[whole], counts[whole] + spec.window - 1))
+    return np.concatenate([x for x, _ in goes]), np.concatenate([x for _, x in goes])

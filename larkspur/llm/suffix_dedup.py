@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.kernels import U64, flat, merge_runs, padded, ranges, words64
-from larkspur.llm.segments import Spec, ambiguous, firsts, of_document, removed_runs, repeated_anchors, stored
+from larkspur.llm.kernels import U64, flat, padded, ranges, removal_mask, text_chunks, words64
+from larkspur.llm.segments import Spec, ambiguous, firsts, removed_runs, repeated_anchors, runs_of, stored
 from larkspur.llm.tables import drop, written
 
 WINDOW, GRAM, HOT = 50, 24, 5_000
@@ -187,6 +187,20 @@ def duplicates(docs: DataFrame, n: int, hot: int = HOT) -> DataFrame:
     return runs
 
 
+def kept_bytes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(bytes, removed bytes, removed runs, what is left) of each text."""
+    offsets, data = flat(batch.column("text"))
+    gone = removal_mask(len(data), *runs_of(batch, offsets, SPEC, padded(data)))
+    before = np.concatenate([[0], np.cumsum(gone)])
+    head = gone.copy()
+    head[1:] &= ~gone[:-1]
+    head[offsets[:-1][offsets[:-1] < len(data)]] |= gone[offsets[:-1][offsets[:-1] < len(data)]]  # runs end with their text
+    starts = np.concatenate([[0], np.cumsum(head)])
+    left = data[~gone].tobytes()
+    ends = (offsets - before[offsets]).tolist()
+    return np.diff(offsets), np.diff(before[offsets]), np.diff(starts[offsets]), [left[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
 RESULT = "id {id}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -202,23 +216,12 @@ def dedup(corpus: DataFrame, key: str = "doc_id", text: str = "text", hot: int =
     schema = RESULT.format(id=kind) + (", kept string" if with_text else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            out = []
-            for row in batch.to_pylist():
-                whole = row["text"].encode()
-                if row["starts"] is None:
-                    out.append((len(whole), 0, 0, whole))
-                    continue
-                a, b = merge_runs(*of_document(row, SPEC, whole))
-                edges = [0, *np.column_stack([a, b]).ravel().tolist(), len(whole)]
-                kept = b"".join(whole[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
-                out.append((len(whole), len(whole) - len(kept), len(a), kept))
-            cols = [batch.column("id"), *(pa.array([x[j] for x in out], pa.int64()) for j in range(3)), pa.array([hashlib.sha256(x[3]).hexdigest() for x in out], pa.string())]
+        for batch in text_chunks(batches):
+            size, gone, spans, kept = kept_bytes(batch)
+            cols = [batch.column("id"), *(pa.array(x.astype(np.int64)) for x in (size, gone, spans)), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
             names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if with_text:
-                cols.append(pa.array([x[3].decode("utf-8", "ignore") for x in out], pa.string()))
+                cols.append(pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()))
                 names.append("kept")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
@@ -235,15 +238,8 @@ def cut_column(corpus: DataFrame, key: str = "doc_id", text: str = "text", hot:
     schema = docs.select("rest", "text").schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for row in batch.select(["text", "starts", "counts", "own", "gone"]).to_pylist():
-                whole = row["text"].encode()
-                if row["starts"] is not None:
-                    a, b = merge_runs(*of_document(row, SPEC, whole))
-                    edges = [0, *np.column_stack([a, b]).ravel().tolist(), len(whole)]
-                    whole = b"".join(whole[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
-                kept.append(whole.decode("utf-8", "ignore"))
+        for batch in text_chunks(batches):
+            kept = [x.decode("utf-8", "ignore") for x in kept_bytes(batch)[3]]
             yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(kept, pa.string())], names=["rest", "text"])
 
     done = joined.mapInArrow(cut, schema).withColumn(text, F.when(~F.col("rest._no_text"), F.col("text")))
