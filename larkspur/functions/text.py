@@ -142,7 +142,7 @@ def is_research(text: Column, placeholders: tuple[str, ...] = ("n/a", "none", "n
     return F.coalesce((t != "") & ~t.isin(*placeholders), F.lit(False))
 
 
-def filled(template: str, **values: Column) -> Column:
+def filled(template: str, /, **values: Column) -> Column:
     """A template with its ``{names}`` replaced; a missing value is an empty text."""
     out = F.lit(template)
     for name, value in values.items():

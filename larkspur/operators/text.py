@@ -82,13 +82,13 @@ def analysed(df: DataFrame, prompt: str, analyzer: Analyzer = summary, out: str
 
 
 def logged(news: DataFrame, context: DataFrame, key: str, analyzer: Analyzer = summary) -> DataFrame:
-    """(key, trigger_content, ai_analysis, significance) of announcements of keys that have a context; others are left out."""
+    """(the columns of ``news`` but its content, trigger_content, ai_analysis, significance) of announcements of keys that have a context; others are left out."""
     from larkspur import functions as X
 
     both = news.join(context, key)
     prompt = T.filled("{name}: {content}\nStrategy: {strategy}", name=F.col("name"), content=F.col("content"), strategy=F.col("strategy"))
     told = analysed(both.withColumn("_prompt", prompt), "_prompt", analyzer)
-    return told.select(key, T.shortened(F.col("content"), 200).alias("trigger_content"), F.col("analysis").alias("ai_analysis"), X.significance(F.col("analysis")).alias("significance"))
+    return told.select(*(c for c in news.columns if c != "content"), T.shortened(F.col("content"), 200).alias("trigger_content"), F.col("analysis").alias("ai_analysis"), X.significance(F.col("analysis")).alias("significance"))
 
 
 def researched(rows: DataFrame, key: str, research: str, templates: DataFrame, stem: str, fallback: str, analyzer: Analyzer = summary) -> DataFrame:

@@ -112,12 +112,6 @@ TEMPLATES = "SELECT * FROM (VALUES ('REITS'), ('agriculture_poultry'), ('banks')
 FALLBACK = "sa_inc_mid_small"
 
 
-@query()
-def template_match(spark: SparkSession, sf: str) -> DataFrame:
-    """The template of each category: equal names, else one that holds the other, else the fallback; tested against a golden table."""
-    return OT.matched(relation(spark, sf, CATEGORIES), "category", relation(spark, sf, TEMPLATES), "stem", FALLBACK)
-
-
 @query("SELECT doc_id, CASE WHEN t = '' THEN 'empty' WHEN length(t) < 500 THEN 'short' WHEN starts_with(lower(t), 'sorry') OR starts_with(lower(t), 'error') THEN 'failed' WHEN NOT contains(t, '#') AND length(t) < 2000 THEN 'plain' END AS fault FROM (SELECT doc_id, regexp_replace(regexp_replace(CASE WHEN doc_id % 7 = 0 THEN 'Sorry, ' || coalesce(text, '') WHEN doc_id % 11 = 0 THEN ' # ' || coalesce(text, '') ELSE coalesce(text, '') END, '^[ \\t\\n\\v\\f\\r]+', ''), '[ \\t\\n\\v\\f\\r]+$', '') AS t FROM documents)")
 def reports_checked(spark: SparkSession, sf: str) -> DataFrame:
     """Which replies aren't reports, and why."""

@@ -12,7 +12,7 @@ from datetime import datetime, timezone
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur import functions as X
@@ -249,6 +249,11 @@ def document_day(raw: bytes | None) -> datetime | None:
     return max(days, default=None)
 
 
-@F.pandas_udf("timestamp")
-def created(content: pd.Series) -> pd.Series:
-    return pd.to_datetime(content.map(document_day))
+def created(content: Column) -> Column:
+    """``document_day`` of a binary column."""
+
+    @F.pandas_udf("timestamp")
+    def day(raw: pd.Series) -> pd.Series:
+        return pd.to_datetime(raw.map(document_day))
+
+    return day(content)
