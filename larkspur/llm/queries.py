@@ -100,4 +100,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_bands": licenses.sql(), "op5_fm_index": fm_dedup.SQL, "op9_winnowing": decontam.SQL}
+    return {"op2_license_bands": licenses.sql(), "op5_fm_index": fm_dedup.SQL, "op6_coordinate_join": minhash_dedup.SQL, "op9_winnowing": decontam.SQL, "op10_prefix_doubling": suffix_dedup.SQL}

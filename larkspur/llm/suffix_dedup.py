@@ -244,3 +244,19 @@ def cut_column(corpus: DataFrame, key: str = "doc_id", text: str = "text", hot:
 
     done = joined.mapInArrow(cut, schema).withColumn(text, F.when(~F.col("rest._no_text"), F.col("text")))
     return done.select(*(F.col(text) if c == text else F.col("rest").getField(c).alias(c) for c in corpus.columns))
+
+
+#: DuckDB SQL of the whole query over ``documents``: texts as hexadecimal digits, two for each byte, in blocks with 49 bytes of overlap.
+SQL = """
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+block AS (SELECT doc_id, b, substr(h, 8192 * b + 1, 8290) AS h FROM (SELECT *, unnest(range(0, (n + 4046) // 4096)) AS b FROM d WHERE n >= 50)),
+win AS (SELECT doc_id, 4096 * b + i AS i, md5(substr(h, 2 * i + 1, 100)) AS k FROM (SELECT *, unnest(range(0, least(4096, len(h) // 2 - 49))) AS i FROM block)),
+least_doc AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k HAVING count(*) > 1),
+gone AS (SELECT doc_id, i FROM win JOIN least_doc USING (k) WHERE m < doc_id),
+head AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM gone),
+run AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS r FROM head) GROUP BY doc_id, r),
+piece AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM run),
+cut AS (SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept, max(b) AS last, sum(b - a) AS n_gone, count(*) AS spans FROM piece JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(n_gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
