@@ -4,12 +4,12 @@ A word goes if a window of ``WINDOW`` words that covers it also starts earlier:
 in a document with a smaller id, or further up in the same one.  ``segments``
 drops the windows that can't repeat and routes the rest by anchor, so that all
 occurrences of a window meet in one shard.  Each shard builds an FM-index of
-its stretches (suffix order to the depth that a search can reach, Burrows-
-Wheeler transform, wavelet matrix with packed bits and block counts) and streams
-the same stretches through it: backward search, for all windows at once, gives
-the matching statistics down to the threshold, and the first of the occurrences
-in each surviving interval.  A window is out of the search as soon as its
-interval holds it alone.
+its stretches (Burrows-Wheeler transform in a wavelet matrix with packed bits and
+block counts, a sample of the suffix array) and streams the same stretches
+through it: backward search, for all positions at once, gives the matching
+statistics up to the threshold; of the intervals that reach it the occurrences
+are located by walking back to a sampled place, and the first is reported.  A
+position is out of the search as soon as its interval holds it alone.
 
 An anchor with more than ``HOT`` different stretches isn't put in one shard:
 its stretches are cut into single windows, which Spark collapses like any equal
@@ -37,35 +37,57 @@ from larkspur.llm.tables import drop, written
 
 WINDOW, GRAM, HOT = 20, 8, 5_000
 SPEC = Spec(WINDOW, GRAM, words=True)
+#: One position of so many is kept in an index.
+SAMPLE = 8
 #: Bytes of stretches that one index holds.
 SHARD_BYTES = 4 << 20
 
 
+class Bits:
+    """A packed bit vector with the number of ones before each word of it."""
+
+    def __init__(self, bits: np.ndarray):
+        self.packed = np.zeros((len(bits) >> 6) + 1, np.uint64)
+        raw = np.packbits(bits, bitorder="little")
+        self.packed.view(np.uint8)[: len(raw)] = raw
+        self.counts = np.zeros(len(self.packed), np.int32)
+        np.cumsum(np.bitwise_count(self.packed[:-1]), out=self.counts[1:], dtype=np.int32)
+
+    def before(self, at: np.ndarray) -> np.ndarray:
+        word = at >> 6
+        return self.counts[word] + np.bitwise_count(self.packed[word] & ((U64(1) << (at & 63).astype(np.uint64)) - U64(1))).astype(np.int64)
+
+    def get(self, at: np.ndarray) -> np.ndarray:
+        return (self.packed[at >> 6] >> (at & 63).astype(np.uint64)) & U64(1) == 1
+
+
 class WaveletMatrix:
-    """Rank over a sequence of integers: one packed bit vector per bit of the alphabet, with a count before each word."""
+    """Rank over a sequence of integers: one bit vector per bit of the alphabet."""
 
     def __init__(self, symbols: np.ndarray, alphabet: int):
         self.levels = []
         n, x = len(symbols), symbols.astype(np.int64)
         for bit in range(max(1, int(alphabet - 1).bit_length()) - 1, -1, -1):
             ones = (x >> bit) & 1 == 1
-            packed = np.zeros((n >> 6) + 1, np.uint64)
-            raw = np.packbits(ones, bitorder="little")
-            packed.view(np.uint8)[: len(raw)] = raw
-            before = np.zeros(len(packed), np.int64)
-            np.cumsum(np.bitwise_count(packed[:-1]), out=before[1:], dtype=np.int64)
-            zeros = n - int(ones.sum())
-            self.levels.append((bit, packed, before.astype(np.int32), zeros))
+            self.levels.append((bit, Bits(ones), n - int(ones.sum())))
             x = np.concatenate([x[~ones], x[ones]])
         self.base = self._walk(np.arange(alphabet), np.zeros(alphabet, np.int64))
 
     def _walk(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        for bit, packed, before, zeros in self.levels:
-            word = at >> 6
-            ones = before[word] + np.bitwise_count(packed[word] & ((U64(1) << (at & 63).astype(np.uint64)) - U64(1)))
+        for bit, bits, zeros in self.levels:
+            ones = bits.before(at)
             at = np.where((symbol >> bit) & 1, zeros + ones, at - ones)
         return at
 
+    def symbol(self, at: np.ndarray) -> np.ndarray:
+        """What stands at each place."""
+        out = np.zeros(len(at), np.int64)
+        for bit, bits, zeros in self.levels:
+            one, ones = bits.get(at), bits.before(at)
+            out |= one.astype(np.int64) << bit
+            at = np.where(one, zeros + ones, at - ones)
+        return out
+
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol stands before each place."""
         return self._walk(symbol, at) - self.base[symbol]
@@ -90,30 +112,53 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 class FMIndex:
-    """Index of a text of integers; 0 ends each stretch and is never searched for."""
+    """Index of a text of integers; 0 ends each stretch and is never searched for.
+
+    Kept are the wavelet matrix of the Burrows-Wheeler transform, the place of
+    every ``SAMPLE``-th position of the text and a bit for each row that says
+    whether its place is kept; other places are found by walking back.
+    """
 
     def __init__(self, text: np.ndarray, alphabet: int, depth: int):
-        self.order = suffix_order(text, depth)
+        order = suffix_order(text, depth)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=alphabet))])
-        self.matrix = WaveletMatrix(text[self.order - 1], alphabet)
+        self.matrix = WaveletMatrix(text[order - 1], alphabet)
+        kept = order % SAMPLE == 0
+        self.kept = Bits(kept)
+        self.places = order[kept].astype(np.int32)
 
-    def search(self, text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Backward search of text[s : s + length] for all starts at once.
+    def statistics(self, text: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics of the positions ``ends`` of a text of the index, all at once.
 
-        Returns (number of the start, lo, hi) of those that occur more than once.
+        For each the length, up to ``most``, of the longest string that ends
+        there and occurs a second time, and the interval of its occurrences.
+        The text is read backwards from each; 0 and the begin of the text stop it.
         """
-        live = np.arange(len(starts))
-        c = text[starts + length - 1]
+        c = text[ends]
         lo, hi = self.first[c], self.first[c + 1]
-        for k in range(length - 2, -1, -1):
-            ok = hi - lo > 1
-            live, lo, hi = live[ok], lo[ok], hi[ok]
+        length = np.where(hi - lo > 1, 1, 0)
+        live = np.flatnonzero(length)
+        for k in range(1, most):
+            c = text[ends[live] - k]
+            ok = c > 0
+            live, c = live[ok], c[ok]
             if not len(live):
                 break
-            c = text[starts[live] + k]
-            lo, hi = self.first[c] + self.matrix.rank(c, lo), self.first[c] + self.matrix.rank(c, hi)
-        ok = hi - lo > 1
-        return live[ok], lo[ok], hi[ok]
+            a, b = self.first[c] + self.matrix.rank(c, lo[live]), self.first[c] + self.matrix.rank(c, hi[live])
+            ok = b - a > 1
+            live = live[ok]
+            lo[live], hi[live], length[live] = a[ok], b[ok], k + 1
+        return length, lo, hi
+
+    def locate(self, rows: np.ndarray) -> np.ndarray:
+        """Positions in the text of the suffixes in these rows."""
+        at, steps, left = rows.copy(), np.zeros(len(rows), np.int64), np.arange(len(rows))
+        while len(left):
+            left = left[~self.kept.get(at[left])]
+            c = self.matrix.symbol(at[left])
+            at[left] = self.first[c] + self.matrix.rank(c, at[left])
+            steps[left] += 1
+        return self.places[self.kept.before(at)] + steps
 
 
 def earlier(words: np.ndarray, sizes: np.ndarray, counts: np.ndarray, doc: np.ndarray, start: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -136,13 +181,15 @@ def earlier(words: np.ndarray, sizes: np.ndarray, counts: np.ndarray, doc: np.nd
     gone_seg, gone_off = [], []
     for lo_ in range(0, len(starts), 1 << 18):  # streamed
         part, own = starts[lo_ : lo_ + (1 << 18)], of[lo_ : lo_ + (1 << 18)]
-        live, lo, hi = index.search(text, part, window)
+        length, lo, hi = index.statistics(text, part + window - 1, window)
+        live = np.flatnonzero(length >= window)
         if not len(live):
             continue
+        lo, hi = lo[live], hi[live]
         uniq, back = np.unique(lo, return_inverse=True)
         top = np.zeros(len(uniq), np.int64)
         top[back] = hi
-        spots = index.order[ranges(uniq, top - uniq)]
+        spots = index.locate(ranges(uniq, top - uniq))
         s = np.searchsorted(begin, spots, "right") - 1
         place = start[s] + spots - begin[s]
         group = np.repeat(np.arange(len(uniq)), top - uniq)
