@@ -280,14 +280,20 @@ class Decoder:
 
 
 class Lockstep:
-    """The forward pass of ``Stream`` for many short parts at once: all take their next symbol together (models of merges)."""
+    """``Stream`` for many parts at once, as long as they fit into its window: all take their next symbol together (models of merges).
 
-    LONGEST, NONE = 24, -1
+    A window of less than twice the longest piece isn't committed before its
+    end, so for such parts the forward pass and the way back along the pointers
+    are those of ``Stream``, step by step.
+    """
+
+    NONE = -1
     SLOTS = 1 << 20  #: of the cache of pairs, each with the last pair that fell on it
     BITS = 20
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
+        self.window = 2 * pieces.longest - 1
         whole = [(t, i) for t, i in pieces.ids.items() if pieces.merged(t) == [i]]
         found = np.array([self._hash(t) for t, _ in whole], np.uint64)
         order = np.argsort(found)
@@ -399,7 +405,7 @@ class Encoder:
         count, alone = np.zeros(len(parts), np.int64), np.ones(len(parts), bool)
         found = np.zeros(0, np.int64)
         if self.lockstep:
-            short = np.flatnonzero(length <= Lockstep.LONGEST)
+            short = np.flatnonzero(length <= self.lockstep.window)
             if len(short):
                 starts = (np.cumsum(length) - length)[short]
                 found, count[short], lost = self.lockstep.encode(codes[ranges(starts, length[short])], length[short])
