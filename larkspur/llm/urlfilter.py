@@ -42,8 +42,11 @@ from larkspur.llm.tables import written
 MIN_SHARE = 1e-5
 #: Longest word of the lexicon.
 LONGEST = 24
-#: Words in a host that mark its URLs as blocked in training.
-SEEDS = ("adult", "bet", "bets", "casino", "porn", "poker", "spam", "warez", "xxx")
+#: Words that mark a host's URLs as blocked in training, whether they are set apart in it or found by segmentation.
+SEEDS = (
+    "adult", "ads", "adserver", "bet", "bets", "betting", "casino", "crack", "cracked", "doubleclick", "escort", "gambling", "jackpot", "keygen", "lottery", "malware", "nude", "payday", "pharma",
+    "phish", "phishing", "pills", "poker", "popup", "porn", "roulette", "sex", "slots", "spam", "spyware", "torrent", "track", "tracker", "tracking", "viagra", "warez", "xxx",
+)
 ALLOW, BLOCK = 0, 1
 VERDICTS = ("allow", "block")
 
@@ -289,9 +292,10 @@ def fit(pages: DataFrame, words: Lexicon | dict[str, int], url: str = "url", see
 
         for batch in batches:
             for host, path, runs in _hosts(batch):
-                k = BLOCK if marked.intersection(_RUNS.findall(host)) else ALLOW
+                found = segmenter.words(host, runs)
+                k = BLOCK if not marked.isdisjoint(found) or not marked.isdisjoint(_RUNS.findall(host)) else ALLOW
                 held["", k] += 1
-                for t in tokens(segmenter.words(host, runs), path):
+                for t in tokens(found, path):
                     held[t, k] += 1
                 if len(held) > 100_000:
                     yield sent()
