@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.kernels import GOLDEN, LOWER, U64, flat, gram_hashes, mix, padded, removal_mask, span_hashes, text_chunks, window_argmin, word_spans
+from larkspur.llm.tables import free
 
 WINDOW = 10
 #: Item windows up to which they are sent to every task (about 150 bytes each).
@@ -211,11 +212,13 @@ def _by_joins(docs: DataFrame, windows: DataFrame, text: str) -> DataFrame:
     spots = hits.groupBy("key").agg(F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", F.col("start") + F.col("length") - 1))))).cast("long").alias("n_hit"))
     found = spots.join(named, "key")
     nothing = F.coalesce
-    counted = docs.withColumn("_key", F.unhex(F.sha2(nothing(F.col(text), F.lit("")).cast("binary"), 256)))
+    key, more = free("_key", docs.columns), free("_found", docs.columns)
+    found = found.select(F.col("key").alias(key), F.struct("n_hit", "n_items", "joined").alias(more))
+    counted = docs.withColumn(key, F.unhex(F.sha2(nothing(F.col(text), F.lit("")).cast("binary"), 256)))
     lowered = F.translate(nothing(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     n_words = F.size(F.filter(F.split(lowered, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), lambda x: x != "")).cast("long")
-    joined = counted.join(found.withColumnRenamed("key", "_key"), "_key", "left")
-    return joined.select(*docs.columns, n_words.alias("n_words"), nothing("n_hit", F.lit(0)).alias("n_hit"), nothing("n_items", F.lit(0)).alias("n_items"), F.sha2(nothing("joined", F.lit("")), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
+    joined, of = counted.join(found, key, "left"), F.col(more)
+    return joined.select(*docs.columns, n_words.alias("n_words"), nothing(of["n_hit"], F.lit(0)).alias("n_hit"), nothing(of["n_items"], F.lit(0)).alias("n_items"), F.sha2(nothing(of["joined"], F.lit("")), 256).alias("items_sha256"), of.isNotNull().alias("contaminated"))
 
 
 #: DuckDB SQL of the whole query over ``documents`` and ``benchmark``.

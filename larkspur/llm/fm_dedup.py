@@ -93,9 +93,14 @@ class WaveletMatrix:
         return self._walk(symbol, at) - self.base[symbol]
 
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Positions sorted by the next ``depth`` symbols (at least), by doubling."""
-    n, rank, h = len(text), text.astype(np.uint64), 1
+def suffix_order(text: np.ndarray) -> np.ndarray:
+    """Positions by the order of their suffixes, by doubling.
+
+    Every 0 is a symbol of its own, smaller than those that follow, so suffixes
+    differ by the end of their stretch at the latest.
+    """
+    end = text == 0
+    n, rank, h = len(text), np.where(end, np.cumsum(end) - 1, text + int(end.sum())).astype(np.uint64), 1
     while True:
         ahead = np.concatenate([rank[h:], rank[:h]]) if h < n else rank
         key = (rank << U64(32)) | ahead
@@ -107,7 +112,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         rank = np.empty(n, np.uint64)
         rank[order] = np.cumsum(new)
         h *= 2
-        if h >= depth or int(rank.max()) == n - 1:
+        if h >= n or int(rank.max()) == n - 1:
             return order
 
 
@@ -115,15 +120,16 @@ class FMIndex:
     """Index of a text of integers; 0 ends each stretch and is never searched for.
 
     Kept are the wavelet matrix of the Burrows-Wheeler transform, the place of
-    every ``SAMPLE``-th position of the text and a bit for each row that says
-    whether its place is kept; other places are found by walking back.
+    every ``SAMPLE``-th position of the text and of the first of each stretch, and a
+    bit for each row that says whether its place is kept; other places are found
+    by walking back, which so never leaves a stretch.
     """
 
-    def __init__(self, text: np.ndarray, alphabet: int, depth: int):
-        order = suffix_order(text, depth)
+    def __init__(self, text: np.ndarray, alphabet: int):
+        order = suffix_order(text)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=alphabet))])
         self.matrix = WaveletMatrix(text[order - 1], alphabet)
-        kept = order % SAMPLE == 0
+        kept = (order % SAMPLE == 0) | (text[order - 1] == 0)
         self.kept = Bits(kept)
         self.places = order[kept].astype(np.int32)
 
@@ -174,7 +180,7 @@ def earlier(words: np.ndarray, sizes: np.ndarray, counts: np.ndarray, doc: np.nd
     alphabet = int(text.max()) + 1 if len(text) else 1
     if not len(words):
         return seg, seg
-    index = FMIndex(text, alphabet, window)
+    index = FMIndex(text, alphabet)
     begin = np.cumsum(sizes) - sizes + np.arange(len(sizes))
     of = np.repeat(np.arange(len(counts)), counts)
     starts = ranges(begin, counts)

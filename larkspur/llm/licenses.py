@@ -82,7 +82,7 @@ def minimum(h: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
     return np.minimum.reduceat((h ^ _XOR[k]) * _TIMES[k], starts)
 
 
-_MOST = 512
+_MOST = 8192  #: hash functions
 _XOR, _TIMES = mix(np.arange(1, _MOST + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)), mix(np.arange(_MOST + 1, 2 * _MOST + 1, dtype=np.uint64)) | U64(1)
 
 
@@ -115,6 +115,8 @@ def classes(templates: dict[str, str], percent: int = PERCENT, miss: float = MIS
         least = [-(-percent * len(s) // 100) for _, s in found]
         j = min(k / (step * steps + len(s) - k) for (_, s), k in zip(found, least, strict=True))
         rows, count = bands(min(1.0, j), miss)
+        if rows * count > _MOST:
+            raise ValueError(f"{percent} per cent needs {rows * count} hash functions; there are {_MOST}")
         one = np.zeros(1, np.int64)
         tables = [np.unique(np.concatenate([band(s, one, b, rows, one, 1) for _, s in found])) for b in range(count)]
         out.append(Class(step, steps, rows, count, [n for n, _ in found], [s for _, s in found], least, tables))
@@ -177,7 +179,7 @@ def find(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "
     containment and the first shingle of the first window with a license (null if none).  Columns of those names are replaced.
     """
     docs = docs.drop(*_NAMES)
-    kinds = classes(templates or TEMPLATES, percent, miss)
+    kinds = classes(TEMPLATES if templates is None else templates, percent, miss)
     schema = docs.select("*", *(F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in RESULT.split(", "))).schema
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -38,9 +38,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.kernels import LOWER, SPACE, U64, flat, gram_hashes, mix, padded, span_hashes, text_chunks, word_spans
-from larkspur.llm.tables import drop, written
+from larkspur.llm.tables import drop, unnested, written
 
-COORDINATES, MATCHES, ROUNDS, RARE = 64, 34, 3, 64
+COORDINATES, MATCHES, ROUNDS, RARE = 64, 34, 2, 64
 _RANDOM = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
 _XOR, _TIMES = _RANDOM[:COORDINATES], _RANDOM[COORDINATES:] | U64(1)
 
@@ -248,8 +248,8 @@ def linked(docs: DataFrame, size: int, percent: int, matches: int = MATCHES) ->
         # Two sets share at most what the smaller ``both`` has.
         fits = lambda x, y, of="both": F.least(F.col(f"{x}.{of}"), F.col(f"{y}.{of}")) * (100 + percent) >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * percent
         if turn < ROUNDS:
-            # First the node that has most in common with all others, then the one with the least of its own, then one by chance.
-            first = [-F.col("weight"), -F.col("both") / F.col("n"), F.xxhash64("node", F.lit(turn))][min(turn, 2)]
+            # First the node that has most in common with all others, then the one with the least of its own.
+            first = [-F.col("weight"), -F.col("both") / F.col("n")][min(turn, 1)]
             order = F.struct(first.alias("h"), (-F.col("weight")).alias("w"), "node", "n", "both", "comp")
             pivot = lists.groupBy("token").agg(F.min(order).alias("p")).select("token", "p.node", "p.n", "p.both", "p.comp")
             met = lists.alias("x").join(pivot.alias("y"), "token").where((F.col("x.comp") != F.col("y.comp")) & fits("x", "y")).groupBy(F.col("x.node").alias("x"), F.col("y.node").alias("y")).agg(F.count(F.lit(1)).alias("c"))
@@ -289,7 +289,7 @@ def keep_first(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "do
     """The documents without near duplicates of others: of each component the row with the smallest id stays."""
     rows, _ = numbered(docs, key, text, rest=True)
     stay = linked(rows, size, percent).where("first").select("row")
-    return rows.join(stay, "row", "left_semi").select(*(F.col("text").alias(c) if c == text else F.col("rest").getField(c).alias(c) for c in docs.columns))
+    return unnested(rows.join(stay, "row", "left_semi"), docs.columns, text)
 
 
 #: DuckDB SQL of the query over ``documents``, with all pairs that share a shingle and the closure of the links: for small tables.

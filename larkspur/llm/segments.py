@@ -92,13 +92,13 @@ def cut(grams: np.ndarray, offsets: np.ndarray, spec: Spec) -> tuple[np.ndarray,
 
 
 def stored(docs: DataFrame, name: str, key: str = "doc_id", text: str = "text", rest: bool = False) -> tuple[DataFrame, int]:
-    """(row, doc, id, text and, if asked for, a struct of the other columns) as a table bucketed by row in the shared folder, so that joins by row don't move texts again.
+    """(row, doc, id, text and, if asked for, whether that was null and a struct of the other columns) as a table bucketed by row in the shared folder, so that joins by row don't move texts again.
 
     ``row`` is a number of our own, for repeated and missing ids; rows without
     an id come after all others in the order of documents.
     """
     n = buckets_for(docs, text, BUCKET_BYTES)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *([F.struct(F.col(text).isNull().alias("_no_text"), *(c for c in docs.columns if c != text)).alias("rest")] if rest else []))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *([F.struct(F.col(text).isNull().alias("no_text"), F.struct(*(c for c in docs.columns if c != text)).alias("of")).alias("rest")] if rest else []))
     return bucketed(rows, name, n, "row"), n
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.kernels import U64, flat, padded, ranges, removal_mask, text_chunks, words64
 from larkspur.llm.segments import Spec, ambiguous, firsts, removed_runs, repeated_anchors, runs_of, stored
-from larkspur.llm.tables import drop, written
+from larkspur.llm.tables import drop, unnested, written
 
 WINDOW, GRAM, HOT = 50, 24, 5_000
 SPEC = Spec(WINDOW, GRAM, words=False)
@@ -242,8 +242,8 @@ def cut_column(corpus: DataFrame, key: str = "doc_id", text: str = "text", hot:
             kept = [x.decode("utf-8", "ignore") for x in kept_bytes(batch)[3]]
             yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(kept, pa.string())], names=["rest", "text"])
 
-    done = joined.mapInArrow(cut, schema).withColumn(text, F.when(~F.col("rest._no_text"), F.col("text")))
-    return done.select(*(F.col(text) if c == text else F.col("rest").getField(c).alias(c) for c in corpus.columns))
+    done = joined.mapInArrow(cut, schema).withColumn("text", F.when(~F.col("rest.no_text"), F.col("text")))
+    return unnested(done.select(F.col("rest.of").alias("rest"), "text"), corpus.columns, text)
 
 
 #: DuckDB SQL of the whole query over ``documents``: texts as hexadecimal digits, two for each byte, in blocks with 49 bytes of overlap.

@@ -67,3 +67,20 @@ def buckets_for(df: DataFrame, column: str, bytes_each: int) -> int:
     """
     total = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // bytes_each))
+
+
+def nested(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(rest, text): all other columns as one struct, so that what an operator adds can't have their names."""
+    return docs.select(F.struct(*(c for c in docs.columns if c != text)).alias("rest"), F.col(text).alias("text"))
+
+
+def unnested(df: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
+    """The columns that ``nested`` has put away, in their order."""
+    return df.select(*(F.col("text").alias(c) if c == text else F.col("rest").getField(c).alias(c) for c in columns))
+
+
+def free(name: str, taken: list[str]) -> str:
+    """A column's name that isn't taken."""
+    while name in taken:
+        name += "_"
+    return name
