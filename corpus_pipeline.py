@@ -1,7 +1,10 @@
 """The corpus pipeline: five operators in a row, each stage written as Parquet and read again.
 
 Every stage takes the documents that the one before has kept, and all but the
-last return the columns of ``documents``; extra columns of the input pass through.
+last return the columns of ``documents``; extra columns of the input pass
+through, whatever their names.  Null, empty and letterless texts go in the first
+stage; rows of the same id are documents of their own; of an empty table every
+stage makes an empty one.
 """
 
 from __future__ import annotations
@@ -10,15 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import decontam, langid, minhash_dedup, pieces, suffix_dedup
-from larkspur.llm.tables import table, written
+from larkspur.llm.tables import drop, nested, table, unnested, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or in none of the languages that the corpus names, go."""
-    names = ("lang_pred", "score", "lang_known")
     model = langid.fit(docs)
-    found = langid.predict(docs.drop(*names), model, out=names)
-    return found.where("lang_known").select(*_own(docs, names))
+    found = langid.predict(nested(docs), model, out=("lang_pred", "score", "lang_known"))
+    return unnested(found.where("lang_known"), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +40,8 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten words in a row of a benchmark item go."""
-    names = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    found = decontam.judge(docs.drop(*names), table(spark, sf_dir, "benchmark"))
-    return found.where(~F.col("contaminated")).select(*_own(docs, names))
+    found = decontam.judge(nested(docs), table(spark, sf_dir, "benchmark"))
+    return unnested(found.where(~F.col("contaminated")), docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,11 +50,6 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"), "ids")
 
 
-def _own(docs: DataFrame, replaced: tuple[str, ...]) -> list[str]:
-    """Columns of the documents, without extra ones whose names an operator uses for its results."""
-    return [c for c in docs.columns if c not in replaced]
-
-
 STAGES = [
     ("language ID", language),
     ("MinHash near-dedup", near_duplicates),
@@ -67,9 +63,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, name.replace(" ", "-"))
+            if last is not None:
+                drop(last)
+            last = docs
     return docs
