@@ -259,9 +259,10 @@ def slug_digest(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", X.slug(F.col("p_name")).alias("slug"), F.sha2("p_name", 256).alias("digest"), F.length("p_name").alias("n"))
 
 
-@query("SELECT conv_id, turn, left(string_split(trim(text, ' \n\r\t'), '\n')[1], 200) AS line FROM conversations")
+@query("SELECT conv_id, turn, left(coalesce(nullif(string_split(trim(CASE WHEN turn % 5 = 4 THEN ' ' ELSE text END, ' \n\r\t'), '\n')[1], ''), 'No content'), 200) AS line FROM conversations")
 def first_line(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.substring(X.first_line(F.col("text")), 1, 200).alias("line"))
+    text = F.when(F.col("turn") % 5 == 4, " ").otherwise(F.col("text"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.substring(T.headline(text, "No content"), 1, 200).alias("line"))
 
 
 @query("SELECT ticker, min(low_c) AS low_c, max(high_c) AS high_c, count(*) FILTER (close_c < open_c) AS falls, median(close_c) AS mid FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY d DESC) AS k FROM bars) WHERE k <= 100 GROUP BY ticker")

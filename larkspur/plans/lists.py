@@ -307,3 +307,19 @@ def display_text(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer").where("c_acctbal >= 0")
     change = (F.col("c_custkey") % 1000 - 500) / F.lit(100.0)
     return c.select(F.col("c_custkey").alias("key"), T.rands(F.floor(F.col("c_acctbal") * 100)).alias("money"), T.signed_percent(change).alias("change"), T.shortened(F.col("c_name"), 12).alias("short"), F.substring("c_name", 1, 10).alias("ten"))
+
+
+@query("SELECT key, target_c >= entry_c AS is_long, target_c > entry_c AS strictly_long FROM watchlist")
+def direction(spark: SparkSession, sf: str) -> DataFrame:
+    """The direction that the levels imply; the two rules differ where they are equal."""
+    entry, target = F.col("entry_c"), F.col("target_c")
+    return watchlist(spark, sf).select("key", X.is_long(entry, target).alias("is_long"), X.is_long(entry, target, strict=True).alias("strictly_long"))
+
+
+@query("""SELECT key, kind, (price_c / 100.0::DOUBLE)::DECIMAL(18,4) AS price FROM (SELECT key, 'entry' AS kind, entry_c AS price_c FROM watchlist UNION ALL SELECT key, 'target', target_c FROM watchlist UNION ALL SELECT key, 'stop_loss', stop_c FROM watchlist
+UNION ALL SELECT key, level_type, price_c FROM levels WHERE level_type IN ('support', 'resistance')) WHERE price_c IS NOT NULL""", levels=LEVELS)
+def level_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """One row for each level of a key: its own three, and all supports and resistances."""
+    own = watchlist(spark, sf).select("key", F.expr("stack(3, 'entry', entry_c, 'target', target_c, 'stop_loss', stop_c) AS (kind, price_c)"))
+    more = relation(spark, sf, LEVELS).where(F.col("level_type").isin("support", "resistance")).select("key", F.col("level_type").alias("kind"), "price_c")
+    return own.union(more).where("price_c IS NOT NULL").select("key", "kind", X.dec(F.col("price_c") / F.lit(100.0)).alias("price"))

@@ -168,3 +168,31 @@ def page_checks(spark: SparkSession, sf: str) -> DataFrame:
     says = F.when(k == 0, "You need a PREMIUM subscription").when(k == 1, "You have not accepted the Terms of Use or Conditions of Subscription").when(k == 2, "You need to be logged on as a free registered user").when(k == 3, "Concurrent login").otherwise("fine")
     doc = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("see SENS_20240131_a"), F.col("page_id").cast("string"), F.lit(".pdf now"))).otherwise("SENS_1.pdf")
     return table(spark, sf, "pages").select("page_id", T.access_issue(says).alias("issue"), T.pdf_reference(doc).alias("document"))
+
+
+PLACES = "SELECT p_partkey AS key, 'http://h.example' || CASE CAST(p_partkey % 3 AS INT) WHEN 0 THEN '/PDF/' WHEN 1 THEN '/ost/PDF/' ELSE '/x/' END || p_partkey || '.pdf' || CASE WHEN p_partkey % 2 = 0 THEN '?id=' || p_size || '&z=1' ELSE '' END AS url FROM {part}"
+
+
+@query("SELECT key, CASE key % 3 WHEN 0 THEN url || ' ' || replace(url, 'example/PDF', 'example/ost/PDF') || ' ' || replace(url, 'example/PDF', 'example/ost/sp/profilem/PDF') WHEN 1 THEN url || ' ' || replace(url, '/ost/PDF', '/ost/sp/profilem/PDF') ELSE url END AS places, nullif(regexp_extract(url, '[?&]id=([^&]*)', 1), '') AS article, key || '.pdf' AS name FROM places", places=PLACES)
+def other_places(spark: SparkSession, sf: str) -> DataFrame:
+    """Where else a document may lie, the id in its address, and its name."""
+    url = F.col("url")
+    return relation(spark, sf, PLACES).select("key", F.array_join(T.other_places(url), " ").alias("places"), T.query_value(url, "id").alias("article"), T.download_name(F.lit(None).cast("string"), url).alias("name"))
+
+
+@query("SELECT key, CASE key % 4 WHEN 0 THEN false WHEN 1 THEN false WHEN 2 THEN true ELSE false END AS research FROM watchlist")
+def research_present(spark: SparkSession, sf: str) -> DataFrame:
+    """Which texts say anything: not missing, blank or a placeholder."""
+    from larkspur.sources import watchlist
+
+    k = F.col("key") % 4
+    text = F.when(k == 1, "  ").when(k == 2, F.col("name")).when(k == 3, " N/A ")
+    return watchlist(spark, sf).select("key", T.is_research(text).alias("research"))
+
+
+@query("SELECT event_id, isodow(ts) < 6 AND hour(ts) * 60 + minute(ts) BETWEEN 420 AND 1350 AS at_work, CASE WHEN isodow(ts) < 6 AND hour(ts) * 60 + minute(ts) BETWEEN 420 AND 1350 THEN 900 ELSE 600 END AS wait FROM events")
+def schedule(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a time is in working hours, and the seconds to the next round."""
+    from larkspur import functions as X
+
+    return table(spark, sf, "events").select("event_id", X.at_work(F.col("ts")).alias("at_work"), X.poll_seconds(F.col("ts")).alias("wait"))
