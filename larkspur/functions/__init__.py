@@ -69,10 +69,6 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
-def first_line(text: Column) -> Column:
-    return F.substring_index(F.regexp_replace(text, r"^[ \n\r\t]+|[ \n\r\t]+$", ""), "\n", 1)
-
-
 def ingest_window(last: Column, as_of: Column) -> list[Column]:
     """(kind, first_day, end_day): everything without a last day, the last two days, or from the day after the last one."""
     gap = F.datediff(as_of, last)
