@@ -90,18 +90,20 @@ class Feed:
         """Hands every batch to the callbacks of a channel, or of the channel that a row names; without ``every`` it stops at the end of the available input."""
 
         def each(batch: DataFrame, number: int) -> None:
-            batch.persist()
-            try:
-                names = [channel] if channel is not None else [r["channel"] for r in batch.select("channel").distinct().collect()]
-                for name in names:
-                    rows = batch if channel is not None else batch.where(F.col("channel") == name)
-                    for f in list(self.callbacks.get(name, [])):
-                        try:
-                            f(rows, number)
-                        except Exception:
-                            log.exception("a callback of %s failed for batch %s", name, number)
-            finally:
-                batch.unpersist()
+            # Written once: state is brought forward once whatever the callbacks do, and all of them see the same rows.
+            spark, path = batch.sparkSession, f"{checkpoint.rstrip('/')}-batches/{number}"
+            batch.write.mode("overwrite").parquet(path)
+            kept = spark.read.schema(batch.schema).parquet(path)
+            names = [channel] if channel is not None else [r["channel"] for r in kept.select("channel").distinct().collect()]
+            for name in names:
+                rows = kept if channel is not None else kept.where(F.col("channel") == name)
+                for f in list(self.callbacks.get(name, [])):
+                    try:
+                        f(rows, number)
+                    except Exception:
+                        log.exception("a callback of %s failed for batch %s", name, number)
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
         trigger = {"availableNow": True} if every is None else {"processingTime": every}
         query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(**trigger).foreachBatch(each).start()
