@@ -45,7 +45,10 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def text_chunks(
     batches: Iterable[pa.RecordBatch], column: str = "text", budget: int = CHUNK_BYTES
 ) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches that hold at most ``budget`` bytes of ``column`` (one row at least)."""
+    """Slices of the batches that hold at most ``budget`` bytes of ``column`` (one row at least).
+
+    At the end freed memory goes back to the system: workers wait for other tasks.
+    """
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -57,6 +60,7 @@ def text_chunks(
             hi = max(lo + 1, int(np.searchsorted(ends, base + budget, "right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
+    pa.default_memory_pool().release_unused()
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -41,9 +41,9 @@ from larkspur.llm.kernels import GOLDEN, U64, flat, mix, ranges, text_chunks
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Text bytes encoded at once by a task.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: Distinct parts of texts, and pairs of pieces, that a worker remembers.
-REMEMBERED, REMEMBERED_PAIRS = 100_000, 300_000
+REMEMBERED, REMEMBERED_PAIRS = 60_000, 150_000
 #: Bytes of a part that is remembered.
 LONGEST_REMEMBERED = 64
 
@@ -393,6 +393,12 @@ class Encoder:
         self.known = pa.array([], pa.large_binary())
         self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
+    def forget(self) -> None:
+        """Drops what is remembered of texts: a worker keeps its encoder from task to task, also when others follow."""
+        self.known = pa.array([], pa.large_binary())
+        self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.pieces.pairs.clear()
+
     def alone(self, part: str) -> list[int]:
         stream = Stream(self.pieces)
         return stream.feed(part) + stream.finish()
@@ -498,6 +504,7 @@ def encode_column(df: DataFrame, text: str = "text", out: str = "ids", model: st
         encoder = _loaded(Encoder, shared.value)
         for batch in text_chunks(batches, text, CHUNK):
             yield pa.RecordBatch.from_arrays([*batch.columns, encoder.encode(batch.column(text))], names=[*batch.schema.names, out])
+        encoder.forget()
 
     return df.mapInArrow(run, schema)
 
