@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import decontam, fm_dedup, langid, licenses, minhash_dedup, ogg, pieces, quality, suffix_dedup, urlfilter
+from larkspur.llm import codes, decontam, fm_dedup, langid, licenses, merkle, minhash_dedup, ogg, pieces, quality, suffix_dedup, toxicity, urlfilter
 from larkspur.llm.tables import table, written
 
 #: Rows whose labels are held out.
 HELD_OUT = "crc32(cast(doc_id AS string)) % 3 = 1"
+TOXIC_HELD_OUT = "crc32(cast(doc_id AS string)) % 5 = 0"
 
 
 #: The rules of the URL filter.
@@ -84,6 +85,25 @@ def op10_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every text, learned from confirmed examples and unlabelled texts that aren't held out."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    learned = f"NOT coalesce({TOXIC_HELD_OUT}, false)"
+    model = toxicity.fit(docs.where(learned), labels.where(learned))
+    found = toxicity.score(docs, model, ["doc_id"])
+    return found.select("doc_id", F.expr(TOXIC_HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op12_screened_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of every vector by codebooks learned from all of them."""
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_mountain_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether the proof finds what was tampered with."""
+    return merkle.verify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_host_words": op1_host_words,
@@ -96,8 +116,11 @@ def queries() -> dict:
         "op8_quadratic_discriminant": op8_quadratic_discriminant,
         "op9_winnowing": op9_winnowing,
         "op10_prefix_doubling": op10_prefix_doubling,
+        "op11_positive_unlabelled": op11_positive_unlabelled,
+        "op12_screened_codes": op12_screened_codes,
+        "op13_mountain_range": op13_mountain_range,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_bands": licenses.sql(), "op5_fm_index": fm_dedup.SQL, "op6_coordinate_join": minhash_dedup.SQL, "op9_winnowing": decontam.SQL, "op10_prefix_doubling": suffix_dedup.SQL}
+    return {"op2_license_bands": licenses.sql(), "op5_fm_index": fm_dedup.SQL, "op6_coordinate_join": minhash_dedup.SQL, "op9_winnowing": decontam.SQL, "op10_prefix_doubling": suffix_dedup.SQL, "op12_screened_codes": codes.sql(), "op13_mountain_range": merkle.SQL}

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from larkspur.llm import decontam, fm_dedup, langid, licenses, minhash_dedup, ogg, pieces, quality, suffix_dedup, urlfilter
+from larkspur.llm import codes, decontam, fm_dedup, langid, licenses, merkle, minhash_dedup, ogg, pieces, quality, suffix_dedup, toxicity, urlfilter
 
 LONG = " ".join(f"long{i % 977}x{i}" for i in range(40_000))
 #: Names that operators use for results or inside.
@@ -22,6 +22,12 @@ def odd(spark, rows=True):
 
 
 BENCH = "item_id string, text string"
+
+
+def vectors(docs):
+    """Eight components made of each row's text; of the long text a vector of three."""
+    n = F.coalesce(F.length("text"), F.lit(0)).cast("float")
+    return docs.withColumnRenamed("doc_id", "vec_id").withColumn("embedding", F.when(n > 6000, F.array(n, n, n)).otherwise(F.array(*(n * k for k in range(8)))))
 APPLY = {
     "op2": lambda d: licenses.find(d),
     "op4": lambda d: langid.predict(d, langid.fit(d)),
@@ -34,6 +40,10 @@ APPLY = {
     "op9 joins": lambda d: decontam.judge(d, d.sparkSession.createDataFrame([("a", "one"), (None, None)], BENCH), limit=0),
     "op10": lambda d: suffix_dedup.dedup(d),
     "op10 cut": lambda d: suffix_dedup.cut_column(d),
+    "op11": lambda d: toxicity.score(d, toxicity.fit(d, d.select("doc_id", F.lit(1).alias("toxic"))), [c for c in d.columns if c != "score"]),
+    "op11 no labels": lambda d: toxicity.score(d, toxicity.fit(d, d.select("doc_id", F.lit(None).cast("int").alias("toxic"))), ["doc_id", "text"]),
+    "op12": lambda d: codes.with_label_error(codes.encode(v := vectors(d), codes.fit(v)), "lang"),
+    "op13": lambda d: merkle.verify(d),
     "op3": lambda d: ogg.decode_column(ogg.encode_column(d.select("doc_id", "text")), ["doc_id", "n_bytes"]),
     "op1": lambda d: urlfilter.judge(d.withColumn("url", F.concat(F.lit("http://a.b/"), "text")), urlfilter.fit(d.withColumn("url", F.col("text")), urlfilter.lexicon(d, "text")), urlfilter.rules("block b/o")),
 }
