@@ -137,7 +137,7 @@ def test_codes_by_brute_force(spark, limit):
     rng = np.random.default_rng(9)
     vectors = [[float(c) for c in np.round(rng.normal(0, 0.02, 8), 3)] for _ in range(290)]
     rows = [(i, v, [None, 3, 4][i % 3]) for i, v in enumerate(vectors)]
-    odd = [(500, None, 1), (501, [1.0, None, 0, 0, 0, 0, 0, 0], 1), (502, [float("nan")] * 8, 1), (503, [float("inf")] * 8, 1), (504, [1.0, 2.0], 1), (505, [3e38] * 8, None), (506, [], 1)]
+    odd = [(500, None, 1), (501, [1.0, None, *[0.0] * 6], 1), (502, [float("nan")] * 8, 1), (503, [float("inf")] * 8, 1), (504, [1.0, 2.0], 1), (505, [3e38] * 8, None), (506, [], 1)]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int")
     want_code, want_error, want_books = brute_codes([(i, [int(np.floor(np.float64(np.float32(c)) * 1024)) for c in v]) for i, v, _ in rows])
     books = codes.fit(df)
