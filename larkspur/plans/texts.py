@@ -90,10 +90,30 @@ def footer_cut(spark: SparkSession, sf: str) -> DataFrame:
     return relation(spark, sf, SENS).select("id", T.cut_at_producer(F.col("text")).alias("text"))
 
 
-@query()
+#: Announcements that end in every way: named producers, sponsors' blocks, dates, and what only looks like one.
+FOOTERS = """SELECT conv_id * 1000 + turn AS id, CASE CAST((conv_id + turn) % 8 AS INT) WHEN 0 THEN text || CHR(10) || 'Produced by the JSE SENS Department' || CHR(10) || 'more' WHEN 1 THEN ''
+  WHEN 2 THEN text || CHR(10) || 'Sponsor' || CHR(10) || CHR(10) || 'A Bank' || CHR(10) || 'Street' || CHR(10) || CHR(10) || 'The SENS service' WHEN 3 THEN 'Sponsor: B' || CHR(10) || text || CHR(10) || 'c' || CHR(10) || 'd' || CHR(10) || 'Date: 1-2-24 ' || CHR(13) || CHR(10) || 'end'
+  WHEN 4 THEN text || CHR(10) || 'sponcor' || CHR(10) || 'A' || CHR(10) || 'B' || CHR(10) || 'C' || CHR(10) || 'the JSE does' || CHR(10) || 'not' WHEN 5 THEN 'Date: 1/2/2024' || CHR(10) || text || CHR(10) || CHR(10) || CHR(10) || CHR(10) || CHR(10) || 'x'
+  WHEN 6 THEN text || CHR(10) || 'Sponsor' || CHR(10) || CHR(10) || CHR(10) ELSE text END AS text FROM {conversations}"""
+_TIDY = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce({}, ''), '\\r\\n?', chr(10), 'g'), '[ \\t\\f\\v]+(\\n|$)', '\\1', 'g'), '\\n{{4,}}', repeat(chr(10), 3), 'g'), '^\\n+|\\n+$', '', 'g')"
+_HITS = "list_transform(lines, lambda x: regexp_matches(x, '{}', 'i'))"
+_END = "(?im)produced\\s+by\\b|\\bthe\\s+sens\\s+service\\b|\\bthe\\s+jse\\s+does\\s+not\\b|^\\s*date\\s*:"
+
+
+@query(
+    f"""SELECT id, CASE WHEN reason IN ('empty', 'no_change') THEN tidy WHEN t = '' THEN '' ELSE t || chr(10) END AS text, reason, length(tidy) AS original_chars, length(CASE WHEN reason IN ('empty', 'no_change') THEN tidy WHEN t = '' THEN '' ELSE t || chr(10) END) AS trimmed_chars
+FROM (SELECT *, {_TIDY.format("array_to_string(lines[1:keep], chr(10))")} AS t FROM (SELECT *, CASE WHEN tidy = '' THEN 'empty' WHEN p > 0 THEN 'cut_at_produced_by' WHEN s > 0 AND s - 1 >= floor(0.6 * n) AND regexp_matches(array_to_string(lines[stop + 1:], chr(10)), '{_END}') THEN 'cut_after_sponsor_block'
+  WHEN d > 0 AND d - 1 >= floor(0.7 * n) THEN 'cut_at_date_line' ELSE 'no_change' END AS reason, CASE reason WHEN 'cut_at_produced_by' THEN p - 1 WHEN 'cut_after_sponsor_block' THEN stop WHEN 'cut_at_date_line' THEN d - 1 ELSE n END AS keep
+FROM (SELECT *, s + gap + coalesce(list_position(list_transform(lines[s + gap + 1:s + gap + 3], lambda x: x = ''), true) - 1, len(lines[s + gap + 1:s + gap + 3])) AS stop
+FROM (SELECT *, coalesce(list_position(list_transform(lines[s + 1:], lambda x: x <> ''), true) - 1, n - s) AS gap
+FROM (SELECT id, lines, CASE WHEN t = '' THEN '' ELSE t || chr(10) END AS tidy, len(lines) AS n, coalesce(list_position({_HITS.format("produced\\s+by\\b.*\\bsens\\b")}, true), 0) AS p,
+  coalesce(list_max(list_transform(lines, lambda x, i: CASE WHEN regexp_matches(x, '\\bspon(?:s|c)or\\b', 'i') THEN i ELSE 0 END)), 0) AS s, coalesce(list_max(list_transform(lines, lambda x, i: CASE WHEN regexp_matches(x, '^\\s*date\\s*:\\s*\\d{{1,2}}[-/.]\\d{{1,2}}[-/.]\\d{{2,4}}', 'i') THEN i ELSE 0 END)), 0) AS d
+FROM (SELECT id, t, string_split(t, chr(10)) AS lines FROM (SELECT id, {_TIDY.format("text")} AS t FROM footers)))))))""",
+    footers=FOOTERS,
+)
 def footer_trim(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole cascade with its reason and sizes; tested case by case."""
-    return OT.trimmed(relation(spark, sf, SENS), "id", "text")
+    """The whole cascade with its reason and sizes."""
+    return OT.trimmed(relation(spark, sf, FOOTERS), "id", "text")
 
 
 @query("SELECT conv_id, turn, CASE WHEN regexp_matches(t, 'significance\\W+(low|medium|high)', 'i') THEN upper(left(v, 1)) || lower(substr(v, 2)) END AS significance FROM (SELECT conv_id, turn, t, regexp_extract(t, 'significance\\W+(low|medium|high)', 1, 'i') AS v FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'x SIGNIFICANCE: hIGH y' WHEN 1 THEN 'significance - low' ELSE text END AS t FROM conversations))")
