@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.operators.joins import overlapping
+
 PRICES = ("open", "high", "low", "close")
 
 
@@ -62,14 +64,12 @@ def discounts(pairs: DataFrame, key: str, date: str, asset: str, holding: str, n
     return d.withColumn("score", F.try_divide(F.col("discount") - F.col("mean"), F.col("deviation")))
 
 
-def overlaps(zones: DataFrame, bars: DataFrame, last: int) -> DataFrame:
-    """Adds to every zone (ticker, kind, low, high) how many of the ticker's last bars touch it, and how many of these close beyond it.
-
-    Zones are few for each ticker, so the join by ticker makes at most that many rows of a bar.
-    """
+def overlaps(zones: DataFrame, bars: DataFrame, last: int, width: float = 1000.0) -> DataFrame:
+    """Adds to every zone (ticker, kind, low, high) how many of the ticker's last bars touch it, and how many of these close beyond it."""
     w = Window.partitionBy("ticker").orderBy(F.desc("d"))
     recent = bars.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= last).select("ticker", "low_c", "high_c", "close_c")
-    touch = (F.col("low_c") <= F.col("high")) & (F.col("high_c") >= F.col("low"))
-    beyond = F.when(F.col("kind") == "support", F.col("close_c") > F.col("high")).otherwise(F.col("close_c") < F.col("low"))
     keys = ["ticker", "kind", "low", "high"]
-    return zones.join(recent, "ticker").groupBy(*keys).agg(F.count_if(touch).alias("tests"), F.count_if(touch & beyond).alias("rejections"))
+    touching = overlapping(zones.select(*keys), recent, ["ticker"], ("low", "high"), ("low_c", "high_c"), width)
+    beyond = F.when(F.col("kind") == "support", F.col("close_c") > F.col("high")).otherwise(F.col("close_c") < F.col("low"))
+    counts = touching.groupBy(*keys).agg(F.count(F.lit(1)).alias("tests"), F.count_if(beyond).alias("rejections"))
+    return zones.select(*keys).join(counts, keys, "left").na.fill(0, ["tests", "rejections"])

@@ -278,4 +278,4 @@ def support_resistance(spark: SparkSession, sf: str) -> DataFrame:
     return zones.detect(bars(spark, sf))
 
 
-from larkspur.plans import changes, lists, pages, series, texts  # noqa: E402, F401  they register their queries
+from larkspur.plans import changes, lists, pages, series, temporal, texts  # noqa: E402, F401  they register their queries
