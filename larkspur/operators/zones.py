@@ -1,87 +1,115 @@
-"""Support and resistance zones: swing points of each key's last bars, clustered by price."""
+"""Support and resistance zones: swing points of each key's last bars, clustered by price.
+
+A key's bars are one array of at most ``lookback`` elements; every step is an
+expression over it, so nothing leaves the JVM.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "ticker string, kind string, low double, high double, mid double, touches int, tests int, rejections int, last_touch int, score double"
+_CLUSTER = "array<struct<low:double,high:double,total:double,touches:int,last_touch:int>>"
+
+
+def _indexes(first: int, last: Column) -> Column:
+    """first..last; empty if last comes before first."""
+    return F.when(last >= first, F.sequence(F.lit(first), last)).otherwise(F.array().cast("array<int>"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def peaks(x: Column, distance: int) -> Column:
+    """Places of an array's strict local maxima (plateaus: middle, rounded down), higher ones first keeping others ``distance`` away; of equal ones the later."""
+    found = lambda x, starts: F.filter(_indexes(1, F.size(starts) - 2), lambda k: (F.get(x, F.get(starts, k)) > F.get(x, F.get(starts, k) - 1)) & (F.get(x, F.get(starts, k)) > F.get(x, F.get(starts, k + 1))))
+    middle = lambda starts, k: F.floor((F.get(starts, k) + F.get(starts, k + 1) - 1) / 2).cast("int")
+    by_height = lambda x, starts: F.array_sort(F.transform(found(x, starts), lambda k: F.struct((-F.get(x, F.get(starts, k))).alias("depth"), (-middle(starts, k)).alias("back"))))
+    first = lambda x: F.filter(_indexes(0, F.size(x) - 1), lambda i: (i == 0) | (F.get(x, i) != F.get(x, i - 1)))
+    ordered = let(x, lambda x: let(first(x), lambda starts: by_height(x, starts)))
+    return F.array_sort(F.aggregate(ordered, F.array().cast("array<int>"), lambda kept, t: F.when(F.exists(kept, lambda p: F.abs(p + t["back"]) < distance), kept).otherwise(F.concat(kept, F.array(-t["back"])))))
+
+
+def prominence(x: Column, p: Column) -> Column:
+    """How far the peak at ``p`` stands above the higher of the two lowest points between it and higher ground."""
+
+    def of(x: Column, height: Column) -> Column:
+        higher = F.filter(_indexes(0, F.size(x) - 1), lambda i: F.get(x, i) > height)
+        lo = F.coalesce(F.array_max(F.filter(higher, lambda i: i < p)) + 1, F.lit(0))
+        hi = F.coalesce(F.array_min(F.filter(higher, lambda i: i > p)), F.size(x))
+        return height - F.greatest(F.array_min(F.slice(x, lo + 1, p - lo + 1)), F.array_min(F.slice(x, p + 1, hi - p)))
+
+    return let(x, lambda x: let(F.get(x, p), lambda height: of(x, height)))
+
+
+def clusters(points: Column, tolerance: Column) -> Column:
+    """Points (x, p) by x in groups: the next one joins while it is within the tolerance of the running mean."""
+
+    def step(groups: Column, point: Column) -> Column:
+        g, x, p = F.try_element_at(groups, F.lit(-1)), point["x"], point["p"]
+        more = F.struct(g["low"].alias("low"), x.alias("high"), (g["total"] + x).alias("total"), (g["touches"] + 1).alias("touches"), F.greatest(g["last_touch"], p).alias("last_touch"))
+        new = F.struct(x.alias("low"), x.alias("high"), x.alias("total"), F.lit(1).alias("touches"), p.alias("last_touch"))
+        near = (F.size(groups) > 0) & (x - g["total"] / g["touches"] <= tolerance)
+        return F.when(near, F.concat(F.slice(groups, F.lit(1), F.size(groups) - 1), F.array(more))).otherwise(F.concat(groups, F.array(new)))
+
+    return F.aggregate(F.array_sort(points), F.array().cast(_CLUSTER), step)
+
+
+def median(x: Column) -> Column:
+    """Of an array; null if it is empty."""
+    at = lambda s, share: F.get(s, F.floor((F.size(s) - share) / 2).cast("int"))
+    return let(F.array_sort(x), lambda s: (at(s, 1) + at(s, 0)) / 2)
+
+
+def tolerance(bars: Column, period: int, multiple: float) -> Column:
+    """The median of the average true range, the first full one standing for those before it; a two-hundredth of the median close without any."""
+    high, low, before = (lambda b, i: F.get(b, i)["high"]), (lambda b, i: F.get(b, i)["low"]), (lambda b, i: F.get(b, i - 1)["close"])
+    true = lambda b: F.transform(_indexes(0, F.size(b) - 1), lambda i: F.greatest(high(b, i) - low(b, i), F.when(i > 0, F.abs(high(b, i) - before(b, i))), F.when(i > 0, F.abs(low(b, i) - before(b, i)))))
+    full = lambda t: F.transform(_indexes(period - 1, F.size(t) - 1), lambda i: F.aggregate(F.slice(t, i - period + 2, period), F.lit(0.0), lambda a, x: a + x) / period * multiple)
+    usual = let(let(true(bars), full), lambda f: F.when(F.size(f) > 0, median(F.concat(F.array_repeat(F.get(f, 0), period - 1), f))))
+    return let(usual, lambda u: F.when(u > 0, u).otherwise(median(F.transform(bars, lambda b: b["close"])) * 0.005))
+
+
+def _of_kind(bars: Column, tol: Column, kind: str, most: int, distance: int, least: int, floor: float | None, tested: int, recency: float, rejection: float) -> Column:
+    """The best zones of one kind from bars (d, high, low, close by day)."""
+    up = kind == "resistance"
+    value = lambda b: b["high"] if up else b["low"]
+    line = F.transform(bars, lambda b: value(b) if up else -value(b))
+    at = peaks(line, distance) if floor is None else let(line, lambda x: F.filter(peaks(x, distance), lambda p: prominence(x, p) >= floor))
+    found = clusters(F.transform(at, lambda p: F.struct(value(F.get(bars, p)).alias("x"), p.alias("p"))), tol)
+    span = (F.size(bars) - 1).cast("double")
+
+    def zone(c: Column, over: Column) -> Column:
+        rejected = F.size(F.filter(over, lambda b: b["close"] < c["low"] if up else b["close"] > c["high"]))
+        fresh = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - (span - c["last_touch"]) / F.greatest(F.lit(1.0), span)))
+        score = c["touches"] * (F.lit(recency) * fresh + 1) + F.lit(rejection) * rejected
+        mid = c["total"] / c["touches"]
+        return F.struct(
+            (-score).alias("order"), mid.alias("mid"), F.lit(kind).alias("kind"), c["low"].alias("low"), c["high"].alias("high"),
+            c["touches"].alias("touches"), F.size(over).alias("tests"), rejected.alias("rejections"), c["last_touch"].alias("last_touch"), score.alias("score"),
+        )
 
+    def zones(last: Column) -> Column:
+        over = lambda c: F.filter(last, lambda b: (b["low"] <= c["high"]) & (b["high"] >= c["low"]))
+        return F.transform(F.filter(found, lambda c: c["touches"] >= least), lambda c: let(over(c), lambda o: zone(c, o)))
 
-def peaks(x: np.ndarray, distance: int) -> np.ndarray:
-    """Strict local maxima (plateaus: middle, rounded down), higher ones first keeping others ``distance`` away; of equal ones the later."""
-    change = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, int)
-    ends = np.append(change[1:], len(x)) - 1
-    v = x[change]
-    top = np.zeros(len(v), bool)
-    top[1:-1] = (v[1:-1] > v[:-2]) & (v[1:-1] > v[2:])
-    at = (change[top] + ends[top]) // 2
-    keep = np.ones(len(at), bool)
-    for k in np.lexsort((at, x[at]))[::-1]:
-        if keep[k]:
-            near = np.abs(at - at[k]) < distance
-            near[k] = False
-            keep[near] = False
-    return at[keep]
-
-
-def clusters(values: np.ndarray, tolerance: float) -> list[np.ndarray]:
-    """Sorted values in groups: the next one joins while it is within the tolerance of the running mean."""
-    v, at, total = np.sort(values), [0], 0.0
-    for i, x in enumerate(v.tolist()):
-        if i > at[-1] and x - total / (i - at[-1]) > tolerance:
-            at.append(i)
-            total = 0.0
-        total += x
-    return np.split(v, at[1:]) if len(v) else []
-
-
-def prominences(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """How far each peak stands above the higher of the two lowest points between it and higher ground."""
-    out = np.empty(len(at))
-    for i, p in enumerate(at):
-        above = np.flatnonzero(x > x[p])
-        left, right = above[above < p], above[above > p]
-        lo, hi = (left[-1] + 1 if len(left) else 0), (right[0] if len(right) else len(x))
-        out[i] = x[p] - max(x[lo : p + 1].min(), x[p:hi].min())
-    return out
-
-
-def of_key(g: pd.DataFrame, most: int, distance: int, least: int, multiple: float, prominence: float | None, period: int, tested: int, recency: float, rejection: float) -> pd.DataFrame:
-    g = g.sort_values("d")
-    high, low, close = (g[c].to_numpy(float) for c in ("high_c", "low_c", "close_c"))
-    before = np.append(np.nan, close[:-1])
-    tr = np.fmax(high - low, np.fmax(np.abs(high - before), np.abs(low - before)))  # the first bar has no close before it
-    atr = (pd.Series(tr).rolling(period).mean() * multiple).bfill().ffill().to_numpy()
-    tol = float(np.median(atr)) if len(atr) else np.nan
-    if not np.isfinite(tol) or tol <= 0:
-        tol = 0.005 * float(np.median(close))
-    rows, n, last_bars = [], len(g), slice(max(0, len(g) - tested), None)
-    for kind, line, sign in (("resistance", high, 1), ("support", low, -1)):
-        at = peaks(sign * line, distance)
-        if prominence is not None:
-            at = at[prominences(sign * line, at) >= prominence]
-        for c in clusters(line[at], tol):
-            if len(c) < least:
-                continue
-            lo, hi = c.min(), c.max()
-            last = int(at[(line[at] >= lo - 1e-12) & (line[at] <= hi + 1e-12)].max())
-            fresh = min(1.0, max(0.0, 1 - (n - 1 - last) / max(1, n - 1)))
-            over = ((low <= hi) & (high >= lo))[last_bars]
-            rejected = over & ((close < lo) if sign > 0 else (close > hi))[last_bars]
-            score = len(c) * (1 + recency * fresh) + rejection * int(rejected.sum())
-            rows.append((g["ticker"].iloc[0], kind, lo, hi, float(c.mean()), len(c), int(over.sum()), int(rejected.sum()), last, score))
-    found = pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
-    return found.sort_values(["score", "mid"], ascending=[False, True]).groupby("kind", sort=True).head(most).sort_values(["kind", "score"], ascending=[True, False])
+    return F.slice(F.array_sort(let(F.slice(bars, F.greatest(F.size(bars) - tested, F.lit(0)) + 1, tested), zones)), 1, most)
 
 
 def detect(bars: DataFrame, lookback: int = 100, most: int = 2, distance: int = 4, least: int = 2, multiple: float = 0.8, prominence: float | None = None, period: int = 14, tested: int = 120, recency: float = 0.35, rejection: float = 0.75) -> DataFrame:
-    """Zones of each ticker from its last ``lookback`` bars, which are cut off first: only they reach the Python worker."""
-    last = Window.partitionBy("ticker").orderBy(F.desc("d"))
-    tail = bars.withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= lookback).select("ticker", "d", "high_c", "low_c", "close_c")
-    return tail.groupBy("ticker").applyInPandas(lambda g: of_key(g, most, distance, least, multiple, prominence, period, tested, recency, rejection), SCHEMA)
+    """Zones of each ticker from its last ``lookback`` bars, by kind and falling score."""
+    newest = Window.partitionBy("ticker").orderBy(F.desc("d"))
+    tail = bars.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= lookback)
+    bar = F.struct("d", *(F.col(f"{c}_c").cast("double").alias(c) for c in ("high", "low", "close")))
+    rows = tail.groupBy("ticker").agg(F.array_sort(F.collect_list(bar)).alias("bars"))
+    kinds = lambda b, tol: F.concat(*(_of_kind(b, tol, k, most, distance, least, prominence, tested, recency, rejection) for k in ("resistance", "support")))
+    found = let(F.col("bars"), lambda b: let(tolerance(b, period, multiple), lambda tol: kinds(b, tol)))
+    return rows.select("ticker", F.explode(found).alias("z")).select("ticker", *(F.col("z").getField(f.split()[0]).alias(f.split()[0]) for f in SCHEMA.split(", ")[1:]))
 
 
 def _in(mid: Column, a: Column, b: Column) -> Column:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from larkspur import functions as X
 from larkspur import operators as O
 from larkspur.functions import text as T
-from larkspur.operators import zones
 from larkspur.plans.registry import AS_OF, ORACLES, QUERIES, query
 from larkspur.sources import bars, fundamentals, recent_bars, table, watchlist
 
@@ -272,10 +271,4 @@ def tail_n(spark: SparkSession, sf: str) -> DataFrame:
     return last.groupBy("ticker").agg(F.min("low_c").alias("low_c"), F.max("high_c").alias("high_c"), F.count_if(F.col("close_c") < F.col("open_c")).alias("falls"), F.median("close_c").alias("mid"))
 
 
-@query()
-def support_resistance(spark: SparkSession, sf: str) -> DataFrame:
-    """Zones of each ticker; tested against brute force."""
-    return zones.detect(bars(spark, sf))
-
-
-from larkspur.plans import changes, lists, pages, series, temporal, texts  # noqa: E402, F401  they register their queries
+from larkspur.plans import changes, lists, pages, series, temporal, texts, zones  # noqa: E402, F401  they register their queries

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from larkspur import functions as X
 from larkspur.operators import series as S
-from larkspur.operators import zones
 from larkspur.plans.registry import query, relation
 from larkspur.sources import bars, table
 
@@ -84,17 +83,6 @@ def zone_overlap_counts(spark: SparkSession, sf: str) -> DataFrame:
     return S.overlaps(relation(spark, sf, BANDS, bars=b), b, 120).select("ticker", "kind", "tests", "rejections")
 
 
-@query()
-def pick_levels(spark: SparkSession, sf: str) -> DataFrame:
-    """Support and resistance for a trade in every ticker, half of them short; tested against the given cases."""
-    b = bars(spark, sf)
-    last = b.groupBy("ticker").agg(F.max_by("close_c", "d").cast("double").alias("c"))
-    short = F.col("ticker").endswith("1") | F.col("ticker").endswith("3")
-    side = F.when(short, -1.0).otherwise(1.0)
-    trades = last.select("ticker", (~short).alias("is_long"), F.col("c").alias("entry"), (F.col("c") * (1 - side * 0.2)).alias("stop"), (F.col("c") * (1 + side * 0.3)).alias("target"))
-    return zones.levels(trades, zones.detect(b, lookback=300, most=8))
-
-
 @query("SELECT o_custkey AS key, string_agg(o_orderkey || ':' || floor(o_totalprice)::BIGINT, ',' ORDER BY o_orderkey) AS pairs FROM orders GROUP BY o_custkey")
 def zip_levels(spark: SparkSession, sf: str) -> DataFrame:
     """Two lists of the same length side by side: numbers and prices of each key."""

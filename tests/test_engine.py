@@ -63,10 +63,12 @@ def test_upsert_is_idempotent(spark):
     assert O.insert_if_absent(base, delta, ["k"]).count() == 3
 
 
-def test_peaks():
+def test_peaks(spark):
     rng = np.random.default_rng(1)
-    for _ in range(200):
-        x = rng.integers(0, 6, 30).astype(float)
+    rows = [[float(v) for v in rng.integers(0, 6, 30)] for _ in range(200)] + [[], [1.0], [1.0, 2.0], [1.0, 1.0, 1.0]]
+    made = spark.createDataFrame(list(enumerate(rows)), "i int, x array<double>").select("i", zones.peaks(F.col("x"), 4).alias("p"))
+    got = {r["i"]: r["p"] for r in made.collect()}
+    for row, x in enumerate(rows):
         inner = []
         i = 1
         while i < len(x) - 1:
@@ -80,8 +82,9 @@ def test_peaks():
         for k in sorted(inner, key=lambda k: (x[k], k), reverse=True):
             if k in left:
                 left -= {m for m in left if m != k and abs(m - k) < 4}
-        assert zones.peaks(x, 4).tolist() == sorted(left)
-    assert [c.tolist() for c in zones.clusters(np.array([5.0, 1, 1.5, 9]), 1)] == [[1, 1.5], [5], [9]]
+        assert got[row] == sorted(left)
+    points = spark.createDataFrame([([(5.0, 0), (1.0, 1), (1.5, 2), (9.0, 3)],)], "v array<struct<x:double,p:int>>").select(zones.clusters(F.col("v"), F.lit(1.0)).alias("c")).first()["c"]
+    assert [(c["low"], c["high"], c["touches"], c["last_touch"]) for c in points] == [(1, 1.5, 2, 2), (5, 5, 1, 0), (9, 9, 1, 3)]
 
 
 def test_streams(spark, tmp_path):
