@@ -105,6 +105,20 @@ def free_names(files: DataFrame, folder: str, name: str, order: list[str]) -> Da
     return files.withColumn("target", F.when(k == 0, F.col(name)).otherwise(F.concat(stem, F.lit("_"), k.cast("string"), F.lit(".pdf"))))
 
 
+def differences(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """(op, key columns, before, after) of rows that differ between two snapshots with the same columns: insert, update, delete.
+
+    Rows are compared whole, nulls being equal; null keys are keys. Each side has a key once.
+    """
+    rest = [c for c in new.columns if c not in keys]
+    side = lambda df, name: df.select(*(F.col(k).alias(f"{name}_{k}") for k in keys), F.struct(*rest).alias(name))
+    a, b = side(old, "before"), side(new, "after")
+    on = [a[f"before_{k}"].eqNullSafe(b[f"after_{k}"]) for k in keys]
+    op = F.when(F.col("before").isNull(), "insert").when(F.col("after").isNull(), "delete").when(~F.col("before").eqNullSafe(F.col("after")), "update")
+    both = a.join(b, on, "full").withColumn("op", op).where(F.col("op").isNotNull())
+    return both.select("op", *(F.when(F.col("after").isNull(), F.col(f"before_{k}")).otherwise(F.col(f"after_{k}")).alias(k) for k in keys), "before", "after")
+
+
 def save(df: DataFrame, folder: str) -> None:
     """A snapshot in a folder that must not be there yet: readers of the old one aren't disturbed."""
     df.write.mode("errorifexists").parquet(folder)
