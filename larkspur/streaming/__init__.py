@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -72,7 +73,7 @@ def crosses(stream: DataFrame, levels: DataFrame, late: str = "1 day") -> DataFr
 
 
 class Feed:
-    """Callbacks by channel. One that fails is logged and doesn't keep the others, or later batches, from running."""
+    """Callbacks by channel. One that fails doesn't keep the others, or later batches, from running; its batch is kept for ``replay``."""
 
     def __init__(self) -> None:
         self.callbacks: dict[str, list[Callable[[DataFrame, int], None]]] = {}
@@ -91,10 +92,12 @@ class Feed:
 
         def each(batch: DataFrame, number: int) -> None:
             # Written once: state is brought forward once whatever the callbacks do, and all of them see the same rows.
-            spark, path = batch.sparkSession, f"{checkpoint.rstrip('/')}-batches/{number}"
+            spark, path = batch.sparkSession, f"{_batches(checkpoint)}/{number}"
             batch.write.mode("overwrite").parquet(path)
             kept = spark.read.schema(batch.schema).parquet(path)
             names = [channel] if channel is not None else [r["channel"] for r in kept.select("channel").distinct().collect()]
+            fs, folder = _folder(spark, path)
+            failed = False
             for name in names:
                 rows = kept if channel is not None else kept.where(F.col("channel") == name)
                 for f in list(self.callbacks.get(name, [])):
@@ -102,14 +105,45 @@ class Feed:
                         f(rows, number)
                     except Exception:
                         log.exception("a callback of %s failed for batch %s", name, number)
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+                        # Names that begin with _ are no data. The note says what is left to do, also after a restart.
+                        out = fs.create(_folder(spark, f"{path}/_failed-{uuid.uuid4().hex}")[1], True)
+                        out.write(bytearray(json.dumps({"channel": name, "callback": called(f), "number": number, "by_row": channel is None}).encode()))
+                        out.close()
+                        failed = True
+            if not failed:
+                fs.delete(folder, True)
 
         trigger = {"availableNow": True} if every is None else {"processingTime": every}
         query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(**trigger).foreachBatch(each).start()
         self.queries.append(query)
         return query
 
+    def replay(self, spark: SparkSession, checkpoint: str) -> int:
+        """Hands failed batches to the callbacks of the same name again, the oldest first; returns how many are still left."""
+        fs, folder = _folder(spark, _batches(checkpoint))
+        left = 0
+        for batch in sorted(fs.listStatus(folder), key=lambda s: int(s.getPath().getName())) if fs.exists(folder) else ():
+            path, open_ = batch.getPath(), 0
+            for note in sorted(s.getPath().toString() for s in fs.listStatus(path) if s.getPath().getName().startswith("_failed-")):
+                said = json.loads(_text(spark, note))
+                rows = spark.read.parquet(path.toString())
+                rows = rows.where(F.col("channel") == said["channel"]) if said["by_row"] else rows
+                again = [f for f in self.callbacks.get(said["channel"], []) if called(f) == said["callback"]]
+                try:
+                    for f in again:
+                        f(rows, said["number"])
+                except Exception:
+                    log.exception("a callback of %s failed again for batch %s", said["channel"], said["number"])
+                    again = []
+                if again:
+                    fs.delete(_folder(spark, note)[1], False)
+                else:
+                    open_ += 1
+            if not open_:
+                fs.delete(path, True)
+            left += open_
+        return left
+
     def stop(self) -> None:
         for query in self.queries:
             query.stop()
@@ -117,6 +151,30 @@ class Feed:
         self.callbacks.clear()
 
 
+def called(f: Callable) -> str:
+    """The name by which a callback is found again after a restart."""
+    return f"{getattr(f, '__module__', '')}.{getattr(f, '__qualname__', type(f).__qualname__)}"
+
+
+def _batches(checkpoint: str) -> str:
+    return f"{checkpoint.rstrip('/')}-batches"
+
+
+def _folder(spark: SparkSession, path: str):  # noqa: ANN202
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def _text(spark: SparkSession, path: str) -> str:
+    """A small file's text; Spark's readers skip names that begin with _."""
+    fs, found = _folder(spark, path)
+    stream = fs.open(found)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 def dispatch(stream: DataFrame, callbacks: list[Callable[[DataFrame, int], None]], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Starts a query that hands every batch to each callback and stops once the available input is read."""
     feed = Feed()
