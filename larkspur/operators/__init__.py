@@ -44,6 +44,12 @@ def upsert(base: DataFrame, delta: DataFrame, keys: list[str], update: list[str]
     return both.select(*(F.col(c) if c in keys else value(c).alias(c) for c in base.columns))
 
 
+def upsert_sides(rows: DataFrame, keys: list[str], update: list[str], side: str) -> DataFrame:
+    """``upsert`` of base rows (``side`` 0) and delta rows (1) in one frame, one of each for a key: an aggregation, without a join."""
+    take = lambda c: F.max_by(c, side) if c in update else F.min_by(c, side)
+    return rows.groupBy(*keys).agg(*(take(c).alias(c) for c in rows.columns if c not in (*keys, side)))
+
+
 def insert_if_absent(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
     return base.unionByName(delta.dropDuplicates(keys).join(base, keys, "left_anti").select(*base.columns))
 

@@ -37,6 +37,13 @@ def aligned(left: DataFrame, right: DataFrame, on: str, drop: list[str]) -> Data
     return left.join(right, on).na.drop(subset=drop)
 
 
+def side_by_side(bars: DataFrame, names: dict[str, str], value: str = "close_c") -> DataFrame:
+    """(d, one column for each name with the value of its ticker) on the days that all of them have: one scan, one aggregation."""
+    ticker = F.col("ticker")
+    days = bars.where(ticker.isin(*names.values())).groupBy("d").agg(*(F.max(F.when(ticker == t, F.col(value))).alias(c) for c, t in names.items()))
+    return days.na.drop(subset=list(names))
+
+
 @dataclass(frozen=True)
 class LookThrough:
     """Stakes, share counts and ratios of the chain from the asset to the holding's receipt."""

@@ -222,10 +222,9 @@ def level_cross(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT ticker, d, open_c, CASE WHEN d >= DATE '1997-01-01' THEN close_c + 1 ELSE close_c END AS close_c FROM bars WHERE d < DATE '1998-01-01' OR d >= DATE '1997-01-01'")
 def upsert_close(spark: SparkSession, sf: str) -> DataFrame:
     """A delta that overlaps the base: closes are taken from it, rows that the base lacks are added."""
-    b = bars(spark, sf).select("ticker", "d", "open_c", "close_c")
-    base = b.where("d < DATE '1998-01-01'")
-    delta = b.where("d >= DATE '1997-01-01'").withColumn("close_c", F.col("close_c") + 1)
-    return O.upsert(base, delta, ["ticker", "d"], ["close_c"])
+    sides = F.filter(F.array(F.when(F.col("d") < F.lit("1998-01-01").cast("date"), 0), F.when(F.col("d") >= F.lit("1997-01-01").cast("date"), 1)), lambda s: s.isNotNull())
+    both = bars(spark, sf).select("ticker", "d", "open_c", "close_c", F.explode(sides).alias("side"))
+    return O.upsert_sides(both.withColumn("close_c", F.col("close_c") + F.col("side")), ["ticker", "d"], ["close_c"], "side")
 
 
 @query("SELECT DISTINCT user_id, event_type, ts::DATE AS day FROM events")

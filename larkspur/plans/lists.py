@@ -45,8 +45,8 @@ def releases(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def entries(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole list: states, research, unread news, holdings, the next event."""
-    rows = relation(spark, sf, ENTRIES).join(feed(spark, sf), "key", "left").join(releases(spark, sf).select("key", "second"), "key", "left")
+    """The whole list: states, research, unread news, holdings, the greatest release date, the next event."""
+    rows = relation(spark, sf, ENTRIES).join(feed(spark, sf), "key", "left").join(releases(spark, sf).select("key", "second", "greatest"), "key", "left")
     return rows.withColumns({"unread": F.coalesce("unread", F.lit(0)), "holding": F.coalesce("holding", F.lit(False)), "event": F.add_months("second", 12)}).drop("second")
 
 
@@ -77,7 +77,7 @@ ORDER BY last_valuation ASC NULLS FIRST, in_portfolio DESC, priority ASC NULLS L
 )
 def valuation_queue(spark: SparkSession, sf: str, n: int | None = None) -> DataFrame:
     """Keys that need a valuation, those without one first; ``n`` bounds the list."""
-    rows = entries(spark, sf).join(releases(spark, sf).select("key", F.col("greatest").alias("last_valuation")), "key", "left")
+    rows = entries(spark, sf).withColumnRenamed("greatest", "last_valuation")
     due = rows.where(F.col("event").isNull() | (F.col("event") <= today()))
     out = due.select("key", "last_valuation", F.col("holding").alias("in_portfolio"), "priority")
     return L.limited(out.orderBy(F.asc_nulls_first("last_valuation"), F.desc("in_portfolio"), F.asc_nulls_last("priority"), "key"), n)

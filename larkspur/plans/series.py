@@ -44,9 +44,7 @@ def bfill_ffill(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT a.d, (a.close_c * 1.0::DOUBLE / b.close_c)::DECIMAL(18,4) AS ratio FROM bars a JOIN bars b ON a.d = b.d WHERE a.ticker = 'Brand#11' AND b.ticker = 'Brand#12'")
 def ratio_series_join(spark: SparkSession, sf: str) -> DataFrame:
-    b = bars(spark, sf)
-    one = lambda t, c: b.where(F.col("ticker") == t).select("d", F.col("close_c").alias(c))
-    return S.aligned(one("Brand#11", "x"), one("Brand#12", "y"), "d", ["x", "y"]).select("d", X.dec(F.col("x") * F.lit(1.0) / F.col("y")).alias("ratio"))
+    return S.side_by_side(bars(spark, sf), {"x": "Brand#11", "y": "Brand#12"}).select("d", X.dec(F.col("x") * F.lit(1.0) / F.col("y")).alias("ratio"))
 
 
 @query("""SELECT d, nav::DECIMAL(18,4) AS nav, discount::DECIMAL(18,4) AS discount, CASE WHEN count(*) OVER w = 60 THEN (avg(discount) OVER w)::DECIMAL(18,4) END AS mean, CASE WHEN count(*) OVER w = 60 THEN ((discount - avg(discount) OVER w) / nullif(stddev_samp(discount) OVER w, 0))::DECIMAL(18,4) END AS score
@@ -54,9 +52,7 @@ FROM (SELECT d, nav, 1.0::DOUBLE - h / nav AS discount FROM (SELECT a.d, a.close
 WINDOW w AS (ORDER BY d ROWS 59 PRECEDING)""")
 def nav_discount(spark: SparkSession, sf: str) -> DataFrame:
     """What a holding's receipt is worth by its asset, the discount, and how unusual that is."""
-    b = bars(spark, sf)
-    one = lambda t, c: b.where(F.col("ticker") == t).select("d", F.col("close_c").alias(c))
-    pairs = S.aligned(one("Brand#11", "asset"), one("Brand#12", "holding"), "d", ["asset", "holding"]).withColumn("pair", F.lit("11-12"))
+    pairs = S.side_by_side(bars(spark, sf), {"asset": "Brand#11", "holding": "Brand#12"}).withColumn("pair", F.lit("11-12"))
     found = S.discounts(pairs, "pair", "d", "asset", "holding", 60)
     return found.select("d", *(X.dec(F.col(c)).alias(c) for c in ("nav", "discount", "mean", "score")))
 

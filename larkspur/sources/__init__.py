@@ -10,7 +10,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ticker, d, c, q, and their order in one number): single trades, the parts' table joined as Spark chooses."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("ticker"))
     line = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_shipdate").cast("date").alias("d"), F.floor("l_extendedprice").cast("long").alias("c"), F.col("l_quantity").cast("long").alias("q"), _place().alias("place"))
@@ -32,12 +32,12 @@ def _daily(trades: DataFrame) -> DataFrame:
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of each brand in cents: (ticker, d, open_c, high_c, low_c, close_c, volume)."""
-    return _daily(_trades(spark, sf_dir))
+    return _daily(trades(spark, sf_dir))
 
 
 def recent_bars(spark: SparkSession, sf_dir: str, days: int) -> DataFrame:
     """``bars`` of the last calendar days of each ticker: older trades go before anything is shuffled by day."""
-    t = _trades(spark, sf_dir)
+    t = trades(spark, sf_dir)
     last = t.groupBy("ticker").agg(F.max("d").alias("_last"))  # one row for each ticker
     return _daily(t.join(last, "ticker").where(F.col("d") >= F.date_sub("_last", days)))
 

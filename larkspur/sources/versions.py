@@ -147,6 +147,10 @@ class Versions:
 
         return self._change(gone, replaced, False, batch, base)
 
+    def combine(self, delta: DataFrame, how: Callable[[DataFrame], DataFrame], batch: tuple[str, int] | None = None, base: int | None = None) -> int:
+        """The touched partitions become ``how`` of their rows and the delta's together: one row for each key."""
+        return self._change(delta, lambda old, new: how(old.unionByName(new)), False, batch, base)
+
     def ingest(self, writer: str, order: list[str]) -> Callable[[DataFrame, int], None]:
         """For ``foreachBatch``: each batch is inserted once, also if the stream hands it over again after a failure."""
         return lambda batch, number: self.insert_absent(batch, order, (writer, number)) and None
