@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from larkspur import functions as X
 from larkspur.functions import text as T
+from larkspur.sources import pdf
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
@@ -118,8 +119,8 @@ def periods(pages: DataFrame, fields: dict[str, str], html: str = "html", keep:
     """(..., results_period_end, results_period_label, results_release_date, one column for each field) of a table with periods as columns.
 
     The header is the first row that has a year beyond its first cell, else the
-    first row. A row belongs to the first field whose label it holds; later rows
-    of a field replace earlier ones, unless ``first_only``.
+    first row. A row belongs to the first field whose label it holds; cells of later rows
+    of a field replace those of earlier ones (a shorter row leaves the rest), unless ``first_only``.
     """
     names = list(fields.values())
 
@@ -132,7 +133,7 @@ def periods(pages: DataFrame, fields: dict[str, str], html: str = "html", keep:
         for row in grid[1:]:
             field = next((f for label, f in fields.items() if row and label.lower() in row[0].lower()), None)
             if field and not (first_only and field in found):
-                found[field] = row
+                found[field] = row + found.get(field, [])[len(row) :]
         for i, label in enumerate(head):
             if i and not any(s in label for s in skip):
                 yield label.strip(), *(found[f][i] if f in found and i < len(found[f]) else None for f in names)
@@ -228,15 +229,21 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return found.where(F.substring("content", 1, 4) == F.lit(b"%PDF")).select("path", F.sha2("content", 256).alias("checksum"), created(F.col("content")).alias("created"))
 
 
-def document_day(raw: bytes | None) -> datetime | None:
-    """The later of the dates of a document's metadata packet and of its dictionary (when made, else when changed)."""
+def _scanned(raw: bytes) -> list[str]:
+    """The dates of a document without readable cross-references, by a search of its bytes."""
     found = []
-    packet = re.search(rb"<x:xmpmeta.*?</x:xmpmeta>", raw or b"", re.DOTALL)
+    packet = re.search(rb"<x:xmpmeta.*?</x:xmpmeta>", raw, re.DOTALL)
     if packet and (m := re.search(rb"<xmp:CreateDate[^>]*>([^<]+)</xmp:CreateDate>", packet[0])):
         found.append(m[1].decode("utf-8", "replace"))
-    m = re.search(rb"/CreationDate\s*\(\s*([^)]+?)\s*\)", raw or b"") or re.search(rb"/ModDate\s*\(\s*([^)]+?)\s*\)", raw or b"")
+    m = re.search(rb"/CreationDate\s*\(\s*([^)]+?)\s*\)", raw) or re.search(rb"/ModDate\s*\(\s*([^)]+?)\s*\)", raw)
     if m:
         found.append(m[1].decode("utf-8", "replace"))
+    return found
+
+
+def document_day(raw: bytes | None) -> datetime | None:
+    """The later of the dates of a document's metadata packet and of its dictionary (when made, else when changed)."""
+    found = pdf.dates(raw or b"") or _scanned(raw or b"")
     days = []
     for text in found:
         d = re.match(r"\s*(?:D:)?(\d{4})-?(\d{2})?-?(\d{2})?[T ]?(\d{2})?:?(\d{2})?:?(\d{2})?", text)
