@@ -58,8 +58,10 @@ class Reader(DataSourceReader):
                 yield tuple(said.get(name) for name, _ in self.columns)
 
     def _symbol(self, symbol: str) -> Iterator[tuple]:
-        found, folder = pafs.FileSystem.from_uri(f"{self.path}/symbol={quote(symbol, safe='')}")
-        files = [f.path for f in found.get_file_info(pafs.FileSelector(folder)) if f.is_file and not f.base_name.startswith(("_", "."))]
+        found, base = pafs.FileSystem.from_uri(self.path)
+        names = dict.fromkeys((quote(symbol, safe=" "), symbol.replace("/", "%2F")))  # writers differ in what they escape
+        folders = [pafs.FileSelector(f"{base}/symbol={name}", allow_not_found=True) for name in names]
+        files = [f.path for s in folders for f in found.get_file_info(s) if f.is_file and not f.base_name.startswith(("_", "."))]
         if not files:
             raise FileNotFoundError(f"no prices of {symbol}")
         for path in sorted(files):
