@@ -221,13 +221,15 @@ def global_max(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").agg(F.max("l_shipdate").cast("date").alias("last"))
 
 
-SYMBOLS = "SELECT * FROM (VALUES ('gold', 2, true), ('silver', 1, true), ('copper', 1, false), ('oil', 1, true), ('coal', 3, true)) AS u(symbol, priority, is_active)"
+GROUPS = "SELECT * FROM (VALUES ('BUILDING', 2, true), ('MACHINERY', 1, true), ('FURNITURE', 1, false), ('HOUSEHOLD', 1, true)) AS u(name, priority, is_active)"
 
 
-@query("SELECT symbol, priority FROM symbols WHERE is_active ORDER BY priority, symbol LIMIT 3", symbols=SYMBOLS)
+@query("SELECT c_name AS symbol, g.priority FROM customer JOIN groups g ON g.name = c_mktsegment WHERE g.is_active ORDER BY g.priority, symbol", groups=GROUPS)
 def universe(spark: SparkSession, sf: str) -> DataFrame:
-    """A literal relation; its active symbols in order."""
-    return L.limited(relation(spark, sf, SYMBOLS).where("is_active").orderBy("priority", "symbol"), 3).select("symbol", "priority")
+    """The active instruments in order of their groups' priority; the groups are a literal relation."""
+    groups = relation(spark, sf, GROUPS).where("is_active").select(F.col("name").alias("c_mktsegment"), "priority")
+    found = table(spark, sf, "customer").select(F.col("c_name").alias("symbol"), "c_mktsegment").join(F.broadcast(groups), "c_mktsegment")
+    return found.select("symbol", "priority").orderBy("priority", "symbol")
 
 
 @query("SELECT event_type, n, mean_c, (sum(mean_c * n) OVER () / sum(n) OVER ())::DECIMAL(18,4) AS overall_c FROM (SELECT event_type, count(*) AS n, sum(floor(value * 100)::BIGINT)::DOUBLE / count(*) AS mean_c FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY event_type)".replace("SELECT event_type, n, mean_c, (", "SELECT event_type, n, mean_c::DECIMAL(18,4) AS mean_c, ("))
@@ -300,11 +302,11 @@ def merge_periods(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT c_custkey AS key, 'R' || format('{:,.2f}', floor(c_acctbal * 100)::BIGINT / 100.0::DOUBLE) AS money, format('{:+.2f}%', (c_custkey % 1000 - 500) / 100.0::DOUBLE) AS change, CASE WHEN length(c_name) > 12 THEN left(c_name, 12) || '...' ELSE c_name END AS short, left(c_name, 10) AS ten FROM customer WHERE c_acctbal >= 0"""
+    """SELECT c_custkey AS key, 'R' || format('{:,.2f}', floor(c_acctbal * 100)::BIGINT / 100.0::DOUBLE) AS money, format('{:+.2f}%', (c_custkey % 1000 - 500) / 100.0::DOUBLE) AS change, CASE WHEN length(c_name) > 12 THEN left(c_name, 12) || '...' ELSE c_name END AS short, left(c_name, 10) AS ten FROM customer"""
 )
 def display_text(spark: SparkSession, sf: str) -> DataFrame:
     """Money, signed percentages and shortened texts as a list shows them."""
-    c = table(spark, sf, "customer").where("c_acctbal >= 0")
+    c = table(spark, sf, "customer")
     change = (F.col("c_custkey") % 1000 - 500) / F.lit(100.0)
     return c.select(F.col("c_custkey").alias("key"), T.rands(F.floor(F.col("c_acctbal") * 100)).alias("money"), T.signed_percent(change).alias("change"), T.shortened(F.col("c_name"), 12).alias("short"), F.substring("c_name", 1, 10).alias("ten"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,10 +73,10 @@ def page_text(spark: SparkSession, sf: str) -> DataFrame:
     return H.element_text(pages(spark, sf), "sens-content", keep=("key",))
 
 
-@query("SELECT event_id FROM events WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = event_id)")
+@query("SELECT event_id FROM events WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = event_id AND o_orderstatus = 'O')")
 def new_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Rows that aren't there yet: one anti-join, not a probe for each."""
-    seen = table(spark, sf, "orders").select(F.col("o_orderkey").alias("event_id"))
+    seen = table(spark, sf, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("event_id"))
     return table(spark, sf, "events").join(seen, "event_id", "left_anti").select("event_id")
 
 
@@ -103,15 +104,32 @@ def spot_context(spark: SparkSession, sf: str) -> DataFrame:
 GOLDEN = """SELECT * FROM (VALUES (1, 'commodity'), (2, 'sa_inc_mid_small'), (3, 'banks'), (4, 'REITS'), (5, 'holding_company'), (6, 'telecoms'), (7, 'insurance'), (8, 'logistics'), (9, 'construction'), (10, 'sa_inc_mid_small'), (11, 'healthcare'), (12, 'sa_inc_mid_small'), (13, 'sa_inc_mid_small'), (14, 'sa_inc_mid_small')) AS g(id, template)"""
 
 
-@query("SELECT id, category, template FROM categories JOIN golden USING (id)", categories=CATEGORIES, golden=GOLDEN)
+@query("SELECT c_custkey AS key, category, template FROM customer JOIN categories c ON c.id = c_custkey % 14 + 1 JOIN golden g ON g.id = c.id", categories=CATEGORIES, golden=GOLDEN)
 def template_match(spark: SparkSession, sf: str) -> DataFrame:
-    """The template of each category: equal names, else one that holds the other, else the fallback."""
-    return OT.matched(relation(spark, sf, CATEGORIES), "category", relation(spark, sf, TEMPLATES), "stem", FALLBACK)
+    """The template of each instrument's category: equal names, else one that holds the other, else the fallback."""
+    return OT.matched(_categorised(spark, sf).select("key", "category"), "category", relation(spark, sf, TEMPLATES), "stem", FALLBACK)
 
 
-@query("SELECT key, template, NULL::VARCHAR AS research, 'short' AS fault FROM entries JOIN golden ON key % 14 + 1 = id WHERE coalesce(trim(research), '') = ''", entries=ENTRIES, golden=GOLDEN)
+def _categorised(spark: SparkSession, sf: str) -> DataFrame:
+    rows = relation(spark, sf, ENTRIES).withColumn("id", (F.col("key") % 14 + 1).cast("int"))
+    return rows.join(F.broadcast(relation(spark, sf, CATEGORIES)), "id").select("key", "name", "research", "category")
+
+
+def _told(prompts: pd.Series) -> pd.Series:
+    """Replies of every kind by the prompt's length: a report, one that is too short, a failure, one without headings."""
+    kind = prompts.str.len() % 4
+    long = prompts.str.repeat(40)
+    return ("# Report\n" + long).where(kind == 0, prompts.where(kind == 1, ("Error: " + long).where(kind == 2, long.str.replace("#", "", regex=False).str.slice(0, 900))))
+
+
+_REPORT = "'# Report' || chr(10) || repeat(prompt, 40)"
+
+
+@query(
+    f"""SELECT key, template, CASE WHEN length(prompt) % 4 = 0 THEN {_REPORT} END AS research, CASE length(prompt) % 4 WHEN 1 THEN 'short' WHEN 2 THEN 'failed' WHEN 3 THEN 'plain' END AS fault
+FROM (SELECT key, template, 'Template ' || template || chr(10) || 'Company ' || name AS prompt FROM entries JOIN golden ON key % 14 + 1 = id WHERE coalesce(trim(research), '') = '')""",
+    entries=ENTRIES, golden=GOLDEN,
+)
 def research_pipeline(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows without research get a template and a report; the built-in analyzer's replies are too short to be one."""
-    c = relation(spark, sf, CATEGORIES)
-    rows = relation(spark, sf, ENTRIES).withColumn("id", (F.col("key") % 14 + 1).cast("int")).join(F.broadcast(c), "id").select("key", "name", "research", "category")
-    return OT.researched(rows, "key", "research", relation(spark, sf, TEMPLATES), "stem", FALLBACK)
+    """Rows without research get a template and a reply, and keep those that are reports."""
+    return OT.researched(_categorised(spark, sf), "key", "research", relation(spark, sf, TEMPLATES), "stem", FALLBACK, _told)

@@ -77,6 +77,88 @@ class Tree(HTMLParser):
         self.at.below.append(data)
 
 
+SIMPLE = re.compile(r"([a-z0-9]*)((?:[#.][\w-]+|\[[\w-]+(?:=[^\]]*)?\])*)", re.IGNORECASE)
+
+
+def fits(node: Node, simple: str) -> bool:
+    """Whether a node is what ``tag``, ``#id``, ``.class``, ``[attribute]``, ``[attribute=value]`` or several of them in a row name."""
+    m = SIMPLE.fullmatch(simple)
+    if not m:
+        raise ValueError(f"not a selector: {simple!r}")
+    if m[1] and node.tag != m[1].lower():
+        return False
+    for part in re.findall(r"[#.][\w-]+|\[[^\]]*\]", m[2]):
+        if part[0] == "#":
+            ok = node.attrs.get("id") == part[1:]
+        elif part[0] == ".":
+            ok = part[1:] in node.attrs.get("class", "").split()
+        else:
+            name, has_value, wanted = part[1:-1].partition("=")
+            ok = name in node.attrs and (not has_value or node.attrs[name] == wanted.strip("\"'"))
+        if not ok:
+            return False
+    return bool(node.tag)
+
+
+def select(root: Node, selector: str) -> list[Node]:
+    """Nodes below ``root`` in order of the page that a selector names; a blank means anywhere below."""
+    *outer, last = selector.split()
+    found = []
+    for node in root.walk():
+        if node is root or not fits(node, last):
+            continue
+        up, left = node.up, list(outer)
+        while left and up is not None and up is not root:
+            if fits(up, left[-1]):
+                left.pop()
+            up = up.up
+        if not left:
+            found.append(node)
+    return found
+
+
+def first_of(root: Node, selectors: tuple[str, ...]) -> tuple[int, list[Node]]:
+    """The nodes of the first selector that finds any, and its place; the number of selectors if none does."""
+    for i, s in enumerate(selectors):
+        found = select(root, s)
+        if found:
+            return i, found
+    return len(selectors), []
+
+
+def listed(pages: DataFrame, rows: tuple[str, ...], fields: dict[str, str], need: tuple[str, ...] = (), html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """(..., way, row_no, fields): the rows of a list page, by the first of several selectors that finds any (``way`` is its place).
+
+    A field is the text of the first node below the row that its selector names, or with ``@name`` at its end
+    that node's attribute; ``@name`` alone is the row's own. Rows that lack a field of ``need`` are left out.
+    """
+
+    def field(row: Node, how: str) -> str | None:
+        where, _, attribute = how.partition("@")
+        node = next(iter(select(row, where.strip())), None) if where.strip() else row
+        return None if node is None else node.attrs.get(attribute) if attribute else node.text(" ")
+
+    def rows_of(root: Node) -> Iterator[tuple]:
+        way, found = first_of(root, rows)
+        for i, row in enumerate(found):
+            got = {name: field(row, how) for name, how in fields.items()}
+            if all(got[n] for n in need):
+                yield way, i, *got.values()
+
+    return each_page(pages, html, list(keep), "way int, row_no int, " + ", ".join(f"{n} string" for n in fields), rows_of)
+
+
+def texts(pages: DataFrame, selectors: tuple[str, ...], default: str = "No content", html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """(..., way, pieces, content): the text of the first node of the first selector that finds any, one line for each piece."""
+
+    def rows_of(root: Node) -> Iterator[tuple]:
+        way, found = first_of(root, selectors)
+        pieces = [t for x in found[0].texts() if (t := x.strip())] if found else []
+        yield way, len(pieces), "\n".join(pieces) if found else default
+
+    return each_page(pages, html, list(keep), "way int, pieces int, content string", rows_of)
+
+
 def cells(table: Node) -> list[list[str]]:
     return [[c.text().replace("\n", " ") for c in row.all("td", "th")] for row in table.all("tr")]
 
