@@ -10,17 +10,22 @@ at other characters than letters and digits and each run of letters is split by
 Viterbi into the words of greatest joint probability (unknown words: a tenth
 for each letter, so that a name of unknown parts stays whole).
 
-There are no labelled URLs.  The classes are learned from seed words: a URL
-with a seed among the delimited words of its host is blocked, all others count
-as allowed; token counts of both classes cover all URLs, and words that keep
-company with seeds (or hold them run together) are learned from them.
+There are no labelled URLs, so the classes are learned from positive and
+unlabelled ones. URLs with a seed word in their host are positive; all others
+are unlabelled. First these count as allowed; then, ``ROUNDS`` times, every
+unlabelled URL counts for both classes by the share that the last model gives it.
+It has no seed, so it is judged by the words
+that keep company with seeds elsewhere: hosts of such words are blocked without
+a seed of their own. Counts cover all URLs in every round.
 
 Rules come before the classifier: a rule is a host suffix and a path prefix;
 of those that fit, the longest wins.
 
 Null URLs and those without ``://`` have an empty host and path, no tokens and
 the verdict of the prior alone.  URLs of any length, repeated rows and extra
-columns are fine; columns that have the names of the results are replaced.
+columns of any name are fine; columns that have the names of the results are
+replaced. Of equal segmentations the one with the longer last word counts, of
+equal classes (a score of one half) the blocked one. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,14 +39,16 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType
+from pyspark.sql.types import StructType
 
 from larkspur.llm.tables import written
 
 #: Least share of a word or token in all occurrences for the tasks to hold it: at most 1 / MIN_SHARE entries; rarer ones are joined.
 MIN_SHARE = 1e-5
-#: Longest word of the lexicon.
-LONGEST = 24
+#: Rounds in which unlabelled URLs count for both classes.
+ROUNDS = 2
+#: Shares of a URL are counted in these parts.
+PARTS = 1_000_000
 #: Words that mark a host's URLs as blocked in training, whether they are set apart in it or found by segmentation.
 SEEDS = (
     "adult", "ads", "adserver", "bet", "bets", "betting", "casino", "crack", "cracked", "doubleclick", "escort", "gambling", "jackpot", "keygen", "lottery", "malware", "nude", "payday", "pharma",
@@ -104,17 +111,17 @@ class Lexicon:
 
     frequent: dict[str, int]
     total: int
-    longest: int  #: length of the longest word, rare or not
+    lengths: tuple[int, ...]  #: lengths of its words, rare or not
     rare: DataFrame | None = None
 
 
 def lexicon(text: DataFrame, column: str, least: float = MIN_SHARE) -> Lexicon:
     """Counts of all words (letters only, lower case)."""
     words = text.select(F.explode(F.split(F.lower(F.col(column)), r"[^\p{L}]+")).alias("w"))
-    counts = words.where(f"length(w) between 1 and {LONGEST}").groupBy("w").agg(F.count(F.lit(1)).alias("c"))
+    counts = words.where("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("c"))
     found, totals, rare, _ = _frequent(counts, "w", ["c"], least)
-    longest = rare.agg(F.max(F.length("w"))).first()[0] if rare is not None else 1
-    return Lexicon(found, totals[0], max([longest, *map(len, found)]), rare)
+    lengths = {r[0] for r in rare.select(F.length("w")).distinct().collect()} if rare is not None else set()
+    return Lexicon(found, totals[0], tuple(sorted(lengths.union(map(len, found)))), rare)
 
 
 def _frequent(counts: DataFrame, key: str, columns: list[str], least: float) -> tuple[dict, list[int], DataFrame | None, int]:
@@ -131,29 +138,35 @@ def _frequent(counts: DataFrame, key: str, columns: list[str], least: float) ->
 class Segmenter:
     """Unigram Viterbi over the words of a lexicon."""
 
-    def __init__(self, counts: dict[str, int], total: int | None = None, longest: int | None = None):
+    def __init__(self, counts: dict[str, int], total: int | None = None, lengths: tuple[int, ...] | None = None):
         total = max(1, sum(counts.values()) if total is None else total)
         self.total = total
         self.cost = {w: math.log(total) - math.log(c) for w, c in counts.items() if len(w) > 1}
         self.unknown = math.log(total) - math.log(10)
-        self.longest = longest or max(map(len, self.cost), default=1)
+        self.lengths = sorted((set(map(len, counts)) if lengths is None else set(lengths)) - {1}, reverse=True)
         self.known: dict[str, list[str]] = {}
 
     def split(self, name: str, rare: dict[str, int] | None = None) -> list[str]:
-        """Words of least total cost, with ``rare`` ones beside the lexicon's; of equal ones the one with the longer last word."""
+        """Words of least total cost, with ``rare`` ones beside the lexicon's; of equal ones the one with the longer last word.
+
+        A known word always costs less than an unknown one of its length, so the best unknown
+        word that ends at a place is that of the least cost so far less its start's share.
+        """
         more = {w: math.log(self.total) - math.log(c) for w, c in (rare or {}).items()}
-        n, best, back = len(name), [0.0], [0]
+        n, best, back, letter = len(name), [0.0], [0], math.log(10)
+        start, least = 0, 0.0  # of the best unknown word
         for i in range(1, n + 1):
-            # One unknown word may end here, wherever it starts: its cost grows with each letter.
-            low, at = math.inf, 0
-            for j in range(max(0, i - self.longest), i):
-                word = self.cost.get(name[j:i], more.get(name[j:i]))
-                if word is None:
-                    word = self.unknown + (i - j) * math.log(10)
-                if best[j] + word < low:
-                    low, at = best[j] + word, j
+            low, at = least + self.unknown + i * letter, start
+            for size in self.lengths:
+                if size > i:
+                    continue
+                word = self.cost.get(name[i - size : i], more.get(name[i - size : i]))
+                if word is not None and (best[i - size] + word < low or (best[i - size] + word == low and i - size < at)):
+                    low, at = best[i - size] + word, i - size
             best.append(low)
             back.append(at)
+            if low - i * letter < least:
+                start, least = i, low - i * letter
         out, i = [], n
         while i:
             out.append(name[back[i] : i])
@@ -183,13 +196,13 @@ class Model:
     """Lexicon and counts of the tokens in both classes."""
 
     words: dict[str, int]
-    tokens: dict[str, tuple[int, int]] = field(default_factory=dict)
-    totals: tuple[int, int] = (0, 0)
-    documents: tuple[int, int] = (0, 0)
+    tokens: dict[str, tuple[float, float]] = field(default_factory=dict)
+    totals: tuple[float, float] = (0, 0)
+    documents: tuple[float, float] = (0, 0)
     smoothing: float = 1.0
     size: int = 0  #: number of tokens, rare ones with them
     total: int | None = None  #: occurrences of all words
-    longest: int | None = None  #: length of the longest word
+    lengths: tuple[int, ...] | None = None  #: lengths of all words
 
     def scorer(self) -> Scorer:
         return Scorer(self)
@@ -206,7 +219,7 @@ class Fitted:
 
 class Scorer:
     def __init__(self, model: Model):
-        self.segmenter = Segmenter(model.words, model.total, model.longest)
+        self.segmenter = Segmenter(model.words, model.total, model.lengths)
         size = model.size + 1
         a = model.smoothing
         base = [math.log(t + a * size) for t in model.totals]
@@ -232,7 +245,7 @@ def _splits(urls: DataFrame, words: Lexicon) -> DataFrame | None:
     """(host, runs) of the hosts with runs of letters that rare words split otherwise than the frequent ones alone."""
     if words.rare is None:
         return None
-    shared = urls.sparkSession.sparkContext.broadcast((words.frequent, words.total, words.longest))
+    shared = urls.sparkSession.sparkContext.broadcast((words.frequent, words.total, words.lengths))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,10 +253,10 @@ def _splits(urls: DataFrame, words: Lexicon) -> DataFrame | None:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.string()) for k in (0, 1)], names=["host", "run"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, *_ = shared.value
+        frequent, _, lengths = shared.value
         for batch in batches:
             for run in batch.column("run").to_pylist():
-                subs = sorted({s for i in range(len(run)) for j in range(i + 2, min(len(run), i + LONGEST) + 1) if (s := run[i:j]) not in frequent})
+                subs = sorted({s for size in lengths if size > 1 for i in range(len(run) - size + 1) if (s := run[i : i + size]) not in frequent})
                 yield pa.RecordBatch.from_arrays([pa.array([run] * len(subs), pa.string()), pa.array(subs, pa.string())], names=["run", "w"])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,64 +277,93 @@ def _splits(urls: DataFrame, words: Lexicon) -> DataFrame | None:
 
 def _with_runs(rows: DataFrame, splits: DataFrame | None) -> DataFrame:
     """Adds the runs of ``splits``; null for hosts without any."""
-    return rows if splits is None else rows.join(splits.withColumnRenamed("runs", "_runs"), "host", "left")
+    return rows if splits is None else rows.join(splits, "host", "left").select(*rows.columns, "runs")
 
 
 def _hosts(batch: pa.RecordBatch) -> Iterator[tuple[str, str, dict[str, list[str]]]]:
     """(host, path, runs) of each row."""
-    runs = batch.column("_runs").to_pylist() if "_runs" in batch.schema.names else [None] * batch.num_rows
+    runs = batch.column("runs").to_pylist() if "runs" in batch.schema.names else [None] * batch.num_rows
     for host, path, found in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), runs, strict=True):
         yield host, path, {x["run"]: x["words"] for x in found or ()}
 
 
-def fit(pages: DataFrame, words: Lexicon | dict[str, int], url: str = "url", seeds: tuple[str, ...] = SEEDS, least: float = MIN_SHARE) -> Fitted:
+def fit(pages: DataFrame, words: Lexicon | dict[str, int], url: str = "url", seeds: tuple[str, ...] = SEEDS, least: float = MIN_SHARE, rounds: int = ROUNDS) -> Fitted:
     """Token counts over all URLs; each task sums its own before anything is shuffled."""
     if isinstance(words, dict):
-        words = Lexicon(words, sum(words.values()), max(map(len, words), default=1))
+        words = Lexicon(words, sum(words.values()), tuple(sorted(set(map(len, words)))))
     urls = _urls(pages, url)
     splits = _splits(urls, words)
-    shared = pages.sparkSession.sparkContext.broadcast((words.frequent, words.total, words.longest))  # at most 1 / MIN_SHARE words
+    rows = _with_runs(urls, splits)
+    if splits is not None and rounds:
+        rows = written(rows, "urls")
+    fitted = _counted(rows, words, seeds, least, None)
+    for _ in range(rounds):
+        last = Fitted(fitted.model, splits, fitted.rare)
+        if fitted.rare is None:
+            fitted = _counted(rows, words, seeds, least, last.model)
+        else:
+            judged = _judged(urls.select(F.lit(0).alias("rest"), "host", "path"), last, []).select("host", "path", "score")
+            fitted = _counted(_with_runs(judged, splits), words, seeds, least, None)
+    return Fitted(fitted.model, splits, fitted.rare)
+
+
+def _counted(rows: DataFrame, words: Lexicon, seeds: tuple[str, ...], least: float, last: Model | None) -> Fitted:
+    """Counts of one round, in parts of a URL; unlabelled URLs are shared out by a column ``score``, or by the ``last`` model, else they are allowed."""
+    shared = rows.sparkSession.sparkContext.broadcast((words.frequent, words.total, words.lengths, last))  # at most 1 / MIN_SHARE words and tokens
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter, held, marked = Segmenter(*shared.value), Counter(), set(seeds)
+        *lexicon, model = shared.value
+        segmenter, held, marked = Segmenter(*lexicon), Counter(), set(seeds)
+        scorer = model.scorer() if model else None
 
         def sent() -> pa.RecordBatch:
-            rows = list(held.items())
+            names = sorted({t for t, _ in held})
+            out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([held[t, k] for t in names], pa.int64()) for k in (ALLOW, BLOCK))], names=["token", "allow", "block"])
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([t for (t, _), _ in rows], pa.string()), *(pa.array([n if c == k else 0 for (_, c), n in rows], pa.int64()) for k in (ALLOW, BLOCK))], names=["token", "allow", "block"])
+            return out
 
         for batch in batches:
-            for host, path, runs in _hosts(batch):
+            scores = batch.column("score").to_pylist() if "score" in batch.schema.names else None
+            for i, (host, path, runs) in enumerate(_hosts(batch)):
                 found = segmenter.words(host, runs)
-                k = BLOCK if not marked.isdisjoint(found) or not marked.isdisjoint(_RUNS.findall(host)) else ALLOW
-                held["", k] += 1
-                for t in tokens(found, path):
-                    held[t, k] += 1
+                names = tokens(found, path)
+                if not marked.isdisjoint(found) or not marked.isdisjoint(_RUNS.findall(host)):
+                    block = PARTS
+                else:
+                    block = round(PARTS * (scores[i] if scores else probability(scorer.odds(names)) if scorer else 0))
+                for t in ("", *names):
+                    held[t, BLOCK] += block
+                    held[t, ALLOW] += PARTS - block
                 if len(held) > 100_000:
                     yield sent()
         if held:
             yield sent()
 
-    counts = _with_runs(urls, splits).mapInArrow(count, "token string, allow long, block long").groupBy("token").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
+    counts = rows.mapInArrow(count, "token string, allow long, block long").groupBy("token").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
     found, totals, rare, size = _frequent(counts, "token", ["allow", "block"], least)
     n = found.pop("", (0, 0))  # the number of URLs
-    model = Model(words.frequent, found, (totals[0] - n[0], totals[1] - n[1]), n, size=size - (n != (0, 0)), total=words.total, longest=words.longest)
-    return Fitted(model, splits, rare)
+    whole = lambda c: (c[0] / PARTS, c[1] / PARTS)
+    model = Model(words.frequent, {t: whole(c) for t, c in found.items()}, whole((totals[0] - n[0], totals[1] - n[1])), whole(n), size=size - (n != (0, 0)), total=words.total, lengths=words.lengths)
+    return Fitted(model, None, rare)
 
 
 def judge(pages: DataFrame, fitted: Fitted, order: list[Rule], url: str = "url") -> DataFrame:
     """Adds RESULT to every row: host, path, rule (or null), verdict, score of the classifier, words of the host."""
-    pages = pages.drop(*RESULT)
-    rows = pages.withColumns({"host": host_column(F.col(url)), "path": path_column(F.col(url))})
-    schema = rows.select("*", F.lit("").cast("string").alias("rule"), F.lit("").alias("verdict"), F.lit(0.0).alias("score"), F.lit("").alias("host_words")).schema
-    schema["rule"].nullable = True
+    own = [c for c in pages.columns if c not in RESULT]
+    rows = pages.select(F.struct(*own).alias("rest"), host_column(F.col(url)).alias("host"), path_column(F.col(url)).alias("path"))
+    return _judged(rows, fitted, order).select(*(F.col("rest").getField(c).alias(c) for c in own), *RESULT)
+
+
+def _judged(rows: DataFrame, fitted: Fitted, order: list[Rule]) -> DataFrame:
+    """Rows (rest, host, path) with the rest of RESULT."""
+    made = "rule string, verdict string, score double, host_words string"
     rare = fitted.rare
     if rare is not None:
-        schema = schema.add("_rare", ArrayType(StringType())).add("_row", LongType())
-        rows = rows.withColumn("_row", F.monotonically_increasing_id())  # written below with all that is joined by it
-    own, partial = rows.columns, rare is not None
-    rows = _with_runs(rows, fitted.splits).select(*own, *(["_runs"] if fitted.splits is not None else []))
-    shared = pages.sparkSession.sparkContext.broadcast(fitted.model)  # bounded: see MIN_SHARE
+        rows, made = rows.withColumn("row", F.monotonically_increasing_id()), made + ", rare array<string>"  # written below with all that is joined by it
+    before, partial = rows.columns, rare is not None
+    schema = StructType([*rows.schema, *StructType.fromDDL(made)])
+    rows = _with_runs(rows, fitted.splits)
+    shared = rows.sparkSession.sparkContext.broadcast(fitted.model)  # bounded: see MIN_SHARE
     by: dict[str, list[Rule]] = {}
     for r in sorted(order, key=lambda r: (-len(r.text), r.text)):
         by.setdefault(r.host, []).append(r)
@@ -352,8 +394,8 @@ def judge(pages: DataFrame, fitted: Fitted, order: list[Rule], url: str = "url")
                 for k, v in enumerate((rule and rule.text, rule.verdict if rule else VERDICTS[score >= 0.5], odds if partial else score, " ".join(words), left)):
                     out[k].append(v)
             kinds = (pa.string(), pa.string(), pa.float64(), pa.string(), pa.list_(pa.string()))
-            made = dict(zip(("rule", "verdict", "score", "host_words", "_rare"), (pa.array(v, t) for v, t in zip(out, kinds, strict=True)), strict=True))
-            yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in schema.names], names=schema.names)
+            results = [pa.array(v, t) for v, t in zip(out, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in before), *results[: 5 if partial else 4]], names=schema.names)
 
     done = rows.mapInArrow(read, schema)
     if rare is None:
@@ -361,12 +403,11 @@ def judge(pages: DataFrame, fitted: Fitted, order: list[Rule], url: str = "url")
     scorer = fitted.model.scorer()
     done = written(done, "judged")
     a = fitted.model.smoothing
-    weights = rare.select("token", (F.log(F.col("block") + a) - F.log(F.col("allow") + a) + F.lit(scorer.unseen)).alias("w"))
-    hits = done.select("_row", F.explode("_rare").alias("token")).join(weights, "token")
+    weights = rare.select("token", (F.log(F.col("block") / PARTS + a) - F.log(F.col("allow") / PARTS + a) + F.lit(scorer.unseen)).alias("w"))
+    hits = done.select("row", F.explode("rare").alias("token")).join(weights, "token")
     # Sorted, so that the last digit doesn't depend on the order of rows.
-    sums = hits.groupBy("_row").agg(F.aggregate(F.array_sort(F.collect_list("w")), F.lit(0.0), lambda x, y: x + y).alias("_more"))
-    odds = F.greatest(F.lit(-500.0), F.least(F.lit(500.0), F.col("score") + F.coalesce("_more", F.lit(0.0))))
-    whole = done.join(sums, "_row", "left").withColumn("score", 1 / (1 + F.exp(-odds)))
+    sums = hits.groupBy("row").agg(F.aggregate(F.array_sort(F.collect_list("w")), F.lit(0.0), lambda x, y: x + y).alias("more"))
+    odds = F.greatest(F.lit(-500.0), F.least(F.lit(500.0), F.col("score") + F.coalesce("more", F.lit(0.0))))
+    whole = done.join(sums, "row", "left").withColumn("score", 1 / (1 + F.exp(-odds)))
     by_score = F.when(F.col("score") >= 0.5, VERDICTS[BLOCK]).otherwise(VERDICTS[ALLOW])
-    whole = whole.withColumn("verdict", F.when(F.col("rule").isNull(), by_score).otherwise(F.col("verdict")))
-    return whole.select(*(c for c in schema.names if c not in ("_rare", "_row")))
+    return whole.withColumn("verdict", F.when(F.col("rule").isNull(), by_score).otherwise(F.col("verdict")))
