@@ -14,7 +14,9 @@ extended windows, are matched by shuffle joins with the same results.
 
 Null and wordless texts have no words and no hits; null and wordless items no
 windows.  Repeated items count once each under their own id; repeated document
-rows each get their result.  Texts may be of any length.
+rows each get their result.  Texts may be of any length.  Of fingerprints that tie
+the leftmost counts.  Columns of any name pass through (those of the results are
+replaced); an empty table gives an empty result, no items no hits.
 """
 
 from __future__ import annotations
@@ -24,11 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.kernels import GOLDEN, LOWER, U64, flat, gram_hashes, mix, padded, removal_mask, span_hashes, text_chunks, window_argmin, word_spans
-from larkspur.llm.tables import free
+from larkspur.llm.tables import free, written
 
 WINDOW = 10
 #: Item windows up to which they are sent to every task (about 150 bytes each).
@@ -151,7 +153,7 @@ def judge(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str =
     docs = docs.drop(*_NAMES)
     windows = item_windows(items, item_key, item_text)
     rows = windows.limit(limit + 1).collect()
-    return _by_broadcast(docs, rows, text) if len(rows) <= limit else _by_joins(docs, windows, text)
+    return _by_broadcast(docs, rows, text) if len(rows) <= limit else _by_joins(docs, written(windows, "windows"), text)
 
 
 def _by_broadcast(docs: DataFrame, rows: list, text: str) -> DataFrame:
@@ -207,9 +209,12 @@ def _by_joins(docs: DataFrame, windows: DataFrame, text: str) -> DataFrame:
     runs = texts.mapInArrow(extended, "key binary, length int, print long, start long, run binary").join(windows.select("length", "print").distinct(), ["length", "print"], "left_semi")
     spread = runs.withColumn("i", F.explode(F.sequence(F.lit(0), (F.octet_length("run") / 8).cast("int") - F.col("length"))))
     starts = spread.select("key", "length", (F.col("start") + F.col("i")).alias("start"), F.expr("substring(run, i * 8 + 1, length * 8)").alias("words"))
-    hits = starts.join(windows.select("words", "length").distinct(), ["words", "length"], "left_semi")
+    hits = written(starts.join(windows.select("words", "length").distinct(), ["words", "length"], "left_semi"), "hits")
     named = hits.select("key", "words", "length").distinct().join(windows.select("words", "length", "item"), ["words", "length"]).groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("item")), ",").alias("joined"), F.countDistinct("item").alias("n_items"))
-    spots = hits.groupBy("key").agg(F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", F.col("start") + F.col("length") - 1))))).cast("long").alias("n_hit"))
+    # Each hit adds the words beyond the furthest end before it: one sort of a text's hits, no list of places.
+    end, before = F.col("start") + F.col("length"), Window.partitionBy("key").orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = hits.withColumn("new", F.greatest(end - F.greatest(F.col("start"), F.coalesce(F.max(end).over(before), F.lit(0))), F.lit(0)))
+    spots = fresh.groupBy("key").agg(F.sum("new").cast("long").alias("n_hit"))
     found = spots.join(named, "key")
     nothing = F.coalesce
     key, more = free("_key", docs.columns), free("_found", docs.columns)

@@ -17,8 +17,10 @@ stretches, and each then is its own group.
 
 Null texts have no words; words are runs of other bytes than white space and
 stay unchanged.  Rows with the same id count as one document whose windows are
-ordered by start alone; rows without an id come last.  Texts may be of any
-length.
+ordered by start alone, each with its own result; rows without an id come last.
+Texts may be of any length.  Of equal windows the one of the smallest (id, start)
+stays.  Only id and text are read, so other columns may have any name; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

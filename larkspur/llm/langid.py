@@ -20,6 +20,10 @@ them.  ``predict`` can add whether a text reaches it.
 
 Null, empty and letterless texts are ``und`` with score 0.  Ties go to the
 language that sorts first.  Texts may be of any length: flags are of fixed size.
+Repeated texts teach once; every row is scored.  Columns of any name pass through
+(those of the results are replaced); an empty table gives an empty result, and
+without labels every text is ``und``.  A model takes 256 kB a language in every task:
+more than ``LANGUAGES`` of them are refused with an error before anything is learned.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ from larkspur.llm.kernels import text_chunks
 
 ORDER, BUCKETS = 3, 1 << 15
 PER_CLASS, LANDMARKS, RIDGE = 600, 256, 1e-3
+#: Languages of one model, at most: it is held by the driver and by every task.
+LANGUAGES = 500
 #: Share of labelled texts that may be odd ones (mislabelled, junk) when the least share is set.
 ODD = 0.01
 UNKNOWN = "und"
@@ -156,7 +162,9 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", per_class: int
     """
     rows = train.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text rlike '\\\\p{L}'")
     rows = rows.withColumn("h", F.xxhash64("text").bitwiseAND((1 << 62) - 1))
-    counts = {r["lang"]: r["count"] for r in rows.select("lang", "h").distinct().groupBy("lang").count().collect()}  # copies don't count
+    counts = {r["lang"]: r["count"] for r in rows.select("lang", "h").distinct().groupBy("lang").count().limit(LANGUAGES + 1).collect()}  # copies don't count
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     if not counts:
         return solve(np.zeros((0, BUCKETS), np.uint8), [])
     below = F.create_map(*(F.lit(v) for k, n in counts.items() for v in (k, int(min(1.0, 6 * per_class / n) * (1 << 62)))))
@@ -180,7 +188,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", out: tuple[str, ...
     text is in that language at all (see ``Model.least``); columns of these names are replaced."""
     df = df.drop(*out)
     schema = df.select("*", *(F.lit(v).alias(k) for k, v in zip(out, ("", 0.0, True), strict=False))).schema
-    shared = df.sparkSession.sparkContext.broadcast(model)  # of fixed size: BUCKETS x languages
+    shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS x LANGUAGES at most
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -16,6 +16,8 @@ it, than a window needs can't hold one and isn't sketched for that size.
 Templates are a parameter, a list that the caller holds, sent to every task.
 Null texts and texts of fewer words than a shingle have no windows and no
 licenses; texts may be of any length; repeated rows each get their result.
+Templates that tie are all named, in order of their names.  Columns of any name
+pass through; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -24,7 +24,10 @@ components, of which a list gives those outside its largest component against
 the whole list.  Pairs inside a component need no comparison, so none is lost.
 
 Null and wordless documents have empty sets and are alone.  Rows without an id
-come last.  Texts may be of any length.
+come last; repeated rows are members of one component, of which ``keep_first`` keeps
+one row.  Ties of signature values link like any others, and exact sets decide.
+Texts may be of any length.  ``link`` reads id and text alone, ``keep_first`` passes
+columns of any name through; an empty table gives an empty result.
 """
 
 from __future__ import annotations

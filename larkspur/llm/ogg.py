@@ -9,7 +9,9 @@ raises ``OggError``; ``decode_column`` turns that into a null payload with the
 reason, so one damaged row doesn't end a job.
 
 Null and empty texts are one frame of padding; text length is unbounded (a
-payload of any size becomes as many pages as it takes).
+payload of any size becomes as many pages as it takes).  Repeated rows each get
+their own stream, equal for equal texts; there are no ties.  Kept columns may have
+any name but that of a result; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -18,7 +18,9 @@ Texts are stored with a space before them and spaces as U+2581, as the model's
 normaliser (identity) does; symbols without a piece become their UTF-8 bytes.
 Decoding restores the text exactly, but for a U+2581 of the text itself, which
 the format can't tell from a space.  Null and empty texts have no ids.  Texts
-may be of any length: a task holds one chunk of texts, and its equal parts,
+may be of any length (repeated rows each get their ids; of pieces of equal score
+the one further left is merged first; columns of any name pass through; an empty
+table gives an empty result): a task holds one chunk of texts, and its equal parts,
 between symbols that no piece holds side by side, are encoded once.
 """
 

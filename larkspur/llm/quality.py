@@ -10,7 +10,10 @@ plus that of the log priors.
 
 Null texts count as empty; empty texts have all-zero statistics and get a score
 like any other.  Texts may be of any length.  Without labels of both classes
-the score is the share of label 1 (0.5 without any).
+the score is the share of label 1 (0.5 without any).  Rows of one id teach and are
+scored each on their own; equal texts have equal scores, and a score of one half
+counts as label 1.  Only the columns named are read, so others may have any name; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -14,7 +14,10 @@ and reranked, until they are unique or past the threshold:
 
 Null and empty texts have no bytes.  Repeated rows (same id) aren't smaller
 than each other and remove nothing from each other; rows without an id come
-last.  Matches never cross documents.  Texts may be of any length.
+last.  Matches never cross documents.  Texts may be of any length.  Of equal
+strings those of the smallest id stay.  ``dedup`` reads id and text alone,
+``cut_column`` passes columns of any name through; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations

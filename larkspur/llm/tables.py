@@ -28,11 +28,25 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder: survives lost executors, and cuts the lineage."""
     path = f"{shared_dir(df.sparkSession)}/larkspur-{name}-{uuid.uuid4().hex}"
+    _left[path] = df.sparkSession
     df.write.option("compression", "zstd").parquet(path)
     release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Folders that this process has written and that are still there.
+_left: dict[str, SparkSession] = {}
+
+
+def close() -> None:
+    """Deletes every table that operators have left behind; frames that read them can't be used any more."""
+    for path, spark in list(_left.items()):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        spark.sql(f"DROP TABLE IF EXISTS `{folder.getName()}`")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        del _left[path]
+
+
 def drop(*frames: DataFrame) -> None:
     """Deletes ``written`` or ``bucketed`` tables that nothing reads any more, with their catalog entries."""
     for df in frames:
@@ -44,11 +58,14 @@ def drop(*frames: DataFrame) -> None:
                 raise ValueError(f"{folder.toString()} is not a table of ours")
             spark.sql(f"DROP TABLE IF EXISTS `{folder.getName()}`")
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            for path in [p for p in _left if p.endswith("/" + folder.getName())]:
+                del _left[path]
 
 
 def bucketed(df: DataFrame, name: str, n: int, key: str) -> DataFrame:
     """Like ``written``, with the rows in ``n`` buckets of the key: joins and groups by it then don't move them again."""
     spark, unique = df.sparkSession, f"larkspur_{name}_{uuid.uuid4().hex}"
+    _left[f"{shared_dir(spark)}/{unique}"] = spark
     df.repartition(n, key).write.bucketBy(n, key).option("compression", "zstd").option("path", f"{shared_dir(spark)}/{unique}").saveAsTable(unique)
     release(spark)
     return spark.table(unique)

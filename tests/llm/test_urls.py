@@ -94,3 +94,28 @@ def test_hosts_without_a_seed(spark):
         got.setdefault(r["host"].split(".")[0], set()).add(r["verdict"])
     assert all(got[h] == {"block"} for h in ("freebonuswin", "bonus-win", "free-win", "freecasino", "winbets"))
     assert all(got[h] == {"allow"} for h in ("garden-house", "flowershop", "news", "dailynews", "shop-house"))
+
+
+def test_tables_that_are_left_are_closed(spark):
+    import os
+
+    from larkspur.llm import tables
+
+    tables.close()
+    a, b = tables.written(spark.range(3), "a"), tables.bucketed(spark.range(3).toDF("k"), "b", 2, "k")
+    folders = [os.path.dirname(f.inputFiles()[0].removeprefix("file://")) for f in (a, b)]
+    assert all(os.path.isdir(f) for f in folders) and len(tables._left) == 2
+    tables.drop(a)
+    assert len(tables._left) == 1
+    tables.close()
+    assert not any(os.path.isdir(f) for f in folders) and not tables._left and not [t for t in spark.catalog.listTables() if t.name.startswith("larkspur_b")]
+
+
+def test_bound_of_languages(spark, monkeypatch):
+    from larkspur.llm import langid
+
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    docs = lambda n: spark.createDataFrame([(i, f"text of {i}", f"l{i}") for i in range(n)], "doc_id long, text string, lang string")
+    assert langid.fit(docs(2)).languages == ["l0", "l1"]
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        langid.fit(docs(3))
