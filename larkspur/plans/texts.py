@@ -116,13 +116,17 @@ def footer_trim(spark: SparkSession, sf: str) -> DataFrame:
     return OT.trimmed(relation(spark, sf, FOOTERS), "id", "text")
 
 
-@query("SELECT conv_id, turn, CASE WHEN regexp_matches(t, 'significance\\W+(low|medium|high)', 'i') THEN upper(left(v, 1)) || lower(substr(v, 2)) END AS significance FROM (SELECT conv_id, turn, t, regexp_extract(t, 'significance\\W+(low|medium|high)', 1, 'i') AS v FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'x SIGNIFICANCE: hIGH y' WHEN 1 THEN 'significance - low' ELSE text END AS t FROM conversations))")
+#: What an analysis may say of its weight, after any text: in several forms, and in one that doesn't count.
+WEIGHTS = """SELECT conv_id, turn, text || CASE CAST(turn % 4 AS INT) WHEN 0 THEN ' Significance: ' || w WHEN 1 THEN CHR(10) || 'SIGNIFICANCE - ' || upper(w) || ', more' WHEN 2 THEN ' significance ' || w || ' significance: low' ELSE ' significance of ' || w END AS t
+  FROM (SELECT *, CASE CAST(length(text) % 3 AS INT) WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS w FROM {conversations})"""
+
+
+@query("SELECT conv_id, turn, CASE WHEN regexp_matches(t, 'significance\\W+(low|medium|high)', 'i') THEN upper(left(v, 1)) || lower(substr(v, 2)) END AS significance FROM (SELECT *, regexp_extract(t, 'significance\\W+(low|medium|high)', 1, 'i') AS v FROM weights)", weights=WEIGHTS)
 def significance(spark: SparkSession, sf: str) -> DataFrame:
+    """The weight that a text names first, with a capital."""
     from larkspur import functions as X
 
-    turn = F.col("turn") % 3
-    t = F.when(turn == 0, "x SIGNIFICANCE: hIGH y").when(turn == 1, "significance - low").otherwise(F.col("text"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", X.significance(t).alias("significance"))
+    return relation(spark, sf, WEIGHTS).select("conv_id", "turn", X.significance(F.col("t")).alias("significance"))
 
 
 #: Names of categories and of the templates that exist for them.
@@ -155,7 +159,27 @@ LINKS = """SELECT page_id, url, CASE CAST(page_id % 8 AS INT) WHEN 0 THEN '../a/
   CASE WHEN page_id % 3 = 0 THEN 'window.open( ''/w/g.pdf'', 1)' END AS onclick, CASE CAST(page_id % 4 AS INT) WHEN 0 THEN 'attachment; filename="n 1.pdf"; x' WHEN 1 THEN 'filename=n2.pdf' END AS disposition FROM {pages}"""
 
 
-@query()
+def absolute(link: str, page: str) -> str:
+    """SQL of a link as seen from a page: segments are folded from the left."""
+    start = "'^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)([^?#]*)'"
+    site, folder = f"regexp_extract({page}, {start}, 1)", f"regexp_replace(regexp_extract({page}, {start}, 2), '[^/]*$', '')"
+    value = f"trim(replace({link}, chr(92), '/'))"
+    whole = f"CASE WHEN regexp_matches({value}, '(?i)^https?://') THEN {value} WHEN starts_with({value}, '//') THEN regexp_extract({page}, '^[A-Za-z][A-Za-z0-9+.-]*:') || {value} WHEN starts_with({value}, '/') THEN {site} || {value} ELSE {site} || coalesce(nullif({folder}, ''), '/') || {value} END"
+    parts = f"(SELECT [regexp_extract(u, {start}, 1), regexp_extract(u, {start}, 2), regexp_replace(u, {start}, '')] FROM (SELECT {whole} AS u))"
+    kept = "list_reduce(list_prepend('', list_filter(string_split(p[2], '/'), lambda s: s NOT IN ('', '.'))), lambda a, s: CASE WHEN s = '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || s END)"
+    return f"CASE WHEN {value} <> '' THEN (SELECT p[1] || CASE WHEN k = '' THEN '/' ELSE k || CASE WHEN p[2] LIKE '%/' THEN '/' ELSE '' END END || p[3] FROM (SELECT p, {kept} AS k FROM (SELECT {parts} AS p))) END"
+
+
+_TARGET = "CASE WHEN page_id % 8 IN (3, 5) THEN CASE WHEN page_id % 3 = 0 THEN '/w/g.pdf' END ELSE href END"
+
+
+@query(
+    f"""SELECT page_id, absolute, nullif(regexp_extract(absolute, '[?&]id=([^&#]*)', 1), '') AS article, name,
+  CASE WHEN absolute IS NULL THEN '' WHEN regexp_matches(absolute, '^[a-z]+://[^/?#]*/PDF/') THEN concat_ws(' ', absolute, replace(absolute, '/PDF/', '/ost/PDF/'), replace(absolute, '/PDF/', '/ost/sp/profilem/PDF/')) WHEN regexp_matches(absolute, '^[a-z]+://[^/?#]*/ost/PDF/') THEN concat_ws(' ', absolute, replace(absolute, '/ost/PDF/', '/ost/sp/profilem/PDF/')) ELSE absolute END AS places
+FROM (SELECT page_id, absolute, coalesce(CASE page_id % 4 WHEN 0 THEN 'n 1.pdf' WHEN 1 THEN 'n2.pdf' END, nullif(regexp_extract(absolute, '([^/?#]*)([?#].*)?$', 1), ''), 'download.pdf') AS name
+FROM (SELECT page_id, {absolute("t", "'http://site.example/x/y/page.aspx?q=1'")} AS absolute FROM (SELECT page_id, {_TARGET} AS t FROM links)))""",
+    links=LINKS,
+)
 def resolved_links(spark: SparkSession, sf: str) -> DataFrame:
     """Absolute addresses, ids, other places and names of the links; tested against the standard library."""
     base = F.lit("http://site.example/x/y/page.aspx?q=1")
@@ -216,3 +240,15 @@ def schedule(spark: SparkSession, sf: str) -> DataFrame:
     from larkspur import functions as X
 
     return table(spark, sf, "events").select("event_id", X.at_work(F.col("ts")).alias("at_work"), X.poll_seconds(F.col("ts")).alias("wait"))
+
+
+#: Links out of each page's own menu, made relative in several ways.
+MENU = r"""SELECT page_id, url, CASE CAST((page_id + i) % 6 AS INT) WHEN 0 THEN href WHEN 1 THEN '..' || href WHEN 2 THEN 'a/./b/..' || href || '/' WHEN 3 THEN '../../..' || href || '?k=/../1' WHEN 4 THEN '//other.example' || href ELSE '.' || CHR(92) || 'x' || href || '/..' END AS link, i
+  FROM (SELECT page_id, url, p.i AS i, p.m AS href FROM (SELECT page_id, url, regexp_extract_all(html, '<li><a href="(/[A-Za-z]*)', 1) AS found FROM {pages}) LATERAL VIEW posexplode(found) p AS i, m)"""
+_MENU_SQL = MENU.replace("(SELECT page_id, url, p.i AS i, p.m AS href FROM (SELECT", "(SELECT page_id, url, generate_subscripts(found, 1) - 1 AS i, unnest(found) AS href FROM (SELECT").replace(" LATERAL VIEW posexplode(found) p AS i, m)", ")")
+
+
+@query(f"SELECT page_id, i::INT AS i, {absolute('link', 'url')} AS absolute FROM ({_MENU_SQL.replace('{pages}', 'pages')})")
+def menu_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the links of each page lead, seen from the page's own address."""
+    return relation(spark, sf, MENU).select("page_id", "i", T.absolute_url(F.col("url"), F.col("link")).alias("absolute"))
