@@ -1,104 +1,83 @@
 """Support and resistance zones: swing points of each key's last bars, clustered by price.
 
 A key's bars are one array of at most ``lookback`` elements; every step is an
-expression over it, so nothing leaves the JVM.
+expression over it, so nothing leaves the JVM. The expressions are SQL texts that are put together and
+parsed once: built as columns, node by node, they take seconds of the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "ticker string, kind string, low double, high double, mid double, touches int, tests int, rejections int, last_touch int, score double"
-_CLUSTER = "array<struct<low:double,high:double,total:double,touches:int,last_touch:int>>"
 
 
-def _indexes(first: int, last: Column) -> Column:
+def _indexes(first: int, last: str) -> str:
     """first..last; empty if last comes before first."""
-    return F.when(last >= first, F.sequence(F.lit(first), last)).otherwise(F.array().cast("array<int>"))
+    return f"if({last} >= {first}, sequence({first}, {last}), cast(array() AS array<int>))"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(name: str, value: str, body: str) -> str:
     """``body`` of a value that is worked out once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), 0)
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def peaks(x: Column, distance: int) -> Column:
+def peaks(x: str, distance: int) -> str:
     """Places of an array's strict local maxima (plateaus: middle, rounded down), higher ones first keeping others ``distance`` away; of equal ones the later."""
-    found = lambda x, starts: F.filter(_indexes(1, F.size(starts) - 2), lambda k: (F.get(x, F.get(starts, k)) > F.get(x, F.get(starts, k) - 1)) & (F.get(x, F.get(starts, k)) > F.get(x, F.get(starts, k + 1))))
-    middle = lambda starts, k: F.floor((F.get(starts, k) + F.get(starts, k + 1) - 1) / 2).cast("int")
-    by_height = lambda x, starts: F.array_sort(F.transform(found(x, starts), lambda k: F.struct((-F.get(x, F.get(starts, k))).alias("depth"), (-middle(starts, k)).alias("back"))))
-    first = lambda x: F.filter(_indexes(0, F.size(x) - 1), lambda i: (i == 0) | (F.get(x, i) != F.get(x, i - 1)))
-    ordered = let(x, lambda x: let(first(x), lambda starts: by_height(x, starts)))
-    return F.array_sort(F.aggregate(ordered, F.array().cast("array<int>"), lambda kept, t: F.when(F.exists(kept, lambda p: F.abs(p + t["back"]) < distance), kept).otherwise(F.concat(kept, F.array(-t["back"])))))
+    starts = f"filter({_indexes(0, 'size(px) - 1')}, i -> i = 0 OR get(px, i) != get(px, i - 1))"
+    tops = f"filter({_indexes(1, 'size(ps) - 2')}, k -> get(px, get(ps, k)) > get(px, get(ps, k) - 1) AND get(px, get(ps, k)) > get(px, get(ps, k + 1)))"
+    by_height = f"array_sort(transform({tops}, k -> named_struct('depth', -get(px, get(ps, k)), 'back', -cast(floor((get(ps, k) + get(ps, k + 1) - 1) / 2) AS int))))"
+    ordered = let("px", x, let("ps", starts, by_height))
+    return f"array_sort(aggregate({ordered}, cast(array() AS array<int>), (kept, t) -> if(exists(kept, q -> abs(q + t.back) < {distance}), kept, concat(kept, array(-t.back)))))"
 
 
-def prominence(x: Column, p: Column) -> Column:
+def prominence(x: str, p: str) -> str:
     """How far the peak at ``p`` stands above the higher of the two lowest points between it and higher ground."""
-
-    def of(x: Column, height: Column) -> Column:
-        higher = F.filter(_indexes(0, F.size(x) - 1), lambda i: F.get(x, i) > height)
-        lo = F.coalesce(F.array_max(F.filter(higher, lambda i: i < p)) + 1, F.lit(0))
-        hi = F.coalesce(F.array_min(F.filter(higher, lambda i: i > p)), F.size(x))
-        return height - F.greatest(F.array_min(F.slice(x, lo + 1, p - lo + 1)), F.array_min(F.slice(x, p + 1, hi - p)))
-
-    return let(x, lambda x: let(F.get(x, p), lambda height: of(x, height)))
+    higher = f"filter({_indexes(0, 'size(mx) - 1')}, i -> get(mx, i) > get(mx, {p}))"
+    lo, hi = f"coalesce(array_max(filter(mh, i -> i < {p})) + 1, 0)", f"coalesce(array_min(filter(mh, i -> i > {p})), size(mx))"
+    lowest = f"greatest(array_min(slice(mx, {lo} + 1, {p} - {lo} + 1)), array_min(slice(mx, {p} + 1, {hi} - {p})))"
+    return let("mx", x, let("mh", higher, f"get(mx, {p}) - {lowest}"))
 
 
-def clusters(points: Column, tolerance: Column) -> Column:
+def clusters(points: str, tolerance: str) -> str:
     """Points (x, p) by x in groups: the next one joins while it is within the tolerance of the running mean."""
-
-    def step(groups: Column, point: Column) -> Column:
-        g, x, p = F.try_element_at(groups, F.lit(-1)), point["x"], point["p"]
-        more = F.struct(g["low"].alias("low"), x.alias("high"), (g["total"] + x).alias("total"), (g["touches"] + 1).alias("touches"), F.greatest(g["last_touch"], p).alias("last_touch"))
-        new = F.struct(x.alias("low"), x.alias("high"), x.alias("total"), F.lit(1).alias("touches"), p.alias("last_touch"))
-        near = (F.size(groups) > 0) & (x - g["total"] / g["touches"] <= tolerance)
-        return F.when(near, F.concat(F.slice(groups, F.lit(1), F.size(groups) - 1), F.array(more))).otherwise(F.concat(groups, F.array(new)))
-
-    return F.aggregate(F.array_sort(points), F.array().cast(_CLUSTER), step)
+    kind = "array<struct<low:double,high:double,total:double,touches:int,last_touch:int>>"
+    last = "try_element_at(gs, -1)"
+    more = f"named_struct('low', {last}.low, 'high', c.x, 'total', {last}.total + c.x, 'touches', {last}.touches + 1, 'last_touch', greatest({last}.last_touch, c.p))"
+    new = "named_struct('low', c.x, 'high', c.x, 'total', c.x, 'touches', 1, 'last_touch', c.p)"
+    near = f"size(gs) > 0 AND c.x - {last}.total / {last}.touches <= {tolerance}"
+    return f"aggregate(array_sort({points}), cast(array() AS {kind}), (gs, c) -> if({near}, concat(slice(gs, 1, size(gs) - 1), array({more})), concat(gs, array({new}))))"
 
 
-def median(x: Column) -> Column:
+def median(x: str) -> str:
     """Of an array; null if it is empty."""
-    at = lambda s, share: F.get(s, F.floor((F.size(s) - share) / 2).cast("int"))
-    return let(F.array_sort(x), lambda s: (at(s, 1) + at(s, 0)) / 2)
+    return let("so", f"array_sort({x})", "(get(so, cast(floor((size(so) - 1) / 2) AS int)) + get(so, cast(floor(size(so) / 2) AS int))) / 2")
 
 
-def tolerance(bars: Column, period: int, multiple: float) -> Column:
+def tolerance(bars: str, period: int, multiple: float) -> str:
     """The median of the average true range, the first full one standing for those before it; a two-hundredth of the median close without any."""
-    high, low, before = (lambda b, i: F.get(b, i)["high"]), (lambda b, i: F.get(b, i)["low"]), (lambda b, i: F.get(b, i - 1)["close"])
-    true = lambda b: F.transform(_indexes(0, F.size(b) - 1), lambda i: F.greatest(high(b, i) - low(b, i), F.when(i > 0, F.abs(high(b, i) - before(b, i))), F.when(i > 0, F.abs(low(b, i) - before(b, i)))))
-    full = lambda t: F.transform(_indexes(period - 1, F.size(t) - 1), lambda i: F.aggregate(F.slice(t, i - period + 2, period), F.lit(0.0), lambda a, x: a + x) / period * multiple)
-    usual = let(let(true(bars), full), lambda f: F.when(F.size(f) > 0, median(F.concat(F.array_repeat(F.get(f, 0), period - 1), f))))
-    return let(usual, lambda u: F.when(u > 0, u).otherwise(median(F.transform(bars, lambda b: b["close"])) * 0.005))
+    high, low, before = f"get({bars}, i).high", f"get({bars}, i).low", f"get({bars}, i - 1).close"
+    true = f"transform({_indexes(0, f'size({bars}) - 1')}, i -> greatest({high} - {low}, if(i > 0, abs({high} - {before}), null), if(i > 0, abs({low} - {before}), null)))"
+    full = f"transform({_indexes(period - 1, 'size(tr) - 1')}, i -> aggregate(slice(tr, i - {period} + 2, {period}), 0D, (a, t) -> a + t) / {period} * {multiple}D)"
+    usual = let("fu", let("tr", true, full), f"if(size(fu) > 0, {median(f'concat(array_repeat(get(fu, 0), {period - 1}), fu)')}, null)")
+    return let("us", usual, f"if(us > 0, us, {median(f'transform({bars}, b -> b.close)')} * 0.005D)")
 
 
-def _of_kind(bars: Column, tol: Column, kind: str, most: int, distance: int, least: int, floor: float | None, tested: int, recency: float, rejection: float) -> Column:
+def _of_kind(bars: str, tol: str, kind: str, most: int, distance: int, least: int, floor: float | None, tested: int, recency: float, rejection: float) -> str:
     """The best zones of one kind from bars (d, high, low, close by day)."""
-    up = kind == "resistance"
-    value = lambda b: b["high"] if up else b["low"]
-    line = F.transform(bars, lambda b: value(b) if up else -value(b))
-    at = peaks(line, distance) if floor is None else let(line, lambda x: F.filter(peaks(x, distance), lambda p: prominence(x, p) >= floor))
-    found = clusters(F.transform(at, lambda p: F.struct(value(F.get(bars, p)).alias("x"), p.alias("p"))), tol)
-    span = (F.size(bars) - 1).cast("double")
-
-    def zone(c: Column, over: Column) -> Column:
-        rejected = F.size(F.filter(over, lambda b: b["close"] < c["low"] if up else b["close"] > c["high"]))
-        fresh = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - (span - c["last_touch"]) / F.greatest(F.lit(1.0), span)))
-        score = c["touches"] * (F.lit(recency) * fresh + 1) + F.lit(rejection) * rejected
-        mid = c["total"] / c["touches"]
-        return F.struct(
-            (-score).alias("order"), mid.alias("mid"), F.lit(kind).alias("kind"), c["low"].alias("low"), c["high"].alias("high"),
-            c["touches"].alias("touches"), F.size(over).alias("tests"), rejected.alias("rejections"), c["last_touch"].alias("last_touch"), score.alias("score"),
-        )
-
-    def zones(last: Column) -> Column:
-        over = lambda c: F.filter(last, lambda b: (b["low"] <= c["high"]) & (b["high"] >= c["low"]))
-        return F.transform(F.filter(found, lambda c: c["touches"] >= least), lambda c: let(over(c), lambda o: zone(c, o)))
-
-    return F.slice(F.array_sort(let(F.slice(bars, F.greatest(F.size(bars) - tested, F.lit(0)) + 1, tested), zones)), 1, most)
+    side, sign, beyond = ("high", "", "b.close < g.low") if kind == "resistance" else ("low", "-", "b.close > g.high")
+    line = f"transform({bars}, b -> {sign}b.{side})"
+    at = peaks(line, distance) if floor is None else let("li", line, f"filter({peaks('li', distance)}, r -> {prominence('li', 'r')} >= {floor}D)")
+    found = clusters(f"transform({at}, p -> named_struct('x', get({bars}, p).{side}, 'p', p))", tol)
+    span = f"cast(size({bars}) - 1 AS double)"
+    fresh = f"least(1D, greatest(0D, 1 - ({span} - g.last_touch) / greatest(1D, {span})))"
+    score = f"g.touches * ({recency}D * {fresh} + 1) + {rejection}D * rej"
+    zone = f"named_struct('order', -sc, 'mid', g.total / g.touches, 'kind', '{kind}', 'low', g.low, 'high', g.high, 'touches', g.touches, 'tests', size(ov), 'rejections', rej, 'last_touch', g.last_touch, 'score', sc)"
+    over = "filter(la, b -> b.low <= g.high AND b.high >= g.low)"
+    each = let("ov", over, let("rej", f"size(filter(ov, b -> {beyond}))", let("sc", score, zone)))
+    zones = let("la", f"slice({bars}, greatest(size({bars}) - {tested}, 0) + 1, {tested})", f"transform(filter({found}, g -> g.touches >= {least}), g -> {each})")
+    return f"slice(array_sort({zones}), 1, {most})"
 
 
 def detect(bars: DataFrame, lookback: int = 100, most: int = 2, distance: int = 4, least: int = 2, multiple: float = 0.8, prominence: float | None = None, period: int = 14, tested: int = 120, recency: float = 0.35, rejection: float = 0.75) -> DataFrame:
@@ -107,8 +86,8 @@ def detect(bars: DataFrame, lookback: int = 100, most: int = 2, distance: int =
     tail = bars.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= lookback)
     bar = F.struct("d", *(F.col(f"{c}_c").cast("double").alias(c) for c in ("high", "low", "close")))
     rows = tail.groupBy("ticker").agg(F.array_sort(F.collect_list(bar)).alias("bars"))
-    kinds = lambda b, tol: F.concat(*(_of_kind(b, tol, k, most, distance, least, prominence, tested, recency, rejection) for k in ("resistance", "support")))
-    found = let(F.col("bars"), lambda b: let(tolerance(b, period, multiple), lambda tol: kinds(b, tol)))
+    kinds = ", ".join(_of_kind("bs", "tol", k, most, distance, least, prominence, tested, recency, rejection) for k in ("resistance", "support"))
+    found = F.expr(let("bs", "bars", let("tol", tolerance("bs", period, multiple), f"concat({kinds})")))
     return rows.select("ticker", F.explode(found).alias("z")).select("ticker", *(F.col("z").getField(f.split()[0]).alias(f.split()[0]) for f in SCHEMA.split(", ")[1:]))
 
 

@@ -66,7 +66,7 @@ def test_upsert_is_idempotent(spark):
 def test_peaks(spark):
     rng = np.random.default_rng(1)
     rows = [[float(v) for v in rng.integers(0, 6, 30)] for _ in range(200)] + [[], [1.0], [1.0, 2.0], [1.0, 1.0, 1.0]]
-    made = spark.createDataFrame(list(enumerate(rows)), "i int, x array<double>").select("i", zones.peaks(F.col("x"), 4).alias("p"))
+    made = spark.createDataFrame(list(enumerate(rows)), "i int, x array<double>").select("i", F.expr(zones.peaks("x", 4)).alias("p"))
     got = {r["i"]: r["p"] for r in made.collect()}
     for row, x in enumerate(rows):
         inner = []
@@ -83,7 +83,7 @@ def test_peaks(spark):
             if k in left:
                 left -= {m for m in left if m != k and abs(m - k) < 4}
         assert got[row] == sorted(left)
-    points = spark.createDataFrame([([(5.0, 0), (1.0, 1), (1.5, 2), (9.0, 3)],)], "v array<struct<x:double,p:int>>").select(zones.clusters(F.col("v"), F.lit(1.0)).alias("c")).first()["c"]
+    points = spark.createDataFrame([([(5.0, 0), (1.0, 1), (1.5, 2), (9.0, 3)],)], "v array<struct<x:double,p:int>>").select(F.expr(zones.clusters("v", "1.0D")).alias("c")).first()["c"]
     assert [(c["low"], c["high"], c["touches"], c["last_touch"]) for c in points] == [(1, 1.5, 2, 2), (5, 5, 1, 0), (9, 9, 1, 3)]
 
 

@@ -179,8 +179,10 @@ def test_zones(spark):
         got.setdefault(r["ticker"], []).append((r["kind"], r["low"], r["high"], r["touches"], r["tests"], r["rejections"], r["last_touch"], round(r["score"], 9)))
     for ticker, g in b.groupby("ticker"):
         assert sorted(got.get(ticker, [])) == sorted(brute_zones(list(g[["d", "high_c", "low_c", "close_c"]].itertuples(index=False, name=None)))), ticker
-    x = F.array(*(F.lit(v) for v in (0.0, 3.0, 1.0, 5.0, 2.0, 4.0, 0.0)))
-    assert tuple(spark.range(1).select(*(zones.prominence(x, F.lit(p)) for p in (1, 3, 5))).first()) == (2, 5, 2)
+    x = "array(0D, 3D, 1D, 5D, 2D, 4D, 0D)"
+    assert tuple(spark.range(1).select(*(F.expr(zones.prominence(x, p)) for p in "135")).first()) == (2, 5, 2)
+    least = zones.detect(bars(spark, SF), prominence=3000.0).count()
+    assert 0 < least <= zones.detect(bars(spark, SF)).count()
 
 
 def test_changes(spark, tmp_path):
