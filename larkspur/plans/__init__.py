@@ -270,4 +270,4 @@ def tail_n(spark: SparkSession, sf: str) -> DataFrame:
     return last.groupBy("ticker").agg(F.min("low_c").alias("low_c"), F.max("high_c").alias("high_c"), F.count_if(F.col("close_c") < F.col("open_c")).alias("falls"), F.median("close_c").alias("mid"))
 
 
-from larkspur.plans import changes, files, lists, pages, series, streams, temporal, texts, versions, web, zones  # noqa: E402, F401  they register their queries
+from larkspur.plans import changes, files, lists, pages, reports, series, streams, temporal, texts, versions, web, zones  # noqa: E402, F401  they register their queries

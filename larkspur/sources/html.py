@@ -49,8 +49,15 @@ class Node:
         return [x for x in self.walk() if x.tag in tags and x is not self]
 
 
+#: What the start of an element ends, and the elements beyond which it ends nothing.
+ENDS = {"td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"td", "th", "tr"}, {"table"}), "li": ({"li"}, {"ul", "ol"})}
+
+
 class Tree(HTMLParser):
-    """A page as a tree; an end closes the nearest open element of its name, others are ignored."""
+    """A page as a tree; an end closes the nearest open element of its name, others are ignored.
+
+    A cell ends an open cell, a row an open row with its cells, an item an open item, each within its own table or list.
+    """
 
     def __init__(self, html: str):
         super().__init__()
@@ -59,8 +66,14 @@ class Tree(HTMLParser):
         self.close()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ("td", "th", "tr", "li", "p") and self.at.tag == tag:
+        if tag == "p" and self.at.tag == "p":
             self.at = self.at.up
+        ends, beyond = ENDS.get(tag, ((), ()))
+        node = self.at if ends else None
+        while node is not None and node.tag not in beyond:
+            if node.tag in ends:
+                self.at = node.up
+            node = node.up
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.below.append(node)
         if tag not in VOID:
@@ -191,22 +204,45 @@ def tables(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_
     return each_page(pages, html, list(keep), "table_no int, table_id string, row_no int, cell_no int, cell string", rows)
 
 
+def named_tables(pages: DataFrame, names: dict[str, str], html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """(..., name, row_no, row): the rows of the tables whose ids are the keys of ``names``, the first table of each id, as lists of cells.
+
+    A page that lacks a table has no rows of it.
+    """
+
+    def rows(root: Node) -> Iterator[tuple]:
+        seen = set()
+        for table in root.all("table"):
+            id = table.attrs.get("id")  # noqa: A001
+            if id in names and id not in seen:
+                seen.add(id)
+                for r, row in enumerate(cells(table)):
+                    yield names[id], r, row
+
+    return each_page(pages, html, list(keep), "name string, row_no int, row array<string>", rows)
+
+
 YEAR = re.compile(r"\b(19|20)\d{2}\b")
+#: Ids of a company's tables and what they are called.
+FINANCIALS = {"fin_I": "INCOME STATEMENT", "fin_B": "BALANCE SHEET", "fin_C": "CASH FLOW", "fin_S": "SHARE STATISTICS", "fin_R": "RATIOS"}
 #: Labels of rows and the fields that they fill.
 STATISTICS = {"12 Month HEPS": "heps_12m_zarc", "12 Month Dividend": "dividend_12m_zarc", "Cash Generated Per Share": "cash_gen_ps_zarc", "Net Asset Value Per Share (ZARc)": "nav_ps_zarc"}
 RATIOS = {"Quick Ratio": "quick_ratio"}
 
 
-def periods(pages: DataFrame, fields: dict[str, str], html: str = "html", keep: tuple[str, ...] = ("page_id",), first_only: bool = False, skip: tuple[str, ...] = ("Avg.", "Growth")) -> DataFrame:
+def periods(pages: DataFrame, fields: dict[str, str], html: str = "html", keep: tuple[str, ...] = ("page_id",), first_only: bool = False, skip: tuple[str, ...] = ("Avg.", "Growth"), table_id: str | None = None) -> DataFrame:
     """(..., results_period_end, results_period_label, results_release_date, one column for each field) of a table with periods as columns.
 
     The header is the first row that has a year beyond its first cell, else the
     first row. A row belongs to the first field whose label it holds; cells of later rows
     of a field replace those of earlier ones (a shorter row leaves the rest), unless ``first_only``.
+    With ``table_id`` only the first table of that id is read, else all of the text.
     """
     names = list(fields.values())
 
     def rows(root: Node) -> Iterator[tuple]:
+        if table_id is not None:
+            root = next((t for t in root.all("table") if t.attrs.get("id") == table_id), Node("", {}, None))
         grid = [row for row in cells(root)]
         if not grid:
             return
@@ -226,12 +262,12 @@ def periods(pages: DataFrame, fields: dict[str, str], html: str = "html", keep:
     return out.where("results_period_end IS NOT NULL")
 
 
-def share_statistics(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    return periods(pages, STATISTICS, html, keep)
+def share_statistics(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id",), table_id: str | None = None) -> DataFrame:
+    return periods(pages, STATISTICS, html, keep, table_id=table_id)
 
 
-def ratios(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    return periods(pages, RATIOS, html, keep, first_only=True, skip=("Avg", "Growth")).drop("results_period_label", "results_release_date")
+def ratios(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id",), table_id: str | None = None) -> DataFrame:
+    return periods(pages, RATIOS, html, keep, first_only=True, skip=("Avg", "Growth"), table_id=table_id).drop("results_period_label", "results_release_date")
 
 
 def element_text(pages: DataFrame, id: str, default: str = "No content", html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:  # noqa: A002
