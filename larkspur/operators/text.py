@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
+from larkspur.operators import lists as L
 
 # What marks the end of an announcement.
 PRODUCER = r"(?i)\bproduced\s+by\b.*\bsens\b"
@@ -121,3 +122,34 @@ def held_text(files: DataFrame, folder: str, name: str, text: str, most: int) ->
     w = Window.partitionBy(folder).orderBy(name).rowsBetween(Window.unboundedPreceding, 0)
     fit = files.withColumn("_sum", F.sum(F.length(text)).over(w)).where(F.col("_sum") <= most)
     return fit.groupBy(folder).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(name, text))), lambda x: x[text]), "\n").alias(text))
+
+
+#: Fixed value: what stands above each file's text.
+HEADING = ("\n\n===== FILE: ", " =====\n\n")
+_BLANK = r"[ \t\n\x0B\f\r]+"
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), f"^{_BLANK}|{_BLANK}$", "")
+
+
+def gathered(files: DataFrame, by: str, name: str, text: str, most: int, salts: int = 32) -> DataFrame:
+    """(by, files, text): of each folder the files in order of their names, each below its heading, up to the first that would pass ``most`` characters.
+
+    Names are unique within a folder; a missing text is empty. A folder whose first file is too long has
+    an empty line alone. Every heading has characters, so no more than ``most`` by its length can
+    be used: a folder with very many files is cut to these in pieces before its lengths are summed up in one
+    place, and texts move only once it is known which are used.
+    """
+    heading = F.concat(F.lit(HEADING[0]), F.col(name), F.lit(HEADING[1]))
+    chunk = F.concat(heading, stripped(F.col(text)), F.lit("\n"))
+    able = most // (sum(map(len, HEADING)) + 1) + 1
+    piece = Window.partitionBy("_g", "_salt").orderBy("_n")
+    sized = files.select(F.col(by).alias("_g"), F.col(name).alias("_n"), F.length(chunk).alias("_size")).withColumn("_salt", F.pmod(F.xxhash64("_n"), F.lit(salts)))
+    first = sized.withColumn("_k", F.row_number().over(piece)).where(F.col("_k") <= able)
+    used = L.within_budget(first, "_g", ["_n"], "_size", most).select("_g", "_n")
+    kept = files.select(F.col(by).alias("_by"), F.col(name).alias("_name"), chunk.alias("_c")).join(used, F.col("_by").eqNullSafe(F.col("_g")) & (F.col("_name") == F.col("_n")))
+    joined = kept.groupBy("_g").agg(F.count(F.lit(1)).alias("_files"), F.array_join(F.sort_array(F.collect_list(F.struct("_name", "_c")))["_c"], "").alias("_text"))
+    folders = files.select(F.col(by).alias("_by")).distinct()
+    found = folders.join(joined, F.col("_by").eqNullSafe(F.col("_g")), "left")
+    return found.select(F.col("_by").alias(by), F.coalesce("_files", F.lit(0)).alias("files"), F.concat(stripped(F.col("_text")), F.lit("\n")).alias("text"))

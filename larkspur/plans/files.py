@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.functions import text as T
+from larkspur.operators import changes as C
 from larkspur.operators import series as S
+from larkspur.operators import text as OT
 from larkspur.plans.registry import query, relation
-from larkspur.sources import bars, html, vendor
-from larkspur.sources.versions import shared_dir
+from larkspur.sources import bars, html, table, vendor
+from larkspur.sources.versions import Versions, shared_dir
 
 _ASKED = ["Brand#11", "Brand#12", "Brand#23", "None#1", "Brand#5"]
 
@@ -49,3 +52,46 @@ def document_dates(spark: SparkSession, sf: str) -> DataFrame:
     """When each document was made, by its cross-references; files that are no documents are left out."""
     found = relation(spark, sf, PDFS).withColumn("content", F.encode("content", "ISO-8859-1")).where(F.substring("content", 1, 4) == F.lit(b"%PDF"))
     return found.select("key", html.created(F.col("content")).cast("timestamp_ntz").alias("created"))
+
+
+def _written(rows: DataFrame) -> str:
+    """A folder with a file for each row (folder, name, content), below folders of these names."""
+    path = shared_dir(rows.sparkSession)
+    rows.select("folder", "name", F.coalesce("content", F.lit("")).alias("content")).repartition("folder", "name").write.partitionBy("folder", "name").text(path)
+    return path
+
+
+def _place(path: str = "path") -> list:
+    return [F.regexp_extract(path, "folder=([^/]*)/", 1).alias("folder"), F.regexp_extract(path, "name=([^/]*)/", 1).alias("name")]
+
+
+_CHUNKS = """SELECT folder, doc_id, chr(10) || chr(10) || '===== FILE: d' || lpad(doc_id::VARCHAR, 9, '0') || ' =====' || chr(10) || chr(10) || trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) || chr(10) AS chunk FROM (SELECT coalesce(source, 'none') AS folder, * FROM documents)"""
+
+
+@query(f"""SELECT folder, count(*) FILTER (s <= 40000) AS files, sha256(trim(coalesce(string_agg(chunk, '' ORDER BY doc_id) FILTER (s <= 40000), ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) || chr(10)) AS digest
+FROM (SELECT *, sum(length(chunk)) OVER (PARTITION BY folder ORDER BY doc_id) AS s FROM ({_CHUNKS})) GROUP BY folder""")
+def gathered_folders(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts of each source's files, in order of their names, within a budget of characters."""
+    d = table(spark, sf, "documents").select(F.coalesce("source", F.lit("none")).alias("folder"), F.format_string("d%09d", "doc_id").alias("name"), F.col("text").alias("content"))
+    files = html.text_files(spark, _written(d)).select(*_place(), "text")
+    return OT.gathered(files, "folder", "name", "text", 40_000).select("folder", "files", F.sha2("text", 256).alias("digest"))
+
+
+@query("""SELECT folder, name, created, CASE WHEN day IS NOT NULL THEN replace(day, '.pdf', '') || CASE WHEN k > 1 THEN '_' || (k - 1) ELSE '' END || '.pdf' END AS target FROM (
+  SELECT folder, name, created, strftime(created, '%Y%m%d') || '.pdf' AS day, row_number() OVER (PARTITION BY folder, created::DATE ORDER BY name) AS k FROM (
+  SELECT 'n' || s_nationkey AS folder, 's' || lpad(s_suppkey::VARCHAR, 9, '0') AS name, CASE WHEN s_suppkey % 7 = 0 THEN TIMESTAMP '2020-01-01 10:11:12' + to_days((s_suppkey % 5)::INT) WHEN s_suppkey % 7 < 5 THEN TIMESTAMP '2020-01-01' + to_days((s_suppkey % 5)::INT) END AS created FROM supplier WHERE s_suppkey % 7 <> 6))""")
+def recorded_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents found in folders, recorded once each with the day that they were made, and the names that they get by it.
+
+    Files that are no documents are skipped; those without a day are recorded and keep their names. A second run over the same folder adds nothing.
+    """
+    days = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("o_orderkey"), F.expr("date_add(DATE '2020-01-01', CAST(s_suppkey % 5 AS INT))").alias("o_orderdate"), "s_nationkey")
+    made = relation(spark, sf, PDFS, orders=days).join(days, F.col("key") == F.col("o_orderkey"))
+    folder = _written(made.select(F.concat(F.lit("n"), "s_nationkey").alias("folder"), F.format_string("s%09d", "key").alias("name"), "content"))
+    found = html.documents(spark, folder, "*.txt").select(*_place(), F.col("created").cast("timestamp_ntz").alias("created"), "checksum")
+    t = Versions(spark, shared_dir(spark), found.schema, ["folder", "name"], "folder")
+    t.insert_absent(found, ["checksum"])
+    t.insert_absent(found, ["checksum"])
+    rows = t.read()
+    dated = C.free_names(rows.where("created IS NOT NULL").withColumn("base", T.dated_name(F.col("created"))), "folder", "base", ["name"])
+    return dated.select("folder", "name", "created", "target").union(rows.where("created IS NULL").select("folder", "name", "created", F.lit(None).cast("string")))

@@ -334,16 +334,16 @@ def document_links(pages: DataFrame, html: str = "html", keep: tuple[str, ...] =
     return each_page(pages, html, list(keep), "href string, onclick string", rows)
 
 
-def text_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(folder, name, text) of every text file below a folder."""
+def text_files(spark: SparkSession, folder: str, glob: str = "*.txt") -> DataFrame:
+    """(path, folder, name, text) of every text file below a folder."""
     path = F.input_file_name()
-    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
-    return found.select(F.regexp_extract(path, "([^/]*)/[^/]*$", 1).alias("folder"), F.regexp_extract(path, "([^/]*)$", 1).alias("name"), F.col("value").alias("text"))
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder, wholetext=True)
+    return found.select(path.alias("path"), F.regexp_extract(path, "([^/]*)/[^/]*$", 1).alias("folder"), F.regexp_extract(path, "([^/]*)$", 1).alias("name"), F.col("value").alias("text"))
 
 
-def documents(spark: SparkSession, folder: str) -> DataFrame:
+def documents(spark: SparkSession, folder: str, glob: str = "*.pdf") -> DataFrame:
     """(path, checksum, created) of the files below a folder that are documents by their first bytes."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(folder)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
     return found.where(F.substring("content", 1, 4) == F.lit(b"%PDF")).select("path", F.sha2("content", 256).alias("checksum"), created(F.col("content")).alias("created"))
 
 
