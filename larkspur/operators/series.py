@@ -44,6 +44,18 @@ def side_by_side(bars: DataFrame, names: dict[str, str], value: str = "close_c")
     return days.na.drop(subset=list(names))
 
 
+def paired(bars: DataFrame, pairs: DataFrame, value: str = "close_c") -> DataFrame:
+    """(asset, holding, d, asset_value, holding_value) of every pair (asset, holding) on the days that both have: one scan, one join by ticker, one aggregation.
+
+    A ticker may be in any number of pairs, on either side; repeated pairs count once, pairs with a null have no days.
+    """
+    sides = F.array(F.struct(F.lit(True).alias("first"), F.col("asset").alias("ticker")), F.struct(F.lit(False).alias("first"), F.col("holding").alias("ticker")))
+    roles = pairs.select("asset", "holding").distinct().select("asset", "holding", F.inline(sides))
+    rows = bars.select("ticker", "d", F.col(value).alias("v")).join(roles, "ticker")
+    days = rows.groupBy("asset", "holding", "d").agg(F.max(F.when(F.col("first"), F.col("v"))).alias("asset_value"), F.max(F.when(~F.col("first"), F.col("v"))).alias("holding_value"))
+    return days.na.drop(subset=["asset_value", "holding_value"])
+
+
 @dataclass(frozen=True)
 class LookThrough:
     """Stakes, share counts and ratios of the chain from the asset to the holding's receipt."""
@@ -62,7 +74,7 @@ def nav(asset: Column, c: LookThrough = LookThrough()) -> Column:
     return asset.cast("double") * F.lit(per_receipt)
 
 
-def discounts(pairs: DataFrame, key: str, date: str, asset: str, holding: str, n: int = 252, chain: LookThrough = LookThrough()) -> DataFrame:
+def discounts(pairs: DataFrame, key: str | list[str], date: str, asset: str, holding: str, n: int = 252, chain: LookThrough = LookThrough()) -> DataFrame:
     """Adds nav, discount, its rolling mean and sample deviation over full windows, and its score; a deviation of 0 gives null."""
     w = Window.partitionBy(key).orderBy(date).rowsBetween(1 - n, 0)
     d = pairs.withColumn("nav", nav(F.col(asset), chain)).withColumn("discount", F.lit(1.0) - F.try_divide(F.col(holding).cast("double"), F.col("nav")))

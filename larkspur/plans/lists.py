@@ -166,6 +166,23 @@ def column_sort(spark: SparkSession, sf: str) -> DataFrame:
     return watchlist(spark, sf).select("key", F.when(F.col("key") % 8 != 0, better).alias("bte")).orderBy(L.column_order("bte", reverse=True), "key")
 
 
+#: The columns that the list is sorted by, each with values that are missing or equal.
+SORTED = """SELECT c_custkey AS key, CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) WHEN c_custkey % 79 <> 0 THEN lower(c_name) END AS name, CASE WHEN c_custkey % 61 <> 0 THEN c_custkey * 7 % 400 - 30 END AS event, CASE WHEN c_custkey % 67 <> 0 THEN floor(c_acctbal / 100) END AS rr,
+  CASE WHEN c_custkey % 71 <> 0 THEN floor(c_acctbal) END AS bte, CASE WHEN c_custkey % 73 <> 0 THEN c_custkey * 31 % 97 END AS upside, CASE WHEN c_custkey % 83 <> 0 THEN c_mktsegment END AS proximity, CASE WHEN c_custkey % 89 <> 0 THEN c_custkey * 13 % 89 END AS peg FROM {customer}"""
+_SORTS = [(c, r) for c in ("event", "name", "rr", "bte", "upside", "proximity", "peg") for r in (False, True)]
+_PAGE = 40  # rows of the list that are shown at once
+
+
+@query(" UNION ALL ".join(f"""SELECT * FROM (SELECT '{c}' AS sorted_by, {str(r).lower()} AS reversed, key, {c} IS NULL AS missing FROM sorted ORDER BY {"lower(name)" if c == "name" else c} {"DESC NULLS " + ("LAST" if c in ("bte", "peg") else "FIRST") if r else "ASC NULLS LAST"}, key LIMIT {_PAGE})""" for c, r in _SORTS), sorted=SORTED)
+def column_sorts(spark: SparkSession, sf: str) -> DataFrame:
+    """The first page of the list by each of its columns, in both directions."""
+    rows, out = relation(spark, sf, SORTED), None
+    for c, r in _SORTS:
+        page = rows.orderBy(L.column_order(c, r), "key").limit(_PAGE).select(F.lit(c).alias("sorted_by"), F.lit(r).alias("reversed"), "key", F.col(c).isNull().alias("missing"))
+        out = page if out is None else out.unionByName(page)
+    return out
+
+
 @query("SELECT p_partkey AS key, upper(p_name) AS name FROM part WHERE p_name ILIKE '%a%' AND upper(p_brand) = upper('brand#12') AND p_partkey IS NOT NULL ORDER BY upper(p_name), key LIMIT 10")
 def find_names(spark: SparkSession, sf: str) -> DataFrame:
     """Substrings and names in any case; the first ten by upper-case name."""

@@ -57,6 +57,19 @@ def nav_discount(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("d", *(X.dec(F.col(c)).alias(c) for c in ("nav", "discount", "mean", "score")))
 
 
+#: Every ticker as an asset, and the next one as its holding; the window runs over one row for each ticker.
+PAIRS = "SELECT asset, holding FROM (SELECT p_brand AS asset, lead(p_brand) OVER (ORDER BY p_brand) AS holding FROM (SELECT DISTINCT p_brand FROM {part}) b) p WHERE holding IS NOT NULL"
+
+
+@query("""SELECT asset, holding, d, nav::DECIMAL(18,4) AS nav, discount::DECIMAL(18,4) AS discount, CASE WHEN count(*) OVER w = 60 THEN (avg(discount) OVER w)::DECIMAL(18,4) END AS mean, CASE WHEN count(*) OVER w = 60 THEN ((discount - avg(discount) OVER w) / nullif(stddev_samp(discount) OVER w, 0))::DECIMAL(18,4) END AS score
+FROM (SELECT *, 1.0::DOUBLE - h / nav AS discount FROM (SELECT p.asset, p.holding, a.d, a.close_c::DOUBLE * (9200000000.0::DOUBLE / 1.0::DOUBLE * (0.228::DOUBLE * 0.434::DOUBLE) / 628849928.0::DOUBLE * 0.25::DOUBLE) AS nav, b.close_c::DOUBLE AS h FROM pairs p JOIN bars a ON a.ticker = p.asset JOIN bars b ON b.ticker = p.holding AND a.d = b.d))
+WINDOW w AS (PARTITION BY asset, holding ORDER BY d ROWS 59 PRECEDING)""", pairs=PAIRS)
+def pair_discounts(spark: SparkSession, sf: str) -> DataFrame:
+    """Discounts of all pairs of a table, each pair's window apart from the others."""
+    found = S.discounts(S.paired(bars(spark, sf), relation(spark, sf, PAIRS)), ["asset", "holding"], "d", "asset_value", "holding_value", 60)
+    return found.select("asset", "holding", "d", *(X.dec(F.col(c)).alias(c) for c in ("nav", "discount", "mean", "score")))
+
+
 @query("SELECT ticker, n - k AS idx, close_c FROM (SELECT ticker, d, close_c, row_number() OVER (PARTITION BY ticker ORDER BY d DESC) AS k, least(100, count(*) OVER (PARTITION BY ticker)) AS n FROM bars) WHERE k <= 100")
 def tail_reindexed(spark: SparkSession, sf: str) -> DataFrame:
     """The last hundred bars, numbered from 0 by date."""

@@ -252,3 +252,28 @@ _MENU_SQL = MENU.replace("(SELECT page_id, url, p.i AS i, p.m AS href FROM (SELE
 def menu_links(spark: SparkSession, sf: str) -> DataFrame:
     """Where the links of each page lead, seen from the page's own address."""
     return relation(spark, sf, MENU).select("page_id", "i", T.absolute_url(F.col("url"), F.col("link")).alias("absolute"))
+
+
+#: Whole texts of documents with what sites say when they don't show a page: in other cases, with words between, or only a part of it.
+WALLS = """SELECT doc_id, CASE CAST(length(text) % 9 AS INT) WHEN 0 THEN 'You need a <b>Premium</b> ' || text || ' subscription' WHEN 1 THEN text || 'YOU NEED A better SUBSCRIPTION' WHEN 2 THEN 'You have not accepted the Terms of Use ' || text || ' or Conditions of Subscription' WHEN 3 THEN text || ' you need to be logged on as a ' || text || ' Free Registered User'
+  WHEN 4 THEN 'login ' || text || ' is CONCURRENT' WHEN 5 THEN 'concurrent ' || text WHEN 6 THEN 'You need to be logged on as a free registered user with a concurrent login; you need a premium subscription' || text WHEN 7 THEN text || ' SENS_' || lpad(CAST(doc_id AS STRING), 8, '2') || '_Ab9.pdf, SENS_20240102_late.pdf' ELSE 'XSENS_20240101_no.pdf ' || text || ' SENS_2024_no.pdf' END AS html
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM {documents})"""
+
+
+@query(r"""SELECT doc_id, CASE WHEN h LIKE '%you need a%' AND h LIKE '%premium%' AND h LIKE '%subscription%' THEN 'premium' WHEN h LIKE '%you have not accepted the terms of use%' AND h LIKE '%conditions of subscription%' THEN 'terms'
+  WHEN h LIKE '%you need to be logged on as a%' AND h LIKE '%free registered user%' THEN 'anonymous' WHEN h LIKE '%concurrent%' AND h LIKE '%login%' THEN 'concurrent' END AS issue, nullif(regexp_extract(html, '\bSENS_\d{8}_[A-Za-z0-9]+\.pdf\b'), '') AS document FROM (SELECT *, lower(html) AS h FROM walls)""", walls=WALLS)
+def text_walls(spark: SparkSession, sf: str) -> DataFrame:
+    """Why a page wasn't shown, and the first document that it names, by its whole text."""
+    t = F.col("html")
+    return relation(spark, sf, WALLS).select("doc_id", T.access_issue(t).alias("issue"), T.pdf_reference(t).alias("document"))
+
+
+#: What people leave where research should be, chosen by the text itself.
+LEFT = """SELECT conv_id, turn, CASE CAST(length(text) % 10 AS INT) WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '   ' WHEN 3 THEN ' N/A ' WHEN 4 THEN 'None' WHEN 5 THEN ' no data' WHEN 6 THEN 'n/a.' WHEN 7 THEN 'PLACEHOLDER' WHEN 8 THEN '  ' || text || ' n/a' ELSE text END AS t FROM {conversations}"""
+
+
+@query("SELECT conv_id, turn, t IS NOT NULL AND trim(t) <> '' AND lower(trim(t)) NOT IN ('n/a', 'none', 'no data', 'placeholder') AS present, coalesce(trim(t), '') = '' AS blank FROM left_texts", left_texts=LEFT)
+def text_present(spark: SparkSession, sf: str) -> DataFrame:
+    """Which texts say anything, and which are null or blank."""
+    t = F.col("t")
+    return relation(spark, sf, LEFT).select("conv_id", "turn", T.is_research(t).alias("present"), (F.coalesce(F.trim(t), F.lit("")) == "").alias("blank"))
