@@ -7,7 +7,7 @@ that is run again after a failure gives the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -124,6 +124,16 @@ def save(df: DataFrame, folder: str) -> None:
     df.write.mode("errorifexists").parquet(folder)
 
 
+#: Quotes are doubled, as other programs read them; blanks at the ends of a text stay, empty texts are ``""`` and nulls nothing.
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def export(df: DataFrame, folder: str) -> None:
-    """CSV with a header."""
-    df.write.mode("errorifexists").option("header", True).csv(folder)
+    """CSV with a header, which ``exported`` and other programs read back as it was."""
+    df.write.mode("errorifexists").options(**CSV).csv(folder)
+
+
+def exported(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """Rows that ``export`` has written; texts may go over several lines. A row that doesn't fit the schema is an error."""
+    # A null value of its own tells fields without anything from empty texts in quotes.
+    return spark.read.schema(schema).options(**CSV, nullValue="\0", emptyValue="").option("multiLine", True).option("mode", "FAILFAST").csv(folder)

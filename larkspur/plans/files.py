@@ -95,3 +95,15 @@ def recorded_documents(spark: SparkSession, sf: str) -> DataFrame:
     rows = t.read()
     dated = C.free_names(rows.where("created IS NOT NULL").withColumn("base", T.dated_name(F.col("created"))), "folder", "base", ["name"])
     return dated.select("folder", "name", "created", "target").union(rows.where("created IS NULL").select("folder", "name", "created", F.lit(None).cast("string")))
+
+
+#: Turns with what a CSV file must quote or keep: commas, quotes, line ends, blanks at the ends, empty texts, nulls.
+TURNS = """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN role END AS role, CASE CAST(length(text) % 7 AS INT) WHEN 0 THEN text || ', "quoted" and, ""' WHEN 1 THEN '  ' || text || CHR(10) || CHR(9) || ' ' WHEN 2 THEN '' WHEN 3 THEN NULL WHEN 4 THEN '"' || text || '"' WHEN 5 THEN CHR(92) || '"' || text || CHR(92) ELSE text END AS text FROM {conversations}"""
+
+
+@query("SELECT conv_id, turn, role, text FROM turns", turns=TURNS)
+def csv_export(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts exported as CSV and read back."""
+    folder = shared_dir(spark)
+    C.export(relation(spark, sf, TURNS), folder)
+    return C.exported(spark, folder, "conv_id long, turn long, role string, text string")

@@ -1,11 +1,13 @@
 """Dates of documents by their cross-references, and the vendor's data source."""
 
+import csv
 import datetime as dt
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
+from larkspur.operators import changes
 from larkspur.sources import html, pdf, vendor
 
 
@@ -117,3 +119,13 @@ def test_shorter_later_row(spark):
     page = "<table><tr><td>x</td><td>Mar 2020</td><td>Sep 2019</td></tr><tr><td>12 Month HEPS</td><td>1</td><td>2</td></tr><tr><td>12 Month HEPS again</td><td>3</td></tr></table>"
     rows = html.share_statistics(spark.createDataFrame([(1, page)], "page_id int, html string")).orderBy("results_period_end").collect()
     assert [r["heps_12m_zarc"] for r in rows] == [2.0, 3.0]
+
+
+def test_export_is_read_by_others(spark, tmp_path):
+    rows = [(1, 'a "b", c'), (2, "  two\nlines "), (3, ""), (4, None), (5, '\\"x\\'), (6, '"')]
+    folder = str(tmp_path / "out")
+    changes.export(spark.createDataFrame(rows, "id int, text string").coalesce(1), folder)
+    assert sorted(tuple(r) for r in changes.exported(spark, folder, "id int, text string").collect()) == rows
+    (part,) = (tmp_path / "out").glob("part-*.csv")
+    with open(part, newline="") as f:
+        assert list(csv.reader(f)) == [["id", "text"], *([str(i), t or ""] for i, t in rows)]
