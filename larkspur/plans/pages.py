@@ -13,7 +13,7 @@ from larkspur.plans.lists import ENTRIES
 from larkspur.plans.registry import AS_OF, query, relation
 from larkspur.plans.texts import CATEGORIES, FALLBACK, TEMPLATES
 from larkspur.sources import html as H
-from larkspur.sources import table, watchlist
+from larkspur.sources import spread, table, watchlist
 
 #: A page for each customer: two tables of results, a list of quotes and one of news, a link to a document.
 PAGES = """SELECT c_custkey AS key, '<html><body><table id="fin_S"><tr><th>Results<th>Mar 2020 (12m) 5 Apr 2020</th><th>Avg. 5y</th><th>Sep 2019</th></tr><tr><td>12 Month HEPS (c)</td><td> ' || c_custkey || '.5</td><td>1</td><td>-</td></tr>'
@@ -26,7 +26,7 @@ PAGES = """SELECT c_custkey AS key, '<html><body><table id="fin_S"><tr><th>Resul
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return relation(spark, sf, PAGES)
+    return relation(spark, sf, PAGES, customer=spread(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_custkey"))
 
 
 @query("SELECT key, DATE '2020-03-31' AS results_period_end, 'Mar 2020 (12m) 5 Apr 2020' AS results_period_label, DATE '2020-04-05' AS results_release_date, key + 0.5::DOUBLE AS heps_12m_zarc, NULL::DOUBLE AS dividend_12m_zarc, NULL::DOUBLE AS cash_gen_ps_zarc, ('1' || (key + 100))::DOUBLE AS nav_ps_zarc FROM pages_ UNION ALL SELECT key, DATE '2019-09-30', 'Sep 2019', NULL, NULL, NULL, NULL, nation::DOUBLE FROM pages_", pages_=PAGES)

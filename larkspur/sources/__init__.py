@@ -10,6 +10,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows over four tasks for each core, by a hash of the key: for small rows of which each makes much work.
+
+    A file of a million such rows is a few megabytes, which Spark reads in one task.
+    """
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ticker, d, c, q, and their order in one number): single trades, the parts' table joined as Spark chooses."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("ticker"))
