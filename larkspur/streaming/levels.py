@@ -21,63 +21,74 @@ def feed(prices: DataFrame, levels: DataFrame) -> DataFrame:
 
 
 class Crossing(StatefulProcessor):
-    """State of a ticker: its last price with its time, and its levels by id. Tickers without rows for ``idle`` seconds are forgotten."""
+    """State of a bucket of tickers: of each its last price with its time, its newest time and its levels by id.
+
+    Tickers share a bucket as each call of a group has a cost of its own; a ticker's state is read and
+    written once for each batch that has rows of it. One without rows for ``idle`` seconds is forgotten: when the
+    watermark has passed it, it counts no more, and its state is removed by the bucket's next timer.
+    """
 
     def __init__(self, idle: int):
-        self.idle = idle
+        self.idle = idle * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "ms long, price double")
-        self.levels = handle.getMapState("levels", "level_id long", "level double, since long")
+        self.tickers = handle.getMapState("tickers", "ticker string", "last_ms long, price double, newest long, ids array<long>, levels array<double>, since array<long>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        found = []
         # A level set at a price's time counts for that price.
         batch = pd.concat(list(rows)).sort_values(["ts", "level_id"], na_position="last", kind="stable")
-        last_ms, last = self.last.get() if self.last.exists() else (None, None)
-        newest = last_ms or 0
-        for r in batch.itertuples(index=False):
-            ms = r.ts.value // 1_000_000
-            newest = max(newest, ms)
-            if not pd.isna(r.level_id):
-                self._set(int(r.level_id), r.level, ms)
-            elif not pd.isna(r.price) and (last_ms is None or ms > last_ms):
-                if last is not None:
-                    found += [(key[0], i, v, r.ts, r.price, r.price > v) for i, v in self._known() if last <= v < r.price or last >= v > r.price]
-                last_ms, last = ms, r.price
-        if last is not None:
-            self.last.update((last_ms, last))
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(newest + self.idle * 1000)
-        yield pd.DataFrame(found, columns=[c.split()[0] for c in EVENT.split(", ")])
-
-    def _set(self, level_id: int, level: float, ms: int) -> None:
-        """The newest change of a level counts, whichever comes first."""
-        k = (level_id,)
-        if self.levels.containsKey(k) and self.levels.getValue(k)[1] > ms:
-            return
-        self.levels.updateValue(k, (None if pd.isna(level) else float(level), ms))
-
-    def _known(self) -> list[tuple[int, float]]:
-        return sorted((k[0], v[0]) for k, v in self.levels.iterator() if v[0] is not None)
+        mark = timerValues.getCurrentWatermarkInMs()
+        times = batch["ts"].to_numpy("datetime64[us]")
+        by_ticker: dict[str, list[tuple]] = {}
+        for row in zip(batch["ticker"].tolist(), range(len(batch)), (times.astype("int64") // 1000).tolist(), batch["price"].tolist(), batch["level_id"].tolist(), batch["level"].tolist(), strict=True):
+            by_ticker.setdefault(row[0], []).append(row[1:])
+        found = []
+        for ticker, changes in by_ticker.items():
+            kept = self.tickers.getValue((ticker,))
+            if kept is None or kept[2] + self.idle <= mark:
+                kept = (None, None, 0, [], [], [])
+            last_ms, last, newest = kept[:3]
+            levels = {i: (v, since) for i, v, since in zip(*kept[3:], strict=True)}
+            for at, ms, price, level_id, level in changes:
+                newest = max(newest, ms)
+                if level_id == level_id and level_id is not None:
+                    # The newest change of a level counts, whichever comes first.
+                    if levels.get(int(level_id), (None, ms))[1] <= ms:
+                        levels[int(level_id)] = (level if level == level else None, ms)
+                elif price == price and price is not None and (last_ms is None or ms > last_ms):
+                    if last is not None:
+                        found += [(ticker, i, v, at, price, price > v) for i, (v, _) in sorted(levels.items()) if v is not None and (last <= v < price or last >= v > price)]
+                    last_ms, last = ms, price
+            self.tickers.updateValue((ticker,), (last_ms, last, newest, list(levels), [v for v, _ in levels.values()], [since for _, since in levels.values()]))
+        if not list(self.handle.listTimers()):
+            self.handle.registerTimer(max(int(times.max().astype("int64")) // 1000, mark) + self.idle)
+        out = pd.DataFrame(found, columns=[c.split()[0] for c in EVENT.split(", ")])
+        out["ts"] = batch["ts"].to_numpy()[out["ts"].to_numpy("int64")]
+        yield out
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        self.last.clear()
-        self.levels.clear()
+        mark, left = timerValues.getCurrentWatermarkInMs(), False
+        for ticker, kept in list(self.tickers.iterator()):
+            if kept[2] + self.idle <= mark:
+                self.tickers.removeKey(ticker)
+            else:
+                left = True
+        if left:
+            self.handle.registerTimer(mark + self.idle)
         yield pd.DataFrame([], columns=[c.split()[0] for c in EVENT.split(", ")])
 
     def close(self) -> None:
         pass
 
 
-def crossings(rows: DataFrame, late: str = "1 hour", idle: timedelta = timedelta(days=7)) -> DataFrame:
+def crossings(rows: DataFrame, late: str = "1 hour", idle: timedelta = timedelta(days=7), buckets: int = 1024) -> DataFrame:
     """Every level of a ticker that a price passes since the ticker's last price, for a ``feed``.
 
     Prices that aren't later than the ticker's last one are ignored; rows later than the
     watermark are dropped. A taken-back level is kept as such, so that an older change can't bring it back.
+    A batch's rows of one of the ``buckets`` are held at once; their number stays the same for a checkpoint.
     """
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    keyed = rows.withWatermark("ts", late).groupBy("ticker")
+    keyed = rows.withWatermark("ts", late).withColumn("bucket", F.pmod(F.xxhash64("ticker"), F.lit(buckets))).groupBy("bucket")
     return keyed.transformWithStateInPandas(Crossing(int(idle.total_seconds())), EVENT, "Append", "EventTime")
