@@ -19,27 +19,35 @@ def _shown(c: str) -> str:
     return f"coalesce(replace(replace(format_number({c}, '0,000.00'), ',', chr(160)), '-', '\\u2212'), '-')"
 
 
+#: The cells of an order.
+_CELLS = {
+    "label": "concat('<th> ', date_format(o_orderdate, 'MMM yyyy'), ' (12m)', CASE WHEN id % 3 <> 0 THEN date_format(o_orderdate, ' d MMM yyyy') ELSE '' END, ' ')",
+    "cash": "concat('<td>', id)", "v": "concat('<td>', v)", "bold": "concat('<td><b>', v, '</b>')", "one": "'<td>1'",
+    "heps": f"concat('<td>', {_shown('CASE WHEN id % 5 <> 0 THEN v / 4 END')})", "dividend": f"concat('<td>', {_shown('CASE WHEN id % 7 <> 0 THEN -v / 2 END')})",
+    "nav": f"concat('<td>', {_shown('CAST(v * 2 AS DOUBLE)')})", "restated": f"concat('<td>', {_shown('v * 3 / 4')})", "quick": f"concat('<td>', {_shown('o_custkey / 4')})",
+}
+
+
 def _company_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """(page, html): five tables of each eight orders; every fourth page has no cash flow, every third a title above its statistics."""
-    v = F.floor("o_totalprice").cast("long")
-    o = table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("id"), F.floor(F.col("o_orderkey") / 8).cast("long").alias("page"), v.alias("v"),
-        F.concat(F.date_format("o_orderdate", "MMM yyyy"), F.lit(" (12m)"), F.when(F.col("o_orderkey") % 3 != 0, F.date_format("o_orderdate", " d MMM yyyy")).otherwise("")).alias("label"),
-        F.when(F.col("o_orderkey") % 5 != 0, v / 4).alias("heps"), F.when(F.col("o_orderkey") % 7 != 0, -v / 2).alias("dividend"), (v * 2).cast("double").alias("nav"), (v * 3 / 4).alias("restated"), (F.col("o_custkey") / 4).alias("quick"),
-    )
-    pages = o.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("id", "label", "v", "heps", "dividend", "nav", "restated", "quick"))).alias("x"))
-
-    def row(label: str, value: str, cells: str = "x", tag: str = "td") -> str:
-        return f"concat('<tr><td>{label}', array_join(transform({cells}, c -> concat('<{tag}>', {value})), ''), '</tr>')"
-
-    head = row("Period", "concat(' ', c.label, ' ')", tag="th")
-    with_means = f"concat(substr({head}, 1, length({head}) - 5), '<th>Avg. 5y 2020<th>3y Growth 2020</tr>')"
+    """(page, html): five tables of each eight orders; every fourth page has no cash flow, every third a title above its statistics.
+
+    Orders are dealt by their page before their cells are written: numbers are moved, not texts.
+    """
+    id = F.col("o_orderkey")  # noqa: A001
+    o = table(spark, sf, "orders").select(id.alias("id"), F.floor(id / 8).cast("long").alias("page"), F.floor("o_totalprice").cast("long").alias("v"), "o_orderdate", "o_custkey").repartition("page")
+    pages = o.select("id", "page", *(F.expr(e).alias(c) for c, e in _CELLS.items())).groupBy("page").agg(F.sort_array(F.collect_list(F.struct("id", *_CELLS))).alias("x"))
+
+    def row(label: str, cell: str, cells: str = "x") -> str:
+        return f"concat('<tr><td>{label}', array_join({cells}.{cell}, ''), '</tr>')"
+
+    head = row("Period", "label")
+    with_means = head.replace("'</tr>'", "'<th>Avg. 5y 2020<th>3y Growth 2020</tr>'")
     title = "CASE WHEN page % 3 = 0 THEN '<tr><th>Statistics<th>in cents</tr>' ELSE '<tr><th>Statistics</tr>' END"
     parts = [
-        "'<html><body><table><tr><td>12 Month HEPS<td>1</table><table id=fin_I>'", head, row("Revenue", "c.v"), "'</table><table id=fin_B>'", row("Assets &amp; more", "concat('<b>', c.v, '</b>')"), "'</table>'",
-        f"CASE WHEN page % 4 <> 0 THEN concat('<table id=fin_C>', {row('Cash', 'c.id')}, '</table>') ELSE '' END",
-        "'<table id=fin_S>'", title, with_means, row("12 Month HEPS (c)", _shown("c.heps")), row("12 month dividend", _shown("c.dividend")), row("NET ASSET VALUE per share (ZARc) *", _shown("c.nav")),
-        row("12 Month HEPS restated", _shown("c.restated"), "slice(x, 1, CAST(page % 3 AS INT))"), "'</table><table id=fin_R>'", with_means, row("Current Ratio", "c.v"), row("Quick Ratio", _shown("c.quick")), row("Quick Ratio (group)", "'1'"), "'</table><table id=fin_S><tr><td>second</table></body></html>'",
+        "'<html><body><table><tr><td>12 Month HEPS<td>1</table><table id=fin_I>'", head, row("Revenue", "v"), "'</table><table id=fin_B>'", row("Assets &amp; more", "bold"), "'</table>'",
+        f"CASE WHEN page % 4 <> 0 THEN concat('<table id=fin_C>', {row('Cash', 'cash')}, '</table>') ELSE '' END",
+        "'<table id=fin_S>'", title, with_means, row("12 Month HEPS (c)", "heps"), row("12 month dividend", "dividend"), row("NET ASSET VALUE per share (ZARc) *", "nav"),
+        row("12 Month HEPS restated", "restated", "slice(x, 1, CAST(page % 3 AS INT))"), "'</table><table id=fin_R>'", with_means, row("Current Ratio", "v"), row("Quick Ratio", "quick"), row("Quick Ratio (group)", "one"), "'</table><table id=fin_S><tr><td>second</table></body></html>'",
     ]
     return pages.select("page", F.concat(*(F.expr(p) for p in parts)).alias("html"))
 
@@ -65,8 +73,8 @@ def company_ratios(spark: SparkSession, sf: str) -> DataFrame:
 UNION ALL SELECT page, 'BALANCE SHEET', 0, 'Assets & more|' || string_agg(v, '|' ORDER BY i) FROM {_ORDERS} GROUP BY page UNION ALL SELECT page, 'CASH FLOW', 0, 'Cash|' || string_agg(o_orderkey, '|' ORDER BY i) FROM {_ORDERS} WHERE page % 4 <> 0 GROUP BY page""")
 def company_tables(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of the named tables of each page, here of those that show no statistics."""
-    found = H.named_tables(_company_pages(spark, sf), H.FINANCIALS, keep=("page",)).where(~F.col("name").isin("SHARE STATISTICS", "RATIOS"))
-    return found.select("page", "name", "row_no", F.array_join("row", "|").alias("line"))
+    shown = {id: name for id, name in H.FINANCIALS.items() if name not in ("SHARE STATISTICS", "RATIOS")}  # noqa: A001
+    return H.named_tables(_company_pages(spark, sf), shown, keep=("page",)).select("page", "name", "row_no", F.array_join("row", "|").alias("line"))
 
 
 def _joined(rows: DataFrame, page: Column, order: str, cell: Column) -> DataFrame:

@@ -1,5 +1,8 @@
 """Trees of pages with ends left out, and tables that are named."""
 
+import random
+
+from larkspur.plans import reports
 from larkspur.sources import html
 
 LOOSE = "<table id=fin_S><tr><td>Period<th>Mar 2020<th>Sep 2019<tr><td>12 Month HEPS<td><b>1<td>2<tr><td>12 Month HEPS (again)<td>3</table><table id=fin_S><tr><td>later</table>"
@@ -21,3 +24,42 @@ def test_named_tables(spark):
     found = html.share_statistics(pages, table_id="fin_S").collect()
     assert sorted((r["page_id"], r["results_period_label"], r["heps_12m_zarc"]) for r in found) == [(1, "Mar 2020", 3.0), (1, "Sep 2019", 2.0)]
     assert html.ratios(pages, table_id="fin_R").count() == 0
+
+
+ODD = [
+    LOOSE, "", "<p>none", "<table id=fin_S>", "<table id=fin_S></table>", "<table id=fin_S><td>no row<tr><td>a</table>", "<table id=fin_S><tr><td>a</tr><td>b</table>", "<table id=fin_S><tr><td>a</th>b<td>c</table>",
+    "<tr><table id=fin_S><tr></tr></tr><tr><td>a</table>", "<div><table id=fin_S><tr><td>a</div><tr><td>b</table>", "<table><tr><td><table id=fin_S><tr><td>in</table></table>", "<table id=fin_S><tr><td>a<table id=fin_R><tr><td>b</table><td>c</table>",
+    "<table id=fin_S><tbody><tr><td>a</tbody></table>", "<table id=fin_S><tr><td>a &amp; <b> b&nbsp;<i>c</i></b>\n<br> d </td>lost</tr>\n</table>", "<table id=fin_S><tr><td><p>a<p>b</p></p>c<td>d</table>", "<table id=fin_S><tr><td>a<b>c</i></b><td>d</table>",
+    "<!-- <table id=fin_S><tr><td>x</table> --><table id=fin_S><tr><td>y</table>", "<script>'<table id=fin_S>'</script><title><</title><table id=fin_S><tr><td>y</table>", "<title>a &lt;</title><script>var a='<table id=fin_S><tr><td>x</table>'</script><table id=fin_S><tr><td>y</table>",
+    "<ul><li><table id=fin_S><tr><td>a<li>b<td>c</table>", "<TABLE id=fin_S><TR><TD>a</TABLE>", '<table class="x > y" id=\'fin_S\'><tr a=1><td title="a>b">a</table>', "<table id=fin_R id=fin_S><tr><td>a\nb<th> c </th><td/></table>", "<table id=fin_S><tr><b>x<td>a</b><td>b</table>", "<table id=fin_S><tr><td>&bogus;&copy &lt;td&gt;</table>",
+]
+
+
+def _by_tree(page, ids):
+    found = {}
+    for table in html.Tree(page).root.all("table"):
+        if table.attrs.get("id") in ids:
+            found.setdefault(table.attrs["id"], html.cells(table))
+    return found
+
+
+def test_grids_are_those_of_the_tree():
+    for page in ODD:
+        assert list(html.grids(page, html.FINANCIALS).items()) == list(_by_tree(page, html.FINANCIALS).items()), page
+    draw = random.Random(7)
+    for _ in range(3000):
+        inner = "".join(draw.choice(["<tr>", "<tr>", "<td>", "<td>", "<th>", "</td>", "</tr>", "<b>", "</b>", "<p>", "</p>", "<br>", "x", " y ", "&amp;", "\n", "</th>", "<li>", "</div>", "<tbody>", "<!--c-->"]) for _ in range(draw.randrange(14)))
+        page = draw.choice(["", "<div>", "<li>", "<tr>"]) + "<table id=fin_S><tr>" + inner + draw.choice(["</table>", "</table><table id=fin_R><tr><td>z</table>", ""])
+        assert html.grids(page, html.FINANCIALS) == _by_tree(page, html.FINANCIALS), page
+
+
+def test_plain_tables_are_read_without_a_tree(spark, monkeypatch):
+    pages = [r["html"] for r in reports._company_pages(spark, "/root/testdata/sf0.001").limit(20).collect()]
+    wanted = [_by_tree(p, html.FINANCIALS) for p in pages]
+    monkeypatch.setattr(html, "Tree", None)
+    assert [html.grids(p, html.FINANCIALS) for p in pages] == wanted and all(len(w) >= 4 for w in wanted)
+
+
+def test_company_tables_makes_no_rows_that_it_drops(spark):
+    plan = reports.company_tables(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "SHARE STATISTICS" not in plan and "Filter" not in plan
