@@ -50,8 +50,7 @@ def proximity(price: Column, entry: Column, target: Column, stop: Column, is_lon
 
 def number(text: Column) -> Column:
     """A number with spaces, no-break spaces or a Unicode minus; null for placeholders and commas."""
-    plain = F.translate(F.trim(text), "−  ", "-")
-    return F.when(~plain.isin("-", "—", "N/A", ""), plain.try_cast("double"))
+    return F.translate(F.trim(text), "−  ", "-").try_cast("double")  # placeholders are no numbers
 
 
 def period_end(label: Column) -> Column:

@@ -2,6 +2,9 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from larkspur import functions as X
 from larkspur.plans import reports
 from larkspur.sources import html
 
@@ -63,3 +66,17 @@ def test_plain_tables_are_read_without_a_tree(spark, monkeypatch):
 def test_company_tables_makes_no_rows_that_it_drops(spark):
     plan = reports.company_tables(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "SHARE STATISTICS" not in plan and "Filter" not in plan
+
+
+def test_ends_of_periods_are_worked_out_once(spark):
+    page = "<table id=fin_R><tr><td>Period<th>Mar 2020<th>some day 2020<th>Sep 2019<tr><td>Quick Ratio<td>−1 000.5<td>7<td>N/A</table>"
+    found = html.ratios(spark.createDataFrame([(1, page)], "page_id int, html string"), table_id="fin_R")
+    assert [(str(r["results_period_end"]), r["quick_ratio"]) for r in found.collect()] == [("2020-03-31", -1000.5), ("2019-09-30", None)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_to_timestamp") == 1 and plan.count("translate(") == 1
+
+
+def test_numbers_and_placeholders(spark):
+    texts = ["-", "—", "N/A", "", " ", " 1 234.5 ", "−7", "1,5", "x", "- 3", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", X.number(F.col("t")).alias("n")).orderBy("i")
+    assert [r["n"] for r in df.collect()] == [None, None, None, None, None, 1234.5, -7.0, None, None, -3.0, None]
