@@ -9,8 +9,11 @@ and reranked, until they are unique or past the threshold:
 
 * anchors with up to ``HOT`` different stretches go to shards (Spark deals and
   sorts by anchor), each of which sorts the pairs of its own positions;
-* the pairs of more common anchors are sorted by Spark over all tasks, by range
-  of the pair, so no anchor's positions have to fit one task.
+* the stretches of more common anchors (edges of lines that many texts have) are
+  cut again by longer anchors (``FINER``), most of which are unique or have equal
+  stretches; what is left goes to shards as well;
+* the pairs of anchors that are as common after that are sorted by Spark over all
+  tasks, by range of the pair, so no anchor's positions have to fit one task.
 
 Null and empty texts have no bytes.  Repeated rows (same id) aren't smaller
 than each other and remove nothing from each other; rows without an id come
@@ -27,15 +30,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.kernels import U64, flat, padded, ranges, removal_mask, text_chunks, words64
-from larkspur.llm.segments import Spec, ambiguous, firsts, removed_runs, repeated_anchors, runs_of, stored
+from larkspur.llm.kernels import U64, combine, flat, padded, ranges, removal_mask, span_hashes, text_chunks, words64
+from larkspur.llm.segments import Spec, ambiguous, cut, firsts, removed_runs, repeated_anchors, runs_of, stored
 from larkspur.llm.tables import drop, unnested, written
 
 WINDOW, GRAM, HOT = 50, 24, 5_000
 SPEC = Spec(WINDOW, GRAM, words=False)
+#: For stretches of hot anchors: at most five windows share so long an anchor, so few different stretches do.
+FINER = Spec(WINDOW, 46, words=False)
 DEPTHS = (8, 16, 32, WINDOW)
 #: Bytes of stretches in a shard: a task's arrays take about 60 times as much.
 SHARD_BYTES = 2 << 20
@@ -92,27 +98,33 @@ def doubled(offsets: np.ndarray, data: np.ndarray, counts: np.ndarray, owner: np
     return seg[gone], at[gone] - offsets[seg[gone]]
 
 
+def whole_keys(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Iterator[pa.Table]:
+    """Tables of about ``most`` bytes of batches that are sorted by the key, each with all rows of its keys."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            table = pa.Table.from_batches(held).combine_chunks()
+            keys = np.asarray(table.column(key))
+            whole = int(np.searchsorted(keys, keys[-1], "left"))
+            if whole:
+                yield table.slice(0, whole)
+                held = table.slice(whole).to_batches()
+                size = sum(b.nbytes for b in held)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def _local(segs: DataFrame) -> DataFrame:
     """(anchor, key, gone) by prefix doubling inside shards of whole anchors."""
     total = segs.agg(F.sum(F.octet_length("content"))).first()[0] or 0
     shards = max(6, -(-int(total) // SHARD_BYTES))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:  # sorted by anchor: an anchor's stretches come in a row
-            held.append(batch)
-            size += batch.nbytes
-            if size >= 2 * SHARD_BYTES:
-                table = pa.Table.from_batches(held).combine_chunks()
-                anchors = np.asarray(table.column("anchor"))
-                whole = int(np.searchsorted(anchors, anchors[-1], "left"))
-                if whole:
-                    yield from solve(table.slice(0, whole))
-                    held = table.slice(whole).to_batches()
-                    size = sum(b.nbytes for b in held)
-        if held:
-            yield from solve(pa.Table.from_batches(held).combine_chunks())
+        for table in whole_keys(batches, "anchor", 2 * SHARD_BYTES):
+            yield from solve(table)
 
     def solve(table: pa.Table) -> list[pa.RecordBatch]:
         if not table.num_rows:
@@ -175,16 +187,92 @@ def by_spark_sort(segs: DataFrame) -> DataFrame:
     return rows.join(least, "r").where("owner > least").groupBy("anchor", "key").agg(F.array_sort(F.collect_list("p")).alias("gone"))
 
 
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Whether each row of sorted keys is the first with its values."""
+    head = np.ones(len(keys[0]), bool)
+    head[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return head
+
+
+def finer(segs: DataFrame) -> DataFrame:
+    """The stretches cut again by longer anchors, as a written table: (anchor, key) of the stretch, start in it and n of
+    each piece that loses windows or may lose some.
+
+    A piece with an equal one of a smaller owner loses all its windows: ``fine``
+    is null.  Others stand here if their longer anchor has ``c`` > 1 different pieces:
+    (fine, fkey), and once for each of these doc and content, for doubling.
+    """
+    total = segs.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    shards = max(6, -(-int(total) // SHARD_BYTES))
+    sent = "fine long, fkey long, anchor long, key long, doc long, start int, n int, content binary"
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches, "content"):
+            grams, offsets, buf, *_ = FINER.tokens(batch.column("content"))
+            at, n, gram = cut(grams, offsets, FINER)
+            of = np.searchsorted(offsets, at, "right") - 1
+            anchor, key, doc = (np.asarray(batch.column(k))[of] for k in ("anchor", "key", "doc"))
+            fine = combine(gram, anchor.view(np.uint64)).view(np.int64)
+            fkey = span_hashes(buf, at, n + WINDOW - 1).view(np.int64)
+            order = np.lexsort((doc, fkey, fine))
+            head = _heads(fine[order], fkey[order])
+            later = np.zeros(len(at), bool)
+            later[order] = doc[order] > doc[order][head][np.cumsum(head) - 1]
+            fine[later] = key[later]  # settled here: any task will do
+            raw, ends = buf.tobytes(), at + n + WINDOW - 1
+            content = [None if gone else raw[a:b] for a, b, gone in zip(at.tolist(), ends.tolist(), later.tolist(), strict=True)]
+            cols = [*map(pa.array, (fine, fkey, anchor, key, doc, (at - offsets[of]).astype(np.int32), n.astype(np.int32))), pa.array(content, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["fine", "fkey", "anchor", "key", "doc", "start", "n", "content"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_keys(batches, "fine", 8 * SHARD_BYTES):
+            open_ = np.asarray(table.column("content").is_valid())
+            fine, fkey, doc = (np.asarray(table.column(k)) for k in ("fine", "fkey", "doc"))
+            order = np.flatnonzero(open_)
+            order = order[np.lexsort((doc[order], fkey[order], fine[order]))]
+            head, new = _heads(fine[order], fkey[order]), _heads(fine[order])
+            c = np.add.reduceat(head, np.flatnonzero(new), dtype=np.int32)[np.cumsum(new) - 1] if len(order) else np.zeros(0, np.int32)
+            later = doc[order] > doc[order][head][np.cumsum(head) - 1]
+            shown = later | (c > 1)
+            gone = np.append(np.flatnonzero(~open_), order[later])
+            rest, first = order[shown & ~later], head[shown & ~later]
+            rows = table.take(pa.array(np.append(gone, rest)))
+            null = np.append(np.ones(len(gone), bool), np.zeros(len(rest), bool))
+            bare = np.append(np.ones(len(gone), bool), ~first)
+            counts = np.append(np.zeros(len(gone), np.int32), c[shown & ~later])
+            found = [rows.column(k) for k in ("anchor", "key", "start", "n")]
+            found += [pa.array(fine[np.append(gone, rest)], mask=null), rows.column("fkey"), rows.column("doc"), pa.array(counts), pa.compute.if_else(pa.array(bare), pa.scalar(None, pa.binary()), rows.column("content"))]
+            yield from pa.table(found, names=["anchor", "key", "start", "n", "fine", "fkey", "doc", "c", "content"]).to_batches()
+
+    pieces = segs.select("anchor", "key", "doc", "content").mapInArrow(cut_up, sent).repartition(shards, "fine").sortWithinPartitions("fine")
+    return written(pieces.mapInArrow(meet, "anchor long, key long, start int, n int, fine long, fkey long, doc long, c int, content binary"), "finer")
+
+
+def crowded(segs: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
+    """(anchor, key, gone) of stretches of common anchors, and the table that it reads."""
+    pieces = finer(segs)
+    distinct = pieces.where("content IS NOT NULL").select(F.col("fine").alias("anchor"), F.col("fkey").alias("key"), "doc", "n", "content", "c")
+    masks, many = _local(distinct.where(F.col("c") <= hot)), distinct.where(F.col("c") > hot)
+    if many.limit(1).count():
+        masks = masks.unionByName(by_spark_sort(many))
+    masks = masks.select(F.col("anchor").alias("fine"), F.col("key").alias("fkey"), "gone")
+    some = pieces.join(masks, ["fine", "fkey"]).select("anchor", "key", F.transform("gone", lambda x: x + F.col("start")).alias("gone"))
+    every = pieces.where("fine IS NULL").select("anchor", "key", F.sequence("start", F.col("start") + F.col("n") - 1).alias("gone"))
+    return some.unionByName(every).groupBy("anchor", "key").agg(F.array_sort(F.flatten(F.collect_list("gone"))).alias("gone")), pieces
+
+
 def duplicates(docs: DataFrame, n: int, hot: int = HOT) -> DataFrame:
     """(row, starts, counts, own, gone): see ``removed_runs``."""
     hits = repeated_anchors(docs, SPEC, n)
     first = firsts(docs, hits, SPEC)
     found, few, many = ambiguous(docs, first, SPEC, hot)
-    masks = _local(few)
+    masks, used = _local(few), [found]
     if many.limit(1).count():
-        masks = masks.unionByName(by_spark_sort(many))
+        more, pieces = crowded(many, hot)
+        masks = masks.unionByName(more)
+        used.append(pieces)
     masks = written(masks, "masks")
-    drop(found)
+    drop(*used)
     runs = written(removed_runs(docs, hits, first, masks, SPEC, by_start=False), "runs")
     drop(hits, first, masks)
     return runs

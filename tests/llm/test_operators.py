@@ -58,6 +58,24 @@ def test_suffix_dedup(spark, texts):
         assert sorted(tuple(r) for r in got) == want
 
 
+def test_suffix_dedup_hot_anchors_need_no_spark_sort(spark, monkeypatch):
+    """Edges of a line that all texts have: longer anchors tell them apart, so no position of theirs is sorted by Spark."""
+    rng = np.random.default_rng(3)
+    some = lambda letters, n: "".join(rng.choice(list(letters), n))
+    line = some("abcdefgh ", 90)
+    texts = [f"{some('xy', 60)}\n{line}\n{some('xy', 60)}" for _ in range(60)]
+    monkeypatch.setattr(suffix_dedup, "by_spark_sort", lambda segs: pytest.fail(f"{segs.count()} stretches are sorted by Spark"))
+    got = sorted((r["id"], r["n_removed"], r["kept_sha256"]) for r in suffix_dedup.dedup(frame(spark, texts), hot=40).collect())
+    seen, want = {}, []
+    for i, t in enumerate(texts):
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - 49):
+            if seen.setdefault(t[k : k + 50], i) < i:
+                gone[k : k + 50] = True
+        want.append((i, int(gone.sum()), hashlib.sha256(bytes(np.frombuffer(t.encode(), np.uint8)[~gone])).hexdigest()))
+    assert got == want
+
+
 def test_suffix_cut_keeps_columns(spark, texts):
     docs = frame(spark, texts)
     cut = suffix_dedup.cut_column(docs)
