@@ -273,7 +273,7 @@ def by_windows(segs: DataFrame) -> DataFrame:
 def duplicates(docs: DataFrame, n: int, hot: int = HOT) -> DataFrame:
     """(row, starts, counts, own, gone): see ``removed_runs``."""
     hits = repeated_anchors(docs, SPEC, n)
-    first = firsts(docs, hits, SPEC)
+    first = firsts(docs, hits, SPEC, n)
     found, few, many = ambiguous(docs, first, SPEC, hot)
     masks = by_index(few)
     if many.limit(1).count():

@@ -191,36 +191,42 @@ def repeated_anchors(docs: DataFrame, spec: Spec, buckets: int) -> DataFrame:
     return hits
 
 
+def _occurrences(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(texts, bytes, number of the text, start, n, content hash, first byte, end) of the segments that each chunk lists."""
+    for batch in text_chunks(batches):
+        offsets, buf, ws, we = spec.bounds(batch.column("text"))
+        sizes = np.diff(np.asarray(batch.column("starts").offsets))
+        doc = np.repeat(np.arange(batch.num_rows), sizes)
+        start = np.asarray(batch.column("starts").flatten()).astype(np.int64)
+        n = np.asarray(batch.column("counts").flatten()).astype(np.int64)
+        lo = offsets[doc] + start
+        if ws is None:
+            a, b = lo, lo + n + spec.window - 1
+            key = span_hashes(buf, a, b - a)
+        else:
+            a, b = ws[lo], we[lo + n + spec.window - 2]
+            key = window_keys(buf, ws, we, lo, n + spec.window - 1)
+        yield batch, buf, doc, start, n, key.view(np.int64), a, b
+
+
 def _pieces(docs: DataFrame, lists: DataFrame, spec: Spec, with_content: bool) -> DataFrame:
-    """(anchor, key, row, doc, start, n and, if asked for, content) of the segments in ``lists`` (row, starts, counts, anchors).
+    """(anchor, key, row, doc, start, n and, if asked for, content and c) of the segments in ``lists`` (row, starts, counts, anchors and, for content, cs).
 
     ``key`` is a second 64-bit hash, of the content; the content is bytes, or
     words joined by a space.
     """
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches):
-            offsets, buf, ws, we = spec.bounds(batch.column("text"))
-            sizes = np.diff(np.asarray(batch.column("starts").offsets))
-            doc = np.repeat(np.arange(batch.num_rows), sizes)
-            start = np.asarray(batch.column("starts").flatten()).astype(np.int64)
-            n = np.asarray(batch.column("counts").flatten()).astype(np.int64)
-            lo = offsets[doc] + start
-            if ws is None:
-                a, b = lo, lo + n + spec.window - 1
-                key = span_hashes(buf, a, b - a)
-            else:
-                a, b = ws[lo], we[lo + n + spec.window - 2]
-                key = window_keys(buf, ws, we, lo, n + spec.window - 1)
-            cols = [batch.column("anchors").flatten(), pa.array(key.view(np.int64)), pa.array(np.asarray(batch.column("row"))[doc]), pa.array(np.asarray(batch.column("doc"))[doc]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))]
+        for batch, buf, doc, start, n, key, a, b in _occurrences(batches, spec):
+            cols = [batch.column("anchors").flatten(), pa.array(key), pa.array(np.asarray(batch.column("row"))[doc]), pa.array(np.asarray(batch.column("doc"))[doc]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))]
             if with_content:
                 raw = buf.tobytes()
                 cut = [raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-                cols.append(pa.array(cut if ws is None else [b" ".join(x.split()) for x in cut], pa.binary()))
-            yield pa.RecordBatch.from_arrays(cols, names=["anchor", "key", "row", "doc", "start", "n", "content"][: len(cols)])
+                cols += [pa.array(cut if not spec.words else [b" ".join(x.split()) for x in cut], pa.binary()), batch.column("cs").flatten()]
+            yield pa.RecordBatch.from_arrays(cols, names=["anchor", "key", "row", "doc", "start", "n", "content", "c"][: len(cols)])
 
-    joined = docs.select("row", "doc", "text").join(lists, "row").select("row", "doc", "text", "starts", "counts", "anchors")
-    return joined.mapInArrow(cut_out, "anchor long, key long, row long, doc long, start int, n int" + ", content binary" * with_content)
+    joined = docs.select("row", "doc", "text").join(lists, "row").select("row", "doc", "text", "starts", "counts", "anchors", *["cs"] * with_content)
+    return joined.mapInArrow(cut_out, "anchor long, key long, row long, doc long, start int, n int" + ", content binary, c int" * with_content)
 
 
 def window_keys(buf: np.ndarray, ws: np.ndarray, we: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -235,22 +241,68 @@ def window_keys(buf: np.ndarray, ws: np.ndarray, we: np.ndarray, lo: np.ndarray,
     return out
 
 
-def firsts(docs: DataFrame, hits: DataFrame, spec: Spec) -> DataFrame:
-    """(anchor, key, doc, start, row, n) of the first occurrence of each candidate segment, as a written table."""
-    place = F.struct("doc", "start", "row", "n")
-    first = _pieces(docs, hits, spec, False).groupBy("anchor", "key").agg(F.min(place).alias("f"))
-    return written(first.select("anchor", "key", "f.*"), "firsts")
+#: An occurrence of a segment as tasks deal it.
+PLACE = np.dtype([("anchor", "u1", 6), ("key", "<i8"), ("row", "<i8"), ("doc", "<i8"), ("start", "<i4"), ("n", "u1")])
+
+
+def earliest(anchor: np.ndarray, key: np.ndarray, doc: np.ndarray, start: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Index of the first place, by (doc, start, row), of each (anchor, key), in order of these."""
+    order = np.lexsort((key, anchor))
+    if not len(order):
+        return order
+    a, k = anchor[order], key[order]
+    head = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (k[1:] != k[:-1])))
+    size, best = np.diff(np.append(head, len(order))), np.ones(len(order), bool)
+    for place in (doc, start, row):
+        x = np.where(best, place[order].astype(np.int64), np.iinfo(np.int64).max)
+        best &= x == np.repeat(np.minimum.reduceat(x, head), size)
+    return order[best]
+
+
+def firsts(docs: DataFrame, hits: DataFrame, spec: Spec, buckets: int) -> DataFrame:
+    """(anchor, key, doc, start, row, n, c) of the first occurrence of each candidate segment, as a written table; ``c`` is the number of different ones of its anchor.
+
+    Occurrences are dealt by anchor as packed arrays, of equal ones in a chunk of texts the first alone.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, of, start, n, key, *_ in _occurrences(batches, spec):
+            anchor = np.asarray(batch.column("anchors").flatten()).view(np.uint64)
+            row, doc = (np.asarray(batch.column(k))[of] for k in ("row", "doc"))
+            i = earliest(anchor, key, doc, start, row)
+            bucket = ((anchor[i] >> U64(8)) % U64(buckets)).astype(np.int32)
+            by = np.argsort(bucket, kind="stable")
+            i, bucket = i[by], bucket[by]
+            rec = np.empty(len(i), PLACE)
+            rec["anchor"] = np.ascontiguousarray(anchor[i]).view(np.uint8).reshape(-1, 8)[:, :6]
+            for name, v in (("key", key), ("row", row), ("doc", doc), ("start", start), ("n", n)):
+                rec[name] = v[i]
+            head = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(i) else np.zeros(0, np.int64)
+            ends = (np.append(head, len(i)) * PLACE.itemsize).astype(np.int64)
+            places = pa.Array.from_buffers(pa.large_binary(), len(head), [None, pa.py_buffer(ends), pa.py_buffer(rec.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[head]), places.cast(pa.binary())], names=["bucket", "places"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        rec = np.frombuffer(flat(table.column("places"))[1], PLACE)
+        anchor, cols = unpack(rec["anchor"].tobytes()), {k: rec[k] for k in ("key", "doc", "start", "row", "n")}
+        i = earliest(anchor, *(cols[k] for k in ("key", "doc", "start", "row")))
+        a = anchor[i]
+        head = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(i) else np.zeros(0, np.int64)
+        size = np.diff(np.append(head, len(i)))
+        kinds = {"key": np.int64, "doc": np.int64, "start": np.int32, "row": np.int64, "n": np.int32}
+        return pa.table({"anchor": a.view(np.int64)} | {k: np.ascontiguousarray(cols[k][i], t) for k, t in kinds.items()} | {"c": np.repeat(size, size).astype(np.int32)})
+
+    joined = docs.select("row", "doc", "text").join(hits, "row").select("row", "doc", "text", "starts", "counts", "anchors")
+    sent = joined.mapInArrow(send, "bucket int, places binary")
+    return written(sent.groupBy("bucket").applyInArrow(meet, "anchor long, key long, doc long, start int, row long, n int, c int"), "firsts")
 
 
 def ambiguous(docs: DataFrame, first: DataFrame, spec: Spec, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Segments, with content, whose anchor has other segments as well, as a written table; of these those of up to ``hot`` and those of more."""
-    counted = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    several = first.join(counted, "anchor")
-    lists = several.groupBy("row").agg(F.collect_list(F.struct("start", "n", "anchor", "c")).alias("x"))
-    lists = lists.select("row", F.col("x.start").alias("starts"), F.col("x.n").alias("counts"), F.col("x.anchor").alias("anchors"))
+    lists = first.where("c > 1").groupBy("row").agg(F.collect_list(F.struct("start", "n", "anchor", "c")).alias("x"))
+    lists = lists.select("row", F.col("x.start").alias("starts"), F.col("x.n").alias("counts"), F.col("x.anchor").alias("anchors"), F.col("x.c").alias("cs"))
     found = written(_pieces(docs, lists, spec, True), "ambiguous")
-    crowd = counted.where(F.col("c") > hot).select("anchor")
-    return found, found.join(crowd, "anchor", "left_anti"), found.join(crowd, "anchor", "left_semi")
+    return found, found.where(F.col("c") <= hot), found.where(F.col("c") > hot)
 
 
 def removed_runs(docs: DataFrame, hits: DataFrame, first: DataFrame, masks: DataFrame, spec: Spec, by_start: bool) -> DataFrame:
@@ -264,7 +316,8 @@ def removed_runs(docs: DataFrame, hits: DataFrame, first: DataFrame, masks: Data
     later than it, or ``by_start`` only from a greater start: if not, it is in ``own`` too.
     """
     windows = F.coalesce("gone", F.array().cast("array<int>")).alias("gone")
-    solved = first.join(masks, ["anchor", "key"], "left")
+    alone, several = first.where("c = 1"), first.where("c > 1")
+    solved = several.join(masks, ["anchor", "key"], "left").unionByName(alone.withColumn("gone", F.lit(None).cast("array<int>")))
     mine = solved.select("row", F.struct("start", windows).alias("x"))
     again = docs.groupBy("doc").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc")
     if again.limit(1).count():

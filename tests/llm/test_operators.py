@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from larkspur.llm import decontam, fm_dedup, langid, licenses, minhash_dedup, ogg, pieces, quality, suffix_dedup, urlfilter
+from larkspur.llm import decontam, fm_dedup, langid, licenses, minhash_dedup, ogg, pieces, quality, segments, suffix_dedup, urlfilter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, row int"
 
@@ -76,6 +76,24 @@ def test_suffix_dedup_hot_anchors_need_no_spark_sort(spark, monkeypatch):
     assert got == want
 
 
+def test_first_places_are_dealt_packed(spark):
+    """First occurrences and the number of different segments of an anchor, without a row for each occurrence."""
+    rng = random.Random(5)
+    parts = ["".join(rng.choice("abc ") for _ in range(rng.randint(30, 80))) for _ in range(6)]
+    rows = [(i if i % 7 else None, "".join(rng.choice(parts) for _ in range(4))) for i in range(40)]
+    docs, n = segments.stored(spark.createDataFrame(rows, "doc_id long, text string"), "suffix")
+    hits = segments.repeated_anchors(docs, suffix_dedup.SPEC, n)
+    places = segments._pieces(docs, hits, suffix_dedup.SPEC, False).collect()
+    want, kinds = {}, {}
+    for r in places:
+        place = (r["doc"], r["start"], r["row"], r["n"])
+        want[r["anchor"], r["key"]] = min(place, want.get((r["anchor"], r["key"]), place))
+        kinds.setdefault(r["anchor"], set()).add(r["key"])
+    first = segments.firsts(docs, hits, suffix_dedup.SPEC, n)
+    got = {(r["anchor"], r["key"]): (r["doc"], r["start"], r["row"], r["n"], r["c"]) for r in first.collect()}
+    assert len(want) < len(places) and got == {k: (*v, len(kinds[k[0]])) for k, v in want.items()}
+
+
 def test_suffix_cut_keeps_columns(spark, texts):
     docs = frame(spark, texts)
     cut = suffix_dedup.cut_column(docs)
